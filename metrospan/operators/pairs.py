@@ -91,6 +91,19 @@ def interval_log_mean(intervals: Column, length: Column, phi: Column, biot: Colu
     return peak + F.ln(mass / total)
 
 
+def interval_log_mean_rows(df: DataFrame, by: list[str], lo: str, hi: str, length: str, phi: str, biot: str) -> DataFrame:
+    """The same over interval rows: two mergeable aggregates, no list per region."""
+    span = F.col(hi) - F.col(lo)
+    v = log_mean(F.col(lo) / F.col(length), F.col(hi) / F.col(length), F.col(phi), F.col(biot))
+    rows = df.select(*by, span.alias("_len"), v.alias("_v"))
+    peak = rows.groupBy(*by).agg(F.max("_v").alias("_peak"))
+    mass = rows.join(peak, by).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_intervals"), F.first("_peak").alias("_peak"),
+        F.sum(F.col("_len") * F.exp(F.col("_v") - F.col("_peak"))).alias("_mass"), F.sum("_len").alias("length_um"))
+    return mass.select(*by, "n_intervals", "length_um",
+                       (F.col("_peak") + F.ln(F.col("_mass") / F.col("length_um"))).alias("log_mean"))
+
+
 def interval_gaps(df: DataFrame, key: str, lo: str, hi: str, tolerance: float = 1e-8) -> DataFrame:
     """Adjacent distinct intervals of one region that do not abut.
 

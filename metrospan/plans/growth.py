@@ -19,14 +19,14 @@ def growth(spark, sf) -> DataFrame:
         F.when(flag == "A", 25.0).when(flag == "N", 45.0).otherwise(65.0).alias("T_C"),
         (F.col("l_linenumber") * F.lit(10.0)).alias("gly_pct"),
         F.when(F.col("l_linestatus") == "F", "glass").otherwise("pdms").alias("substrate"),
-        F.col("l_quantity").alias("t_min"), (F.col("l_extendedprice") / 1000).alias("thickness_nm"),
+        F.col("l_quantity").alias("t_min"), (F.col("l_quantity") * 1.5 + F.col("l_extendedprice") / 5000 - F.col("l_linenumber") * 3).alias("thickness_nm"),
         (F.lit(0.5) + F.col("l_tax") * 100).alias("thickness_sd_nm"), F.col("l_suppkey").alias("specimen_id"),
         "l_orderkey", F.col("l_discount").alias("disc"))
 
 
-GROWTH_SQL = """growth AS (
+GROWTH_SQL = """WITH growth AS (
   SELECT CASE l_returnflag WHEN 'A' THEN 25.0::DOUBLE WHEN 'N' THEN 45.0 ELSE 65.0 END AS "T_C", l_linenumber * 10.0::DOUBLE AS gly_pct,
-         CASE l_linestatus WHEN 'F' THEN 'glass' ELSE 'pdms' END AS substrate, l_quantity AS x, l_extendedprice / 1000 AS y,
+         CASE l_linestatus WHEN 'F' THEN 'glass' ELSE 'pdms' END AS substrate, l_quantity AS x, l_quantity * 1.5 + l_extendedprice / 5000 - l_linenumber * 3 AS y,
          0.5 + l_tax * 100 AS sd, l_suppkey AS cl, l_orderkey, l_discount AS disc FROM lineitem)"""
 
 # Textbook line fit: slope, mean and residual sums by group, then a second pass.
