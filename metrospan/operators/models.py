@@ -380,3 +380,41 @@ def prediction_role(df: DataFrame, train_ids: DataFrame, key: str) -> DataFrame:
     return df.join(seen, key, "left").withColumn(
         "prediction_role", F.when(F.col("_seen"), "training_reprediction").otherwise("unverified_final_inference")
     ).drop("_seen")
+
+
+# --- final model -------------------------------------------------------------------
+
+def final_ridge(df: DataFrame, group: str, features: list[str], y: str, alphas: list[float], inner: int = 3) -> DataFrame:
+    """All-label fit after a separate grouped selection: one row with the
+    candidate, coefficients and the centre they refer to."""
+    d = len(features)
+    k = 2 * d + d * (d + 1) // 2 + 2
+    moments = condition_moments(df, group, features, y)
+    folds = group_kfold(moments.select(group, "n"), group, inner)
+    members = folds.join(moments.select(group, "m"), group)
+    whole = _sum_arrays(members, [], ["m"], k)
+    per_fold = _sum_arrays(members, ["fold"], ["m"], k)
+    t = one_row(whole)
+    train = per_fold.select("fold", (t["rows"] - F.col("rows")).alias("rows"), (t["groups"] - F.col("groups")).alias("groups"),
+                            F.array(*[F.get(t["m"], i) - F.get("m", i) for i in range(k)]).alias("m"))
+    grid = F.explode(F.array(*[F.struct(F.lit(i).alias("candidate"), F.lit(float(a)).alias("alpha")) for i, a in enumerate(alphas)]))
+    fits = train.withColumn("_c", grid).select("*", "_c.*").select(
+        "fold", "candidate", "alpha", ridge_coefficients(F.col("m"), F.col("groups"), F.col("rows"), F.col("alpha"), d).alias("coef"))
+    val = members.join(fits, "fold").withColumn("mse", moment_mse(F.col("m"), F.col("coef"), d))
+    scores = val.groupBy("candidate", "alpha").agg(F.sqrt(F.avg("mse")).alias("selection_rmse"))
+    best = scores.agg(F.min(F.struct("selection_rmse", "candidate", "alpha")).alias("b")).select("b.*")
+    alpha = one_row(best)
+    centre = one_row(df.agg(*[F.avg(c).alias(f"c{i}") for i, c in enumerate([*features, y])]))
+    return whole.select(
+        alpha["alpha"].alias("alpha"), alpha["selection_rmse"].alias("selection_rmse"),
+        ridge_coefficients(F.col("m"), F.col("groups"), F.col("rows"), alpha["alpha"], d).alias("coef"),
+        F.array(*[centre[f"c{i}"] for i in range(d + 1)]).alias("centre"))
+
+
+def apply_linear(df: DataFrame, model: DataFrame, features: list[str], out: str = "pred") -> DataFrame:
+    """Batch inference with a one-row saved linear model."""
+    m = one_row(model)
+    p = F.get(m["coef"], 0) + F.get(m["centre"], len(features))
+    for i, c in enumerate(features):
+        p = p + F.get(m["coef"], i + 1) * (F.col(c) - F.get(m["centre"], i))
+    return df.withColumn(out, p).withColumn("negative_prediction", F.col(out) < 0)
