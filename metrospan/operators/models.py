@@ -392,7 +392,7 @@ def final_ridge(df: DataFrame, group: str, features: list[str], y: str, alphas:
     moments = condition_moments(df, group, features, y)
     folds = group_kfold(moments.select(group, "n"), group, inner)
     members = folds.join(moments.select(group, "m"), group)
-    whole = _sum_arrays(members, [], ["m"], k)
+    whole = _sum_arrays(moments, [], ["m"], k)
     per_fold = _sum_arrays(members, ["fold"], ["m"], k)
     t = one_row(whole)
     train = per_fold.select("fold", (t["rows"] - F.col("rows")).alias("rows"), (t["groups"] - F.col("groups")).alias("groups"),
@@ -403,12 +403,11 @@ def final_ridge(df: DataFrame, group: str, features: list[str], y: str, alphas:
     val = members.join(fits, "fold").withColumn("mse", moment_mse(F.col("m"), F.col("coef"), d))
     scores = val.groupBy("candidate", "alpha").agg(F.sqrt(F.avg("mse")).alias("selection_rmse"))
     best = scores.agg(F.min(F.struct("selection_rmse", "candidate", "alpha")).alias("b")).select("b.*")
-    alpha = one_row(best)
+    full = whole.withColumn("_c", grid).select("*", "_c.candidate", F.col("_c.alpha").alias("_alpha")).select(
+        "candidate", ridge_coefficients(F.col("m"), F.col("groups"), F.col("rows"), F.col("_alpha"), d).alias("coef"))
     centre = one_row(df.agg(*[F.avg(c).alias(f"c{i}") for i, c in enumerate([*features, y])]))
-    return whole.select(
-        alpha["alpha"].alias("alpha"), alpha["selection_rmse"].alias("selection_rmse"),
-        ridge_coefficients(F.col("m"), F.col("groups"), F.col("rows"), alpha["alpha"], d).alias("coef"),
-        F.array(*[centre[f"c{i}"] for i in range(d + 1)]).alias("centre"))
+    return full.join(best, "candidate").select(
+        "alpha", "selection_rmse", "coef", F.array(*[centre[f"c{i}"] for i in range(d + 1)]).alias("centre"))
 
 
 def apply_linear(df: DataFrame, model: DataFrame, features: list[str], out: str = "pred") -> DataFrame:

@@ -8,7 +8,7 @@ from ..functions.errors import gray
 from ..operators import diff as D
 from ..operators import pixels as P
 from ..operators import provenance as V
-from .registry import longs, query, rnd, rounded, sr, table
+from .registry import off_tie, query, rnd, rounded, sr, sr_off_tie, table
 
 SIDE = 8
 
@@ -76,7 +76,7 @@ def _clahe_sql(src: str, key: str, value: str, side: int, out: str) -> str:
     return f"""{out}_q AS (SELECT *, least(floor({value} * 16), 15)::INT AS q, y // {half} AS cy, x // {half} AS cx FROM {src}),
 {out}_h AS (SELECT {key}, cy, cx, q, count(*)::DOUBLE AS n FROM {out}_q GROUP BY 1, 2, 3, 4),
 {out}_e AS (SELECT {key}, cy, cx, sum(greatest(n - greatest(1, 2.0 * {cell} / 16), 0)) AS excess FROM {out}_h GROUP BY 1, 2, 3),
-{out}_l AS (SELECT e.{key}, e.cy, e.cx, b, (coalesce(sum(least(n, greatest(1, 2.0 * {cell} / 16))), 0) + (b + 1) * max(excess) / 16) / {cell} AS lut
+{out}_l AS (SELECT e.{key}, e.cy, e.cx, b, (coalesce(sum(CASE WHEN n IS NOT NULL THEN least(n, greatest(1, 2.0 * {cell} / 16)) END), 0) + (b + 1) * max(excess) / 16) / {cell} AS lut
   FROM {out}_e e CROSS JOIN range(16) t(b) LEFT JOIN {out}_h h ON h.{key} = e.{key} AND h.cy = e.cy AND h.cx = e.cx AND h.q <= b GROUP BY 1, 2, 3, 4),
 {out}_w AS (SELECT *, least(greatest((y - {c0}) / {half}, 0), 1) AS yi, least(greatest((x - {c0}) / {half}, 0), 1) AS xi FROM {out}_q),
 {out} AS (SELECT w.* EXCLUDE (q, cy, cx, yi, xi), (1 - yi) * (1 - xi) * a.lut + (1 - yi) * xi * b.lut + yi * (1 - xi) * c.lut + yi * xi * d.lut AS texture FROM {out}_w w
@@ -117,10 +117,10 @@ def _peaks_sql(src: str, key: str, axis: str) -> str:
     """Local maxima over the threshold, thinned greedily from the highest."""
     return f"""th_m AS (SELECT {key}, median(s) AS med FROM {src} GROUP BY 1), th AS (SELECT {key}, max(med) AS med, median(abs(s - med)) AS mad FROM {src} JOIN th_m USING ({key}) GROUP BY 1),
 pk AS (SELECT {key}, {axis}, s, row_number() OVER (PARTITION BY {key} ORDER BY s DESC, {axis} DESC) AS r FROM
-  (SELECT *, lag(s) OVER w AS a, lead(s) OVER w AS b FROM {src} WINDOW w AS (PARTITION BY {key} ORDER BY {axis})) JOIN th USING ({key})
-  WHERE s > a AND s > b AND s >= greatest(0.003, med + 0.5 * mad)),
+  (SELECT *, lag(s) OVER w AS pv, lead(s) OVER w AS nx FROM {src} WINDOW w AS (PARTITION BY {key} ORDER BY {axis})) JOIN th USING ({key})
+  WHERE s > pv AND s > nx AND s >= greatest(0.003, med + 0.5 * mad)),
 kp AS (SELECT DISTINCT {key}, 0::BIGINT AS r, []::BIGINT[] AS kept FROM pk
-  UNION ALL SELECT kp.{key}, pk.r, CASE WHEN len(list_filter(kept, lambda k: abs(k - pk.{axis}) < 3)) > 0 THEN kept ELSE list_append(kept, pk.{axis}::BIGINT) END
+  UNION ALL SELECT kp.{key}, pk.r, CASE WHEN list_has_any(kept, [pk.{axis} - 2, pk.{axis} - 1, pk.{axis} + 1, pk.{axis} + 2]::BIGINT[]) THEN kept ELSE list_append(kept, pk.{axis}::BIGINT) END
   FROM kp JOIN pk ON pk.{key} = kp.{key} AND pk.r = kp.r + 1),
 fin AS (SELECT k.{key}, unnest(kept) AS p FROM kp k JOIN (SELECT {key}, max(r) AS r FROM kp GROUP BY 1) m ON m.{key} = k.{key} AND m.r = k.r),
 peaks AS (SELECT fin.{key}, fin.p, pk.s FROM fin JOIN pk ON pk.{key} = fin.{key} AND pk.{axis} = fin.p)"""
@@ -213,10 +213,10 @@ def tile_gradient(spark, sf):
     return t.select("vec_id", "y", "x", rnd("gradient", 8).alias("gradient"))
 
 
-@query("tile_neighbor", TEX + _GRAD + f" SELECT vec_id, y, x, {sr('neighbor', 8)} AS neighbor FROM nb")
+@query("tile_neighbor", TEX + _GRAD + f" SELECT vec_id, y, x, {sr_off_tie('neighbor')} AS neighbor FROM nb")
 def tile_neighbor(spark, sf):
     t = P.tile_neighbor(tiled(spark, sf), ["vec_id", "ty", "tx"], "texture")
-    return t.select("vec_id", "y", "x", rnd("neighbor", 8).alias("neighbor"))
+    return t.select("vec_id", "y", "x", off_tie("neighbor").alias("neighbor"))
 
 
 _FEATURES = _GRAD + """, tf AS (SELECT vec_id, ty, tx, avg(od) AS od_mean, stddev_pop(od) AS od_std, quantile_cont(od, 0.1) AS od_p10, quantile_cont(od, 0.9) AS od_p90, avg(tt) AS "T_mean", avg(gradient) AS texture_gradient,
@@ -228,10 +228,10 @@ def tiles(spark, sf):
     return P.tile_features(tiled(spark, sf).withColumn("mask", masked), "vec_id", 4, mask="mask")
 
 
-@query("tile_features", TEX + _FEATURES + " SELECT vec_id, ty::INT AS ty, tx::INT AS tx, " + ", ".join(f'{sr(chr(34) + f + chr(34), 8)} AS "{f}"' for f in P.TILE_FEATURES) + ", complete, all_valid FROM tf")
+@query("tile_features", TEX + _FEATURES + " SELECT vec_id, ty::INT AS ty, tx::INT AS tx, " + ", ".join(f'{sr_off_tie(chr(34) + f + chr(34))} AS "{f}"' for f in P.TILE_FEATURES) + ", complete, all_valid FROM tf")
 def tile_features(spark, sf):
     t = tiles(spark, sf).select("vec_id", "ty", "tx", *P.TILE_FEATURES, "complete", "all_valid")
-    return rounded(t, {f: 8 for f in P.TILE_FEATURES})
+    return t.withColumns({f: off_tie(f) for f in P.TILE_FEATURES})
 
 
 @query("roi_features", TEX + _FEATURES + """, g AS (SELECT vec_id, """ + ", ".join(f'avg("{f}") FILTER (complete AND all_valid) AS "{f}"' for f in P.TILE_FEATURES) + """,
@@ -239,11 +239,11 @@ def tile_features(spark, sf):
 s AS (SELECT vec_id, label, g.* EXCLUDE (vec_id), CASE WHEN u = 0 THEN 'no_complete_tile' WHEN n_tiles = 0 THEN 'no_valid_tile' WHEN label > 4 AND rejected_tiles > 0 THEN 'invalid_pixels_in_labelled_region' ELSE '' END AS reason
   FROM embeddings JOIN g USING (vec_id))
 SELECT vec_id, label > 4 AS labelled, CASE WHEN reason = '' THEN 'PASS' ELSE 'FAIL' END AS status, reason, n_tiles, rejected_tiles, """ + ", ".join(
-    sr(f"CASE WHEN reason = '' THEN \"{f}\" END", 8) + f' AS "feature_{f}"' for f in P.TILE_FEATURES) + " FROM s")
+    sr_off_tie(f"CASE WHEN reason = '' THEN \"{f}\" END") + f' AS "feature_{f}"' for f in P.TILE_FEATURES) + " FROM s")
 def roi_features(spark, sf):
     images = table(spark, sf, "embeddings").select("vec_id", (F.col("label") > 4).alias("labelled"))
     r = P.roi_features(tiles(spark, sf), images, "vec_id", "labelled")
-    return rounded(r, {f"feature_{f}": 8 for f in P.TILE_FEATURES})
+    return r.withColumns({f"feature_{f}": off_tie(f"feature_{f}") for f in P.TILE_FEATURES})
 
 
 # --- masked texture ------------------------------------------------------------------------
@@ -292,19 +292,19 @@ def region_tiles(spark, sf):
     return P.masked_tile_features(region_pixels(spark, sf), ["vec_id", "tile"], "raw", "texture", "ok", _SIGMA, 0.5)
 
 
-@query("texture_features", _REGION + " SELECT tile, " + ", ".join(f"{sr(f, 8)} AS {f}" for f in P.REGION_FEATURES) + ", n_valid, n_interior, n_valid / 16.0 >= 0.5 AND n_interior >= 4 AS used FROM tf")
+@query("texture_features", _REGION + " SELECT tile, " + ", ".join(f"{sr_off_tie(f)} AS {f}" for f in P.REGION_FEATURES) + ", n_valid, n_interior, n_valid / 16.0 >= 0.5 AND n_interior >= 4 AS used FROM tf")
 def texture_features(spark, sf):
     t = region_tiles(spark, sf).select("tile", *P.REGION_FEATURES, "n_valid", "n_interior", "used")
-    return rounded(t, {f: 8 for f in P.REGION_FEATURES})
+    return t.withColumns({f: off_tie(f) for f in P.REGION_FEATURES})
 
 
 @query("roi_features_weighted", _REGION + ", u AS (SELECT * FROM tf WHERE n_valid / 16.0 >= 0.5 AND n_interior >= 4), m AS (SELECT vec_id, " + ", ".join(
     f"sum(n_valid * {f}) / sum(n_valid) AS m_{f}" for f in P.REGION_FEATURES) + " FROM u GROUP BY 1) SELECT vec_id, " + ", ".join(
-    f"{sr(f'max(m_{f})', 8)} AS feature_{f}_mean, {sr(f'sqrt(sum(n_valid * pow({f} - m_{f}, 2)) / sum(n_valid))', 7)} AS feature_{f}_std" for f in P.REGION_FEATURES)
+    f"{sr_off_tie(f'max(m_{f})')} AS feature_{f}_mean, {sr_off_tie(f'sqrt(sum(n_valid * pow({f} - m_{f}, 2)) / sum(n_valid))', 7)} AS feature_{f}_std" for f in P.REGION_FEATURES)
     + ", count(*) AS n_tiles, CAST(sum(n_valid) AS BIGINT) AS n_valid_pixels FROM u JOIN m USING (vec_id) GROUP BY 1")
 def roi_features_weighted(spark, sf):
     t = P.weighted_roi_features(region_tiles(spark, sf), "vec_id")
-    return rounded(t, {f"feature_{f}_{s}": n for f in P.REGION_FEATURES for s, n in (("mean", 8), ("std", 7))})
+    return t.withColumns({f"feature_{f}_{s}": off_tie(f"feature_{f}_{s}", n) for f in P.REGION_FEATURES for s, n in (("mean", 8), ("std", 7))})
 
 
 # --- identity --------------------------------------------------------------------------------

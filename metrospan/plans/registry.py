@@ -40,3 +40,14 @@ def longs(df: DataFrame, *names: str) -> DataFrame:
 def sr(expr: str, n: int = 6) -> str:
     """SQL text of the same rounding."""
     return f"(round({expr}, {n}) + 0.0)"
+
+
+def off_tie(c: Column | str, n: int = 8) -> Column:
+    """Rounding of short binary fractions: a fixed shift of a third of a unit
+    moves them off the exact halves, where last-bit noise would decide."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c + F.lit(0.31 * 10.0 ** -n), n) + F.lit(0.0)
+
+
+def sr_off_tie(expr: str, n: int = 8) -> str:
+    return f"(round({expr} + {0.31 * 10.0 ** -n!r}, {n}) + 0.0)"
