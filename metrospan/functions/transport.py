@@ -1,81 +1,85 @@
-"""Closed-form concentration profile of a reacting channel, as Columns.
+"""Closed-form concentration profile of a reacting channel, as Spark SQL text.
 
 With phi = sqrt(Da), depth fraction x and end coefficient Bi the profile is
     u(x) = exp(-phi x) * G(2 phi (1 - x)) / G(2 phi)
     G(z) = 2 phi + (Bi - phi) * (1 - exp(-z))
 G is a sum of non-negative terms for every phi and Bi, so no cancellation
 occurs, and logs of u stay finite in deep channels.
+
+The functions take and return SQL expressions as text (a column name is one);
+wrap the result in ``F.expr``.  Text composes without a round trip to the JVM
+per operator, which matters for curves that appear inside other expressions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, functions as F
-
-from .rules import col
-
 GAS_CONSTANT = 8.31446261815324
 KELVIN = 273.15
 FLAT_PHI = 1e-10  # below this the profile is linear
 
+Sql = str | float | int
 
-def _num(v) -> Column:
-    return F.lit(float(v)) if isinstance(v, (int, float)) else col(v)
 
+def sql(v: Sql) -> str:
+    """Numbers as exact double literals, text in parentheses."""
+    if isinstance(v, (int, float)):
+        return f"{float(v)!r}D"
+    return v if v.isidentifier() else f"({v})"
 
-def _rise(z: Column) -> Column:
-    return -F.expm1(-z)
 
-
-def log_mean(lo, hi, phi, biot) -> Column:
+def log_mean(lo: Sql, hi: Sql, phi: Sql, biot: Sql) -> str:
     """log of the mean profile over depth fractions [lo, hi]; a point if equal."""
-    lo, hi, phi, biot = _num(lo), _num(hi), _num(phi), _num(biot)
-    span = hi - lo
+    point = lo == hi
+    a, b, p, bi = sql(lo), sql(hi), sql(phi), sql(biot)
 
-    def gain(z: Column) -> Column:
-        return 2 * phi + (biot - phi) * _rise(z)
+    def gain(z: str) -> str:
+        return f"(2 * {p} + ({bi} - {p}) * -expm1(-({z})))"
 
-    width = phi * span
-    averaged = F.when(span > 0, F.ln(_rise(width) / width)).otherwise(F.lit(0.0))
-    deep = -phi * lo + averaged + F.ln(gain(2 * phi * (1 - hi) + width) / gain(2 * phi))
-    middle = (lo + hi) / 2
-    flat = F.ln((1 + biot * (1 - middle)) / (1 + biot))
-    return F.when(phi < FLAT_PHI, flat).otherwise(deep)
+    width = "0" if point else f"{p} * ({b} - {a})"
+    averaged = "0" if point else f"CASE WHEN {b} > {a} THEN ln(-expm1(-{width}) / ({width})) ELSE 0D END"
+    deep = f"-{p} * {a} + {averaged} + ln({gain(f'2 * {p} * (1 - {b}) + {width}')} / {gain(f'2 * {p}')})"
+    flat = f"ln((1 + {bi} * (1 - ({a} + {b}) / 2)) / (1 + {bi}))"
+    return f"(CASE WHEN {p} < {FLAT_PHI!r}D THEN {flat} ELSE {deep} END)"
 
 
-def log_profile(x, da, biot) -> Column:
-    return log_mean(x, x, F.sqrt(_num(da)), biot)
+def log_profile(x: Sql, da: Sql, biot: Sql) -> str:
+    return log_mean(x, x, f"sqrt({sql(da)})", biot)
 
 
-def profile(x, da, biot) -> Column:
-    return F.exp(log_profile(x, da, biot))
+def profile(x: Sql, da: Sql, biot: Sql) -> str:
+    return f"exp({log_profile(x, da, biot)})"
 
 
-def window_log_mean(lo, hi, length, da, biot) -> Column:
+def window_log_mean(lo: Sql, hi: Sql, length: Sql, da: Sql, biot: Sql) -> str:
     """Same as :func:`log_mean` with the window in length units."""
-    length = _num(length)
-    return log_mean(_num(lo) / length, _num(hi) / length, F.sqrt(_num(da)), biot)
+    n = sql(length)
+    return log_mean(f"{sql(lo)} / {n}", f"{sql(hi)} / {n}", f"sqrt({sql(da)})", biot)
 
 
-def coverage(phi, biot, top=(0.0, 0.0), bottom=(1.0, 1.0)) -> Column:
+def coverage(phi: Sql, biot: Sql, top: tuple = (0.0, 0.0), bottom: tuple = (1.0, 1.0)) -> str:
     """Bottom over top mean profile; windows are depth fractions."""
-    return F.exp(log_mean(*bottom, phi, biot) - log_mean(*top, phi, biot))
+    below = log_mean(*bottom, phi, biot)
+    if top == (0.0, 0.0):  # u(0) = 1
+        return f"exp({below})"
+    return f"exp({below} - {log_mean(*top, phi, biot)})"
 
 
-def da_at_coverage(sc) -> Column:
+def da_at_coverage(sc: Sql) -> str:
     """Da that gives an end-point coverage with a closed, non-reacting end."""
-    sc = _num(sc)
-    return F.when((sc > 0) & (sc <= 1), F.pow(F.acosh(1 / sc), 2))
+    return f"(CASE WHEN {sql(sc)} > 0 AND {sql(sc)} <= 1 THEN pow(acosh(1 / {sql(sc)}), 2) END)"
 
 
-def stokes_einstein(d_ref, t_c, t_ref_c, eta_ref, eta) -> Column:
-    return _num(d_ref) * ((_num(t_c) + KELVIN) / (_num(t_ref_c) + KELVIN)) * _num(eta_ref) / _num(eta)
+def stokes_einstein(d_ref: Sql, t_c: Sql, t_ref_c: Sql, eta_ref: Sql, eta: Sql) -> str:
+    kelvin = f"(({sql(t_c)} + {KELVIN}D) / ({sql(t_ref_c)} + {KELVIN}D))"
+    return f"({sql(d_ref)} * {kelvin} * {sql(eta_ref)} / {sql(eta)})"
 
 
-def arrhenius(k_ref, energy, t_c, t_ref_c) -> Column:
-    inverse = 1 / (_num(t_ref_c) + KELVIN) - 1 / (_num(t_c) + KELVIN)
-    return _num(k_ref) * F.exp(_num(energy) / GAS_CONSTANT * inverse)
+def arrhenius(k_ref: Sql, energy: Sql, t_c: Sql, t_ref_c: Sql) -> str:
+    inverse = f"(1 / ({sql(t_ref_c)} + {KELVIN}D) - 1 / ({sql(t_c)} + {KELVIN}D))"
+    return f"({sql(k_ref)} * exp({sql(energy)} / {GAS_CONSTANT!r}D * {inverse}))"
 
 
 @dataclass(frozen=True)
@@ -91,95 +95,74 @@ class SlitParameters:
     bottom_surface_rate_ratio: float = 1.0
 
 
-def slit_coefficients(aspect_ratio, viscosity_mpa_s, temperature_c, p: SlitParameters) -> dict[str, Column]:
+def slit_coefficients(aspect_ratio: Sql, viscosity_mpa_s: Sql, temperature_c: Sql, p: SlitParameters) -> dict[str, str]:
     width = p.width_um * 1e-6
-    depth = _num(aspect_ratio) * width
+    depth = f"({sql(aspect_ratio)} * {sql(width)})"
     d = stokes_einstein(p.diffusivity_ref_m2_s, temperature_c, p.reference_temperature_c,
                         p.reference_viscosity_mpa_s, viscosity_mpa_s)
-    rate = arrhenius(p.surface_rate_ref_m_s, p.activation_energy_j_mol, temperature_c,
-                     p.reference_temperature_c)
-    sink = 2 * rate / width
+    rate = arrhenius(p.surface_rate_ref_m_s, p.activation_energy_j_mol, temperature_c, p.reference_temperature_c)
+    sink = f"(2 * {rate} / {sql(width)})"
     return {
         "depth_m": depth,
         "diffusivity_m2_s": d,
         "surface_rate_m_s": rate,
         "sink_rate_s_inv": sink,
-        "da": sink * depth * depth / d,
-        "bottom_biot": p.bottom_surface_rate_ratio * rate * depth / d,
+        "da": f"({sink} * {depth} * {depth} / {d})",
+        "bottom_biot": f"({sql(p.bottom_surface_rate_ratio)} * {rate} * {depth} / {d})",
     }
 
 
-def wall_perimeters(w, h, faces, materials, names=("glass", "pdms")) -> dict[str, Column]:
+def wall_perimeters(w: Sql, h: Sql, faces: Sql, materials, names=("glass", "pdms")) -> dict[str, str]:
     """Reactive perimeter per material: walls left, right, floor, ceiling in
-    order, the first ``faces`` of which exist; inert walls do not count."""
-    w, h, faces = _num(w), _num(h), F.lit(faces) if isinstance(faces, int) else col(faces)
+    order, the first ``faces`` of which exist; inert walls do not count.
+
+    A material is a quoted SQL string or a column name.
+    """
     walls = [(h, 1), (h, 2), (w, 3), (w, 4)]
-    out = {}
-    for name in names:
-        total = F.lit(0.0)
-        for (length, rank), m in zip(walls, materials):
-            m = F.lit(m) if isinstance(m, str) and m in ("glass", "pdms", "inert") else col(m)
-            total = total + F.when((m == name) & (faces >= rank), length).otherwise(0.0)
-        out[name] = total
-    return out
+    return {
+        name: "(" + " + ".join(
+            f"CASE WHEN {m} = '{name}' AND {sql(faces)} >= {rank} THEN {sql(length)} ELSE 0D END"
+            for (length, rank), m in zip(walls, materials)) + ")"
+        for name in names}
+
+
+def quoted(materials) -> list[str]:
+    return [f"'{m}'" for m in materials]
 
 
-def channel_coefficients(w, h, length, perimeters, rates, d, k_end) -> Column:
+def channel_coefficients(w: Sql, h: Sql, length: Sql, perimeters: dict[str, str], rates: dict[str, Sql], d: Sql, k_end: Sql) -> str:
     """Struct of da, biot, sink and effective rate of a rectangular channel.
 
-    ``rates`` maps a material to its rate column.  A material with perimeter
-    but without a rate makes every field NULL.
+    A material with perimeter but without a rate makes every field NULL.
     """
-    w, h, length, d, k_end = _num(w), _num(h), _num(length), _num(d), _num(k_end)
-    flux, total = F.lit(0.0), F.lit(0.0)
-    for name, p in perimeters.items():
-        k = rates.get(name)
-        k = F.lit(None).cast("double") if k is None else _num(k)
-        flux = flux + F.when(p > 0, k * p).otherwise(0.0)
-        total = total + p
-    sink = flux / (w * h)
-    return F.struct(
-        (sink * length * length / d).alias("da"),
-        (k_end * length / d + 0 * flux).alias("biot"),
-        sink.alias("sink"),
-        F.when(total > 0, flux / total).otherwise(0 * flux).alias("ks_effective"),
-    )
-
-
-def crossing(curve, target, lower, limit, steps: int = 60) -> Column:
+    flux = " + ".join(
+        f"CASE WHEN {p} > 0 THEN {sql(rates[name]) if name in rates else 'CAST(NULL AS DOUBLE)'} * {p} ELSE 0D END"
+        for name, p in perimeters.items())
+    total = " + ".join(perimeters.values())
+    base = (f"named_struct('flux', {flux}, 'total', {total}, 'w', {sql(w)}, 'h', {sql(h)}, 'l', {sql(length)}, "
+            f"'d', {sql(d)}, 'k', {sql(k_end)})")
+    return (f"transform(array({base}), c -> named_struct('da', c.flux / (c.w * c.h) * c.l * c.l / c.d, "
+            "'biot', c.k * c.l / c.d + 0 * c.flux, 'sink', c.flux / (c.w * c.h), "
+            "'ks_effective', CASE WHEN c.total > 0 THEN c.flux / c.total ELSE 0 * c.flux END))[0]")
+
+
+def crossing(curve: Callable[[str], str], target: Sql, lower: Sql, limit: Sql, steps: int = 60) -> str:
     """Smallest point where a decreasing curve falls to ``target``.
 
-    ``curve`` maps a Column to a Column.  The bracket doubles from ``lower`` up
-    to ``limit``, then halves ``steps`` times.  Returns struct(status, value);
-    an unattained target keeps a status and a NULL value.
+    ``curve`` maps SQL text to SQL text.  The bracket doubles from ``lower`` up
+    to ``limit``, then halves ``steps`` times.  Gives struct(status, value); an
+    unattained target keeps a status and a NULL value.  Each curve value is
+    computed once and bound to a name.
     """
-    target, lower, limit = _num(target), _num(lower), _num(limit)
-    start = F.least(F.greatest(F.lit(1.0), 2 * lower), limit)
-    doublings = F.sequence(F.lit(1), F.lit(64))
-    upper = F.aggregate(
-        doublings, start,
-        lambda hi, _: F.when((hi < limit) & (curve(hi) > target), F.least(2 * hi, limit)).otherwise(hi))
-
-    def halve(bracket, _):
-        mid = (bracket["lo"] + bracket["hi"]) / 2
-        above = curve(mid) > target
-        return F.struct(F.when(above, mid).otherwise(bracket["lo"]).alias("lo"),
-                        F.when(above, bracket["hi"]).otherwise(mid).alias("hi"))
-
-    def root(hi: Column) -> Column:
-        return F.aggregate(
-            F.sequence(F.lit(1), F.lit(steps)), F.struct(lower.alias("lo"), hi.alias("hi")), halve,
-            lambda b: (b["lo"] + b["hi"]) / 2)
-
-    def solved(hi: Column) -> Column:
-        first = curve(lower)
-        status = (F.when(first < target, "below_target_at_lower_bound")
-                  .when(first == target, "root")
-                  .when(curve(hi) > target, "no_boundary_within_domain")
-                  .when(curve(hi).isNull() | first.isNull(), F.lit(None))
-                  .otherwise("root"))
-        return F.struct(
-            status.alias("status"),
-            F.when(status == "root", F.when(first == target, lower).otherwise(root(hi))).alias("value"))
-
-    return F.transform(F.array(upper), solved)[0]
+    t, lo, end = sql(target), sql(lower), sql(limit)
+    upper = (f"aggregate(sequence(1, 64), least(greatest(1D, 2 * {lo}), {end}), (up, i) -> "
+             f"CASE WHEN up < {end} AND {curve('up')} > {t} THEN least(2 * up, {end}) ELSE up END)")
+    ends = (f"transform(transform(array(named_struct('hi', {upper}, 'f0', {curve(str(lo))})), "
+            f"r -> named_struct('hi', r.hi, 'f0', r.f0, 'f1', {curve('r.hi')})), ")
+    halved = (f"aggregate(sequence(1, {steps}), named_struct('a', {lo}, 'b', s.hi), (g, i) -> "
+              f"CASE WHEN {curve('(g.a + g.b) / 2')} > {t} THEN named_struct('a', (g.a + g.b) / 2, 'b', g.b) "
+              "ELSE named_struct('a', g.a, 'b', (g.a + g.b) / 2) END, g -> (g.a + g.b) / 2)")
+    status = (f"CASE WHEN s.f0 < {t} THEN 'below_target_at_lower_bound' WHEN s.f0 = {t} THEN 'root' "
+              f"WHEN s.f1 > {t} THEN 'no_boundary_within_domain' WHEN s.f1 <= {t} AND s.f0 > {t} THEN 'root' END")
+    value = f"CASE WHEN s.f0 = {t} THEN {lo} WHEN s.f0 > {t} AND s.f1 <= {t} THEN {halved} END"
+    return f"{ends}s -> named_struct('status', {status}, 'value', {value}))[0]"

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.transport import KELVIN, channel_coefficients, coverage, crossing, wall_perimeters
+from ..functions.transport import KELVIN, channel_coefficients, coverage, crossing, quoted, wall_perimeters
+from ..session import durable
 from .scalars import one_row
 from .resample import observed_windows, window_fractions
 
@@ -55,7 +56,8 @@ def interpolate(points: DataFrame, cal: DataFrame, t: str, g: str, columns: list
     sorted level array and one value map, so a point finds its cell by itself
     without a range join; the calibration is one row per (T, composition).
     """
-    cells = cal.select(F.col(t).alias("_t"), F.col(g).alias("_g"), *columns)
+    # The calibration is used for its levels and its corners: fit it once.
+    cells = durable(cal.select(F.col(t).alias("_t"), F.col(g).alias("_g"), *columns))
     ts = cells.agg(F.sort_array(F.collect_set("_t")).alias("_ts"), F.sort_array(F.collect_set("_g")).alias("_gs"))
 
     def place(levels: str, x: Column) -> Column:
@@ -63,13 +65,13 @@ def interpolate(points: DataFrame, cal: DataFrame, t: str, g: str, columns: list
         return F.greatest(F.lit(1), F.least(below, F.size(levels) - 1))
 
     levels = one_row(ts)
-    p = points.withColumn("_ts", levels["_ts"]).withColumn("_gs", levels["_gs"])
+    p = points.withColumns({"_ts": levels["_ts"], "_gs": levels["_gs"]})
     x, y = F.col(t), F.col(g)
     inside = x.between(F.array_min("_ts"), F.array_max("_ts")) & y.between(F.array_min("_gs"), F.array_max("_gs"))
-    p = (p.withColumn("_i", place("_ts", x)).withColumn("_j", place("_gs", y))
-         .withColumn("t0", F.element_at("_ts", F.col("_i"))).withColumn("t1", F.element_at("_ts", F.col("_i") + 1))
-         .withColumn("g0", F.element_at("_gs", F.col("_j"))).withColumn("g1", F.element_at("_gs", F.col("_j") + 1))
-         .withColumn("in_domain", F.coalesce(inside, F.lit(False))).drop("_ts", "_gs", "_i", "_j"))
+    p = p.withColumns({"_i": place("_ts", x), "_j": place("_gs", y)}).withColumns({
+        "t0": F.element_at("_ts", F.col("_i")), "t1": F.element_at("_ts", F.col("_i") + 1),
+        "g0": F.element_at("_gs", F.col("_j")), "g1": F.element_at("_gs", F.col("_j") + 1),
+        "in_domain": F.coalesce(inside, F.lit(False))}).drop("_ts", "_gs", "_i", "_j")
     quads = _cell_corners(cells, columns)
     j = p.join(quads, ["t0", "g0", "t1", "g1"], "left")
     inv = lambda c: 1 / (c + KELVIN)
@@ -91,11 +93,8 @@ def _cell_corners(cells: DataFrame, columns: list[str]) -> DataFrame:
     """One row per calibration cell with the values of its four corners."""
     a = cells.select("_t", "_g", *[F.col(c).alias(f"{c}_00") for c in columns])
     over_g, over_t = W.partitionBy("_t").orderBy("_g"), W.partitionBy("_g").orderBy("_t")
-    a = a.withColumn("g1", F.lead("_g").over(over_g))
-    a = a.withColumns({f"{c}_01": F.lead(f"{c}_00").over(over_g) for c in columns})
-    a = a.withColumn("t1", F.lead("_t").over(over_t))
-    a = a.withColumns({f"{c}_10": F.lead(f"{c}_00").over(over_t) for c in columns})
-    a = a.withColumns({f"{c}_11": F.lead(f"{c}_01").over(over_t) for c in columns})
+    a = a.withColumns({"g1": F.lead("_g").over(over_g), **{f"{c}_01": F.lead(f"{c}_00").over(over_g) for c in columns}})
+    a = a.withColumns({"t1": F.lead("_t").over(over_t), **{f"{c}_1{k}": F.lead(f"{c}_0{k}").over(over_t) for c in columns for k in (0, 1)}})
     return a.where("g1 is not null and t1 is not null").withColumnsRenamed({"_t": "t0", "_g": "g0"})
 
 
@@ -108,19 +107,18 @@ def with_properties(df: DataFrame, cfg) -> DataFrame:
 
 def unit_depth(df: DataFrame, cfg, w_um=None, h_um=None, faces=None) -> DataFrame:
     """phi and Bi per unit aspect ratio: phi(AR) = phi1 * AR, Bi(AR) = bi1 * AR."""
-    w = (F.lit(cfg.w_um) if w_um is None else F.col(w_um)) * 1e-6
-    h = (F.lit(cfg.h_um) if h_um is None else F.col(h_um)) * 1e-6
-    f = F.lit(cfg.faces) if faces is None else F.col(faces)
-    walls = wall_perimeters(w, h, f, cfg.wall_materials)
-    c = channel_coefficients(w, h, w, walls, {s: F.col(f"ks_{s}") for s in walls}, "D", "k_end")
-    return (df.withColumn("_c", c).withColumn("phi1", F.sqrt("_c.da")).withColumn("bi1", F.col("_c.biot"))
-            .withColumn("ks_effective", F.col("_c.ks_effective")).drop("_c"))
+    w = f"{w_um} * 1e-6D" if w_um else cfg.w_um * 1e-6
+    h = f"{h_um} * 1e-6D" if h_um else cfg.h_um * 1e-6
+    walls = wall_perimeters(w, h, faces or cfg.faces, quoted(cfg.wall_materials))
+    c = F.expr(channel_coefficients(w, h, w, walls, {s: f"ks_{s}" for s in walls}, "D", "k_end"))
+    return df.withColumn("_c", c).withColumns({
+        "phi1": F.sqrt("_c.da"), "bi1": F.col("_c.biot"), "ks_effective": F.col("_c.ks_effective")}).drop("_c")
 
 
 def aspect_curve(cfg):
-    def curve(ar: Column) -> Column:
-        top, bottom = observed_windows(ar * (cfg.w_um * 1e-6), cfg)
-        return F.when(ar == 0, 1.0).otherwise(coverage(F.col("phi1") * ar, F.col("bi1") * ar, top, bottom))
+    def curve(ar: str) -> str:
+        windows = observed_windows(f"({ar}) * {cfg.w_um * 1e-6!r}D", cfg)
+        return f"CASE WHEN {ar} = 0 THEN 1D ELSE {coverage(f'phi1 * ({ar})', f'bi1 * ({ar})', *windows)} END"
     return curve
 
 
@@ -128,11 +126,12 @@ def aspect_limit(cfg, target: float | None = None) -> Column:
     """Largest aspect ratio that still meets the target coverage."""
     lower = 0.0 if cfg.map_observable == "endpoints" else (
         2 * (cfg.top_offset_um + cfg.window_half_um) / cfg.w_um + 1e-8)
-    return crossing(aspect_curve(cfg), target or cfg.sc_target, lower, cfg.map_ar_limit)
+    return F.expr(crossing(aspect_curve(cfg), target or cfg.sc_target, lower, cfg.map_ar_limit))
 
 
 def process_grid(cal: DataFrame, cfg, n_t: int = 16, n_g: int = 21, ar: float = 49.0) -> DataFrame:
     """Coverage and depth limit on an even grid over the calibrated domain."""
+    cal = durable(cal)  # one row per condition, used for the domain and the cells
     domain = cal.agg(F.min("T_C").alias("_t0"), F.max("T_C").alias("_t1"),
                      F.min("gly_pct").alias("_g0"), F.max("gly_pct").alias("_g1"))
     cells = (domain.withColumn("T_C", F.explode(linspace(F.col("_t0"), F.col("_t1"), n_t)))
@@ -144,10 +143,10 @@ def process_grid(cal: DataFrame, cfg, n_t: int = 16, n_g: int = 21, ar: float =
         if f"ks_{s}" not in need:
             g = g.withColumn(f"ks_{s}", F.lit(None).cast("double"))
     g = unit_depth(with_properties(g, cfg), cfg)
-    g = g.withColumn("SC_AR49", aspect_curve(cfg)(F.lit(float(ar))))
-    g = g.withColumn("Da_AR49", F.pow(F.col("phi1") * ar, 2)).withColumn("_l", aspect_limit(cfg))
-    return (g.withColumn("AR_max", F.col("_l.value")).withColumn("AR_max_status", F.col("_l.status"))
-            .drop("_l", "phi1", "bi1", "in_domain"))
+    g = g.withColumns({"SC_AR49": F.expr(aspect_curve(cfg)(f"{ar!r}D")), "Da_AR49": F.pow(F.col("phi1") * ar, 2),
+                       "_l": aspect_limit(cfg)})
+    return g.withColumns({"AR_max": F.col("_l.value"), "AR_max_status": F.col("_l.status")}).drop(
+        "_l", "phi1", "bi1", "in_domain")
 
 
 def grid_summary(grid: DataFrame, target: float) -> DataFrame:
@@ -163,10 +162,10 @@ def grid_summary(grid: DataFrame, target: float) -> DataFrame:
 def design_grid(cal: DataFrame, cfg) -> DataFrame:
     """Conditions by aspect-ratio ladder with end-point and window coverage."""
     t = explode_levels(unit_depth(cal, cfg), {"AR": list(cfg.ar_ladder)})
-    phi, bi = F.col("phi1") * F.col("AR"), F.col("bi1") * F.col("AR")
-    top, bottom = window_fractions(F.col("AR") * (cfg.w_um * 1e-6), cfg)
-    t = t.withColumns({"L_um": F.col("AR") * cfg.w_um, "phi": phi, "Da": phi * phi, "Bi_end": bi,
-                       "SC_endpoint": coverage(phi, bi), "SC_observed": coverage(phi, bi, top, bottom)})
+    t = t.withColumns({"L_um": F.col("AR") * cfg.w_um, "phi": F.col("phi1") * F.col("AR"), "Bi_end": F.col("bi1") * F.col("AR")})
+    windows = window_fractions(f"AR * {cfg.w_um * 1e-6!r}D", cfg)
+    t = t.withColumns({"Da": F.col("phi") * F.col("phi"), "SC_endpoint": F.expr(coverage("phi", "Bi_end")),
+                       "SC_observed": F.expr(coverage("phi", "Bi_end", *windows))})
     return t.withColumn("endpoint_relative_error_pct",
                         100 * (F.col("SC_endpoint") - F.col("SC_observed")) / F.col("SC_observed"))
 
@@ -185,7 +184,7 @@ def scenario_table(cal: DataFrame, cfg, key: list[str], h_um=(30.0, 50.0), faces
         "AR", "status", "missing_substrates",
         _if_evaluated(F.pow(F.col("phi1") * F.col("AR"), 2)).alias("Da"),
         _if_evaluated(F.col("bi1") * F.col("AR")).alias("Bi_end"),
-        _if_evaluated(coverage(F.col("phi1") * F.col("AR"), F.col("bi1") * F.col("AR"))).alias("SC_endpoint"))
+        _if_evaluated(F.expr(coverage("phi1 * AR", "bi1 * AR"))).alias("SC_endpoint"))
 
 
 def depth_scenarios(cal: DataFrame, cfg, key: list[str], target: float = 0.01, h_um=(30.0, 50.0), faces=(2, 4)) -> DataFrame:
@@ -203,8 +202,8 @@ def depth_scenarios(cal: DataFrame, cfg, key: list[str], target: float = 0.01, h
 
 def _evaluated(t: DataFrame, cfg) -> DataFrame:
     """Status and missing materials of geometries in s_w_um, s_h_um, s_faces."""
-    walls = wall_perimeters(F.col("s_w_um"), F.col("s_h_um"), F.col("s_faces"), cfg.wall_materials)
-    missing = F.concat_ws("|", *[F.when((p > 0) & F.col(f"ks_{s}").isNull(), F.lit(s)) for s, p in walls.items()])
+    walls = wall_perimeters("s_w_um", "s_h_um", "s_faces", quoted(cfg.wall_materials))
+    missing = F.concat_ws("|", *[F.when((F.expr(p) > 0) & F.col(f"ks_{s}").isNull(), F.lit(s)) for s, p in walls.items()])
     return (t.withColumn("missing_substrates", missing)
             .withColumn("status", F.when(missing != "", "NOT_EVALUATED").otherwise("EVALUATED")))
 

@@ -77,24 +77,21 @@ def pair_summary(pairs: DataFrame, by: list[str], specimen: str, batch: str) ->
         F.stddev_samp(F.when(ok, F.col("SC"))).alias("SC_between_trench_sd"))
 
 
-def interval_log_mean(intervals: Column, length: Column, phi: Column, biot: Column) -> Column:
+def interval_log_mean(intervals: str, length: str, phi: str, biot: str) -> str:
     """log of the mean profile over a union of [lo, hi] intervals.
 
     log(sum(len * exp(v)) / sum(len)), shifted by the largest v.
     """
-    parts = F.transform(intervals, lambda i: F.struct(
-        (i["hi"] - i["lo"]).alias("len"),
-        log_mean(i["lo"] / length, i["hi"] / length, phi, biot).alias("v")))
-    peak = F.array_max(F.transform(parts, lambda p: p["v"]))
-    mass = F.aggregate(parts, F.lit(0.0), lambda s, p: s + p["len"] * F.exp(p["v"] - peak))
-    total = F.aggregate(parts, F.lit(0.0), lambda s, p: s + p["len"])
-    return peak + F.ln(mass / total)
+    value = log_mean(f"i.lo / {length}", f"i.hi / {length}", phi, biot)
+    parts = f"transform({intervals}, i -> named_struct('len', i.hi - i.lo, 'v', {value}))"
+    return (f"transform(transform(array({parts}), p -> named_struct('p', p, 'top', array_max(p.v))), "
+            "s -> s.top + ln(aggregate(s.p, 0D, (t, e) -> t + e.len * exp(e.v - s.top)) / aggregate(s.p, 0D, (t, e) -> t + e.len)))[0]")
 
 
 def interval_log_mean_rows(df: DataFrame, by: list[str], lo: str, hi: str, length: str, phi: str, biot: str) -> DataFrame:
     """The same over interval rows: two mergeable aggregates, no list per region."""
     span = F.col(hi) - F.col(lo)
-    v = log_mean(F.col(lo) / F.col(length), F.col(hi) / F.col(length), F.col(phi), F.col(biot))
+    v = F.expr(log_mean(f"{lo} / {length}", f"{hi} / {length}", phi, biot))
     rows = df.select(*by, span.alias("_len"), v.alias("_v"))
     peak = rows.groupBy(*by).agg(F.max("_v").alias("_peak"))
     mass = rows.join(peak, by).groupBy(*by).agg(
@@ -129,16 +126,13 @@ def theory_scores(pairs: DataFrame, calibration: DataFrame, on: list[str]) -> Da
 
     scored = pairs.where((F.col("status") == "PASS") & F.col("prediction_role").isin(*SCORABLE_ROLES))
     t = exactly_one(scored, calibration, on, ["ks_glass", "ks_pdms", "D", "k_end"]).where("match_status = 'ok'")
-    w, h, length = (F.col(c) * 1e-6 for c in ("w_um", "h_um", "L_um"))
+    w, h, length = "w_um * 1e-6D", "h_um * 1e-6D", "L_um * 1e-6D"
     walls = wall_perimeters(w, h, "faces", ["left_material", "right_material", "floor_material", "ceiling_material"])
-    shape = channel_coefficients(w, h, length, walls, {"glass": F.col("ks_glass"), "pdms": F.col("ks_pdms")},
-                                 "D", "k_end")
-    t = t.withColumn("_c", shape).withColumn("Da", F.col("_c.da")).withColumn("Bi_end", F.col("_c.biot"))
-    t = t.withColumn("phi", F.sqrt("Da")).drop("_c")
-    um = F.col("L_um")
-    model = F.exp(interval_log_mean(F.col("bot_intervals"), um, F.col("phi"), F.col("Bi_end"))
-                  - interval_log_mean(F.col("top_intervals"), um, F.col("phi"), F.col("Bi_end")))
-    t = t.withColumn("SC_model", model).withColumn("SC_endpoint", coverage(F.col("phi"), F.col("Bi_end")))
+    shape = channel_coefficients(w, h, length, walls, {"glass": "ks_glass", "pdms": "ks_pdms"}, "D", "k_end")
+    t = t.withColumn("_c", F.expr(shape))
+    t = t.withColumns({"Da": F.col("_c.da"), "Bi_end": F.col("_c.biot"), "phi": F.sqrt("_c.da")}).drop("_c")
+    below, above = (interval_log_mean(f"{side}_intervals", "L_um", "phi", "Bi_end") for side in ("bot", "top"))
+    t = t.withColumns({"SC_model": F.expr(f"exp({below} - {above})"), "SC_endpoint": F.expr(coverage("phi", "Bi_end"))})
     return t.withColumn("endpoint_relative_error_pct", F.when(
         F.col("SC_model") > 0, 100 * (F.col("SC_endpoint") - F.col("SC_model")) / F.col("SC_model")))
 

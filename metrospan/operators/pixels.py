@@ -76,6 +76,14 @@ def image_qc(corrected: DataFrame, image: str, limit: float) -> DataFrame:
     return q.withColumn("status", F.when(fail, "FAIL").otherwise("PASS"))
 
 
+def display_value(corrected: DataFrame, image: str, t_max: float, out: str = "display") -> DataFrame:
+    """Transmittance on a fixed [0, t_max] scale; invalid pixels show the image
+    median.  For texture only, never a quantitative value."""
+    middle = F.percentile("T", F.lit(0.5)).over(W.partitionBy(image))
+    d = corrected.withColumn("_mid", middle)
+    return d.withColumn(out, F.least(F.greatest(F.coalesce("T", "_mid") / t_max, F.lit(0.0)), F.lit(1.0))).drop("_mid")
+
+
 # --- contrast equalisation ---------------------------------------------------
 
 def _cell_edges(n: Column, cells: Column) -> Column:
@@ -107,15 +115,21 @@ def local_equalize(pixels: DataFrame, image: str, value: str, height: int, width
         return F.size(F.filter(F.slice(F.col(edges), 1, F.size(edges) - 1), lambda e: e <= F.col(axis))) - 1
 
     hist = p.groupBy(image, cell("y", "_ye").alias("_cy"), cell("x", "_xe").alias("_cx"), "_q").agg(
-        F.count(F.lit(1)).cast("double").alias("_n"))
-    per_cell = W.partitionBy(image, "_cy", "_cx")
-    hist = hist.withColumn("_size", F.sum("_n").over(per_cell))
-    cap = F.greatest(F.lit(1.0), clip * F.col("_size") / bins)
-    hist = hist.withColumn("_kept", F.least(F.col("_n"), cap)).withColumn("_over", F.col("_n") - F.col("_kept"))
-    # One table row per cell: its kept counts by bin (at most `bins` entries).
+        F.count(F.lit(1)).cast("double").alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    # One row per cell (at most `bins` counts), then one row per cell and bin.
     cells = hist.groupBy(image, "_cy", "_cx").agg(
-        F.max("_size").alias("_size"), F.sum("_over").alias("_excess"),
-        F.sort_array(F.collect_list(F.struct("_q", "_kept"))).alias("_bins"))
+        F.sum("_n").alias("_size"), F.collect_list(F.struct("_q", "_n")).alias("_bins"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    cells = cells.withColumn("_cap", F.expr(f"greatest(1D, {float(clip)!r}D * _size / {bins})"))
+    cells = cells.withColumn("_excess", F.expr("aggregate(_bins, 0D, (s, b) -> s + greatest(b._n - _cap, 0D))"))
+    # Shares by bin, then their running sum; both arrays have `bins` entries.
+    share = (f"aggregate(_bins, transform(sequence(1, {bins}), i -> _excess / {bins}), (acc, b) -> "
+             "transform(acc, (v, i) -> CASE WHEN i = b._q THEN v + least(b._n, _cap) ELSE v END))")
+    running = (f"aggregate({share}, cast(array() as array<double>), (acc, v) -> "
+               "concat(acc, array(v + coalesce(try_element_at(acc, -1), 0D))))")
+    flat = F.min("_lo").over(W.partitionBy(image)) == F.max("_hi").over(W.partitionBy(image))
+    lut = cells.withColumn("_flat", flat).select(
+        image, "_cy", "_cx", "_size", "_flat", F.posexplode(F.expr(running)).alias("_q", "_sum"))
+    lut = lut.select(image, "_cy", "_cx", "_q", "_flat", (F.col("_sum") / F.col("_size")).alias("_cdf"))
 
     edges = lambda e, k: F.transform(
         F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (F.get(F.col(e), i) + F.get(F.col(e), i + 1) - 1) / 2)
@@ -124,13 +138,9 @@ def local_equalize(pixels: DataFrame, image: str, value: str, height: int, width
     corners = F.array(*[
         F.struct(cy.alias("_cy"), cx.alias("_cx"), (a * b).alias("_w"))
         for cy, a in ((y0, 1 - wy), (y1, wy)) for cx, b in ((x0, 1 - wx), (x1, wx))])
-    lo_hi = W.partitionBy(image)
-    p = p.withColumn("_flat", F.min(value).over(lo_hi) == F.max(value).over(lo_hi))
     keep = [c for c in pixels.columns]
-    asked = p.select(*keep, "_q", "_flat", F.inline(F.filter(corners, lambda c: c["_w"] > 0)))
-    below = F.aggregate(F.filter("_bins", lambda b: b["_q"] <= F.col("_q")), F.lit(0.0), lambda s, b: s + b["_kept"])
-    cdf = (below + (F.col("_q") + 1) * F.col("_excess") / bins) / F.col("_size")
-    hit = asked.join(cells, [image, "_cy", "_cx"]).withColumn("_part", F.col("_w") * cdf)
+    asked = p.select(*keep, "_q", F.inline(F.filter(corners, lambda c: c["_w"] > 0)))
+    hit = asked.join(lut, [image, "_cy", "_cx", "_q"]).withColumn("_part", F.col("_w") * F.col("_cdf"))
     blended = hit.groupBy(image, "y", "x").agg(
         F.sum("_part").alias("_blend"), F.first("_flat").alias("_flat"),
         *[F.first(c).alias(c) for c in keep if c not in (image, "y", "x")])
@@ -139,11 +149,14 @@ def local_equalize(pixels: DataFrame, image: str, value: str, height: int, width
 
 # --- profiles and channel edges ----------------------------------------------
 
-def edge_profile(pixels: DataFrame, image: str, value: str) -> DataFrame:
-    """Mean absolute row difference along y, one row per (image, y >= 0)."""
+def edge_profile(pixels: DataFrame, image: str, value: str, keep: list[str] = ()) -> DataFrame:
+    """Mean absolute row difference along y, one row per (image, y >= 0).
+
+    ``keep`` names columns that are constant in an image.
+    """
     w = W.partitionBy(image, "x").orderBy("y")
     d = pixels.withColumn("_d", F.abs(F.col(value) - F.lag(value).over(w))).where("_d is not null")
-    return d.groupBy(image, (F.col("y") - 1).alias("y")).agg(F.avg("_d").alias("profile"))
+    return d.groupBy(image, (F.col("y") - 1).alias("y")).agg(F.avg("_d").alias("profile"), *[F.first(c).alias(c) for c in keep])
 
 
 def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
@@ -172,13 +185,20 @@ def smooth(df: DataFrame, by: list[str], axis: str, value: str, weights: list[fl
 
 def robust_threshold(df: DataFrame, by: list[str], value: str, floor: float = 0.003, factor: float = 6.0) -> DataFrame:
     """max(floor, median + factor * MAD) per profile."""
-    m = df.groupBy(*by).agg(F.percentile(value, F.lit(0.5)).alias("median"))
-    dev = df.join(m, by).withColumn("_a", F.abs(F.col(value) - F.col("median")))
-    s = dev.groupBy(*by).agg(F.first("median").alias("median"), F.percentile("_a", F.lit(0.5)).alias("mad"))
-    return s.withColumn("threshold", F.greatest(F.lit(floor), F.col("median") + factor * F.col("mad")))
+    t = with_threshold(df, by, value, floor, factor)
+    return t.groupBy(*by).agg(*[F.first(c).alias(c) for c in ("median", "mad", "threshold")])
+
+
+def with_threshold(df: DataFrame, by: list[str], value: str, floor: float = 0.003, factor: float = 6.0) -> DataFrame:
+    """Adds the threshold to every point; the profile is read once."""
+    w = W.partitionBy(*by)
+    d = df.withColumn("median", F.percentile(value, F.lit(0.5)).over(w))
+    d = d.withColumn("_a", F.abs(F.col(value) - F.col("median"))).withColumn("mad", F.percentile("_a", F.lit(0.5)).over(w))
+    return d.withColumn("threshold", F.greatest(F.lit(floor), F.col("median") + factor * F.col("mad"))).drop("_a")
 
 
-def local_peaks(df: DataFrame, by: list[str], axis: str, value: str, height: str, distance: int = 3) -> DataFrame:
+def local_peaks(df: DataFrame, by: list[str], axis: str, value: str, height: str, distance: int = 3,
+                keep: list[str] = ()) -> DataFrame:
     """Local maxima at or above ``height`` (middle of a plateau), thinned so
     that no two kept peaks lie closer than ``distance``: the higher one wins.
 
@@ -189,35 +209,39 @@ def local_peaks(df: DataFrame, by: list[str], axis: str, value: str, height: str
     change = F.coalesce((F.col(value) != F.lag(value).over(w)), F.lit(True)).cast("int")
     runs = df.withColumn("_run", F.sum(change).over(w))
     flat = runs.groupBy(*by, "_run").agg(
-        F.min(axis).alias("_a"), F.max(axis).alias("_b"), F.first(value).alias(value), F.first(height).alias(height))
+        F.min(axis).alias("_a"), F.max(axis).alias("_b"), F.first(value).alias(value), F.first(height).alias(height),
+        *[F.first(c).alias(c) for c in keep])
     r = W.partitionBy(*by).orderBy("_run")
     flat = flat.withColumns({"_left": F.lag(value).over(r), "_right": F.lead(value).over(r)})
     peaks = flat.where((F.col(value) > F.col("_left")) & (F.col(value) > F.col("_right")) & (F.col(value) >= F.col(height)))
     at = F.floor((F.col("_a") + F.col("_b")) / 2).cast("int")
     # The peaks of one profile, highest first (the later one first among equals).
     listed = peaks.groupBy(*by).agg(F.sort_array(
-        F.collect_list(F.struct(F.col(value).alias("v"), at.alias("p"))), asc=False).alias("_peaks"))
+        F.collect_list(F.struct(F.col(value).alias("v"), at.alias("p"))), asc=False).alias("_peaks"),
+        *[F.first(c).alias(c) for c in keep])
     kept = F.aggregate(
         "_peaks", F.slice("_peaks", 1, 0),
         lambda acc, c: F.when(F.exists(acc, lambda k: F.abs(k["p"] - c["p"]) < distance), acc).otherwise(
             F.concat(acc, F.array(c))))
-    return listed.select(*by, F.inline(kept)).select(*by, F.col("p").alias(axis), F.col("v").alias(value))
+    return listed.select(*by, *keep, F.inline(kept)).select(*by, *keep, F.col("p").alias(axis), F.col("v").alias(value))
 
 
 def peak_pairs(peaks: DataFrame, by: list[str], axis: str, value: str, width: str) -> DataFrame:
     """Ordered peak pairs whose distance is within 15 % of the expected width.
 
-    A peak asks only for the integer distances that qualify, which turns the
-    range condition into an equi-join without any all-pairs product.
+    The peaks of a profile (fewer than a third of its length) meet in one row;
+    each keeps only the partners in range, so no all-pairs product is emitted
+    and the profile is computed once.
     """
-    lo, hi = F.ceil(F.col(width) * 0.85), F.floor(F.col(width) * 1.15)
-    steps = F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
-    asks = peaks.select(*by, F.col(axis).alias("_a"), F.col(value).alias("_va"), width,
-                        F.explode(F.transform(steps, lambda s: (F.col(axis) + s).cast("long"))).alias("_b"))
-    others = peaks.select(*by, F.col(axis).cast("long").alias("_b"), F.col(value).alias("_vb"))
-    return asks.join(others, [*by, "_b"]).select(
-        *by, (F.col("_va") + F.col("_vb")).alias("score"), (F.col("_a") + 1).cast("long").alias("y0"),
-        (F.col("_b") + 1).alias("y1"))
+    lists = peaks.groupBy(*by).agg(
+        F.collect_list(F.struct(F.col(axis).cast("long").alias("p"), F.col(value).alias("v"))).alias("_all"),
+        F.first(width).alias("_w"))
+    a = lists.select(*by, "_all", "_w", F.explode("_all").alias("_a"))
+    gap = lambda b: b["p"] - F.col("_a.p")
+    a = a.select(*by, "_a", F.explode(F.filter(
+        "_all", lambda b: (gap(b) >= F.col("_w") * 0.85) & (gap(b) <= F.col("_w") * 1.15))).alias("_b"))
+    return a.select(*by, (F.col("_a.v") + F.col("_b.v")).alias("score"), (F.col("_a.p") + 1).alias("y0"),
+                    (F.col("_b.p") + 1).alias("y1"))
 
 
 def best_pair(pairs: DataFrame, by: list[str]) -> DataFrame:
@@ -228,12 +252,11 @@ def best_pair(pairs: DataFrame, by: list[str]) -> DataFrame:
     return r.where("_r = 1").select(*by, "score", "y0", "y1", F.coalesce(rival, F.lit(False)).alias("ambiguous"))
 
 
-def detect_channel(pixels: DataFrame, image: str, value: str, width: str) -> DataFrame:
+def detect_channel(pixels: DataFrame, image: str, value: str, width: str, factor: float = 6.0) -> DataFrame:
     """Channel edges from the smoothed edge profile of each image."""
-    widths = pixels.groupBy(image).agg(F.first(width).alias(width))
-    prof = smooth(edge_profile(pixels, image, value), [image], "y", "profile", gaussian_weights(0.6), "smoothed")
-    limit = robust_threshold(prof, [image], "smoothed").select(image, "threshold")
-    peaks = local_peaks(prof.join(limit, image), [image], "y", "smoothed", "threshold").join(widths, image)
+    prof = smooth(edge_profile(pixels, image, value, [width]), [image], "y", "profile", gaussian_weights(0.6), "smoothed")
+    prof = with_threshold(prof, [image], "smoothed", factor=factor)
+    peaks = local_peaks(prof, [image], "y", "smoothed", "threshold", keep=[width])
     return best_pair(peak_pairs(peaks, [image], "y", "smoothed", width), [image])
 
 

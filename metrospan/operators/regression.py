@@ -189,7 +189,7 @@ def calibration_table(growth: DataFrame, viscosity: DataFrame, by: list[str], cf
     ``growth`` has one row per condition and substrate (slope, slope_se,
     flags); ``viscosity`` exactly one row per condition.
     """
-    from ..functions.transport import KELVIN, channel_coefficients, wall_perimeters
+    from ..functions.transport import KELVIN, channel_coefficients, quoted, wall_perimeters
     from .joins import exactly_one
 
     molar = cfg.C0_mol_m3 * cfg.Vm_m3_mol
@@ -207,8 +207,9 @@ def calibration_table(growth: DataFrame, viscosity: DataFrame, by: list[str], cf
     inert = cfg.end_material == "inert" or cfg.end_rate_ratio == 0
     k_end = F.lit(0.0) if inert else F.col(f"ks_{cfg.end_material}") * cfg.end_rate_ratio
     w, h = cfg.w_um * 1e-6, cfg.h_um * 1e-6
-    walls = wall_perimeters(w, h, cfg.faces, cfg.wall_materials)
-    shape = channel_coefficients(w, h, w, walls, {s: F.col(f"ks_{s}") for s in walls}, d, k_end)
+    t = t.withColumns({"D": d, "k_end": k_end})
+    walls = wall_perimeters(w, h, cfg.faces, quoted(cfg.wall_materials))
+    shape = F.expr(channel_coefficients(w, h, w, walls, {s: f"ks_{s}" for s in walls}, "D", "k_end"))
     need = cfg.reactive_materials()
     missing = F.concat_ws("|", *[F.when(F.col(f"ks_{s}").isNull(), F.lit(s)) for s in need])
     repeated = F.concat_ws("|", *[F.when(F.col(f"{s}_fits") > 1, F.lit(s)) for s in ("glass", "pdms")])
@@ -219,5 +220,5 @@ def calibration_table(growth: DataFrame, viscosity: DataFrame, by: list[str], cf
               .when(F.col("match_status") != "ok", F.concat(F.col("match_status"), F.lit("_viscosity")))
               .when(negative, "negative_rate").otherwise("OK"))
     return t.select(
-        *by, "ks_glass", "ks_se_glass", "ks_pdms", "ks_se_pdms", "eta_Pa_s", d.alias("D"), k_end.alias("k_end"),
+        *by, "ks_glass", "ks_se_glass", "ks_pdms", "ks_se_pdms", "eta_Pa_s", "D", "k_end",
         shape["ks_effective"].alias("ks_effective"), "growth_assumptions_flagged", status.alias("status"))

@@ -311,12 +311,12 @@ SELECT l_orderkey, l_linenumber, {sr('phi * phi', 7)} AS da, {sr('bi', 8)} AS bo
 def condition_scores(spark, sf):
     t = table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", F.col("l_quantity").alias("ar"), (F.col("l_discount") * 20 + 1).alias("eta"), (F.col("l_tax") * 500 + 20).alias("t"))
-    t = t.withColumns(slit_coefficients("ar", "eta", "t", SlitParameters()))
+    t = t.withColumns({k: F.expr(v) for k, v in slit_coefficients("ar", "eta", "t", SlitParameters()).items()})
     return t.select("l_orderkey", "l_linenumber", rnd("da", 7).alias("da"), rnd("bottom_biot", 8).alias("bottom_biot"),
-                    rnd(profile(1.0, "da", "bottom_biot"), 8).alias("sc_proxy"))
+                    rnd(F.expr(profile(1.0, "da", "bottom_biot")), 8).alias("sc_proxy"))
 
 
 @query("da_at_sc", f"""
 WITH t AS (SELECT event_id, value / 100 AS sc FROM events) SELECT event_id, {sr('CASE WHEN sc > 0 AND sc <= 1 THEN pow(ln(1 / sc + sqrt(1 / (sc * sc) - 1)), 2) END', 7)} AS da FROM t""")
 def da_at_sc(spark, sf):
-    return table(spark, sf, "events").select("event_id", rnd(da_at_coverage(F.col("value") / 100), 7).alias("da"))
+    return table(spark, sf, "events").select("event_id", rnd(F.expr(da_at_coverage("value / 100")), 7).alias("da"))

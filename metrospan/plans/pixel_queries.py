@@ -64,9 +64,7 @@ def image_qc(spark, sf):
 def textured(spark, sf):
     """Corrected pictures with the equalised display value."""
     c = corrected(spark, sf)
-    mid = c.groupBy("vec_id").agg(F.percentile("T", F.lit(0.5)).alias("_mid"))
-    shown = F.least(F.greatest(F.coalesce("T", "_mid") / 2.0, F.lit(0.0)), F.lit(1.0))
-    d = c.join(mid, "vec_id").withColumn("display", shown).select("vec_id", "label", "y", "x", "value", "T", "od", "valid", "display")
+    d = P.display_value(c, "vec_id", 2.0).select("vec_id", "label", "y", "x", "T", "od", "valid", "display")
     return P.local_equalize(d, "vec_id", "display", SIDE, SIDE, grid=(2, 2), clip=2.0, bins=16, out="texture")
 
 
@@ -151,9 +149,8 @@ def robust_threshold(spark, sf):
 
 
 def event_peaks(spark, sf):
-    s = smoothed(spark, sf)
-    limit = P.robust_threshold(s, ["event_type"], "s", factor=0.5).select("event_type", "threshold")
-    return P.local_peaks(s.join(limit, "event_type"), ["event_type"], "b", "s", "threshold")
+    s = P.with_threshold(smoothed(spark, sf), ["event_type"], "s", factor=0.5)
+    return P.local_peaks(s, ["event_type"], "b", "s", "threshold")
 
 
 _PK = _EV + ", " + _peaks_sql("sm", "event_type", "b")
@@ -182,7 +179,7 @@ def best_pair(spark, sf):
     return rounded(P.best_pair(event_pairs(spark, sf), ["event_type"]), {"score": 7})
 
 
-_CH = TEX.replace("WITH pix", "WITH RECURSIVE pix", 1) + _PROFILE + ", " + _gauss_sql("pr", "vec_id", "y", "v", "sm") + ", " + _peaks_sql("sm", "vec_id", "y").replace("0.5 * mad", "6 * mad")
+_CH = TEX.replace("WITH pix", "WITH RECURSIVE pix", 1) + _PROFILE + ", " + _gauss_sql("pr", "vec_id", "y", "v", "sm") + ", " + _peaks_sql("sm", "vec_id", "y")
 
 
 @query("channel_edges", _CH + f""", pp AS (SELECT a.vec_id, a.s + b.s AS score, a.p + 1 AS y0, b.p + 1 AS y1 FROM peaks a JOIN peaks b ON a.vec_id = b.vec_id AND b.p - a.p = 3),
@@ -190,7 +187,7 @@ r AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS s2, lead(y0) OVE
 SELECT vec_id, {sr('score', 8)} AS score, y0, y1, coalesce(s2 > 0.95 * score AND abs(y0 - y2) > 3, false) AS ambiguous FROM r WHERE r = 1""")
 def channel_edges(spark, sf):
     t = textured(spark, sf).withColumn("w", F.lit(3.0))
-    return rounded(P.detect_channel(t, "vec_id", "texture", "w"), {"score": 8})
+    return rounded(P.detect_channel(t, "vec_id", "texture", "w", factor=0.5), {"score": 8})
 
 
 # --- tiles ----------------------------------------------------------------------------

@@ -15,6 +15,7 @@ import duckdb
 ROOT = pathlib.Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 
+TIMES: dict[str, float] = {}
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
 
@@ -46,8 +47,10 @@ def canon(names, rows):
 
 def compare(con, df, sql):
     names, rows = canon(df.columns, df.collect())
+    TIMES["spark"] = time.time()
     rel = con.sql(sql)
     onames, orows = canon(list(rel.columns), rel.fetchall())
+    TIMES["duckdb"] = time.time() - TIMES["spark"]
     if names != onames:
         return f"columns {names} vs {onames}", len(rows)
     kinds = dict(df.dtypes)
@@ -78,6 +81,7 @@ def main():
     queries, oracles, failed = entry.queries(), entry.oracle_sql(), []
     for name in names:
         t0 = time.time()
+        TIMES.clear()
         try:
             df = queries[name](spark, sf)
             if name in oracles:
@@ -87,7 +91,7 @@ def main():
         except Exception as exc:  # report and go on
             problem, n = f"{type(exc).__name__}: {str(exc)[:700]}", -1
         mark = "ok  " if problem is None else "FAIL"
-        print(f"{mark} {name:28s} {n:7d} rows {time.time() - t0:6.2f}s {'O' if name in oracles else 'R'} {problem or ''}", flush=True)
+        print(f"{mark} {name:28s} {n:7d} rows spark {TIMES.get('spark', time.time()) - t0:6.2f}s sql {TIMES.get('duckdb', 0):6.2f}s {'O' if name in oracles else 'R'} {problem or ''}", flush=True)
         if problem:
             failed.append(name)
     print("failed:", failed)
