@@ -86,17 +86,21 @@ def display_value(corrected: DataFrame, image: str, t_max: float, out: str = "di
 
 # --- contrast equalisation ---------------------------------------------------
 
-def _cell_edges(n: Column, cells: Column) -> Column:
-    return F.transform(F.sequence(F.lit(0), cells), lambda i: F.floor(i * n / cells).cast("int"))
+def _axis_tables(n: int, cells: int) -> dict[str, list]:
+    """Per pixel of an axis: own cell, the two cells it blends, upper weight."""
+    edges = [i * n // cells for i in range(cells + 1)]
+    centre = [(a + b - 1) / 2 for a, b in zip(edges, edges[1:])]
+    own = [c for c in range(cells) for _ in range(edges[c], edges[c + 1])]
+    low = [max(0, sum(c <= x for c in centre) - 1) for x in range(n)]
+    high = [min(c + 1, cells - 1) for c in low]
+    weight = [min(1.0, max(0.0, (x - centre[a]) / (centre[b] - centre[a]))) if b > a else 0.0
+              for x, (a, b) in enumerate(zip(low, high))]
+    return {"own": own, "low": low, "high": high, "weight": weight}
 
 
-def _blend(axis: Column, centres: Column, cells: Column) -> tuple[Column, Column, Column]:
-    """Lower cell, upper cell and upper weight of a pixel on one axis."""
-    low = F.greatest(F.lit(0), F.size(F.filter(centres, lambda c: c <= axis)) - 1)
-    high = F.least(low + 1, cells - 1)
-    c0, c1 = F.get(centres, low), F.get(centres, high)
-    weight = F.when((high == low) | (axis <= c0), 0.0).otherwise((axis - c0) / (c1 - c0))
-    return low, high, weight
+def _lookup(values: list, axis: str) -> Column:
+    kind = "D" if isinstance(values[0], float) else ""
+    return F.expr(f"array({', '.join(f'{v!r}{kind}' for v in values)})[{axis}]")
 
 
 def local_equalize(pixels: DataFrame, image: str, value: str, height: int, width: int, grid=(8, 8),
@@ -105,44 +109,37 @@ def local_equalize(pixels: DataFrame, image: str, value: str, height: int, width
 
     The histogram of a cell keeps at most ``clip`` times the mean bin count;
     the excess spreads evenly over all bins.  A constant image is unchanged.
+    Histograms, not pixels, are shuffled to build the cumulative tables.
     """
-    ny, nx = min(grid[0], height), min(grid[1], width)
-    shape = {"_ye": _cell_edges(F.lit(height), F.lit(ny)), "_xe": _cell_edges(F.lit(width), F.lit(nx))}
+    ty = _axis_tables(height, min(grid[0], height))
+    tx = _axis_tables(width, min(grid[1], width))
     p = pixels.withColumn("_q", F.least(F.floor(F.col(value) * bins), F.lit(bins - 1)).cast("int"))
-    p = p.withColumns(shape)
-
-    def cell(axis: str, edges: str) -> Column:
-        return F.size(F.filter(F.slice(F.col(edges), 1, F.size(edges) - 1), lambda e: e <= F.col(axis))) - 1
-
-    hist = p.groupBy(image, cell("y", "_ye").alias("_cy"), cell("x", "_xe").alias("_cx"), "_q").agg(
+    hist = p.groupBy(image, _lookup(ty["own"], "y").alias("_cy"), _lookup(tx["own"], "x").alias("_cx"), "_q").agg(
         F.count(F.lit(1)).cast("double").alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    # One row per cell (at most `bins` counts), then one row per cell and bin.
-    cells = hist.groupBy(image, "_cy", "_cx").agg(
-        F.sum("_n").alias("_size"), F.collect_list(F.struct("_q", "_n")).alias("_bins"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
-    cells = cells.withColumn("_cap", F.expr(f"greatest(1D, {float(clip)!r}D * _size / {bins})"))
-    cells = cells.withColumn("_excess", F.expr("aggregate(_bins, 0D, (s, b) -> s + greatest(b._n - _cap, 0D))"))
-    # Shares by bin, then their running sum; both arrays have `bins` entries.
-    share = (f"aggregate(_bins, transform(sequence(1, {bins}), i -> _excess / {bins}), (acc, b) -> "
-             "transform(acc, (v, i) -> CASE WHEN i = b._q THEN v + least(b._n, _cap) ELSE v END))")
-    running = (f"aggregate({share}, cast(array() as array<double>), (acc, v) -> "
-               "concat(acc, array(v + coalesce(try_element_at(acc, -1), 0D))))")
+    cell = [image, "_cy", "_cx"]
+    # One row per cell with at most `bins` counts, then one row per cell and bin.
+    cells = hist.repartition(image).groupBy(*cell).agg(
+        F.sum("_n").alias("_size"), F.map_from_entries(F.collect_list(F.struct("_q", "_n"))).alias("_count"),
+        F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
     flat = F.min("_lo").over(W.partitionBy(image)) == F.max("_hi").over(W.partitionBy(image))
-    lut = cells.withColumn("_flat", flat).select(
-        image, "_cy", "_cx", "_size", "_flat", F.posexplode(F.expr(running)).alias("_q", "_sum"))
-    lut = lut.select(image, "_cy", "_cx", "_q", "_flat", (F.col("_sum") / F.col("_size")).alias("_cdf"))
-
-    edges = lambda e, k: F.transform(
-        F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (F.get(F.col(e), i) + F.get(F.col(e), i + 1) - 1) / 2)
-    y0, y1, wy = _blend(F.col("y"), edges("_ye", ny), F.lit(ny))
-    x0, x1, wx = _blend(F.col("x"), edges("_xe", nx), F.lit(nx))
+    cells = cells.withColumns({"_flat": flat, "_cap": F.greatest(F.lit(1.0), float(clip) * F.col("_size") / bins)})
+    cells = cells.withColumn("_excess", F.expr("aggregate(map_values(_count), 0D, (s, n) -> s + greatest(n - _cap, 0D))"))
+    share = f"transform(sequence(0, {bins - 1}), b -> least(coalesce(try_element_at(_count, b), 0D), _cap) + _excess / {bins})"
+    lut = cells.select(*cell, "_size", "_flat", F.posexplode(F.expr(share)).alias("_q", "_share"))
+    upto = W.partitionBy(*cell).orderBy("_q").rowsBetween(W.unboundedPreceding, W.currentRow)
+    lut = lut.select(*cell, "_q", "_flat", (F.sum("_share").over(upto) / F.col("_size")).alias("_cdf"))
+
+    keep = pixels.columns
+    sides = {"_y0": _lookup(ty["low"], "y"), "_y1": _lookup(ty["high"], "y"), "_wy": _lookup(ty["weight"], "y"),
+             "_x0": _lookup(tx["low"], "x"), "_x1": _lookup(tx["high"], "x"), "_wx": _lookup(tx["weight"], "x")}
     corners = F.array(*[
-        F.struct(cy.alias("_cy"), cx.alias("_cx"), (a * b).alias("_w"))
-        for cy, a in ((y0, 1 - wy), (y1, wy)) for cx, b in ((x0, 1 - wx), (x1, wx))])
-    keep = [c for c in pixels.columns]
-    asked = p.select(*keep, "_q", F.inline(F.filter(corners, lambda c: c["_w"] > 0)))
-    hit = asked.join(lut, [image, "_cy", "_cx", "_q"]).withColumn("_part", F.col("_w") * F.col("_cdf"))
+        F.struct(F.col(cy).alias("_cy"), F.col(cx).alias("_cx"), (a * b).alias("_w"))
+        for cy, a in (("_y0", 1 - F.col("_wy")), ("_y1", F.col("_wy")))
+        for cx, b in (("_x0", 1 - F.col("_wx")), ("_x1", F.col("_wx")))])
+    asked = p.withColumns(sides).select(*keep, "_q", F.inline(corners)).where("_w > 0")
+    hit = asked.join(lut, [*cell, "_q"])
     blended = hit.groupBy(image, "y", "x").agg(
-        F.sum("_part").alias("_blend"), F.first("_flat").alias("_flat"),
+        F.sum(F.col("_w") * F.col("_cdf")).alias("_blend"), F.first("_flat").alias("_flat"),
         *[F.first(c).alias(c) for c in keep if c not in (image, "y", "x")])
     return blended.select(*keep, F.when(F.col("_flat"), F.col(value)).otherwise(F.col("_blend")).alias(out))
 
