@@ -35,17 +35,19 @@ def status_counts(df: DataFrame, status: str = "match_status") -> DataFrame:
     return df.groupBy(status).agg(F.count(F.lit(1)).alias("n"))
 
 
-def role_lookup(facts: DataFrame, registry: DataFrame, roles: dict[str, str], key: str, kind: str, fields: list[str]) -> DataFrame:
+def role_lookup(facts: DataFrame, registry: DataFrame, roles: dict[str, str], key: str, kind: str, fields: list[str],
+                carry: list[str] = ()) -> DataFrame:
     """Look the same registry up once per role and check kind and fields.
 
     ``roles`` maps a fact key column to the kind its entry must have.  Adds
-    ``<role key>_status``: ok, missing, wrong_kind or field_mismatch.
+    ``<fact key>_status`` (ok, missing, wrong_kind or field_mismatch) and
+    ``<fact key>_<column>`` for every carried registry column.
     """
     out = facts
     for fact_key, expected in roles.items():
         side = registry.select(
             F.col(key).alias(fact_key), F.col(kind).alias("_kind"),
-            *[F.col(f).alias(f"_{f}") for f in fields])
+            *[F.col(f).alias(f"_{f}") for f in fields], *[F.col(c).alias(f"{fact_key}_{c}") for c in carry])
         agree = reduce(lambda a, b: a & b, [same_field(f, f"_{f}") for f in fields], F.lit(True))
         status = (F.when(F.col("_kind").isNull(), "missing").when(F.col("_kind") != expected, "wrong_kind")
                   .when(~agree, "field_mismatch").otherwise("ok"))

@@ -1,4 +1,21 @@
-from pyspark.sql import DataFrame, functions as F
+"""The study jobs: manifest, region features, and their end-to-end chain."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..functions.rules import (ACQUISITION_FIELDS, acquisition_faults, condition_key, is_contained_path, is_finite,
+                               parse_capture_name, same_field)
+from ..operators import pixels as P
+from ..operators.contracts import ContractViolation, flags_text, split_included
+from ..operators.joins import exactly_one, optional_match, role_lookup
+
+RUN_FIELDS = ("T_C", "gly_pct", "gly_basis", "rep", "date", "cycles", "dep_time_h")
+LAYOUT_FIELDS = ("AR", "L_um", "w_um", "h_um", "faces", "left_material", "right_material", "floor_material",
+                 "ceiling_material")
+LABEL_FIELDS = ("run_id", "chip", "slot", "pos", "matched_region_id")
 
 
 def count_manifest(d: DataFrame) -> DataFrame:
@@ -11,3 +28,226 @@ def count_manifest(d: DataFrame) -> DataFrame:
         on("trench_id").alias("trenches_observed"), F.count(F.lit(1)).alias("images"),
         F.count_if(t & (F.col("pos") == "top")).alias("top_images"), F.count_if(t & (F.col("pos") == "bot")).alias("bot_images"),
         on("measurement_id").alias("measurements"), F.count_distinct("matched_region_id").alias("rois"))
+
+
+def manifest(images: DataFrame, runs: DataFrame, layout: DataFrame, frames: DataFrame, labels: DataFrame,
+             origin: str, scale_sources: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """One row per included image with everything it depends on.
+
+    Returns (manifest, excluded images).  A row that breaks the contract keeps
+    its place with the names of its ``faults``; nothing is dropped silently.
+    ``images`` carries a ``content_sha256`` of its pixels (see pixel_digest).
+    """
+    excluded = images.limit(0)
+    if "include" in images.columns:
+        images, excluded, _ = split_included(images, "include", "exclusion_reason")
+    copies = images.groupBy("content_sha256").agg(F.count(F.lit(1)).alias("_copies"))
+    m = images.join(copies, "content_sha256", "left").withColumn("_name", parse_capture_name(F.element_at(F.split("path", "/"), -1)))
+    m = role_lookup(m, frames, {"ref_id": "REF", "dark_id": "DARK"}, "frame_id", "kind", list(ACQUISITION_FIELDS), ["path"])
+    run_side = runs.select("run_id", *RUN_FIELDS, F.col("session_id").alias("_run_session"), F.col("batch_id").alias("_run_batch"))
+    m = exactly_one(m, run_side, ["run_id"], [*RUN_FIELDS, "_run_session", "_run_batch"]).withColumnRenamed("match_status", "_run_status")
+    m = exactly_one(m, layout, ["slot"], list(LAYOUT_FIELDS)).withColumnRenamed("match_status", "_layout_status")
+    lab = labels.select("measurement_id", *[F.col(c).alias(f"_l_{c}") for c in LABEL_FIELDS],
+                        F.col("thickness_nm").alias("label_nm"), F.col("thickness_sd_nm").alias("label_sd_nm"),
+                        F.col("z_lo_um").alias("label_z_lo_um"), F.col("z_hi_um").alias("label_z_hi_um"), "match_basis",
+                        F.col("n_sites").alias("_sites"))
+    m = m.withColumn("_asked", F.when(~F.col("measurement_id").rlike(r"^\s*$"), F.col("measurement_id")))
+    m = optional_match(m, lab, "_asked", "measurement_id", [c for c in lab.columns if c != "measurement_id"])
+
+    trench, flat = F.col("kind") == "trench", F.col("kind") == "flat"
+    name = F.col("_name")
+    agree = reduce(lambda a, b: a & b, [same_field(c, name[c]) for c in ("run_id", "chip", "slot", "pos")])
+    temperature = F.when(trench, F.col("T_C")).otherwise(name["T_C"])
+    composition = F.when(trench, F.col("gly_pct")).otherwise(name["gly_pct"])
+    # Nothing to match when the run itself is absent: that has its own fault.
+    key = condition_key(temperature, composition, F.coalesce("gly_basis", F.element_at(F.split("condition_id", "_", 3), -1)))
+    labelled = F.col("label_status") == "ok"
+    registered = reduce(lambda a, b: a & b, [same_field(c, f"_l_{c}") for c in LABEL_FIELDS])
+    numbers = reduce(lambda a, b: a & b, [is_finite(c) for c in ("label_nm", "label_sd_nm", "_sites", "label_z_lo_um", "label_z_hi_um")])
+    valid_label = (numbers & (F.col("label_nm") > 0) & (F.col("label_sd_nm") >= 0) & (F.col("_sites") >= 1)
+                   & (F.col("label_z_lo_um") >= 0) & (F.col("label_z_lo_um") < F.col("label_z_hi_um"))
+                   & (F.col("label_z_hi_um") <= F.col("L_um")) & (F.col("match_basis") == "validated_region_average"))
+    scale = F.col("um_per_px").cast("double")
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    faults = {
+        "path_outside_root": no(is_contained_path("path")),
+        "origin_mismatch": no(F.col("origin") == origin),
+        "kind_name_mismatch": no(F.col("kind") == name["kind"]),
+        "acquisition": reduce(lambda a, b: a | b, acquisition_faults().values()),
+        "ref_frame": F.col("ref_id_status") != "ok",
+        "dark_frame": F.col("dark_id_status") != "ok",
+        "pixel_scale": no(is_finite(scale) & (scale > 0)) | no(F.col("scale_source").isin(*scale_sources)),
+        "orientation": no(F.col("orientation").isin("x+", "x-", "y+", "y-")),
+        "name_fields": trench & no(agree),
+        "run_join": trench & (F.col("_run_status") != "ok"),
+        "layout_join": trench & (F.col("_layout_status") != "ok"),
+        "run_fields": trench & (F.col("_run_status") == "ok") & no((F.col("_run_session") == F.col("session_id")) & (F.col("_run_batch") == F.col("batch_id"))),
+        "condition_id": (flat | (F.col("_run_status") == "ok")) & no(key == F.col("condition_id")),
+        "label_join": trench & F.col("label_status").isin("missing_label", "ambiguous_label"),
+        "label_registration": trench & labelled & no(registered),
+        "label_values": trench & labelled & no(valid_label),
+        "duplicate_content": F.col("_copies") > 1,
+    }
+    trench_id = F.concat_ws("_", F.col("run_id"), F.concat(F.lit("C"), F.col("chip").cast("int").cast("string")),
+                            F.concat(F.lit("T"), F.col("slot").cast("int").cast("string")))
+    m = m.withColumns({"faults": flags_text(faults), "trench_id": F.when(trench, trench_id)})
+    return m.drop(*[c for c in m.columns if c.startswith("_")]), excluded
+
+
+def manifest_dependencies(m: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, role, usage, sha256, image) of every file a manifest row uses.
+
+    ``files`` is (path, sha256) relative to the study root; each role joins it
+    once on the path, so a shared frame is hashed once and never copied.
+    """
+    roles = {"image_pixels": ("path", "numerical_input"), "reference_correction": ("ref_id_path", "numerical_input"),
+             "dark_correction": ("dark_id_path", "numerical_input"), "roi_mask": ("mask_path", "numerical_input"),
+             "scale_evidence": ("scale_record", "evidence_only")}
+    entries = F.array(*[F.struct(F.col(c).cast("string").alias("path"), F.lit(role).alias("role"), F.lit(usage).alias("usage"))
+                        for role, (c, usage) in roles.items() if c in m.columns])
+    long = m.select(F.col("image_id").cast("string").alias("image_id"), F.inline(entries)).where(
+        F.col("path").isNotNull() & ~F.col("path").rlike(r"^\s*$"))
+    return long.join(files.select("path", "sha256"), "path", "left")
+
+
+def region_boxes(images: DataFrame, edges: DataFrame, cfg, height: int, width: int) -> DataFrame:
+    """Pixel box of each region with the reason when it has none."""
+    b = images.join(edges.select("image_id", F.col("y0").alias("_e0"), F.col("y1").alias("_e1"), "ambiguous"), "image_id", "left")
+    trench, manual = F.col("kind") == "trench", F.col("roi_mode") == "manual"
+    half = cfg.window_half_um / F.col("um_per_px")
+    expected = F.col("w_um") / F.col("um_per_px")
+    lo_y, hi_y = (F.when(manual, F.col(f"roi_y{k}")).otherwise(F.col(f"_e{k}")) for k in (0, 1))
+    x0, x1 = F.ceil(F.col("x_anchor_px") - half), F.floor(F.col("x_anchor_px") + half)
+    y0, y1 = lo_y + cfg.wall_margin_px, hi_y - cfg.wall_margin_px
+
+    def box(auto: Column, roi: str, f, whole: int) -> Column:
+        free = F.when(manual, F.col(roi)).otherwise(F.lit(whole))
+        return F.when(trench, F.when(manual, f(auto, F.col(roi))).otherwise(auto)).otherwise(free).cast("int")
+
+    b = b.withColumns({"x0": box(x0, "roi_x0", F.greatest, 0), "x1": box(x1, "roi_x1", F.least, width),
+                       "y0": box(y0, "roi_y0", F.greatest, 0), "y1": box(y1, "roi_y1", F.least, height)})
+    z = F.col("z_anchor_um")
+    reason = (
+        F.when(trench & ~manual & F.col("_e0").isNull(), "channel_not_found")
+        .when(trench & ~manual & F.col("ambiguous"), "ambiguous_channel")
+        .when(trench & manual & ~(hi_y - lo_y).between(0.75 * expected, 1.25 * expected), "manual_width")
+        .when(trench & ((z - cfg.window_half_um < 0) | (z + cfg.window_half_um > F.col("L_um"))), "window_crosses_boundary")
+        .when((F.col("x0") < 0) | (F.col("y0") < 0) | (F.col("x1") > width) | (F.col("y1") > height), "outside_image")
+        .when(F.least(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) < cfg.tile_px, "tile_exceeds_region")
+        .otherwise(""))
+    return b.withColumn("box_reason", F.coalesce(reason, F.lit("missing_geometry"))).drop("_e0", "_e1", "ambiguous")
+
+
+def extract_regions(pixels: DataFrame, images: DataFrame, ref: DataFrame, dark: DataFrame, cfg, height: int, width: int,
+                    mask: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pixels to region features: (regions, tiles, image QC).
+
+    ``pixels`` is (image_id, y, x, value), ``ref``/``dark`` are (ref_id / dark_id,
+    y, x, value) in the same raw orientation.  A failing image keeps its row and
+    reason; the others go on.
+    """
+    from ..session import durable
+    meta = images.select("image_id", "orientation", "ref_id", "dark_id", "bit_depth")
+    raw = pixels.join(meta, "image_id")
+    maximum = F.pow(F.lit(2.0), F.col("bit_depth")) - 1
+    corrected = P.flat_field(raw, ref, dark, ["ref_id", "y", "x"], ["dark_id", "y", "x"], maximum, cfg.t_min, cfg.t_max)
+    turned = P.canonical(corrected, "orientation", height, width)
+    turned = turned.drop("y", "x").withColumnsRenamed({"cy": "y", "cx": "x"})
+    qc = P.image_qc(turned, "image_id", cfg.invalid_pixel_fraction_max)
+    shown = P.display_value(turned, "image_id", cfg.t_max).select("image_id", "y", "x", "T", "od", "valid", "display")
+    # Read by the edge search and again by the tiles: keep one durable copy.
+    textured = durable(P.local_equalize(shown, "image_id", "display", height, width, out="texture"))
+
+    widths = images.where("kind = 'trench' and roi_mode = 'auto'").select("image_id", (F.col("w_um") / F.col("um_per_px")).alias("_w"))
+    edges = P.detect_channel(textured.join(widths, "image_id"), "image_id", "texture", "_w")
+    boxes = durable(region_boxes(images, edges, cfg, height, width))
+    inside = textured.join(boxes.where("box_reason = ''").select(
+        "image_id", F.col("x0").alias("_bx0"), F.col("x1").alias("_bx1"), F.col("y0").alias("_by0"), F.col("y1").alias("_by1")), "image_id")
+    if mask is not None:
+        inside = inside.join(mask, ["image_id", "y", "x"], "left")
+    tiled = P.assign_tiles(inside, cfg.tile_px, "_bx0", "_bx1", "_by0", "_by1")
+    tiles = durable(P.tile_features(tiled, "image_id", cfg.tile_px, mask="mask" if mask is not None else None))
+
+    base = boxes.drop("x0", "x1", "y0", "y1").join(qc.select("image_id", F.col("status").alias("qc_status")), "image_id", "left")
+    base = base.withColumn("labelled", F.col("label_nm").isNotNull())
+    regions = P.roi_features(tiles, base, "image_id", "labelled")
+    um = F.col("z_anchor_um") + (F.col("x0") - F.col("x_anchor_px")) * F.col("um_per_px")
+    um1 = F.col("z_anchor_um") + (F.col("x1") - F.col("x_anchor_px")) * F.col("um_per_px")
+    spans = (tiles.where("complete and full and all_valid").join(images.where("kind = 'trench'").select("image_id", "z_anchor_um", "x_anchor_px", "um_per_px"), "image_id")
+             .groupBy("image_id").agg(
+                 F.sort_array(F.collect_set(F.struct(um.alias("lo"), um1.alias("hi")))).alias("observed_intervals"),
+                 F.min(um).alias("observed_z_lo_um"), F.max(um1).alias("observed_z_hi_um")))
+    regions = regions.join(spans, "image_id", "left")
+    gaps = F.exists(F.zip_with(F.slice("observed_intervals", 2, F.greatest(F.lit(0), F.size("observed_intervals") - 1)),
+                               F.slice("observed_intervals", 1, F.greatest(F.lit(0), F.size("observed_intervals") - 1)),
+                               lambda b, a: F.abs(b["lo"] - a["hi"]) > 1e-8), lambda g: g)
+    far = 0.51 * F.col("um_per_px")
+    support = ((F.abs(F.col("observed_z_lo_um") - F.col("label_z_lo_um")) > far)
+               | (F.abs(F.col("observed_z_hi_um") - F.col("label_z_hi_um")) > far))
+    on_label = F.col("labelled") & (F.col("kind") == "trench") & (F.col("status") == "PASS")
+    reason = (F.when(F.col("qc_status") == "FAIL", "invalid_pixels").when(F.col("box_reason") != "", F.col("box_reason"))
+              .when(F.col("reason") != "", F.col("reason")).when(on_label & support, "label_support_differs")
+              .when(on_label & gaps, "untiled_gaps_in_label_region").otherwise(""))
+    regions = regions.withColumn("reason", reason).withColumn("status", F.when(F.col("reason") == "", "PASS").otherwise("FAIL"))
+    return regions.drop("box_reason", "labelled"), tiles, qc
+
+
+def calibrate(thickness: DataFrame, viscosity: DataFrame, cfg) -> tuple[DataFrame, DataFrame]:
+    """Growth lines and the per-condition calibration."""
+    from ..operators.regression import calibration_table, fit_lines
+    sd = "thickness_sd_nm" if "thickness_sd_nm" in thickness.columns else None
+    lines = fit_lines(thickness, ["T_C", "gly_pct", "substrate"], "t_min", "thickness_nm", cluster="specimen_id", known_sd=sd,
+                      induction_fraction=cfg.induction_fraction, nonlinear_alpha=cfg.nonlinear_alpha)
+    return lines, calibration_table(lines, viscosity, ["T_C", "gly_pct"], cfg)
+
+
+FEATURES = tuple(f"feature_{f}" for f in P.TILE_FEATURES)
+PAIR_FIELDS = ["condition_id", "specimen_id", "batch_id", "AR", "L_um", "w_um", "h_um", "faces", "left_material",
+               "right_material", "floor_material", "ceiling_material", "T_C", "gly_pct"]
+
+
+def score_source(regions: DataFrame, calibration: DataFrame, value: str, role: str | None, cfg) -> dict[str, DataFrame]:
+    """Pairs, pair summary, theory scores, points and report of one value column."""
+    from ..operators import pairs as Q
+    rows = regions.where("kind = 'trench'")
+    if role is None:
+        rows = rows.withColumn("prediction_role", F.lit("independent_measurement"))
+    pairs = Q.pair_ratio(rows, "trench_id", "pos", value, PAIR_FIELDS, min_top=cfg.min_top_nm, sd="label_sd_nm" if role is None else None,
+                         carry=["observed_intervals", "measurement_id"])
+    pairs = pairs.withColumns({"prediction_role": F.col("top_prediction_role"), "top_intervals": F.col("top_observed_intervals"),
+                               "bot_intervals": F.col("bot_observed_intervals")})
+    scored = Q.theory_scores(pairs, calibration, ["T_C", "gly_pct"])
+    points = Q.theory_points(scored, ["condition_id", "AR"])
+    return {"pairs": pairs, "summary": Q.pair_summary(pairs, ["condition_id", "AR"], "specimen_id", "batch_id"),
+            "scores": scored, "points": points, "report": Q.theory_report(points, "condition_id")}
+
+
+def run_study(m: DataFrame, pixels: DataFrame, ref: DataFrame, dark: DataFrame, thickness: DataFrame, viscosity: DataFrame,
+              cfg, height: int, width: int, alphas=(0.01, 0.1, 1.0)) -> dict[str, DataFrame]:
+    """The whole chain on an accepted manifest; each stage is cut once where
+    several later stages read it."""
+    from ..operators import grid as G
+    from ..operators import metrics as X
+    from ..operators import models as M
+    from ..session import durable
+    broken = m.where("faults <> ''").select("image_id", "faults").limit(5).collect()
+    if broken:
+        raise ContractViolation("; ".join(f"{r['image_id']}: {r['faults']}" for r in broken))
+    lines, cal = calibrate(thickness, viscosity, cfg)
+    cal = durable(cal)
+    bad = cal.where("status <> 'OK'").select("T_C", "gly_pct", "status").limit(5).collect()
+    if bad:
+        raise ContractViolation("; ".join(f"{r['T_C']}/{r['gly_pct']}: {r['status']}" for r in bad))
+    regions, tiles, qc = extract_regions(pixels, m, ref, dark, cfg, height, width)
+    regions = durable(regions)
+    labelled = regions.where("status = 'PASS' and label_nm is not null and kind = 'trench'")
+    features = [f for f in FEATURES]
+    scores, chosen = M.nested_ridge(labelled, "condition_id", features, "label_nm", list(alphas), cfg.inner_splits)
+    oof = durable(M.linear_predictions(labelled, chosen.select("outer", "alpha", "coef"), "condition_id", features, "label_nm", labelled, "pred_nm")
+                  .withColumn("prediction_role", F.lit("cross_fitted")))
+    out = {"lines": lines, "calibration": cal, "design": G.design_grid(cal, cfg), "regions": regions, "tiles": tiles, "qc": qc,
+           "candidates": scores, "oof": oof, "metrics": X.regression_metrics(oof, "label_nm", "pred_nm"),
+           "balanced": X.balanced_rmse(oof, "label_nm", "pred_nm", "condition_id"), "process": G.process_grid(cal, cfg)}
+    out |= {f"cross_fitted_{k}": v for k, v in score_source(oof, cal, "pred_nm", "prediction_role", cfg).items()}
+    out |= {f"label_{k}": v for k, v in score_source(labelled, cal, "label_nm", None, cfg).items()}
+    return out
