@@ -80,22 +80,23 @@ def same_field(a, b) -> Column:
 def general_number(c) -> Column:
     """Six significant digits, no trailing zeros, exponent form outside 1e-4..1e6."""
     v = col(c).cast("double")
+
+    def layout(parts: Column) -> Column:
+        """From (mantissa d.ddddd, power) to the shortest text."""
+        m, power = parts["m"], parts["p"]
+        digits = F.replace(m, F.lit("."), F.lit(""))
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+        large = F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, F.lit(6)))
+        plain = F.when(power >= 0, large).otherwise(small)
+        sign = F.when(power < 0, "-").otherwise("+")
+        exponent = F.concat(F.lit("e"), sign, F.lpad(F.abs(power).cast("string"), 2, "0"))
+        bare = lambda t: F.rtrim(F.rtrim(t, F.lit("0")), F.lit("."))
+        return F.when((power >= -4) & (power < 6), bare(plain)).otherwise(F.concat(bare(m), exponent))
+
     sci = F.format_string("%.5e", F.abs(v))
-    digits = F.regexp_replace(F.regexp_extract(sci, r"^([\d.]+)e", 1), r"\.", "")
-    power = F.regexp_extract(sci, r"e([+-]\d+)$", 1).cast("int")
-    whole = F.substring(digits, F.lit(1), power + 1)
-    rest = F.substring(digits, power + 2, F.lit(6))
-    plain = F.when(
-        power >= 0, F.concat(whole, F.lit("."), rest)
-    ).otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits))
-    plain = F.regexp_replace(F.regexp_replace(plain, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    mantissa = F.regexp_replace(
-        F.regexp_replace(F.regexp_extract(sci, r"^([\d.]+)e", 1), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    exponent = F.concat(
-        F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
-    body = F.when((power >= -4) & (power < 6), plain).otherwise(
-        F.concat(mantissa, F.lit("e"), exponent))
-    return F.when(v == 0, F.lit("0")).otherwise(F.concat(F.when(v < 0, "-").otherwise(""), body))
+    parts = F.struct(F.substring_index(sci, "e", 1).alias("m"), F.substring_index(sci, "e", -1).cast("int").alias("p"))
+    text = F.transform(F.array(parts), layout)[0]
+    return F.when(v == 0, F.lit("0")).when(v < 0, F.concat(F.lit("-"), text)).otherwise(text)
 
 
 def condition_key(temperature, composition, basis) -> Column:
@@ -105,27 +106,31 @@ def condition_key(temperature, composition, basis) -> Column:
 
 
 def parse_capture_name(c) -> Column:
-    """Typed fields of a capture name; ``kind`` is NULL when no format matches."""
-    c = col(c)
+    """Typed fields of a capture name; ``kind`` is NULL when no format matches.
+
+    One replacement per format isolates all of its groups at once.
+    """
+    c, sep = col(c), "\x01"
 
-    def part(pattern: str, group: int) -> Column:
-        return F.when(c.rlike(pattern), F.regexp_extract(c, pattern, group))
+    def groups(pattern: str, n: int) -> Column:
+        parts = F.split(F.regexp_replace(c, pattern, sep.join(f"${k + 1}" for k in range(n))), sep)
+        return F.when(c.rlike(pattern), parts)
 
-    number = part(TRENCH_NAME, 1).cast("long").cast("string")
+    t, f, r = groups(TRENCH_NAME, 4), groups(FLAT_NAME, 4), groups(FRAME_NAME, 2)
+    number = t[0].cast("long").cast("string")
     run = F.when(F.length(number) >= 2, number).otherwise(F.lpad(number, 2, "0"))
-    frame = F.upper(part(FRAME_NAME, 1))
-    is_trench, is_flat = c.rlike(TRENCH_NAME), c.rlike(FLAT_NAME)
+    known = t.isNotNull() | f.isNotNull()
     return F.struct(
-        F.when(is_trench, "trench").when(is_flat, "flat").otherwise(frame).alias("kind"),
+        F.when(t.isNotNull(), "trench").when(f.isNotNull(), "flat").otherwise(F.upper(r[0])).alias("kind"),
         F.concat(F.lit("R"), run).alias("run_id"),
-        part(TRENCH_NAME, 2).cast("int").alias("chip"),
-        part(TRENCH_NAME, 3).cast("int").alias("slot"),
-        F.lower(part(TRENCH_NAME, 4)).alias("pos"),
-        part(FLAT_NAME, 1).try_cast("double").alias("T_C"),
-        part(FLAT_NAME, 2).try_cast("double").alias("gly_pct"),
-        F.lower(part(FLAT_NAME, 3)).alias("substrate"),
-        part(FLAT_NAME, 4).try_cast("double").alias("t_min"),
-        F.when(~is_trench & ~is_flat, part(FRAME_NAME, 2)).alias("session_id"),
+        t[1].cast("int").alias("chip"),
+        t[2].cast("int").alias("slot"),
+        F.lower(t[3]).alias("pos"),
+        f[0].try_cast("double").alias("T_C"),
+        f[1].try_cast("double").alias("gly_pct"),
+        F.lower(f[2]).alias("substrate"),
+        f[3].try_cast("double").alias("t_min"),
+        F.when(~known, r[1]).alias("session_id"),
     )
 
 

@@ -44,8 +44,10 @@ def manifest(images: DataFrame, runs: DataFrame, layout: DataFrame, frames: Data
     copies = images.groupBy("content_sha256").agg(F.count(F.lit(1)).alias("_copies"))
     m = images.join(copies, "content_sha256", "left").withColumn("_name", parse_capture_name(F.element_at(F.split("path", "/"), -1)))
     m = role_lookup(m, frames, {"ref_id": "REF", "dark_id": "DARK"}, "frame_id", "kind", list(ACQUISITION_FIELDS), ["path"])
-    run_side = runs.select("run_id", *RUN_FIELDS, F.col("session_id").alias("_run_session"), F.col("batch_id").alias("_run_batch"))
-    m = exactly_one(m, run_side, ["run_id"], [*RUN_FIELDS, "_run_session", "_run_batch"]).withColumnRenamed("match_status", "_run_status")
+    # The condition key belongs to the run: text is built per run, not per image.
+    run_side = runs.select("run_id", *RUN_FIELDS, F.col("session_id").alias("_run_session"), F.col("batch_id").alias("_run_batch"),
+                           condition_key("T_C", "gly_pct", "gly_basis").alias("_run_key"))
+    m = exactly_one(m, run_side, ["run_id"], [*RUN_FIELDS, "_run_session", "_run_batch", "_run_key"]).withColumnRenamed("match_status", "_run_status")
     m = exactly_one(m, layout, ["slot"], list(LAYOUT_FIELDS)).withColumnRenamed("match_status", "_layout_status")
     lab = labels.select("measurement_id", *[F.col(c).alias(f"_l_{c}") for c in LABEL_FIELDS],
                         F.col("thickness_nm").alias("label_nm"), F.col("thickness_sd_nm").alias("label_sd_nm"),
@@ -57,10 +59,8 @@ def manifest(images: DataFrame, runs: DataFrame, layout: DataFrame, frames: Data
     trench, flat = F.col("kind") == "trench", F.col("kind") == "flat"
     name = F.col("_name")
     agree = reduce(lambda a, b: a & b, [same_field(c, name[c]) for c in ("run_id", "chip", "slot", "pos")])
-    temperature = F.when(trench, F.col("T_C")).otherwise(name["T_C"])
-    composition = F.when(trench, F.col("gly_pct")).otherwise(name["gly_pct"])
-    # Nothing to match when the run itself is absent: that has its own fault.
-    key = condition_key(temperature, composition, F.coalesce("gly_basis", F.element_at(F.split("condition_id", "_", 3), -1)))
+    basis = F.element_at(F.split("condition_id", "_", 3), -1)
+    key = F.when(trench, F.col("_run_key")).when(flat, condition_key(name["T_C"], name["gly_pct"], basis))
     labelled = F.col("label_status") == "ok"
     registered = reduce(lambda a, b: a & b, [same_field(c, f"_l_{c}") for c in LABEL_FIELDS])
     numbers = reduce(lambda a, b: a & b, [is_finite(c) for c in ("label_nm", "label_sd_nm", "_sites", "label_z_lo_um", "label_z_hi_um")])

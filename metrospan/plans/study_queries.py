@@ -30,7 +30,10 @@ SELECT o_orderkey::VARCHAR AS image_id, 'R' || CASE WHEN o_custkey < 10 THEN '0'
 
 @query("manifest", _SQL)
 def manifest_query(spark, sf):
-    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    nation_key = F.col("c_nationkey")
+    customers = table(spark, sf, "customer").withColumn(
+        "run_key", condition_key(F.lit(20.0) + nation_key, F.lit(10.0) * (nation_key % 5), F.lit("mass_pct")))
+    o = table(spark, sf, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"))
     n, seg, price = F.col("c_nationkey"), F.col("c_mktsegment"), F.col("o_totalprice")
     num = F.col("o_custkey").cast("string")
     run = F.concat(F.lit("R"), F.when(F.length(num) >= 2, num).otherwise(F.lpad(num, 2, "0")))
@@ -38,14 +41,13 @@ def manifest_query(spark, sf):
     pos = F.when(F.col("o_orderstatus") == "F", "top").otherwise("bot")
     shown = F.when((F.col("o_orderstatus") == "P") & (slot == 3), "top").otherwise(pos)
     session = F.concat(F.lit("S"), n.cast("string"))
-    key = condition_key(F.lit(20.0) + n, F.lit(10.0) * (n % 5), F.lit("mass_pct"))
     fixed = {"exposure_ms": F.lit(10.0), "gain": F.lit(1.0), "illumination_id": F.lit("L1"), "magnification": F.lit(20.0),
              "bit_depth": F.lit(12), "gamma": F.lit(1.0), "white_balance": F.lit("fixed"), "color_channel": F.lit("mono")}
     images = o.select(
         F.col("o_orderkey").cast("string").alias("image_id"),
         F.concat(F.lit("raw/"), run, F.lit("_C1_T"), slot.cast("string"), F.lit("_"), shown, F.lit(".tif")).alias("path"),
         F.lit("trench").alias("kind"), run.alias("run_id"), F.lit(1).alias("chip"), slot.alias("slot"), pos.alias("pos"),
-        F.when(price < 10000, "unknown").otherwise(key).alias("condition_id"),
+        F.when(price < 10000, "unknown").otherwise(F.col("run_key")).alias("condition_id"),
         F.when(seg == "MACHINERY", "other").otherwise(seg).alias("batch_id"), num.alias("specimen_id"),
         F.concat(F.lit("region-"), F.col("o_orderkey").cast("string")).alias("matched_region_id"),
         F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("M"), F.col("o_orderkey").cast("string"))).alias("measurement_id"),
