@@ -94,9 +94,10 @@ def general_number(c) -> Column:
         return F.when((power >= -4) & (power < 6), bare(plain)).otherwise(F.concat(bare(m), exponent))
 
     sci = F.format_string("%.5e", F.abs(v))
-    parts = F.struct(F.substring_index(sci, "e", 1).alias("m"), F.substring_index(sci, "e", -1).cast("int").alias("p"))
+    parts = F.struct(F.substring_index(sci, "e", 1).alias("m"), F.substring_index(sci, "e", -1).try_cast("int").alias("p"))
     text = F.transform(F.array(parts), layout)[0]
-    return F.when(v == 0, F.lit("0")).when(v < 0, F.concat(F.lit("-"), text)).otherwise(text)
+    signed = F.when(v == 0, F.lit("0")).when(v < 0, F.concat(F.lit("-"), text)).otherwise(text)
+    return F.when(is_finite(v), signed)
 
 
 def condition_key(temperature, composition, basis) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.transport import KELVIN, channel_coefficients, coverage, crossing, quoted, wall_perimeters
-from ..session import durable
+from ..session import checked_broadcast, durable
 from .scalars import one_row
 from .resample import observed_windows, window_fractions
 
@@ -73,7 +73,7 @@ def interpolate(points: DataFrame, cal: DataFrame, t: str, g: str, columns: list
         "g0": F.element_at("_gs", F.col("_j")), "g1": F.element_at("_gs", F.col("_j") + 1),
         "in_domain": F.coalesce(inside, F.lit(False))}).drop("_ts", "_gs", "_i", "_j")
     quads = _cell_corners(cells, columns)
-    j = p.join(quads, ["t0", "g0", "t1", "g1"], "left")
+    j = p.join(checked_broadcast(quads), ["t0", "g0", "t1", "g1"], "left")
     inv = lambda c: 1 / (c + KELVIN)
     wt = (x - F.col("t0")) / (F.col("t1") - F.col("t0"))
     wk = (inv(x) - inv(F.col("t0"))) / (inv(F.col("t1")) - inv(F.col("t0")))

@@ -12,18 +12,22 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.rules import same_field
+from ..session import checked_broadcast
 
 
-def exactly_one(facts: DataFrame, dim: DataFrame, on: list[str], keep: list[str]) -> DataFrame:
+def exactly_one(facts: DataFrame, dim: DataFrame, on: list[str], keep: list[str], derived: bool = False) -> DataFrame:
     """Join each fact row to its only dimension row.
 
+    ``derived`` says the dimension is a small result of a large table: it is
+    counted and broadcast if the count allows.
+
     Adds ``match_status``: ok, missing, ambiguous or no_key.  The dimension is
     reduced to one row per key before the join, so an ambiguous key cannot
     multiply fact rows.
     """
     one = dim.groupBy(*on).agg(
         F.count(F.lit(1)).alias("_matches"), *[F.min(c).alias(c) for c in keep])
-    joined = facts.join(one, on, "left")
+    joined = facts.join(checked_broadcast(one) if derived else one, on, "left")
     no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])
     status = (F.when(no_key, "no_key").when(F.col("_matches").isNull(), "missing")
               .when(F.col("_matches") > 1, "ambiguous").otherwise("ok"))

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
+from ..session import checked_broadcast, durable
 from .folds import group_kfold, leave_one_group_out
 from .scalars import one_row
 
@@ -97,9 +98,10 @@ def nested_ridge(df: DataFrame, group: str, features: list[str], y: str, alphas:
     """
     d = len(features)
     k = 2 * d + d * (d + 1) // 2 + 2
-    moments = condition_moments(df, group, features, y)
+    # Both tables are condition-sized and read several times: computed once.
+    moments = durable(condition_moments(df, group, features, y))
     folds = nested_folds(moments.select(group, "n"), group, inner)
-    members = folds.join(moments.select(group, "m"), group)
+    members = durable(folds.join(moments.select(group, "m"), group))
     per_fold = _sum_arrays(members, ["outer", "fold"], ["m"], k)
     whole = _sum_arrays(members, ["outer"], ["m"], k)
     rest = whole.select("outer", F.col("rows").alias("_rows"), F.col("groups").alias("_groups"), F.col("m").alias("_m"))
@@ -133,7 +135,7 @@ def linear_predictions(df: DataFrame, models: DataFrame, group: str, features: l
     p = F.get("coef", 0) + centre[f"c{len(features)}"]
     for i, c in enumerate(features):
         p = p + F.get("coef", i + 1) * (F.col(c) - centre[f"c{i}"])
-    m = models.select(F.col("outer").alias(group), "alpha", "coef")
+    m = checked_broadcast(durable(models.select(F.col("outer").alias(group), "alpha", "coef")))
     return df.join(m, group).withColumn(out, p).drop("coef")
 
 
@@ -389,9 +391,9 @@ def final_ridge(df: DataFrame, group: str, features: list[str], y: str, alphas:
     candidate, coefficients and the centre they refer to."""
     d = len(features)
     k = 2 * d + d * (d + 1) // 2 + 2
-    moments = condition_moments(df, group, features, y)
+    moments = durable(condition_moments(df, group, features, y))
     folds = group_kfold(moments.select(group, "n"), group, inner)
-    members = folds.join(moments.select(group, "m"), group)
+    members = durable(folds.join(moments.select(group, "m"), group))
     whole = _sum_arrays(moments, [], ["m"], k)
     per_fold = _sum_arrays(members, ["fold"], ["m"], k)
     t = one_row(whole)

@@ -104,15 +104,17 @@ def interval_log_mean_rows(df: DataFrame, by: list[str], lo: str, hi: str, lengt
 def interval_gaps(df: DataFrame, key: str, lo: str, hi: str, tolerance: float = 1e-8) -> DataFrame:
     """Adjacent distinct intervals of one region that do not abut.
 
-    The window runs inside a region, whose intervals are the tiles of one image.
+    Neighbours meet by (region, rank), which spreads even a region that holds
+    most of the rows; no window has to see a whole region.
     """
-    from pyspark.sql import Window as W
-    unique = df.select(key, lo, hi).distinct()
-    nxt = F.lead(lo).over(W.partitionBy(key).orderBy(lo, hi))
-    gaps = unique.withColumn("_next", nxt).withColumn("gap", F.col("_next") - F.col(hi))
+    from .ranks import ordered_rank
+    ranked = ordered_rank(df.select(key, lo, hi).distinct(), [lo, hi], [key], "_rank")
+    after = ranked.select(F.col(key).alias("_key"), (F.col("_rank") - 1).alias("_at"), F.col(lo).alias("_next"))
+    near = (F.col(key) == F.col("_key")) & (F.col("_rank") == F.col("_at"))
+    gaps = ranked.join(after, near, "left").withColumn("gap", F.abs(F.col("_next") - F.col(hi)))
     return gaps.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n_intervals"), F.count_if(F.abs("gap") > tolerance).alias("n_gaps"),
-        F.max(F.abs("gap")).alias("max_gap"))
+        F.count(F.lit(1)).alias("n_intervals"), F.count_if(F.col("gap") > tolerance).alias("n_gaps"),
+        F.max("gap").alias("max_gap"))
 
 
 def theory_scores(pairs: DataFrame, calibration: DataFrame, on: list[str]) -> DataFrame:
@@ -122,10 +124,12 @@ def theory_scores(pairs: DataFrame, calibration: DataFrame, on: list[str]) -> Da
     (um) and ``prediction_role``; ``calibration``: ks_glass, ks_pdms, D, k_end.
     Final re-predictions carry a role that is never scored.
     """
+    from ..session import durable
     from .joins import exactly_one
 
     scored = pairs.where((F.col("status") == "PASS") & F.col("prediction_role").isin(*SCORABLE_ROLES))
-    t = exactly_one(scored, calibration, on, ["ks_glass", "ks_pdms", "D", "k_end"]).where("match_status = 'ok'")
+    calibration = durable(calibration.select(*on, "ks_glass", "ks_pdms", "D", "k_end"))
+    t = exactly_one(scored, calibration, on, ["ks_glass", "ks_pdms", "D", "k_end"], derived=True).where("match_status = 'ok'")
     w, h, length = "w_um * 1e-6D", "h_um * 1e-6D", "L_um * 1e-6D"
     walls = wall_perimeters(w, h, "faces", ["left_material", "right_material", "floor_material", "ceiling_material"])
     shape = channel_coefficients(w, h, length, walls, {"glass": "ks_glass", "pdms": "ks_pdms"}, "D", "k_end")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(cpus: str = "8", partitions: int = 8) -> SparkSession:
@@ -43,5 +43,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def checked_broadcast(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """Broadcast hint for a side that was counted and is small; otherwise the
+    side as it is, for a shuffle join whose hot keys Spark splits.
+
+    Meant for group-sized results of a large table: the planner only knows the
+    table's size and would shuffle every row to meet a few groups.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
