@@ -327,8 +327,10 @@ def forest_nested(df: DataFrame, group: str, features: list[str], y: str, leaves
     The loop runs over folds (one per condition); rows never leave Spark.
     """
     from .metrics import balanced_rmse, condition_weights
-    outer = [r[group] for r in leave_one_group_out(df, group).orderBy("outer_fold").collect()]
-    folds = nested_folds(df.groupBy(group).agg(F.count(F.lit(1)).alias("n")), group, inner)
+    df = durable(df)  # read once per fit
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    outer = sorted(r[group] for r in sizes.collect())  # one row per condition
+    folds = durable(nested_folds(sizes, group, inner))
     rows = None
     for held in outer:
         assign = folds.where(F.col("outer") == held).select(group, "fold")
@@ -342,7 +344,8 @@ def forest_nested(df: DataFrame, group: str, features: list[str], y: str, leaves
                 fit = fit_forest(condition_weights(kept.where(F.col("fold") != fold), group), features, y, seed, trees, leaf, "weight", depth)
                 part = forest_predict(fit, kept.where(F.col("fold") == fold), features)
                 oof = part if oof is None else oof.unionByName(part)
-            scores.append((balanced_rmse(oof, y, "pred", group).first()["condition_balanced_rmse"], i, leaf))
+            score = balanced_rmse(oof, y, "pred", group).first()["condition_balanced_rmse"]
+            scores.append((score, i, leaf))
         _, _, leaf = min(scores)
         model = fit_forest(condition_weights(train, group), features, y, seed, trees, leaf, "weight", depth)
         part = forest_predict(model, df.where(F.col(group) == held), features).withColumn("min_leaf", F.lit(leaf))
