@@ -108,7 +108,10 @@ def _tokens(c: Column) -> Column:
 
 def json_cells_equal(a: Column, b: Column, rtol: float = RTOL, atol: float = ATOL) -> Column:
     """Equal structure with every number within tolerance; key order is ignored."""
-    x, y = _tokens(a), _tokens(b)
+    return _tokens_equal(_tokens(a), _tokens(b), rtol, atol)
+
+
+def _tokens_equal(x: Column, y: Column, rtol: float, atol: float) -> Column:
     number = r"^-?\d"
 
     def same(s: Column, t: Column) -> Column:
@@ -123,10 +126,13 @@ def json_cells_equal(a: Column, b: Column, rtol: float = RTOL, atol: float = ATO
 
 def json_cell_diff(df: DataFrame, before: str, after: str) -> DataFrame:
     """Counts of JSON cells by outcome of the comparison."""
-    equal = json_cells_equal(F.col(before), F.col(after))
-    status = (F.when(F.col(before) == F.col(after), "identical_text").when(equal.isNull(), "invalid_json")
-              .when(equal, "equal_after_normalisation").otherwise("different"))
-    return df.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    same = F.col(before) == F.col(after)
+    # Parsed once per cell, and only where the text differs.
+    t = df.select(same.alias("_same"), F.when(~same, _tokens(F.col(before))).alias("_x"), F.when(~same, _tokens(F.col(after))).alias("_y"))
+    t = t.withColumn("_equal", _tokens_equal(F.col("_x"), F.col("_y"), RTOL, ATOL))
+    status = (F.when(F.col("_same"), "identical_text").when(F.col("_equal").isNull(), "invalid_json")
+              .when(F.col("_equal"), "equal_after_normalisation").otherwise("different"))
+    return t.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def pixel_diff(before: DataFrame, after: DataFrame, image: str) -> DataFrame:

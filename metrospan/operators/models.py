@@ -246,6 +246,12 @@ def _features(x, f, w, b):
 
 def _gram_sums(df, group, features, y, fits, w, b, coef, epsilon, side) -> dict[int, np.ndarray]:
     size = w.shape[1]
+    every = fits
+    weighted = epsilon is not None and bool(coef)
+    # Plain sums do not depend on alpha: one fit per scaling and gamma is enough.
+    shared = {f["id"]: min(g["id"] for g in fits if (g["outer"], g["fold"], g["gamma"]) == (f["outer"], f["fold"], f["gamma"])) for f in fits}
+    if not weighted:
+        fits = [f for f in fits if shared[f["id"]] == f["id"]]
 
     def partial(batches):
         acc = {f["id"]: np.zeros(size * size + size) for f in fits}
@@ -257,7 +263,7 @@ def _gram_sums(df, group, features, y, fits, w, b, coef, epsilon, side) -> dict[
                     continue
                 z, target = _features(x[rows], f, w, b), (t[rows] - f["my"]) / f["sy"]
                 weight = np.array([1.0 / f["n"][k] for k in g[rows]])
-                if epsilon is not None and f["id"] in coef:
+                if weighted:
                     r = target - z @ coef[f["id"]]
                     excess = np.abs(r) - epsilon
                     weight = weight * np.where(excess > 0, 1.0 / np.maximum(2 * excess, 1e-3), 0.0)
@@ -271,7 +277,8 @@ def _gram_sums(df, group, features, y, fits, w, b, coef, epsilon, side) -> dict[
     summed = (parts.select("id", F.posexplode("s").alias("i", "v")).groupBy("id", "i").agg(F.sum("v").alias("v"))
               .groupBy("id").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("s")))
     # Model-sized results: size^2 numbers per fit.
-    return {r["id"]: np.array([e["v"] for e in r["s"]]) for r in summed.toLocalIterator()}
+    sums = {r["id"]: np.array([e["v"] for e in r["s"]]) for r in summed.toLocalIterator()}
+    return {f["id"]: sums[f["id"] if weighted else shared[f["id"]]] for f in every}
 
 
 def _solve_all(sums, fits, size) -> dict[int, np.ndarray]:

@@ -285,9 +285,9 @@ def depth_limits(spark, sf):
 WITH h AS (SELECT l_suppkey, l_quantity AS x, count(*) AS n FROM lineitem GROUP BY 1, 2),
 c AS (SELECT l_suppkey, x, 1 - sum(n) OVER (PARTITION BY l_suppkey ORDER BY x) / sum(n) OVER (PARTITION BY l_suppkey) AS y FROM h),
 l AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py, row_number() OVER w AS r FROM c WINDOW w AS (PARTITION BY l_suppkey ORDER BY x)),
-f AS (SELECT l_suppkey, max(y) FILTER (r = 1) AS y0, min(x) FILTER (y <= 0.98 AND py > 0.98) AS xh FROM l GROUP BY 1)
+f AS (SELECT l_suppkey, max(y) FILTER (r = 1) AS y0, max(x) FILTER (r = 1) AS x0, min(x) FILTER (y <= 0.98 AND py > 0.98) AS xh FROM l GROUP BY 1)
 SELECT f.l_suppkey, CASE WHEN y0 < 0.98 THEN 'below_target_at_lower_bound' WHEN y0 = 0.98 THEN 'root' WHEN xh IS NULL THEN 'no_boundary_within_domain' ELSE 'root' END AS status,
-  {sr('CASE WHEN y0 > 0.98 THEN px + (py - 0.98) / (py - y) * (x - px) END', 7)} AS value FROM f LEFT JOIN l ON l.l_suppkey = f.l_suppkey AND l.x = f.xh""")
+  {sr('CASE WHEN y0 = 0.98 THEN x0 WHEN y0 > 0.98 THEN px + (py - 0.98) / (py - y) * (x - px) END', 7)} AS value FROM f LEFT JOIN l ON l.l_suppkey = f.l_suppkey AND l.x = f.xh""")
 def threshold_crossing(spark, sf):
     from pyspark.sql import Window as W
     h = table(spark, sf, "lineitem").groupBy("l_suppkey", F.col("l_quantity").alias("x")).agg(F.count(F.lit(1)).alias("n"))

@@ -313,7 +313,7 @@ def _oof_summary(oof, by):
 
 @query("fourier_ridge_cv")
 def fourier_ridge_cv(spark, sf):
-    _, oof = M.fourier_nested(study_rows(spark, sf), "cond", ["l_quantity", "l_discount", "l_tax"], "y", size=24)
+    _, oof = M.fourier_nested(study_rows(spark, sf), "cond", ["l_quantity", "l_discount", "l_tax"], "y", size=16)
     return _oof_summary(oof, ["cond"])
 
 
@@ -333,7 +333,7 @@ def _priced_orders(spark, sf):
 
 @query("forest_cv")
 def forest_cv(spark, sf):
-    oof = M.forest_nested(_priced_orders(spark, sf), "cond", ["price", "cust", "month"], "y", inner=2, trees=10, depth=4)
+    oof = M.forest_nested(_priced_orders(spark, sf), "cond", ["price", "cust", "month"], "y", inner=2, trees=6, depth=3)
     return _oof_summary(oof, ["cond", "min_leaf"])
 
 
