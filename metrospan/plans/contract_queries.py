@@ -12,7 +12,7 @@ from ..operators import models as M
 from ..operators.provenance import changed_files, file_fingerprints
 from ..sources.sinks import scratch_path, write_once
 from ..sources.tables import contracted, json_fields, read_strict_csv
-from .registry import longs, query, rnd, sr, table
+from .registry import query, rnd, sr, table
 
 
 @query("scan_contract", """

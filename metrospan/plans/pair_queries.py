@@ -10,7 +10,7 @@ from ..functions.errors import ratio_sd
 from ..functions.transport import SlitParameters, da_at_coverage, profile, slit_coefficients
 from ..operators import grid as G
 from ..operators import pairs as P
-from .growth import CALIBRATION_SQL, COND, STUDY, calibration, growth, sql_mean_u, sql_u
+from .growth import CALIBRATION_SQL, COND, STUDY, calibration, sql_mean_u, sql_u
 from .registry import query, rnd, rounded, sr, table
 
 STUDY2 = replace(STUDY, faces=2)

@@ -33,10 +33,6 @@ def rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:
     return df.withColumns({c: rnd(c, n) for c, n in digits.items()})
 
 
-def longs(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({c: F.col(c).cast("long") for c in names})
-
-
 def sr(expr: str, n: int = 6) -> str:
     """SQL text of the same rounding."""
     return f"(round({expr}, {n}) + 0.0)"

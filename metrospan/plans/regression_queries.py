@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as X
 from ..operators import regression as R
-from .growth import (CALIBRATION_SQL, COND, GROWTH_SQL, LINES_SQL, calibration, growth, growth_lines, sql_t975,
+from .growth import (CALIBRATION_SQL, COND, LINES_SQL, calibration, growth, growth_lines, sql_t975,
                      sql_t_two_sided)
 from .registry import query, rnd, rounded, sr, table
 

@@ -10,9 +10,9 @@ from ..operators import models as M
 from ..operators import resample as R
 from ..operators.grid import explode_levels
 from ..operators.metrics import balanced_rmse, regression_metrics
-from .growth import STUDY, growth, sql_normal, sql_u, sql_uniform
+from .growth import STUDY, sql_normal, sql_u, sql_uniform
 from .regression_queries import scored
-from .registry import longs, query, rnd, rounded, sr, table
+from .registry import query, rounded, sr, table
 
 
 @query("logo_folds", """
