@@ -2,28 +2,23 @@
 
 from __future__ import annotations
 
-import sys
-
 from pyspark.sql import Column, functions as F
 
 from .rules import col, is_finite
 
 
 def ratio_sd(top, bottom, sd_top, sd_bottom, rho=0.0) -> Column:
-    """First-order SD of bottom/top; NULL when inputs or the variance are invalid.
+    """First-order SD of bottom/top; NULL for an SD or correlation out of range.
 
-    For a positive correlation the variance is written as (u-v)^2 + 2(1-rho)uv,
-    which cannot cancel.
+    With the two relative parts u and v the variance is u^2 - 2 rho u v + v^2,
+    the sum of squares (u - rho v)^2 + (1 - rho^2) v^2: it cannot turn negative.
     """
-    top, bottom, sd_top, sd_bottom = (col(c) for c in (top, bottom, sd_top, sd_bottom))
     rho = F.lit(float(rho)) if isinstance(rho, (int, float)) else col(rho)
-    u, v = sd_bottom / top, bottom * sd_top / (top * top)
-    scale = u * u + v * v
-    variance = F.when(rho > 0, F.pow(u - v, 2) + 2 * (1 - rho) * u * v).otherwise(scale - 2 * rho * u * v)
-    valid = (is_finite(sd_top) & is_finite(sd_bottom) & (sd_top >= 0) & (sd_bottom >= 0)
-             & is_finite(rho) & (F.abs(rho) <= 1) & is_finite(variance)
-             & (variance >= -32 * sys.float_info.epsilon * scale))
-    return F.when(valid, F.sqrt(F.greatest(F.lit(0.0), variance)))
+    ratio = col(bottom) / col(top)
+    u, v = col(sd_bottom) / col(top), ratio * col(sd_top) / col(top)
+    spread = F.sqrt(F.pow(u - rho * v, 2) + (1 - rho * rho) * v * v)
+    in_range = (F.least(col(sd_top), col(sd_bottom)) >= 0) & rho.between(-1.0, 1.0)
+    return F.when(in_range & is_finite(sd_top) & is_finite(sd_bottom) & is_finite(spread), spread)
 
 
 def signed_percent_error(predicted, actual) -> Column:

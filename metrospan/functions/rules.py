@@ -23,9 +23,14 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def number(c) -> Column:
+    """The value as a number; NULL for text that is none."""
+    return col(c).try_cast("double")
+
+
 def is_finite(c) -> Column:
     """True only for a number that is present, not NaN and not infinite."""
-    v = col(c).cast("double")
+    v = number(c)
     return F.coalesce(~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))), F.lit(False))
 
 
@@ -36,7 +41,7 @@ def is_blank(c) -> Column:
 
 
 def is_integer_valued(c) -> Column:
-    v = col(c).cast("double")
+    v = number(c)
     return is_finite(v) & (v == F.floor(v))
 
 
@@ -51,10 +56,6 @@ def is_decimal_text(c) -> Column:
     return F.coalesce(text.rlike(DECIMAL_TEXT) & is_finite(value) & (value > 0), F.lit(False))
 
 
-def is_true_text(c) -> Column:
-    return F.lower(F.trim(col(c).cast("string"))).isin("true", "1")
-
-
 def is_false_text(c) -> Column:
     return F.lower(F.trim(col(c).cast("string"))).isin("false", "0")
 
@@ -79,7 +80,7 @@ def same_field(a, b) -> Column:
 
 def general_number(c) -> Column:
     """Six significant digits, no trailing zeros, exponent form outside 1e-4..1e6."""
-    v = col(c).cast("double")
+    v = number(c)
 
     def layout(parts: Column) -> Column:
         """From (mantissa d.ddddd, power) to the shortest text."""
@@ -118,14 +119,14 @@ def parse_capture_name(c) -> Column:
         return F.when(c.rlike(pattern), parts)
 
     t, f, r = groups(TRENCH_NAME, 4), groups(FLAT_NAME, 4), groups(FRAME_NAME, 2)
-    number = t[0].cast("long").cast("string")
-    run = F.when(F.length(number) >= 2, number).otherwise(F.lpad(number, 2, "0"))
+    digits = t[0].try_cast("long").cast("string")
+    run = F.when(F.length(digits) >= 2, digits).otherwise(F.lpad(digits, 2, "0"))
     known = t.isNotNull() | f.isNotNull()
     return F.struct(
         F.when(t.isNotNull(), "trench").when(f.isNotNull(), "flat").otherwise(F.upper(r[0])).alias("kind"),
         F.concat(F.lit("R"), run).alias("run_id"),
-        t[1].cast("int").alias("chip"),
-        t[2].cast("int").alias("slot"),
+        t[1].try_cast("int").alias("chip"),
+        t[2].try_cast("int").alias("slot"),
         F.lower(t[3]).alias("pos"),
         f[0].try_cast("double").alias("T_C"),
         f[1].try_cast("double").alias("gly_pct"),
@@ -140,10 +141,10 @@ def acquisition_faults(prefix: str = "") -> dict[str, Column]:
     f = {name: F.col(prefix + name) for name in ACQUISITION_FIELDS}
     faults = {f"missing_{name}": is_blank(c) for name, c in f.items()}
     for name in ("exposure_ms", "gain", "magnification"):
-        faults[f"invalid_{name}"] = ~is_finite(f[name]) | (f[name].cast("double") <= 0)
+        faults[f"invalid_{name}"] = ~is_finite(f[name]) | (number(f[name]) <= 0)
     faults["auto_exposure_on"] = ~is_false_text(f["auto_exposure"])
-    faults["gamma_not_one"] = f["gamma"].cast("double") != 1.0
+    faults["gamma_not_one"] = number(f["gamma"]) != 1.0
     faults["white_balance_not_fixed"] = f["white_balance"] != "fixed"
-    faults["bit_depth"] = ~f["bit_depth"].cast("double").isin(*[float(b) for b in BIT_DEPTHS])
+    faults["bit_depth"] = ~number(f["bit_depth"]).isin(*[float(b) for b in BIT_DEPTHS])
     faults["color_channel"] = ~f["color_channel"].isin(*COLOR_CHANNELS)
     return {k: F.coalesce(v, F.lit(True)) for k, v in faults.items()}

@@ -80,13 +80,11 @@ def constant_rule(df: DataFrame, column: str) -> DataFrame:
         F.max(F.col(column).cast("string")).alias("example"))
 
 
-def closeness_rule(df: DataFrame, column: str, reference: float | None, rtol: float) -> DataFrame:
-    """All values within ``rtol`` of a reference; NULL reference means the
-    smallest value of the column, which is the same table-wide value for all."""
-    c = F.col(column)
-    ref = F.lit(reference) if reference is not None else one_row(df.agg(F.min(c).alias("ref")))["ref"]
-    df = df.select(c, ref.alias("_ref"))
-    ref = F.col("_ref")
+def closeness_rule(df: DataFrame, column: str, reference: float | Column, rtol: float) -> DataFrame:
+    """All values within ``rtol`` of a reference: the model's own scale, or the
+    first value of the table by a key, which the caller looks up."""
+    c, given = F.col(column), reference if isinstance(reference, Column) else F.lit(float(reference))
+    df, ref = df.select(c, given.alias("_ref")), F.col("_ref")
     off = F.abs(c - ref)
     return df.agg(
         F.lit("closeness").alias("rule"), F.lit(column).alias("column"),
@@ -100,18 +98,18 @@ def combine(*results: DataFrame) -> DataFrame:
 
 def raise_on_violation(result: DataFrame) -> None:
     """One small action; the rule table has one row per declared rule."""
-    bad = result.where("n_bad > 0").orderBy("rule", "column").limit(20).collect()
+    bad = result.where("n_bad > 0").orderBy("rule", "column").collect()
     if bad:
-        raise ContractViolation("; ".join(
+        raise ContractViolation(f"{len(bad)} rules violated: " + "; ".join(
             f"{r['rule']}[{r['column']}]: {r['n_bad']} bad, e.g. {r['example']}" for r in bad))
 
 
-def split_included(df: DataFrame, include: str, reason: str) -> tuple[DataFrame, DataFrame, Column]:
-    """Included rows, excluded rows, and the fault predicate of the split."""
+def inclusion(include: str, reason: str) -> Column:
+    """included, excluded, include_text (neither yes nor no) or exclusion_reason
+    (excluded without a reason)."""
     flag = F.lower(F.col(include).cast("string"))
-    yes, no = flag.isin("true", "1"), flag.isin("false", "0")
-    fault = ~F.coalesce(yes | no, F.lit(False)) | (no & is_blank(reason))
-    return df.where(yes), df.where(no), fault
+    return (F.when(flag.isin("true", "1"), "included").when(~F.coalesce(flag.isin("false", "0"), F.lit(False)), "include_text")
+            .when(is_blank(reason), "exclusion_reason").otherwise("excluded"))
 
 
 def bounds_refusal(df: DataFrame, bounds: dict[str, tuple[float, float]], key: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.transport import KELVIN, channel_coefficients, coverage, crossing, quoted, wall_perimeters
-from ..session import checked_broadcast, durable
+from ..session import durable
 from .scalars import one_row
 from .resample import observed_windows, window_fractions
 
@@ -51,10 +51,13 @@ def interpolate(points: DataFrame, cal: DataFrame, t: str, g: str, columns: list
     """Bilinear interpolation of ln(value) inside the calibration cell of a point.
 
     Rates (``ks_*``) are linear in inverse kelvin, other values in celsius; all
-    are linear in composition.  Points outside the grid keep NULL values and
-    ``in_domain`` false: nothing is extrapolated.  The calibration becomes one
-    sorted level array and one value map, so a point finds its cell by itself
-    without a range join; the calibration is one row per (T, composition).
+    are linear in composition.  ``grid_status`` is ok, outside_domain (nothing
+    is extrapolated), missing_corner, negative_value or zero_beside_positive
+    (the logarithm between them is not defined); only ok points have values,
+    and a cell whose corners are all zero has the value zero.  The calibration
+    becomes one sorted level array, so a point finds its cell by itself without
+    a range join; the four corners are joined by their exact levels.  The
+    calibration is one row per (T, composition).
     """
     # The calibration is used for its levels and its corners: fit it once.
     cells = durable(cal.select(F.col(t).alias("_t"), F.col(g).alias("_g"), *columns))
@@ -72,30 +75,42 @@ def interpolate(points: DataFrame, cal: DataFrame, t: str, g: str, columns: list
         "t0": F.element_at("_ts", F.col("_i")), "t1": F.element_at("_ts", F.col("_i") + 1),
         "g0": F.element_at("_gs", F.col("_j")), "g1": F.element_at("_gs", F.col("_j") + 1),
         "in_domain": F.coalesce(inside, F.lit(False))}).drop("_ts", "_gs", "_i", "_j")
-    quads = _cell_corners(cells, columns)
-    j = p.join(checked_broadcast(quads), ["t0", "g0", "t1", "g1"], "left")
+    j = p.join(_cell_corners(cells, columns), ["t0", "g0", "t1", "g1"], "left")
     inv = lambda c: 1 / (c + KELVIN)
     wt = (x - F.col("t0")) / (F.col("t1") - F.col("t0"))
     wk = (inv(x) - inv(F.col("t0"))) / (inv(F.col("t1")) - inv(F.col("t0")))
     wg = (y - F.col("g0")) / (F.col("g1") - F.col("g0"))
-    out = {}
+    out, absent, negative, mixed = {}, F.lit(False), F.lit(False), F.lit(False)
     for c in columns:
         w = wk if c.startswith("ks_") else wt
         lo = F.ln(F.col(f"{c}_00")) * (1 - wg) + F.ln(F.col(f"{c}_01")) * wg
         hi = F.ln(F.col(f"{c}_10")) * (1 - wg) + F.ln(F.col(f"{c}_11")) * wg
         corners = [F.col(f"{c}_{k}") for k in ("00", "01", "10", "11")]
-        value = F.when(F.greatest(*corners) == 0, 0.0).otherwise(F.exp(lo * (1 - w) + hi * w))
-        out[c] = F.when(F.col("in_domain"), value)
-    return j.select(*points.columns, "in_domain", *[v.alias(c) for c, v in out.items()])
+        out[c] = F.when(F.greatest(*corners) == 0, 0.0).otherwise(F.exp(lo * (1 - w) + hi * w))
+        absent = absent | F.array_contains(F.transform(F.array(*corners), lambda v: v.isNull()), True)
+        negative = negative | (F.least(*corners) < 0)
+        mixed = mixed | ((F.least(*corners) == 0) & (F.greatest(*corners) > 0))
+    status = (F.when(~F.col("in_domain"), "outside_domain").when(absent, "missing_corner").when(negative, "negative_value")
+              .when(mixed, "zero_beside_positive").otherwise("ok"))
+    j = j.withColumn("grid_status", status)
+    return j.select(*points.columns, "in_domain", "grid_status", *[F.when(F.col("grid_status") == "ok", v).alias(c) for c, v in out.items()])
 
 
 def _cell_corners(cells: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per calibration cell with the values of its four corners."""
-    a = cells.select("_t", "_g", *[F.col(c).alias(f"{c}_00") for c in columns])
-    over_g, over_t = W.partitionBy("_t").orderBy("_g"), W.partitionBy("_g").orderBy("_t")
-    a = a.withColumns({"g1": F.lead("_g").over(over_g), **{f"{c}_01": F.lead(f"{c}_00").over(over_g) for c in columns}})
-    a = a.withColumns({"t1": F.lead("_t").over(over_t), **{f"{c}_1{k}": F.lead(f"{c}_0{k}").over(over_t) for c in columns for k in (0, 1)}})
-    return a.where("g1 is not null and t1 is not null").withColumnsRenamed({"_t": "t0", "_g": "g0"})
+    """One row per pair of neighbouring levels with the values of its corners;
+    an absent corner is NULL."""
+    def neighbours(c: Column) -> Column:
+        last = F.greatest(F.lit(0), F.size(c) - 1)
+        return F.zip_with(F.slice(c, F.lit(1), last), F.slice(c, F.lit(2), last), lambda a, b: F.struct(a.alias("lo"), b.alias("hi")))
+
+    # The pairs of levels of the calibration's own axes: as many as it has cells.
+    axes = cells.agg(F.sort_array(F.collect_set("_t")).alias("_a"), F.sort_array(F.collect_set("_g")).alias("_b"))
+    frame = axes.withColumn("_t", F.explode(neighbours(F.col("_a")))).withColumn("_g", F.explode(neighbours(F.col("_b"))))
+    frame = frame.select(F.col("_t.lo").alias("t0"), F.col("_t.hi").alias("t1"), F.col("_g.lo").alias("g0"), F.col("_g.hi").alias("g1"))
+    for name, t, g in (("00", "t0", "g0"), ("01", "t0", "g1"), ("10", "t1", "g0"), ("11", "t1", "g1")):
+        corner = cells.select(F.col("_t").alias(t), F.col("_g").alias(g), *[F.col(c).alias(f"{c}_{name}") for c in columns])
+        frame = frame.join(corner, [t, g], "left")
+    return frame
 
 
 def with_properties(df: DataFrame, cfg) -> DataFrame:
@@ -130,7 +145,8 @@ def aspect_limit(cfg, target: float | None = None) -> Column:
 
 
 def process_grid(cal: DataFrame, cfg, n_t: int = 16, n_g: int = 21, ar: float = 49.0) -> DataFrame:
-    """Coverage and depth limit on an even grid over the calibrated domain."""
+    """Coverage and depth limit on an even grid over the calibrated domain.  A
+    point whose calibration cell is incomplete keeps its row; its status says why."""
     cal = durable(cal)  # one row per condition, used for the domain and the cells
     domain = cal.agg(F.min("T_C").alias("_t0"), F.max("T_C").alias("_t1"),
                      F.min("gly_pct").alias("_g0"), F.max("gly_pct").alias("_g1"))
@@ -145,8 +161,9 @@ def process_grid(cal: DataFrame, cfg, n_t: int = 16, n_g: int = 21, ar: float =
     g = unit_depth(with_properties(g, cfg), cfg)
     g = g.withColumns({"SC_AR49": F.expr(aspect_curve(cfg)(f"{ar!r}D")), "Da_AR49": F.pow(F.col("phi1") * ar, 2),
                        "_l": aspect_limit(cfg)})
-    return g.withColumns({"AR_max": F.col("_l.value"), "AR_max_status": F.col("_l.status")}).drop(
-        "_l", "phi1", "bi1", "in_domain")
+    ok = F.col("grid_status") == "ok"
+    return g.withColumns({"AR_max": F.when(ok, F.col("_l.value")), "AR_max_status": F.when(ok, F.col("_l.status")).otherwise(F.col("grid_status"))}).drop(
+        "_l", "phi1", "bi1", "in_domain", "grid_status")
 
 
 def grid_summary(grid: DataFrame, target: float) -> DataFrame:

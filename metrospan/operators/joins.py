@@ -12,14 +12,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.rules import same_field
-from ..session import checked_broadcast
+from ..session import stored
 
 
 def exactly_one(facts: DataFrame, dim: DataFrame, on: list[str], keep: list[str], derived: bool = False) -> DataFrame:
     """Join each fact row to its only dimension row.
 
-    ``derived`` says the dimension is a small result of a large table: it is
-    counted and broadcast if the count allows.
+    ``derived`` says the dimension is a result of a large table: it is written
+    first, so that the planner knows its size.
 
     Adds ``match_status``: ok, missing, ambiguous or no_key.  The dimension is
     reduced to one row per key before the join, so an ambiguous key cannot
@@ -27,7 +27,7 @@ def exactly_one(facts: DataFrame, dim: DataFrame, on: list[str], keep: list[str]
     """
     one = dim.groupBy(*on).agg(
         F.count(F.lit(1)).alias("_matches"), *[F.min(c).alias(c) for c in keep])
-    joined = facts.join(checked_broadcast(one) if derived else one, on, "left")
+    joined = facts.join(stored(one) if derived else one, on, "left")
     no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])
     status = (F.when(no_key, "no_key").when(F.col("_matches").isNull(), "missing")
               .when(F.col("_matches") > 1, "ambiguous").otherwise("ok"))
@@ -35,28 +35,27 @@ def exactly_one(facts: DataFrame, dim: DataFrame, on: list[str], keep: list[str]
     return joined.select(*facts.columns, *clean, status.alias("match_status"))
 
 
-def status_counts(df: DataFrame, status: str = "match_status") -> DataFrame:
-    return df.groupBy(status).agg(F.count(F.lit(1)).alias("n"))
-
-
 def role_lookup(facts: DataFrame, registry: DataFrame, roles: dict[str, str], key: str, kind: str, fields: list[str],
                 carry: list[str] = ()) -> DataFrame:
     """Look the same registry up once per role and check kind and fields.
 
     ``roles`` maps a fact key column to the kind its entry must have.  Adds
-    ``<fact key>_status`` (ok, missing, wrong_kind or field_mismatch) and
-    ``<fact key>_<column>`` for every carried registry column.
+    ``<fact key>_status`` (ok, missing, ambiguous, wrong_kind or
+    field_mismatch) and ``<fact key>_<column>`` for every carried registry
+    column.  A repeated registry key is reduced to one row and named
+    ambiguous, so that it cannot multiply fact rows.
     """
     out = facts
+    one = registry.groupBy(key).agg(F.count(F.lit(1)).alias("_matches"), *[F.min(c).alias(c) for c in dict.fromkeys([kind, *fields, *carry]) if c != key])
     for fact_key, expected in roles.items():
-        side = registry.select(
-            F.col(key).alias(fact_key), F.col(kind).alias("_kind"),
+        side = one.select(
+            F.col(key).alias(fact_key), F.col(kind).alias("_kind"), "_matches",
             *[F.col(f).alias(f"_{f}") for f in fields], *[F.col(c).alias(f"{fact_key}_{c}") for c in carry])
         agree = reduce(lambda a, b: a & b, [same_field(f, f"_{f}") for f in fields], F.lit(True))
-        status = (F.when(F.col("_kind").isNull(), "missing").when(F.col("_kind") != expected, "wrong_kind")
-                  .when(~agree, "field_mismatch").otherwise("ok"))
+        status = (F.when(F.col("_matches").isNull(), "missing").when(F.col("_matches") > 1, "ambiguous")
+                  .when(~F.col("_kind").eqNullSafe(F.lit(expected)), "wrong_kind").when(~agree, "field_mismatch").otherwise("ok"))
         out = (out.join(side, fact_key, "left").withColumn(f"{fact_key}_status", status)
-               .drop("_kind", *[f"_{f}" for f in fields]))
+               .drop("_kind", "_matches", *[f"_{f}" for f in fields]))
     return out
 
 
@@ -121,10 +120,18 @@ def leakage_audit(df: DataFrame, keys: list[str], role: str) -> DataFrame:
         F.min(F.when(leak, F.col("value"))).alias("example"))
 
 
-def one_to_one(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Inner join of the keys that are unique on both sides."""
-    def unique(df: DataFrame) -> DataFrame:
+def one_to_one(left: DataFrame, right: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key is unique on both sides, and one row that says what the
+    comparison rests on: counts of unique, repeated and unpaired keys, and a
+    status: REPEATED_KEYS, NOT_RUN (nothing pairs) or OK."""
+    def reduced(df: DataFrame, side: str) -> DataFrame:
         rest = [c for c in df.columns if c not in on]
-        return (df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"), *[F.min(c).alias(c) for c in rest])
-                .where("_n = 1").drop("_n"))
-    return unique(left).join(unique(right), on)
+        return df.groupBy(*on).agg(F.count(F.lit(1)).alias(f"_{side}"), *[F.min(c).alias(c) for c in rest])
+
+    both = reduced(left, "l").join(reduced(right, "r"), on, "full")
+    l, r = (F.coalesce(F.col(c), F.lit(0)) for c in ("_l", "_r"))
+    paired, repeated = (l == 1) & (r == 1), (l > 1) | (r > 1)
+    counts = both.agg(F.count_if(paired).alias("n_paired"), F.count_if(repeated).alias("n_repeated"),
+                      F.count_if((l > 0) & (r == 0)).alias("n_left_only"), F.count_if((r > 0) & (l == 0)).alias("n_right_only"))
+    status = F.when(F.col("n_repeated") > 0, "REPEATED_KEYS").when(F.col("n_paired") == 0, "NOT_RUN").otherwise("OK")
+    return both.where(paired).drop("_l", "_r"), counts.withColumn("status", status)

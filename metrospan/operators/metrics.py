@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import checked_broadcast, durable
+from ..session import durable, stored
 from .scalars import one_row
 
 SMALL_TARGET = 1e-6
@@ -47,7 +47,7 @@ def condition_weights(df: DataFrame, group: str, out: str = "weight") -> DataFra
     total = counts.agg(F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_groups"))
     t = one_row(total)
     weights = counts.select(group, (t["_rows"] / t["_groups"] / F.col("_n")).alias(out))
-    return df.join(checked_broadcast(durable(weights)), group)
+    return df.join(stored(weights), group)
 
 
 def weighted_metrics(df: DataFrame, y: str, p: str, group: str) -> DataFrame:

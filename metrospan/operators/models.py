@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
-from ..session import checked_broadcast, durable
+from ..session import durable, stored
 from .folds import group_kfold, leave_one_group_out
 from .scalars import one_row
 
@@ -135,7 +135,7 @@ def linear_predictions(df: DataFrame, models: DataFrame, group: str, features: l
     p = F.get("coef", 0) + centre[f"c{len(features)}"]
     for i, c in enumerate(features):
         p = p + F.get("coef", i + 1) * (F.col(c) - centre[f"c{i}"])
-    m = checked_broadcast(durable(models.select(F.col("outer").alias(group), "alpha", "coef")))
+    m = stored(models.select(F.col("outer").alias(group), "alpha", "coef"))
     return df.join(m, group).withColumn(out, p).drop("coef")
 
 

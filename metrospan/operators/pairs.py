@@ -29,11 +29,11 @@ def pair_ratio(df: DataFrame, unit: str, pos: str, value: str, shared: list[str]
     fields = [value, z_lo, z_hi, *carry, *([role] if role else []), *([sd] if sd else []), *([rho] if rho else [])]
     aggs = [at(side, c).alias(f"{side}_{c}") for side in ("top", "bot") for c in fields]
     aggs += [F.count_if(F.col(pos) == side).alias(f"_n_{side}") for side in ("top", "bot")]
-    aggs += [F.min(c).alias(c) for c in shared] + [F.max(c).alias(f"_max_{c}") for c in shared]
+    aggs += [F.min(c).alias(c) for c in shared] + [F.max(c).alias(f"_max_{c}") for c in shared] + [F.count(c).alias(f"_seen_{c}") for c in shared]
     t = df.groupBy(unit).agg(*aggs, F.count(F.lit(1)).alias("_n"))
 
     top, bot = F.col(f"top_{value}"), F.col(f"bot_{value}")
-    unequal = reduce(lambda a, b: a | b, [~F.col(c).eqNullSafe(F.col(f"_max_{c}")) for c in shared], F.lit(False))
+    unequal = reduce(lambda a, b: a | b, [~F.col(c).eqNullSafe(F.col(f"_max_{c}")) | ((F.col(f"_seen_{c}") > 0) & (F.col(f"_seen_{c}") < F.col("_n"))) for c in shared], F.lit(False))
     mixed = ~F.col(f"top_{role}").eqNullSafe(F.col(f"bot_{role}")) if role else F.lit(False)
     incomplete = (F.col("_n_top") == 0) | (F.col("_n_bot") == 0) | (F.col("_n") > F.col("_n_top") + F.col("_n_bot"))
     reason = (
@@ -120,20 +120,29 @@ def interval_gaps(df: DataFrame, key: str, lo: str, hi: str, tolerance: float =
 def theory_scores(pairs: DataFrame, calibration: DataFrame, on: list[str]) -> DataFrame:
     """Observed ratio next to the closed-form ratio over the same intervals.
 
-    ``pairs``: PASS rows with geometry, ``top_intervals``/``bot_intervals``
-    (um) and ``prediction_role``; ``calibration``: ks_glass, ks_pdms, D, k_end.
-    Final re-predictions carry a role that is never scored.
+    ``pairs``: rows with geometry, ``top_intervals``/``bot_intervals`` (um) and
+    ``prediction_role``; ``calibration``: ks_glass, ks_pdms, D, k_end and
+    optionally ``measurement_ids``.  Every row stays, with a ``score_status``:
+    SCORED, or the first of not_a_passing_pair, role_not_scorable (final
+    re-predictions are never scored), calibration_missing,
+    calibration_ambiguous, calibration_incomplete.  Only SCORED rows have a
+    model value; ``score_violations`` counts the others.
     """
     from ..session import durable
     from .joins import exactly_one
 
-    scored = pairs.where((F.col("status") == "PASS") & F.col("prediction_role").isin(*SCORABLE_ROLES))
     calibration = durable(calibration.select(*on, "ks_glass", "ks_pdms", "D", "k_end"))
-    t = exactly_one(scored, calibration, on, ["ks_glass", "ks_pdms", "D", "k_end"], derived=True).where("match_status = 'ok'")
+    t = exactly_one(pairs, calibration, on, ["ks_glass", "ks_pdms", "D", "k_end"], derived=True)
+    status = (F.when(~F.col("status").eqNullSafe("PASS"), "not_a_passing_pair")
+              .when(~F.coalesce(F.col("prediction_role").isin(*SCORABLE_ROLES), F.lit(False)), "role_not_scorable")
+              .when(F.col("match_status") == "ambiguous", "calibration_ambiguous")
+              .when(F.col("match_status") != "ok", "calibration_missing"))
     w, h, length = "w_um * 1e-6D", "h_um * 1e-6D", "L_um * 1e-6D"
     walls = wall_perimeters(w, h, "faces", ["left_material", "right_material", "floor_material", "ceiling_material"])
     shape = channel_coefficients(w, h, length, walls, {"glass": "ks_glass", "pdms": "ks_pdms"}, "D", "k_end")
     t = t.withColumn("_c", F.expr(shape))
+    status = F.coalesce(status, F.when(F.col("_c.da").isNull() | F.col("_c.biot").isNull(), "calibration_incomplete"), F.lit("SCORED"))
+    t = t.withColumn("score_status", status).withColumn("_c", F.when(F.col("score_status") == "SCORED", F.col("_c"))).drop("match_status")
     t = t.withColumns({"Da": F.col("_c.da"), "Bi_end": F.col("_c.biot"), "phi": F.sqrt("_c.da")}).drop("_c")
     below, above = (interval_log_mean(f"{side}_intervals", "L_um", "phi", "Bi_end") for side in ("bot", "top"))
     t = t.withColumns({"SC_model": F.expr(f"exp({below} - {above})"), "SC_endpoint": F.expr(coverage("phi", "Bi_end"))})
@@ -141,8 +150,14 @@ def theory_scores(pairs: DataFrame, calibration: DataFrame, on: list[str]) -> Da
         F.col("SC_model") > 0, 100 * (F.col("SC_endpoint") - F.col("SC_model")) / F.col("SC_model")))
 
 
+def score_violations(scored: DataFrame) -> DataFrame:
+    """Rows by score_status other than SCORED, with an example."""
+    return scored.where("score_status <> 'SCORED'").groupBy("score_status").agg(F.count(F.lit(1)).alias("n"))
+
+
 def theory_points(scored: DataFrame, by: list[str]) -> DataFrame:
-    return scored.groupBy(*by).agg(
+    """Means of the scored rows of each point; the others are counted by ``score_violations``."""
+    return scored.where("score_status = 'SCORED'").groupBy(*by).agg(
         F.avg("SC").alias("SC_measured"), F.avg("SC_model").alias("SC_model"), F.avg("phi").alias("phi"),
         F.count(F.lit(1)).alias("n_trenches"))
 

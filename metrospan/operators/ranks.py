@@ -10,7 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..session import checked_broadcast, durable, shuffle_width
+from ..session import durable, stored, shuffle_width
 
 
 def _offsets(counts: DataFrame, slice_col: str, partition: list[str] = ()) -> DataFrame:
@@ -64,7 +64,7 @@ def ordered_rank(df: DataFrame, order: list[Column | str], partition: list[str]
         return placed
     first = placed.groupBy(*[F.col(p).alias(f"_p{i}") for i, p in enumerate(partition)]).agg(F.min(out).alias("_first"))
     same = reduce(lambda a, b: a & b, [F.col(p).eqNullSafe(F.col(f"_p{i}")) for i, p in enumerate(partition)])
-    return placed.join(checked_broadcast(first), same).select(*df.columns, (F.col(out) - F.col("_first") + 1).alias(out))
+    return placed.join(stored(first), same).select(*df.columns, (F.col(out) - F.col("_first") + 1).alias(out))
 
 
 def id_list_chunks(df: DataFrame, by: list[str], item: str, chunk: int = 1000, sep: str = "|") -> DataFrame:

@@ -12,7 +12,7 @@ import sys
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.student import t_quantile_975, t_two_sided_p
-from ..session import checked_broadcast, durable
+from ..session import durable, stored
 from .contracts import flags_text
 
 OLS, CLUSTERED = "OLS independent specimen", "cluster robust specimen"
@@ -85,7 +85,7 @@ def fit_lines(df: DataFrame, by: list[str], x: str, y: str, *, cluster: str | No
     * fewer than three distinct x leaves the slope NULL with a status.
     """
     # Group-sized and read twice: one pass over the rows, kept durably.
-    moments = checked_broadcast(durable(line_moments(df, by, x, y)))
+    moments = stored(line_moments(df, by, x, y))
     sums = residual_sums(df, moments, by, x, y, cluster, known_sd)
     t = moments.join(sums, by)
     n, sxx, mx = F.col("n").cast("double"), F.col("sxx"), F.col("mx")

@@ -9,6 +9,7 @@ from ..functions.rules import (acquisition_faults, condition_key, is_contained_p
 from ..functions.units import to_si, to_si_status
 from ..operators import contracts as C
 from ..operators import models as M
+from ..operators.scalars import one_row
 from ..operators.provenance import changed_files, file_fingerprints
 from ..sources.sinks import scratch_path, write_once
 from ..sources.tables import contracted, json_fields, read_strict_csv
@@ -206,27 +207,25 @@ def rule_decimal_text(spark, sf):
 @query("rule_closeness", f"""
 SELECT 'closeness' AS rule, 'p_retailprice' AS "column", count(*) FILTER (abs(p - m) > 0.01 * m) AS n_bad,
        {sr('max(abs(p - m) / m)', 9)} AS max_relative
-FROM (SELECT p_retailprice AS p, min(p_retailprice) OVER () AS m FROM part)
+FROM (SELECT p_retailprice AS p, (SELECT arg_min(p_retailprice, p_partkey) FROM part) AS m FROM part)
 UNION ALL SELECT 'closeness', 'p_retailprice', count(*) FILTER (abs(p_retailprice - 950) > 0.06 * 950),
        {sr('max(abs(p_retailprice - 950) / 950)', 9)} FROM part""")
 def rule_closeness(spark, sf):
     p = table(spark, sf, "part")
-    both = C.combine(C.closeness_rule(p, "p_retailprice", None, 0.01), C.closeness_rule(p, "p_retailprice", 950.0, 0.06))
+    first = one_row(p.agg(F.min_by("p_retailprice", "p_partkey").alias("v")))["v"]
+    both = C.combine(C.closeness_rule(p, "p_retailprice", first, 0.01), C.closeness_rule(p, "p_retailprice", 950.0, 0.06))
     return both.withColumn("max_relative", rnd("max_relative", 9))
 
 
 @query("include_exclude", """
 WITH t AS (SELECT d.doc_id, CASE quality WHEN 1 THEN 'True' WHEN 0 THEN '0' END AS inc, CASE toxic WHEN 1 THEN 'toxic' END AS reason
            FROM documents d LEFT JOIN labels l USING (doc_id))
-SELECT doc_id, CASE WHEN inc IS NULL OR (inc = '0' AND reason IS NULL) THEN 'fault' WHEN inc = 'True' THEN 'included' ELSE 'excluded' END AS part FROM t""")
+SELECT doc_id, CASE WHEN inc IS NULL THEN 'include_text' WHEN inc = '0' AND reason IS NULL THEN 'exclusion_reason' WHEN inc = 'True' THEN 'included' ELSE 'excluded' END AS part FROM t""")
 def include_exclude(spark, sf):
     t = table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels"), "doc_id", "left").select(
         "doc_id", F.when(F.col("quality") == 1, "True").when(F.col("quality") == 0, "0").alias("inc"),
         F.when(F.col("toxic") == 1, "toxic").alias("reason"))
-    yes, no, fault = C.split_included(t, "inc", "reason")
-    return (yes.select("doc_id", F.lit("included").alias("part"))
-            .unionByName(no.where(~fault).select("doc_id", F.lit("excluded").alias("part")))
-            .unionByName(t.where(fault).select("doc_id", F.lit("fault").alias("part"))))
+    return t.select("doc_id", C.inclusion("inc", "reason").alias("part"))
 
 
 @query("parse_names", r"""

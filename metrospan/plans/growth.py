@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.student import SERIES_MAX_DF, quantile_table
 from ..params import StudyParameters
 from .registry import table
 
@@ -37,15 +36,11 @@ LINES_SQL = GROWTH_SQL + """, fit AS (
   SELECT g.*, f.n, f.n_times, f.a, f.b, f.mx, f.sxx, f.syy, f.xmax, g.y - f.a - f.b * g.x AS e, g.x - f.mx AS c
   FROM growth g JOIN fit f USING ("T_C", gly_pct, substrate))"""
 
-_Z = 1.959963984540054
-
-
 def sql_t975(df: str) -> str:
-    z = _Z
-    table_text = ", ".join(repr(q) for q in quantile_table())
-    large = (f"({z!r} + {(z**3 + z) / 4!r} / {df} + {(5 * z**5 + 16 * z**3 + 3 * z) / 96!r} / ({df} * {df})"
-             f" + {(3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384!r} / ({df} * {df} * {df}))")
-    return f"(CASE WHEN {df} <= {SERIES_MAX_DF} THEN list_extract([{table_text}], CAST({df} AS INTEGER)) ELSE {large} END)"
+    """Newton steps on the logarithms, over the Simpson sums of the density."""
+    p, density = sql_t_two_sided("t", df, 600), f"exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2)) / sqrt({df} * pi()) * pow(1 + t * t / {df}, -({df} + 1) / 2)"
+    start = "[2.0::DOUBLE, " + ", ".join(["0.0::DOUBLE"] * 12) + "]"
+    return f"list_reduce({start}, lambda t, k: t * exp(ln(greatest(1e-12, {p}) / 0.05) * {p} / (2 * t * {density})))"
 
 
 def sql_t_two_sided(t: str, df: str, steps: int = 2000) -> str:

@@ -9,20 +9,22 @@ from ..operators import joins as J
 from ..operators import metrics as X
 from ..operators import provenance as P
 from ..operators.ranks import id_list_chunks
+from ..operators.scalars import one_row
 from .registry import query, rnd, rounded, sr, table
 
 
 @query("dual_lookup", """
-WITH reg AS (SELECT n_nationkey AS id, CASE WHEN n_regionkey < 2 THEN 'REF' WHEN n_regionkey < 4 THEN 'DARK' ELSE 'OTHER' END AS kind, n_regionkey AS r FROM nation),
+WITH reg AS (SELECT n_nationkey AS id, CASE WHEN n_regionkey < 2 THEN 'REF' WHEN n_regionkey < 4 THEN 'DARK' ELSE 'OTHER' END AS kind, n_regionkey AS r, n_nationkey % 6 = 2 AS twice FROM nation),
 f AS (SELECT c_custkey, c_nationkey AS ref_id, 30 - c_nationkey AS dark_id, length(c_mktsegment) - 8 AS r FROM customer)
 SELECT c_custkey,
-  CASE WHEN a.kind IS NULL THEN 'missing' WHEN a.kind <> 'REF' THEN 'wrong_kind' WHEN a.r <> f.r THEN 'field_mismatch' ELSE 'ok' END AS ref_id_status,
-  CASE WHEN b.kind IS NULL THEN 'missing' WHEN b.kind <> 'DARK' THEN 'wrong_kind' WHEN b.r <> f.r THEN 'field_mismatch' ELSE 'ok' END AS dark_id_status
+  CASE WHEN a.kind IS NULL THEN 'missing' WHEN a.twice THEN 'ambiguous' WHEN a.kind <> 'REF' THEN 'wrong_kind' WHEN a.r <> f.r THEN 'field_mismatch' ELSE 'ok' END AS ref_id_status,
+  CASE WHEN b.kind IS NULL THEN 'missing' WHEN b.twice THEN 'ambiguous' WHEN b.kind <> 'DARK' THEN 'wrong_kind' WHEN b.r <> f.r THEN 'field_mismatch' ELSE 'ok' END AS dark_id_status
 FROM f LEFT JOIN reg a ON a.id = ref_id LEFT JOIN reg b ON b.id = dark_id""")
 def dual_lookup(spark, sf):
     r = F.col("n_regionkey")
     reg = table(spark, sf, "nation").select(
         F.col("n_nationkey").alias("id"), F.when(r < 2, "REF").when(r < 4, "DARK").otherwise("OTHER").alias("kind"), r.alias("session"))
+    reg = reg.unionByName(reg.where("id % 6 = 2"))
     facts = table(spark, sf, "customer").select(
         "c_custkey", F.col("c_nationkey").alias("ref_id"), (30 - F.col("c_nationkey")).alias("dark_id"),
         (F.length("c_mktsegment") - 8).cast("string").alias("session"))
@@ -66,26 +68,31 @@ def calibration_join(spark, sf):
 _PAIRED = """
 WITH oof AS (SELECT l_orderkey AS a, l_linenumber AS b, min(l_extendedprice) / 1000 AS label, min(l_quantity) * 2.1 AS pred FROM lineitem GROUP BY ALL HAVING count(*) = 1),
 man AS (SELECT l_orderkey AS a, l_linenumber AS b, min(l_extendedprice) / 1000 + min(l_tax) AS m FROM lineitem WHERE l_tax > 0.02 GROUP BY ALL HAVING count(*) = 1),
+sides AS (SELECT * FROM (SELECT l_orderkey AS a, l_linenumber AS b, count(*) AS n FROM lineitem GROUP BY ALL)
+  FULL JOIN (SELECT l_orderkey AS a, l_linenumber AS b, count(*) AS m FROM lineitem WHERE l_tax > 0.02 GROUP BY ALL) USING (a, b)),
 j AS (SELECT label, pred, m FROM oof JOIN man USING (a, b)),
 u AS (SELECT 'model' AS source, label AS y, pred AS p FROM j UNION ALL SELECT 'manual', label, m FROM j)
 """
 
 
 @query("manual_comparison", _PAIRED + f"""
-SELECT source, count(*) AS n_paired, {sr('sqrt(avg((p - y) * (p - y)))', 7)} AS rmse, {sr('stddev_samp(100 * (p - y) / y)', 5)} AS relative_1sigma_pct
+SELECT source, count(*) AS n_paired, {sr('sqrt(avg((p - y) * (p - y)))', 7)} AS rmse, {sr('stddev_samp(100 * (p - y) / y)', 5)} AS relative_1sigma_pct,
+  (SELECT count(*) FILTER (coalesce(n, 0) > 1 OR coalesce(m, 0) > 1) FROM sides) AS n_repeated, (SELECT count(*) FILTER (m IS NULL) FROM sides) AS n_left_only,
+  (SELECT CASE WHEN count(*) FILTER (coalesce(n, 0) > 1 OR coalesce(m, 0) > 1) > 0 THEN 'REPEATED_KEYS' ELSE 'OK' END FROM sides) AS comparison_status
 FROM u GROUP BY 1""")
 def manual_comparison(spark, sf):
     li = table(spark, sf, "lineitem")
     key = ["l_orderkey", "l_linenumber"]
     oof = li.select(*key, (F.col("l_extendedprice") / 1000).alias("label"), (F.col("l_quantity") * 2.1).alias("pred"))
     manual = li.where("l_tax > 0.02").select(*key, (F.col("l_extendedprice") / 1000 + F.col("l_tax")).alias("manual"))
-    j = J.one_to_one(oof, manual, key)
+    j, status = J.one_to_one(oof, manual, key)
     both = j.select(F.inline(F.array(
         F.struct(F.lit("model").alias("source"), F.col("label").alias("y"), F.col("pred").alias("p")),
         F.struct(F.lit("manual").alias("source"), F.col("label").alias("y"), F.col("manual").alias("p")))))
     m = X.regression_metrics(both, "y", "p", ["source"])
-    return m.select("source", F.col("n_measurements").alias("n_paired"), rnd("rmse", 7).alias("rmse"),
-                    rnd("relative_1sigma_pct", 5).alias("relative_1sigma_pct"))
+    s = one_row(status)
+    return m.select("source", F.col("n_measurements").alias("n_paired"), rnd("rmse", 7).alias("rmse"), rnd("relative_1sigma_pct", 5).alias("relative_1sigma_pct"),
+                    s["n_repeated"].alias("n_repeated"), s["n_left_only"].alias("n_left_only"), s["status"].alias("comparison_status"))
 
 
 @query("stale_rows", """

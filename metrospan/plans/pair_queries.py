@@ -85,9 +85,10 @@ def ratio_sd_query(spark, sf):
 
 
 _SCORED = OBS_SQL + ", " + CALIBRATION_SQL.removeprefix("WITH ") + f""",
-x AS (SELECT trench_id, condition_id, ar, sc, phi1 * ar AS phi, bi1 * ar AS bi, ar * 30 AS len, CASE WHEN ar = 9 THEN ar * 30 - 40 ELSE ar * 30 - 34 END AS bhi
-  FROM q JOIN unit ON "T_C" = 25 + 20 * (dow % 3) AND gly_pct = 10 * (dow + 1) WHERE reason = '' AND vt <= 120),
-y AS (SELECT *, {sql_mean_u('(len - 66) / len', 'bhi / len', 'phi', 'bi')} / {sql_mean_u('34 / len', '66 / len', 'phi', 'bi')} AS model, {sql_u('1', 'phi', 'bi')} AS endpoint FROM x)"""
+x0 AS (SELECT q.*, phi1, bi1, CASE WHEN reason <> '' THEN 'not_a_passing_pair' WHEN vt > 120 THEN 'role_not_scorable' WHEN phi1 IS NULL THEN 'calibration_missing' ELSE 'SCORED' END AS score_status
+  FROM q LEFT JOIN unit ON "T_C" = CASE WHEN dow = 6 THEN 99 ELSE 25 + 20 * (dow % 3) END AND gly_pct = 10 * (dow + 1)),
+x AS (SELECT trench_id, condition_id, ar, sc, score_status, CASE WHEN score_status = 'SCORED' THEN phi1 * ar END AS phi, bi1 * ar AS bi, ar * 30 AS len, CASE WHEN ar = 9 THEN ar * 30 - 40 ELSE ar * 30 - 34 END AS bhi FROM x0),
+y AS (SELECT * REPLACE (CASE WHEN phi IS NOT NULL THEN bi END AS bi), {sql_mean_u('(len - 66) / len', 'bhi / len', 'phi', 'bi')} / {sql_mean_u('34 / len', '66 / len', 'phi', 'bi')} AS model, {sql_u('1', 'phi', 'bi')} AS endpoint FROM x)"""
 
 
 def scored_pairs(spark, sf):
@@ -97,8 +98,9 @@ def scored_pairs(spark, sf):
         return F.struct(F.lit(lo).cast("double").alias("lo") if isinstance(lo, float) else lo.alias("lo"),
                         F.lit(hi).cast("double").alias("hi") if isinstance(hi, float) else hi.alias("hi"))
 
-    t = pairs(spark, sf).where("status = 'PASS'")
+    t = pairs(spark, sf)  # condition C6 has no calibration, some roles are not scorable
     t = t.withColumns({
+        "T_C": F.when(F.col("condition_id") == "C6", 99.0).otherwise(F.col("T_C")),
         "w_um": F.lit(30.0), "h_um": F.lit(30.0), "faces": F.lit(4), "prediction_role": F.col("top_prediction_role"),
         **{f"{side}_material": F.lit(m) for side, m in zip(("left", "right", "floor", "ceiling"), STUDY.wall_materials)},
         "top_intervals": F.array(interval(34.0, 50.0), interval(50.0, 66.0)),
@@ -108,14 +110,14 @@ def scored_pairs(spark, sf):
 
 
 @query("theory_scores", _SCORED + f"""
-SELECT trench_id, {sr('sc', 8)} AS "SC", {sr('model', 8)} AS "SC_model", {sr('phi', 8)} AS phi, {sr('bi', 8)} AS "Bi_end", {sr('endpoint', 8)} AS "SC_endpoint",
+SELECT trench_id, score_status, {sr('sc', 8)} AS "SC", {sr('model', 8)} AS "SC_model", {sr('phi', 8)} AS phi, {sr('bi', 8)} AS "Bi_end", {sr('endpoint', 8)} AS "SC_endpoint",
   {sr('100 * (endpoint - model) / model', 6)} AS endpoint_relative_error_pct FROM y""")
 def theory_scores(spark, sf):
-    t = scored_pairs(spark, sf).select("trench_id", "SC", "SC_model", "phi", "Bi_end", "SC_endpoint", "endpoint_relative_error_pct")
+    t = scored_pairs(spark, sf).select("trench_id", "score_status", "SC", "SC_model", "phi", "Bi_end", "SC_endpoint", "endpoint_relative_error_pct")
     return rounded(t, {"SC": 8, "SC_model": 8, "phi": 8, "Bi_end": 8, "SC_endpoint": 8, "endpoint_relative_error_pct": 6})
 
 
-_POINTS = _SCORED + ", pts AS (SELECT condition_id, ar, avg(sc) AS m, avg(model) AS t, avg(phi) AS phi, count(*) AS n FROM y GROUP BY 1, 2)"
+_POINTS = _SCORED + ", pts AS (SELECT condition_id, ar, avg(sc) AS m, avg(model) AS t, avg(phi) AS phi, count(*) AS n FROM y WHERE score_status = 'SCORED' GROUP BY 1, 2)"
 
 
 @query("theory_points", _POINTS + f"""
@@ -187,24 +189,36 @@ _CELL = """, e0 AS (SELECT DISTINCT "T_C" AS t0 FROM unit), et AS (SELECT t0, le
 f0 AS (SELECT DISTINCT gly_pct AS g0 FROM unit), eg AS (SELECT g0, lead(g0) OVER (ORDER BY g0) AS g1, lead(g0, 2) OVER (ORDER BY g0) IS NULL AS lg FROM f0)"""
 
 
-def _sql_interp(col: str, axis: str) -> str:
+def _sql_interp(col: str, axis: str, zero: bool = False) -> str:
     w = ('((1 / (p.t + 273.15) - 1 / (t0 + 273.15)) / (1 / (t1 + 273.15) - 1 / (t0 + 273.15)))' if axis == "k" else "((p.t - t0) / (t1 - t0))")
     wg = "((p.g - g0) / (g1 - g0))"
-    return (f"exp((1 - {w}) * ((1 - {wg}) * ln(a.{col}) + {wg} * ln(b.{col})) + {w} * ((1 - {wg}) * ln(c.{col}) + {wg} * ln(d.{col})))")
+    ln = (lambda v: f"ln(nullif({v}, 0))") if zero else (lambda v: f"ln({v})")
+    return (f"exp((1 - {w}) * ((1 - {wg}) * {ln('a.' + col)} + {wg} * {ln('b.' + col)}) + {w} * ((1 - {wg}) * {ln('c.' + col)} + {wg} * {ln('d.' + col)}))")
 
 
 _CORNERS = """ FROM pts p JOIN et ON t1 IS NOT NULL AND p.t >= t0 AND (p.t < t1 OR (lt AND p.t <= t1)) JOIN eg ON g1 IS NOT NULL AND p.g >= g0 AND (p.g < g1 OR (lg AND p.g <= g1))
   JOIN unit a ON a."T_C" = t0 AND a.gly_pct = g0 JOIN unit b ON b."T_C" = t0 AND b.gly_pct = g1 JOIN unit c ON c."T_C" = t1 AND c.gly_pct = g0 JOIN unit d ON d."T_C" = t1 AND d.gly_pct = g1"""
 
 
-@query("grid_interpolate", CALIBRATION_SQL + _CELL + """, pts AS (SELECT o_orderkey, 20 + 50 * o_totalprice / 500000 AS t, 10 + 0.04 * (o_custkey % 1600) AS g FROM orders),
-  hit AS (SELECT o_orderkey, """ + f"{_sql_interp('ks_pdms', 'k')} AS k, {_sql_interp('eta', 't')} AS eta" + _CORNERS + f""")
-SELECT o.o_orderkey, k IS NOT NULL AS in_domain, {sr('k * 1e9', 7)} AS ks_pdms, {sr('eta * 1e3', 8)} AS "eta_Pa_s" FROM pts o LEFT JOIN hit USING (o_orderkey)""")
+_HOLED = """, whole AS (SELECT * FROM unit), holed AS (SELECT * REPLACE (CASE WHEN "T_C" = 65 AND gly_pct = 70 THEN 0.0::DOUBLE ELSE ks_pdms END AS ks_pdms) FROM whole
+  WHERE NOT ("T_C" = 45 AND gly_pct = 40))"""
+
+
+def holed_calibration(spark, sf):
+    """The calibration without one inner condition and with one rate of zero."""
+    cal = calibration(spark, sf).where("not (T_C = 45 and gly_pct = 40)")
+    return cal.withColumn("ks_pdms", F.when((F.col("T_C") == 65) & (F.col("gly_pct") == 70), 0.0).otherwise(F.col("ks_pdms")))
+
+
+@query("grid_interpolate", CALIBRATION_SQL + _CELL + _HOLED + """, pts AS (SELECT o_orderkey, 20 + 50 * o_totalprice / 500000 AS t, 10 + 0.04 * (o_custkey % 1600) AS g FROM orders),
+  hit AS (SELECT o_orderkey, CASE WHEN a.eta IS NULL OR b.eta IS NULL OR c.eta IS NULL OR d.eta IS NULL THEN 'missing_corner' WHEN least(a.ks_pdms, b.ks_pdms, c.ks_pdms, d.ks_pdms) = 0 THEN 'zero_beside_positive' ELSE 'ok' END AS s, """
+  + f"CASE WHEN s = 'ok' THEN {_sql_interp('ks_pdms', 'k', True)} END AS k, CASE WHEN s = 'ok' THEN {_sql_interp('eta', 't')} END AS eta" + _CORNERS.replace(" JOIN unit ", " LEFT JOIN holed ") + f""")
+SELECT o.o_orderkey, s IS NOT NULL AS in_domain, coalesce(s, 'outside_domain') AS grid_status, {sr('k * 1e9', 7)} AS ks_pdms, {sr('eta * 1e3', 8)} AS "eta_Pa_s" FROM pts o LEFT JOIN hit USING (o_orderkey)""")
 def grid_interpolate(spark, sf):
     pts = table(spark, sf, "orders").select(
         "o_orderkey", (F.lit(20.0) + 50 * F.col("o_totalprice") / 500000).alias("T_C"), (F.lit(10.0) + 0.04 * (F.col("o_custkey") % 1600)).alias("gly_pct"))
-    t = G.interpolate(pts, calibration(spark, sf), "T_C", "gly_pct", ["ks_pdms", "eta_Pa_s"])
-    return t.select("o_orderkey", "in_domain", rnd(F.col("ks_pdms") * 1e9, 7).alias("ks_pdms"), rnd(F.col("eta_Pa_s") * 1e3, 8).alias("eta_Pa_s"))
+    t = G.interpolate(pts, holed_calibration(spark, sf), "T_C", "gly_pct", ["ks_pdms", "eta_Pa_s"])
+    return t.select("o_orderkey", "in_domain", "grid_status", rnd(F.col("ks_pdms") * 1e9, 7).alias("ks_pdms"), rnd(F.col("eta_Pa_s") * 1e3, 8).alias("eta_Pa_s"))
 
 
 def _bisect(source: str, key: str, phi: str, bi: str, target: float) -> str:
@@ -234,6 +248,18 @@ def process_grid(spark, sf):
                     rnd("AR_max", 7).alias("AR_max"), "AR_max_status")
 
 
+@query("process_grid_gaps", CALIBRATION_SQL + _CELL + _HOLED + """,
+pts AS (SELECT CASE WHEN i = 15 THEN t1 ELSE t0 + (t1 - t0) * i / 15 END AS t, CASE WHEN j = 20 THEN g1 ELSE g0 + (g1 - g0) * j / 20 END AS g
+  FROM (SELECT min("T_C") AS t0, max("T_C") AS t1, min(gly_pct) AS g0, max(gly_pct) AS g1 FROM holed), range(16) a(i), range(21) b(j)),
+hit AS (SELECT p.t, p.g, CASE WHEN a.eta IS NULL OR b.eta IS NULL OR c.eta IS NULL OR d.eta IS NULL THEN 'missing_corner'
+  WHEN least(a.ks_pdms, b.ks_pdms, c.ks_pdms, d.ks_pdms) = 0 THEN 'zero_beside_positive' ELSE 'root' END AS s """ + _CORNERS.replace(" JOIN unit ", " LEFT JOIN holed ") + f""")
+SELECT {sr('t', 8)} AS "T_C", {sr('g', 8)} AS gly_pct, s AS "AR_max_status", s = 'root' AS evaluated FROM hit""")
+def process_grid_gaps(spark, sf):
+    g = G.process_grid(holed_calibration(spark, sf), STUDY)
+    return g.select(rnd("T_C", 8).alias("T_C"), rnd("gly_pct", 8).alias("gly_pct"), "AR_max_status",
+                    (F.col("SC_AR49").isNotNull() & F.col("AR_max").isNotNull()).alias("evaluated"))
+
+
 @query("grid_summary", _PROCESS + f"""
 SELECT count(*) AS n_grid, CASE WHEN min(sc) < 0.3 AND max(sc) > 0.3 THEN 'boundary_in_domain' ELSE 'no_boundary_in_assumed_domain' END AS boundary_status,
   count(*) FILTER (sc >= 0.3) AS n_at_or_above_target, {sr('min(sc)', 8)} AS sc_min, {sr('max(sc)', 8)} AS sc_max, {sr('min(ar)', 7)} AS ar_min, {sr('max(ar)', 7)} AS ar_max FROM grid""")

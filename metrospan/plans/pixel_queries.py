@@ -103,11 +103,10 @@ def edge_profile(spark, sf):
 
 def _gauss_sql(src: str, key: str, axis: str, value: str, out: str, sigma: float = 0.6) -> str:
     """Weighted sum over neighbours, positions mirrored with the edge repeated."""
-    w = P.gaussian_weights(sigma)
-    r = len(w) // 2
-    vals = ", ".join(f"({k - r}, {x!r})" for k, x in enumerate(w))
+    far = f"CAST(floor(4 * {sigma} + 0.5) AS BIGINT)"
+    bell = f"exp(-0.5 * o * o / ({sigma} * {sigma}))"
     return f"""{out}_n AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {axis}) - 1 AS i, count(*) OVER (PARTITION BY {key}) AS m FROM {src}),
-{out} AS (SELECT a.{key}, a.{axis}, sum(w * b.{value}) AS s FROM {out}_n a CROSS JOIN (VALUES {vals}) k(o, w)
+{out} AS (SELECT a.{key}, a.{axis}, sum(w * b.{value}) AS s FROM {out}_n a CROSS JOIN (SELECT o, {bell} / sum({bell}) OVER () AS w FROM range(-{far}, {far} + 1) t(o)) k
   JOIN {out}_n b ON b.{key} = a.{key} AND b.i = CASE WHEN a.i + o < 0 THEN -1 - a.i - o WHEN a.i + o >= a.m THEN 2 * a.m - 1 - a.i - o ELSE a.i + o END GROUP BY 1, 2)"""
 
 
@@ -270,9 +269,9 @@ _REG = PIX + """, rp AS (SELECT vec_id, vec_id * 4 + y // 4 * 2 + x // 4 AS tile
 
 
 def _region_sql() -> str:
-    w = P.gaussian_weights(_SIGMA)
+    bell = lambda d: f"exp(-0.5 * {d * d} / pow({_SIGMA}, 2)) / (1 + 2 * exp(-0.5 / pow({_SIGMA}, 2)))"
     off = ", ".join(
-        f"({dy}, {dx}, {(2 - abs(dy)) * dx / 8!r}, {(2 - abs(dx)) * dy / 8!r}, {w[dy + 1] * w[dx + 1]!r})" for dy in (-1, 0, 1) for dx in (-1, 0, 1))
+        f"({dy}, {dx}, {(2 - abs(dy)) * dx / 8!r}, {(2 - abs(dx)) * dy / 8!r}, {bell(dy)} * {bell(dx)})" for dy in (-1, 0, 1) for dx in (-1, 0, 1))
     return _REG + f""", cv AS (SELECT t.vec_id, t.tile, t.y, t.x, any_value(t.raw) AS raw, any_value(t.texture) AS tex, bool_or(t.ok) AS ok, sqrt(pow(sum(sx * o.texture), 2) + pow(sum(sy * o.texture), 2)) AS gradient,
   any_value(t.texture) - sum(g * o.texture) AS highpass, abs(any_value(t.texture) - avg(o.texture)) AS neighbor,
   bool_and(CASE WHEN abs(dy) + abs(dx) <= 1 THEN t.y + dy BETWEEN 0 AND 3 AND t.x + dx BETWEEN 0 AND 3 AND o.ok ELSE true END) AS interior

@@ -8,8 +8,10 @@ from ..operators import design as S
 from ..operators import folds as K
 from ..operators import models as M
 from ..operators import resample as R
+from ..functions.draws import uniform
 from ..operators.grid import explode_levels
 from ..operators.metrics import balanced_rmse, regression_metrics
+from ..session import durable
 from .growth import STUDY, sql_normal, sql_u, sql_uniform
 from .regression_queries import scored
 from .registry import query, rounded, sr, table
@@ -94,24 +96,24 @@ def candidate_argmin(spark, sf):
 
 _BOOT = f"""WITH g AS (SELECT l_suppkey, sum(pow(l_quantity * 2.0 + l_tax - CASE WHEN l_quantity = 50 THEN 0.0 ELSE l_extendedprice / 1000 END, 2)) AS sse, count(*) AS n,
   row_number() OVER (ORDER BY l_suppkey) AS i FROM lineitem GROUP BY 1), c AS (SELECT count(*) AS c FROM g),
-d AS (SELECT rep, floor({sql_uniform(3, 'rep::VARCHAR', 'slot::VARCHAR')} * c) + 1 AS i FROM c, range(200) r(rep), (SELECT i - 1 AS slot FROM g)),
+d AS (SELECT rep, floor({sql_uniform(3, 'rep::VARCHAR', 'slot::VARCHAR')} * c) + 1 AS i FROM c, range(500) r(rep), (SELECT i - 1 AS slot FROM g)),
 b AS (SELECT rep, sqrt(sum(sse) / sum(n)) AS rmse FROM d JOIN g USING (i) GROUP BY 1)"""
 
 
 @query("cluster_bootstrap", _BOOT + f" SELECT rep::INTEGER AS rep, {sr('rmse', 8)} AS rmse FROM b")
 def cluster_bootstrap(spark, sf):
-    return rounded(R.cluster_bootstrap(scored(spark, sf), "label", "pred", "condition_id", 200, 3), {"rmse": 8})
+    return rounded(R.cluster_bootstrap(scored(spark, sf), "label", "pred", "condition_id", 500, 3), {"rmse": 8})
 
 
 @query("bootstrap_interval", _BOOT + f" SELECT count(*) AS n, {sr('quantile_cont(rmse, 0.025)', 8)} AS lo, {sr('quantile_cont(rmse, 0.975)', 8)} AS hi FROM b")
 def bootstrap_interval(spark, sf):
-    b = R.cluster_bootstrap(scored(spark, sf), "label", "pred", "condition_id", 200, 3)
+    b = R.cluster_bootstrap(scored(spark, sf), "label", "pred", "condition_id", 500, 3)
     return rounded(R.percentile_interval(b, "rmse"), {"lo": 8, "hi": 8})
 
 
 def _noise_sql(scale: str) -> str:
     return f"""WITH p AS (SELECT p_partkey AS k, (p_retailprice - 900) / 100 AS t FROM part),
-o AS (SELECT trial, t, t + {sql_normal(9, 'trial::VARCHAR', 'k::VARCHAR')} * {scale} AS o FROM p, range(60) r(trial)),
+o AS (SELECT trial, t, t + {sql_normal(9, 'trial::VARCHAR', 'k::VARCHAR')} * {scale} AS o FROM p, range(4000) r(trial)),
 f AS (SELECT trial, avg(o) AS mo, avg(t) AS mt, regr_slope(o, t) AS b FROM o GROUP BY 1),
 m AS (SELECT trial, count(*) AS n, max(b) AS b, 1 - sum(pow(o - t, 2)) / sum(pow(o - mo, 2)) AS r2, 1 - sum(pow(o - mo - b * (t - mt), 2)) / sum(pow(o - mo, 2)) AS ols,
   count(*) FILTER (o < 0 OR o > 1) AS n_outside FROM o JOIN f USING (trial) GROUP BY 1)"""
@@ -123,7 +125,7 @@ def _points(spark, sf):
 
 @query("noise_trials", _noise_sql("0.05") + f" SELECT trial + 1 AS trial, n, {sr('r2', 8)} AS fixed_theory_r2, {sr('ols', 8)} AS ols_in_sample_r2, {sr('b', 8)} AS ols_slope, n_outside FROM m")
 def noise_trials(spark, sf):
-    return rounded(R.noise_trials(_points(spark, sf), "p_partkey", "t", 60, 0.05, 9), {"fixed_theory_r2": 8, "ols_in_sample_r2": 8, "ols_slope": 8})
+    return rounded(R.noise_trials(_points(spark, sf), "p_partkey", "t", 4000, 0.05, 9), {"fixed_theory_r2": 8, "ols_in_sample_r2": 8, "ols_slope": 8})
 
 
 def _summary_sql(c: str, name: str) -> str:
@@ -137,7 +139,8 @@ def _summary_sql(c: str, name: str) -> str:
 
 @query("noise_summary", _noise_sql("0.07 * t") + " " + _summary_sql("r2", "fixed_theory_r2") + " UNION ALL " + _summary_sql("ols", "ols_in_sample_r2"))
 def noise_summary(spark, sf):
-    t = R.noise_trials(_points(spark, sf), "p_partkey", "t", 60, 0.07, 9, kind="relative")
+    # Read by both measures: simulated once.
+    t = durable(R.noise_trials(_points(spark, sf), "p_partkey", "t", 4000, 0.07, 9, kind="relative"))
     s = R.trial_summary(t, "fixed_theory_r2", 0.98).unionByName(R.trial_summary(t, "ols_in_sample_r2", 0.98))
     return rounded(s, {c: 8 for c in s.columns if c not in ("measure", "repeats", "successes", "outside_fraction")} | {"outside_fraction": 9})
 
@@ -157,14 +160,17 @@ def _covariance():
 
 def _draw_sql() -> str:
     cov, names = _covariance(), R.PARAMETERS
-    factor = R.covariance_factor(cov)
+    # Two by two blocks, the larger variance (the later one) first: its own root, then the rest of the other.
+    factor = [{i: f"sqrt({cov[i][i]!r})"} for i in range(len(names))]
+    for p, q in ((3, 4), (9, 10)):
+        factor[p] = {p: f"sqrt({cov[p][p]!r} - pow({cov[p][q]!r}, 2) / {cov[q][q]!r})", q: f"{cov[p][q]!r} / sqrt({cov[q][q]!r})"}
     z = ", ".join(f"{sql_normal(21, 'l_suppkey::VARCHAR', 'draw::VARCHAR', chr(39) + str(j) + chr(39))} AS z{j}" for j in range(len(names)))
     rows = ", ".join(
-        f"exp(ln({n}) + ({-0.5 * cov[i][i]!r})" + "".join(f" + ({w!r}) * z{j}" for j, w in enumerate(factor[i]) if w) + f") AS d_{n}"
+        f"exp(ln({n}) + ({-0.5 * cov[i][i]!r})" + "".join(f" + ({w}) * z{j}" for j, w in factor[i].items()) + f") AS d_{n}"
         for i, n in enumerate(names))
     return f"""WITH RECURSIVE c AS (SELECT l_suppkey, 30e-6 AS w_m, 30e-6 AS h_m, 30e-6 * avg(l_quantity) AS "L_m", 1e-11 * (2 + avg(l_tax)) AS "G_glass_m_s", 1e-11 * (3 + avg(l_discount)) AS "G_pdms_m_s",
   0.001 + avg(l_discount) / 100 AS "eta_Pa_s", 6e-10 AS "D_ref_m2_s", 50.0 AS "C0_mol_m3", 1.45e-5 AS "Vm_m3_mol", avg(l_extendedprice) / 1000 AS top_nm, 0.8 * avg(l_extendedprice) / 1000 AS bot_nm, 45.0 AS t_c
-  FROM lineitem GROUP BY 1), zz AS (SELECT *, {z} FROM c, range(30) r(draw)), dd AS (SELECT l_suppkey, draw, t_c, {rows} FROM zz),
+  FROM lineitem GROUP BY 1), zz AS (SELECT *, {z} FROM c, range(1000) r(draw)), dd AS (SELECT l_suppkey, draw, t_c, {rows} FROM zz),
 k AS (SELECT *, "d_G_glass_m_s" / ("d_C0_mol_m3" * "d_Vm_m3_mol") AS kg, "d_G_pdms_m_s" / ("d_C0_mol_m3" * "d_Vm_m3_mol") AS kp, "d_D_ref_m2_s" * (t_c + 273.15) / 298.15 * 0.00089 / "d_eta_Pa_s" AS dif FROM dd),
 u AS (SELECT *, sqrt((2 * d_h_m * kp + d_w_m * kg + d_w_m * kp) / (d_w_m * d_h_m) / dif) AS p, kp / dif AS b FROM k),
 bis AS (SELECT l_suppkey, draw, p * d_w_m AS p1, b * d_w_m AS b1, 0.0::DOUBLE AS lo, 2000.0::DOUBLE AS hi, 0 AS it FROM u
@@ -182,7 +188,7 @@ def draws(spark, sf):
         (a("l_discount") / 100 + 0.001).alias("eta_Pa_s"), F.lit(6e-10).alias("D_ref_m2_s"), F.lit(50.0).alias("C0_mol_m3"),
         F.lit(1.45e-5).alias("Vm_m3_mol"), (a("l_extendedprice") / 1000).alias("top_nm"), (a("l_extendedprice") * 0.8 / 1000).alias("bot_nm"),
         F.lit(45.0).alias("T_C"))
-    return R.propagate(c, "l_suppkey", _covariance(), 30, 21, STUDY, discrepancy_sd=0.01)
+    return R.propagate(c, "l_suppkey", _covariance(), 1000, 21, STUDY, discrepancy_sd=0.01)
 
 
 _DRAWS = _draw_sql()
@@ -262,21 +268,21 @@ _PERM_Y = "(p_retailprice - 900) * 0.5 + p_size * 0.2"
 def _shuffled_sql(feature: str) -> str:
     u = lambda way: sql_uniform(13, f"'{feature}'", "rep::VARCHAR", "p_partkey::VARCHAR", f"'{way}'")
     return f"""SELECT '{feature}' AS feature, a.rep, avg(abs({'b.v' if feature == 'p_size' else 'a.p_size'} * 0.3 + ({'b.v' if feature == 'p_retailprice' else 'a.p_retailprice'} - 900) * 0.45 - a.y)) AS mae FROM
-  (SELECT p_partkey, p_size, p_retailprice, {_PERM_Y} AS y, rep, row_number() OVER (PARTITION BY rep ORDER BY {u('to')}, p_partkey) AS r FROM part, range(5) t(rep)) a
-  JOIN (SELECT rep, {feature} AS v, row_number() OVER (PARTITION BY rep ORDER BY {u('from')}, p_partkey) AS r FROM part, range(5) t(rep)) b ON a.rep = b.rep AND a.r = b.r GROUP BY 2"""
+  (SELECT p_partkey, p_size, p_retailprice, {_PERM_Y} AS y, rep, row_number() OVER (PARTITION BY rep ORDER BY {u('to')}, p_partkey) AS r FROM val, range(10) t(rep)) a
+  JOIN (SELECT rep, {feature} AS v, row_number() OVER (PARTITION BY rep ORDER BY {u('from')}, p_partkey) AS r FROM val, range(10) t(rep)) b ON a.rep = b.rep AND a.r = b.r GROUP BY 2"""
 
 
 @query("permutation_importance", f"""
-WITH m AS ({_shuffled_sql('p_size')} UNION ALL {_shuffled_sql('p_retailprice')}), b AS (SELECT avg(abs(p_size * 0.3 + (p_retailprice - 900) * 0.45 - ({_PERM_Y}))) AS b FROM part)
+WITH val AS (SELECT * FROM part WHERE {sql_uniform(17, 'p_partkey::VARCHAR')} < 0.5), m AS ({_shuffled_sql('p_size')} UNION ALL {_shuffled_sql('p_retailprice')}), b AS (SELECT avg(abs(p_size * 0.3 + (p_retailprice - 900) * 0.45 - ({_PERM_Y}))) AS b FROM val)
 SELECT feature, {sr('avg(mae) - max(b)', 8)} AS mae_increase_mean, {sr('stddev_pop(mae)', 8)} AS mae_increase_std FROM m, b GROUP BY 1""")
 def permutation_importance(spark, sf):
     size, price = F.col("p_size").cast("double"), F.col("p_retailprice")
-    p = table(spark, sf, "part").select("p_partkey", size.alias("p_size"), "p_retailprice", ((price - 900) * 0.5 + size * 0.2).alias("y"))
+    p = table(spark, sf, "part").where(uniform(17, F.col("p_partkey")) < 0.5).select("p_partkey", size.alias("p_size"), "p_retailprice", ((price - 900) * 0.5 + size * 0.2).alias("y"))
 
     def score(df):
         return df.withColumn("pred", F.col("p_size") * 0.3 + (F.col("p_retailprice") - 900) * 0.45)
 
-    t = M.permutation_importance(p, "p_partkey", ["p_size", "p_retailprice"], "y", score, 5, 13)
+    t = M.permutation_importance(p, "p_partkey", ["p_size", "p_retailprice"], "y", score, 10, 13)
     return rounded(t, {"mae_increase_mean": 8, "mae_increase_std": 8})
 
 

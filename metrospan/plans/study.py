@@ -6,12 +6,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.rules import (ACQUISITION_FIELDS, acquisition_faults, condition_key, is_contained_path, is_finite,
-                               parse_capture_name, same_field)
+from ..functions.rules import (ACQUISITION_FIELDS, ORIENTATIONS, acquisition_faults, condition_key, is_contained_path, is_decimal_text, is_finite,
+                               is_integer_valued, is_iso_date, parse_capture_name, same_field, within)
 from ..operators import pixels as P
-from ..operators.contracts import ContractViolation, flags_text, split_included
+from ..operators.contracts import ContractViolation, flags_text, inclusion
 from ..operators.joins import exactly_one, optional_match, role_lookup
 
+# Column groups of the data contract.
 RUN_FIELDS = ("T_C", "gly_pct", "gly_basis", "rep", "date", "cycles", "dep_time_h")
 LAYOUT_FIELDS = ("AR", "L_um", "w_um", "h_um", "faces", "left_material", "right_material", "floor_material",
                  "ceiling_material")
@@ -30,68 +31,135 @@ def count_manifest(d: DataFrame) -> DataFrame:
         on("measurement_id").alias("measurements"), F.count_distinct("matched_region_id").alias("rois"))
 
 
+def run_faults(basis: str) -> dict[str, Column]:
+    """Faults of a row of the run table."""
+    number = {c: F.col(c).try_cast("double") for c in ("T_C", "gly_pct", "rep", "cycles", "dep_time_h")}
+    finite = reduce(lambda a, b: a & b, [is_finite(c) for c in number])
+    return {
+        "run_basis": ~F.coalesce(F.col("gly_basis") == basis, F.lit(False)),
+        "run_ranges": ~F.coalesce(finite & number["gly_pct"].between(0, 100) & (number["T_C"] > -273.15)
+                                  & (F.least(number["rep"], number["cycles"], number["dep_time_h"]) > 0), F.lit(False)),
+        "run_counts": ~(is_integer_valued("rep") & is_integer_valued("cycles")),
+        "run_date": ~is_iso_date("date"),
+    }
+
+
+def layout_faults() -> dict[str, Column]:
+    """Faults of a row of the layout table."""
+    ar, length, w, h = (F.col(c).try_cast("double") for c in ("AR", "L_um", "w_um", "h_um"))
+    finite = reduce(lambda a, b: a & b, [is_finite(c) for c in ("AR", "L_um", "w_um", "h_um")])
+    return {
+        "layout_dimensions": ~F.coalesce(finite & (F.least(ar, length, w, h) > 0) & within(length, ar * w, 1e-6), F.lit(False)),
+        "layout_slot": ~F.coalesce(is_integer_valued("slot") & (F.col("slot").try_cast("double") > 0), F.lit(False)),
+        "layout_faces": ~F.coalesce(F.col("faces").try_cast("double").isin(2.0, 4.0), F.lit(False)),
+    }
+
+
+def mark_repeated(df: DataFrame, key: str, out: str, where: Column | None = None) -> DataFrame:
+    """Flag rows whose key occurs more than once (among rows that meet
+    ``where``).  Only repeated keys are joined back, usually very few."""
+    rows = df if where is None else df.where(where)
+    twice = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_twice")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    return df.join(twice, F.col(key) == F.col("_twice"), "left").withColumn(out, F.col("_twice").isNotNull()).drop("_twice")
+
+
 def manifest(images: DataFrame, runs: DataFrame, layout: DataFrame, frames: DataFrame, labels: DataFrame,
-             origin: str, scale_sources: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-    """One row per included image with everything it depends on.
+             origin: str, scale_sources: tuple[str, ...], gly_basis: str = "mass_pct") -> tuple[DataFrame, DataFrame]:
+    """One row per image that is not excluded with everything it depends on.
 
     Returns (manifest, excluded images).  A row that breaks the contract keeps
-    its place with the names of its ``faults``; nothing is dropped silently.
-    ``images`` carries a ``content_sha256`` of its pixels (see pixel_digest).
+    its place with the names of its ``faults``; an image whose ``include`` is
+    neither yes nor no, or that is excluded without a reason, is such a row.
+    Rows in are rows out of the two tables together.  ``images`` carries a
+    ``content_sha256`` of its pixels (see pixel_digest).
     """
     excluded = images.limit(0)
     if "include" in images.columns:
-        images, excluded, _ = split_included(images, "include", "exclusion_reason")
-    copies = images.groupBy("content_sha256").agg(F.count(F.lit(1)).alias("_copies"))
-    m = images.join(copies, "content_sha256", "left").withColumn("_name", parse_capture_name(F.element_at(F.split("path", "/"), -1)))
-    m = role_lookup(m, frames, {"ref_id": "REF", "dark_id": "DARK"}, "frame_id", "kind", list(ACQUISITION_FIELDS), ["path"])
-    # The condition key belongs to the run: text is built per run, not per image.
+        reason = "exclusion_reason" if "exclusion_reason" in images.columns else "include"
+        marked = images.withColumn("_inclusion", inclusion("include", reason))
+        excluded, images = marked.where("_inclusion = 'excluded'").drop("_inclusion"), marked.where("_inclusion <> 'excluded'")
+    else:
+        images = images.withColumn("_inclusion", F.lit("included"))
+    m = images.withColumn("_name", parse_capture_name(F.element_at(F.split("path", "/"), -1)))
+    for key in ("content_sha256", "image_id", "path", "matched_region_id"):
+        m = mark_repeated(m, key, f"_twice_{key}")
+    file_name = parse_capture_name(F.element_at(F.split("path", "/"), -1))
+    frames = frames.select("*", file_name["kind"].alias("name_kind"), file_name["session_id"].alias("name_session"),
+                           reduce(lambda a, b: a | b, acquisition_faults().values()).alias("acquisition_fault"))
+    m = role_lookup(m, frames, {"ref_id": "REF", "dark_id": "DARK"}, "frame_id", "kind", list(ACQUISITION_FIELDS),
+                    ["path", "name_kind", "name_session", "acquisition_fault"])
+    # The condition key and the contract of a run belong to the run: built per run, not per image.
     run_side = runs.select("run_id", *RUN_FIELDS, F.col("session_id").alias("_run_session"), F.col("batch_id").alias("_run_batch"),
-                           condition_key("T_C", "gly_pct", "gly_basis").alias("_run_key"))
-    m = exactly_one(m, run_side, ["run_id"], [*RUN_FIELDS, "_run_session", "_run_batch", "_run_key"]).withColumnRenamed("match_status", "_run_status")
-    m = exactly_one(m, layout, ["slot"], list(LAYOUT_FIELDS)).withColumnRenamed("match_status", "_layout_status")
-    lab = labels.select("measurement_id", *[F.col(c).alias(f"_l_{c}") for c in LABEL_FIELDS],
-                        F.col("thickness_nm").alias("label_nm"), F.col("thickness_sd_nm").alias("label_sd_nm"),
-                        F.col("z_lo_um").alias("label_z_lo_um"), F.col("z_hi_um").alias("label_z_hi_um"), "match_basis",
-                        F.col("n_sites").alias("_sites"))
+                           condition_key("T_C", "gly_pct", "gly_basis").alias("_run_key"), flags_text(run_faults(gly_basis)).alias("_run_faults"))
+    m = exactly_one(m, run_side, ["run_id"], [*RUN_FIELDS, "_run_session", "_run_batch", "_run_key", "_run_faults"]).withColumnRenamed("match_status", "_run_status")
+    plan = layout.select("slot", *LAYOUT_FIELDS, flags_text(layout_faults()).alias("_layout_faults"))
+    m = exactly_one(m, plan, ["slot"], [*LAYOUT_FIELDS, "_layout_faults"]).withColumnRenamed("match_status", "_layout_status")
+    lab = mark_repeated(labels, "matched_region_id", "_l_twice")
+    lab = lab.select("measurement_id", *[F.col(c).alias(f"_l_{c}") for c in LABEL_FIELDS],
+                     F.col("thickness_nm").alias("label_nm"), F.col("thickness_sd_nm").alias("label_sd_nm"),
+                     F.col("z_lo_um").alias("label_z_lo_um"), F.col("z_hi_um").alias("label_z_hi_um"), "match_basis",
+                     F.col("n_sites").alias("_sites"), "_l_twice")
     m = m.withColumn("_asked", F.when(~F.col("measurement_id").rlike(r"^\s*$"), F.col("measurement_id")))
     m = optional_match(m, lab, "_asked", "measurement_id", [c for c in lab.columns if c != "measurement_id"])
+    m = mark_repeated(m, "_asked", "_shared", F.col("label_status") == "ok")
 
     trench, flat = F.col("kind") == "trench", F.col("kind") == "flat"
     name = F.col("_name")
     agree = reduce(lambda a, b: a & b, [same_field(c, name[c]) for c in ("run_id", "chip", "slot", "pos")])
-    basis = F.element_at(F.split("condition_id", "_", 3), -1)
-    key = F.when(trench, F.col("_run_key")).when(flat, condition_key(name["T_C"], name["gly_pct"], basis))
+    key = F.when(trench, F.col("_run_key")).when(flat, condition_key(name["T_C"], name["gly_pct"], F.lit(gly_basis)))
+    flat_fields = [F.col(c).isNull() | same_field(c, name[c]) for c in ("T_C", "gly_pct", "substrate", "t_min") if c in images.columns]
     labelled = F.col("label_status") == "ok"
     registered = reduce(lambda a, b: a & b, [same_field(c, f"_l_{c}") for c in LABEL_FIELDS])
     numbers = reduce(lambda a, b: a & b, [is_finite(c) for c in ("label_nm", "label_sd_nm", "_sites", "label_z_lo_um", "label_z_hi_um")])
-    valid_label = (numbers & (F.col("label_nm") > 0) & (F.col("label_sd_nm") >= 0) & (F.col("_sites") >= 1)
+    valid_label = (numbers & (F.col("label_nm") > 0) & (F.col("label_sd_nm") >= 0) & (F.col("_sites") >= 1) & is_integer_valued("_sites")
                    & (F.col("label_z_lo_um") >= 0) & (F.col("label_z_lo_um") < F.col("label_z_hi_um"))
                    & (F.col("label_z_hi_um") <= F.col("L_um")) & (F.col("match_basis") == "validated_region_average"))
-    scale = F.col("um_per_px").cast("double")
     no = lambda c: ~F.coalesce(c, F.lit(False))
+
+    def frame_name(role: str, kind: str) -> Column:
+        named = (F.col(f"{role}_name_kind") == kind) & (F.col(f"{role}_name_session") == F.col("session_id")) & ~F.col(f"{role}_acquisition_fault")
+        return (F.col(f"{role}_status") == "ok") & no(named)
+
+    required = ["condition_id", "batch_id", "specimen_id", "matched_region_id"]
     faults = {
+        "include_text": F.col("_inclusion") == "include_text",
+        "exclusion_reason": F.col("_inclusion") == "exclusion_reason",
+        "image_id_text": no(F.col("image_id").rlike("^[A-Za-z0-9_.-]+$") & ~F.col("image_id").isin(".", "..")),
+        "image_id_repeated": F.col("_twice_image_id"),
+        "path_repeated": F.col("_twice_path"),
+        "region_repeated": F.col("_twice_matched_region_id"),
+        "missing_fields": reduce(lambda a, b: a | b, [F.col(c).isNull() for c in required]),
         "path_outside_root": no(is_contained_path("path")),
         "origin_mismatch": no(F.col("origin") == origin),
         "kind_name_mismatch": no(F.col("kind") == name["kind"]),
         "acquisition": reduce(lambda a, b: a | b, acquisition_faults().values()),
         "ref_frame": F.col("ref_id_status") != "ok",
         "dark_frame": F.col("dark_id_status") != "ok",
-        "pixel_scale": no(is_finite(scale) & (scale > 0)) | no(F.col("scale_source").isin(*scale_sources)),
-        "orientation": no(F.col("orientation").isin("x+", "x-", "y+", "y-")),
+        "ref_frame_name": frame_name("ref_id", "REF"),
+        "dark_frame_name": frame_name("dark_id", "DARK"),
+        "pixel_scale": ~is_decimal_text("um_per_px") | no(F.col("scale_source").isin(*scale_sources)),
+        "orientation": no(F.col("orientation").isin(*ORIENTATIONS)),
+        "roi_mode": no(F.col("roi_mode").isin("auto", "manual")),
         "name_fields": trench & no(agree),
+        "flat_fields": flat & no(reduce(lambda a, b: a & b, flat_fields, F.lit(True))),
         "run_join": trench & (F.col("_run_status") != "ok"),
         "layout_join": trench & (F.col("_layout_status") != "ok"),
         "run_fields": trench & (F.col("_run_status") == "ok") & no((F.col("_run_session") == F.col("session_id")) & (F.col("_run_batch") == F.col("batch_id"))),
+        "run_values": trench & (F.col("_run_faults") != ""),
+        "layout_values": trench & (F.col("_layout_faults") != ""),
         "condition_id": (flat | (F.col("_run_status") == "ok")) & no(key == F.col("condition_id")),
         "label_join": trench & F.col("label_status").isin("missing_label", "ambiguous_label"),
+        "label_region_repeated": trench & labelled & F.col("_l_twice"),
         "label_registration": trench & labelled & no(registered),
         "label_values": trench & labelled & no(valid_label),
-        "duplicate_content": F.col("_copies") > 1,
+        "label_shared": trench & F.col("_shared"),
+        "duplicate_content": F.col("_twice_content_sha256"),
     }
     trench_id = F.concat_ws("_", F.col("run_id"), F.concat(F.lit("C"), F.col("chip").cast("int").cast("string")),
                             F.concat(F.lit("T"), F.col("slot").cast("int").cast("string")))
-    m = m.withColumns({"faults": flags_text(faults), "trench_id": F.when(trench, trench_id)})
-    return m.drop(*[c for c in m.columns if c.startswith("_")]), excluded
+    m = m.withColumns({"faults": flags_text(faults), "trench_id": F.when(trench, trench_id), "um_per_px": F.col("um_per_px").try_cast("double")})
+    extra = [f"{r}_{c}" for r in ("ref_id", "dark_id") for c in ("name_kind", "name_session", "acquisition_fault")]
+    return m.drop(*[c for c in m.columns if c.startswith("_")], *extra), excluded
 
 
 def manifest_dependencies(m: DataFrame, files: DataFrame) -> DataFrame:
@@ -222,6 +290,15 @@ def score_source(regions: DataFrame, calibration: DataFrame, value: str, role: s
             "scores": scored, "points": points, "report": Q.theory_report(points, "condition_id")}
 
 
+def refuse(bad: DataFrame, key: str | Column, reason: str, what: str) -> None:
+    """Raise with the number of offending rows per reason and one example each;
+    the rows themselves stay in the table that was given."""
+    key = F.col(key) if isinstance(key, str) else key
+    found = bad.groupBy(F.col(reason).alias("r")).agg(F.count(F.lit(1)).alias("n"), F.min(key.cast("string")).alias("e")).orderBy("r").collect()
+    if found:
+        raise ContractViolation(f"{sum(r['n'] for r in found)} {what}: " + "; ".join(f"{r['r']} ({r['n']}, e.g. {r['e']})" for r in found))
+
+
 def run_study(m: DataFrame, pixels: DataFrame, ref: DataFrame, dark: DataFrame, thickness: DataFrame, viscosity: DataFrame,
               cfg, height: int, width: int, alphas=(0.01, 0.1, 1.0)) -> dict[str, DataFrame]:
     """The whole chain on an accepted manifest; each stage is cut once where
@@ -230,14 +307,10 @@ def run_study(m: DataFrame, pixels: DataFrame, ref: DataFrame, dark: DataFrame,
     from ..operators import metrics as X
     from ..operators import models as M
     from ..session import durable
-    broken = m.where("faults <> ''").select("image_id", "faults").limit(5).collect()
-    if broken:
-        raise ContractViolation("; ".join(f"{r['image_id']}: {r['faults']}" for r in broken))
+    refuse(m.where("faults <> ''"), "image_id", "faults", "images with faults")
     lines, cal = calibrate(thickness, viscosity, cfg)
     cal = durable(cal)
-    bad = cal.where("status <> 'OK'").select("T_C", "gly_pct", "status").limit(5).collect()
-    if bad:
-        raise ContractViolation("; ".join(f"{r['T_C']}/{r['gly_pct']}: {r['status']}" for r in bad))
+    refuse(cal.where("status <> 'OK'"), F.concat_ws("/", "T_C", "gly_pct"), "status", "conditions without a calibration")
     regions, tiles, qc = extract_regions(pixels, m, ref, dark, cfg, height, width)
     regions = durable(regions)
     labelled = regions.where("status = 'PASS' and label_nm is not null and kind = 'trench'")

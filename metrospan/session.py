@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+_shipped: set[str] = set()
 
 
 def local_session(cpus: str = "8", partitions: int = 8) -> SparkSession:
@@ -18,6 +24,7 @@ def local_session(cpus: str = "8", partitions: int = 8) -> SparkSession:
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
@@ -31,7 +38,8 @@ def shared_folder(spark: SparkSession) -> str:
         if named is None:
             if not sc.master.startswith("local"):
                 raise RuntimeError("spark.checkpoint.dir must name a shared folder")
-            named = tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp")
+            named = tempfile.mkdtemp(prefix="spark-checkpoint-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)  # our own, so ours to clear
         sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
@@ -43,14 +51,23 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Broadcast hint for a side that was counted and is small; otherwise the
-    side as it is, for a shuffle join whose hot keys Spark splits.
+def stored(df: DataFrame, name: str = "part") -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: the copy survives
+    the loss of executors, and the planner knows its size in bytes, by which it
+    broadcasts a small side and shuffles a large one."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
-    Meant for group-sized results of a large table: the planner only knows the
-    table's size and would shuffle every row to meet a few groups.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application: a worker
+    started elsewhere cannot import it from the driver's folder."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/metrospan", "zip", root, "metrospan"))
+        _shipped.add(sc.applicationId)
 
 
 def shuffle_width(spark: SparkSession) -> int:

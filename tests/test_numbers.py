@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from metrospan.functions import transport as X
 from metrospan.functions.errors import ratio_sd
-from metrospan.functions.student import quantile_table, t_two_sided_p
+from metrospan.functions.student import t_quantile_975, t_two_sided_p
 from metrospan.operators import pairs as P
 from metrospan.operators import resample as S
 from metrospan.operators.grid import interpolate
@@ -74,13 +74,18 @@ def test_zero_sd_is_not_missing_sd(spark):
 
 
 def test_student(spark):
-    # Published 0.975 quantiles.
-    for df, q in {1: 12.7062, 2: 4.30265, 3: 3.18245, 5: 2.57058, 10: 2.22814, 30: 2.04227, 100: 1.98397}.items():
-        assert quantile_table()[df - 1] == pytest.approx(q, abs=5e-5)
-        p = spark.range(1).select(t_two_sided_p(F.lit(quantile_table()[df - 1]), F.lit(df))).first()[0]
-        assert p == pytest.approx(0.05, abs=1e-9)
-    a, b = (spark.range(1).select(t_two_sided_p(F.lit(2.3), F.lit(df))).first()[0] for df in (200, 201))
-    assert 0 < a - b < 5e-5  # series and expansion meet
+    # Published 0.975 quantiles and two-sided tail probabilities.
+    quantiles = {1: 12.7062047, 2: 4.3026527, 3: 3.1824463, 5: 2.5705818, 10: 2.2281389, 30: 2.0422725, 100: 1.9839715, 200: 1.9718962, 1000: 1.9623391, 10000: 1.9602012}
+    tails = {(1, 1.0): 0.5, (2, 2.0): 0.1835034, (10, 2.3): 0.04425431, (30, 8.5): 1.744039e-9, (1000, 9.0): 1.1129077e-18}
+    df = spark.createDataFrame([(n, float(q)) for n, q in quantiles.items()], "df int, q double")
+    for r in df.select("q", t_quantile_975("df").alias("t"), t_two_sided_p("q", "df").alias("p")).collect():
+        assert r.t == pytest.approx(r.q, abs=1e-7) and r.p == pytest.approx(0.05, abs=5e-8)
+    got = {(n, t): spark.range(1).select(t_two_sided_p(F.lit(t), F.lit(n))).first()[0] for n, t in tails}
+    for key, p in tails.items():
+        assert got[key] == pytest.approx(p, rel=2e-6)
+    every = spark.range(1, 10001).select(F.col("id").cast("int").alias("df"), t_two_sided_p(F.lit(2.3), F.col("id").cast("int")).alias("p")).orderBy("df").collect()
+    steps = [a.p - b.p for a, b in zip(every, every[1:])]
+    assert all(0 < d for d in steps) and all(b <= a for a, b in zip(steps, steps[1:]))  # smooth: no switch anywhere
 
 
 def test_calibration_scaling(spark):

@@ -72,10 +72,12 @@ def build(t, **change):
     ({"kind": "flat"}, "kind_name_mismatch"), ({"ref_id": "DARK1"}, "ref_frame"), ({"dark_id": "none"}, "dark_frame"), ({"um_per_px": -1.0}, "pixel_scale"),
     ({"orientation": "z"}, "orientation"), ({"batch_id": "other"}, "run_fields"), ({"condition_id": "25C_G99_mass_pct"}, "condition_id"),
     ({"measurement_id": "nobody"}, "label_join"), ({"measurement_id": "M01bot"}, "label_registration"), ({"content_sha256": "hash-01bot"}, "duplicate_content"),
-    ({"gamma": 2.2}, "acquisition")])
+    ({"gamma": 2.2}, "acquisition"), ({"include": "maybe"}, "include_text"), ({"include": None}, "include_text"), ({"include": "false"}, "exclusion_reason"),
+    ({"image_id": "a b"}, "image_id_text"), ({"specimen_id": None}, "missing_fields"), ({"roi_mode": "free"}, "roi_mode"), ({"matched_region_id": "region-01bot"}, "region_repeated"),
+    ({"path": "raw/R01_C1_T1_bot.tif"}, "path_repeated"), ({"session_id": "S2"}, "run_fields"), ({"measurement_id": "M01bot"}, "label_shared")])
 def test_manifest_faults(tables, change, fault):
     m, excluded = build(tables, **change)
-    got = m.where("image_id = '01top'").first().faults.split(";")
+    got = m.where("image_id in ('01top', 'a b')").first().faults.split(";")
     assert fault in got and (fault or m.where("faults <> ''").isEmpty()) and excluded.isEmpty()
 
 
