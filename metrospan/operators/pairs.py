@@ -117,32 +117,36 @@ def interval_gaps(df: DataFrame, key: str, lo: str, hi: str, tolerance: float =
         F.max("gap").alias("max_gap"))
 
 
-def theory_scores(pairs: DataFrame, calibration: DataFrame, on: list[str]) -> DataFrame:
+def theory_scores(pairs: DataFrame, calibration: DataFrame, on: list[str], used: DataFrame | None = None, ids: list[str] = ()) -> DataFrame:
     """Observed ratio next to the closed-form ratio over the same intervals.
 
     ``pairs``: rows with geometry, ``top_intervals``/``bot_intervals`` (um) and
-    ``prediction_role``; ``calibration``: ks_glass, ks_pdms, D, k_end and
-    optionally ``measurement_ids``.  Every row stays, with a ``score_status``:
+    ``prediction_role``; ``calibration``: ks_glass, ks_pdms, D, k_end;
+    ``used``: the ``id`` values that went into the calibration, compared with
+    the columns ``ids`` of the pairs.  Every row stays, with a ``score_status``:
     SCORED, or the first of not_a_passing_pair, role_not_scorable (final
-    re-predictions are never scored), calibration_missing,
-    calibration_ambiguous, calibration_incomplete.  Only SCORED rows have a
-    model value; ``score_violations`` counts the others.
+    re-predictions are never scored), calibration_shares_id (circular),
+    calibration_missing, calibration_ambiguous, calibration_incomplete.  Only
+    SCORED rows have a model value; ``score_violations`` counts the others.
     """
     from ..session import durable
     from .joins import exactly_one
 
     calibration = durable(calibration.select(*on, "ks_glass", "ks_pdms", "D", "k_end"))
-    t = exactly_one(pairs, calibration, on, ["ks_glass", "ks_pdms", "D", "k_end"], derived=True)
+    t = exactly_one(pairs, calibration, on, ["ks_glass", "ks_pdms", "D", "k_end"], derived=True).withColumn("_circular", F.lit(False))
+    for c in ids if used is not None else ():
+        own = used.select(F.col("id").cast("string").alias("_id")).where("_id is not null").distinct()
+        t = t.join(own, F.col(c).cast("string") == F.col("_id"), "left").withColumn("_circular", F.col("_circular") | F.col("_id").isNotNull()).drop("_id")
     status = (F.when(~F.col("status").eqNullSafe("PASS"), "not_a_passing_pair")
               .when(~F.coalesce(F.col("prediction_role").isin(*SCORABLE_ROLES), F.lit(False)), "role_not_scorable")
-              .when(F.col("match_status") == "ambiguous", "calibration_ambiguous")
+              .when(F.col("_circular"), "calibration_shares_id").when(F.col("match_status") == "ambiguous", "calibration_ambiguous")
               .when(F.col("match_status") != "ok", "calibration_missing"))
     w, h, length = "w_um * 1e-6D", "h_um * 1e-6D", "L_um * 1e-6D"
     walls = wall_perimeters(w, h, "faces", ["left_material", "right_material", "floor_material", "ceiling_material"])
     shape = channel_coefficients(w, h, length, walls, {"glass": "ks_glass", "pdms": "ks_pdms"}, "D", "k_end")
     t = t.withColumn("_c", F.expr(shape))
     status = F.coalesce(status, F.when(F.col("_c.da").isNull() | F.col("_c.biot").isNull(), "calibration_incomplete"), F.lit("SCORED"))
-    t = t.withColumn("score_status", status).withColumn("_c", F.when(F.col("score_status") == "SCORED", F.col("_c"))).drop("match_status")
+    t = t.withColumn("score_status", status).withColumn("_c", F.when(F.col("score_status") == "SCORED", F.col("_c"))).drop("match_status", "_circular")
     t = t.withColumns({"Da": F.col("_c.da"), "Bi_end": F.col("_c.biot"), "phi": F.sqrt("_c.da")}).drop("_c")
     below, above = (interval_log_mean(f"{side}_intervals", "L_um", "phi", "Bi_end") for side in ("bot", "top"))
     t = t.withColumns({"SC_model": F.expr(f"exp({below} - {above})"), "SC_endpoint": F.expr(coverage("phi", "Bi_end"))})

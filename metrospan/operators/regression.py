@@ -185,6 +185,49 @@ def drift_flags(df: DataFrame, by: list[str], value: str, nominal, limit: float
         "concentration_change", (F.col("relative_range") > limit) | (F.col("n_off_nominal") > 0))
 
 
+def annotated_lines(df: DataFrame, by: list[str], x: str, y: str, *, concentration: str | None = None, nominal: float = 0.0,
+                    levels: tuple[float, ...] = (), **options) -> DataFrame:
+    """``fit_lines`` whose flags also name a concentration that drifted, with
+    the design levels never measured (n_missing, missing)."""
+    from .contracts import missing_levels
+    lines = fit_lines(df, by, x, y, **options)
+    if concentration:
+        drift = drift_flags(df, by, concentration, nominal).select(*by, "concentration_change")
+        lines = lines.join(drift, by, "left").withColumn("flags", F.concat_ws(
+            ";", F.nullif(F.col("flags"), F.lit("")), F.when(F.col("concentration_change"), "concentration_change"))).drop("concentration_change")
+    return lines.join(missing_levels(df, by, x, list(levels)), by, "left") if levels else lines
+
+
+def growth_violations(df: DataFrame, origin: str) -> DataFrame:
+    """Rule table of the growth measurements before any line is fitted."""
+    from ..functions.rules import is_blank, is_finite
+    from .contracts import combine, row_rules, unique_rule
+    number = {c: F.col(c).try_cast("double") for c in ("T_C", "gly_pct", "t_min", "thickness_nm")}
+    rules = {
+        "substrate": ("substrate", ~F.col("substrate").isin("glass", "pdms")),
+        "provenance": ("specimen_id", is_blank("specimen_id") | is_blank("method") | is_blank("source")),
+        "origin": ("origin", F.col("origin") != origin),
+        "finite": ("thickness_nm", ~(is_finite("T_C") & is_finite("gly_pct") & is_finite("t_min") & is_finite("thickness_nm"))),
+        "ranges": ("t_min", ~((number["thickness_nm"] >= 0) & (number["t_min"] > 0) & (number["T_C"] > -273.15) & number["gly_pct"].between(0, 100))),
+    }
+    if "thickness_sd_nm" in df.columns:
+        rules["sd"] = ("thickness_sd_nm", ~(is_finite("thickness_sd_nm") & (F.col("thickness_sd_nm").try_cast("double") >= 0)))
+    return combine(row_rules(df, rules, "measurement_id"), unique_rule(df, ["measurement_id"]))
+
+
+def viscosity_violations(df: DataFrame, origin: str, basis: str) -> DataFrame:
+    """Rule table of the viscosities."""
+    from ..functions.rules import is_blank, is_finite
+    from .contracts import combine, row_rules, unique_rule
+    eta, sd = (F.col(c).try_cast("double") for c in ("eta_Pa_s", "eta_sd_Pa_s"))
+    rules = {
+        "unit": ("eta_unit", F.col("eta_unit") != "Pa_s"), "basis": ("gly_basis", F.col("gly_basis") != basis),
+        "provenance": ("source", is_blank("source")), "origin": ("origin", F.col("origin") != origin),
+        "value": ("eta_Pa_s", ~(is_finite("eta_Pa_s") & (eta > 0))), "sd": ("eta_sd_Pa_s", ~(is_finite("eta_sd_Pa_s") & (sd >= 0))),
+    }
+    return combine(row_rules(df, rules, "T_C"), unique_rule(df, ["T_C", "gly_pct"]))
+
+
 def calibration_table(growth: DataFrame, viscosity: DataFrame, by: list[str], cfg) -> DataFrame:
     """Per-condition rates, diffusivity and end rate from fitted growth lines.
 

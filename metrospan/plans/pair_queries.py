@@ -85,7 +85,7 @@ def ratio_sd_query(spark, sf):
 
 
 _SCORED = OBS_SQL + ", " + CALIBRATION_SQL.removeprefix("WITH ") + f""",
-x0 AS (SELECT q.*, phi1, bi1, CASE WHEN reason <> '' THEN 'not_a_passing_pair' WHEN vt > 120 THEN 'role_not_scorable' WHEN phi1 IS NULL THEN 'calibration_missing' ELSE 'SCORED' END AS score_status
+x0 AS (SELECT q.*, phi1, bi1, CASE WHEN reason <> '' THEN 'not_a_passing_pair' WHEN vt > 120 THEN 'role_not_scorable' WHEN specimen_id IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2) THEN 'calibration_shares_id' WHEN phi1 IS NULL THEN 'calibration_missing' ELSE 'SCORED' END AS score_status
   FROM q LEFT JOIN unit ON "T_C" = CASE WHEN dow = 6 THEN 99 ELSE 25 + 20 * (dow % 3) END AND gly_pct = 10 * (dow + 1)),
 x AS (SELECT trench_id, condition_id, ar, sc, score_status, CASE WHEN score_status = 'SCORED' THEN phi1 * ar END AS phi, bi1 * ar AS bi, ar * 30 AS len, CASE WHEN ar = 9 THEN ar * 30 - 40 ELSE ar * 30 - 34 END AS bhi FROM x0),
 y AS (SELECT * REPLACE (CASE WHEN phi IS NOT NULL THEN bi END AS bi), {sql_mean_u('(len - 66) / len', 'bhi / len', 'phi', 'bi')} / {sql_mean_u('34 / len', '66 / len', 'phi', 'bi')} AS model, {sql_u('1', 'phi', 'bi')} AS endpoint FROM x)"""
@@ -106,7 +106,8 @@ def scored_pairs(spark, sf):
         "top_intervals": F.array(interval(34.0, 50.0), interval(50.0, 66.0)),
         "bot_intervals": F.when(F.col("AR") == 9, F.array(interval(length - 66, length - 40))).otherwise(
             F.array(interval(length - 66, length - 50), interval(length - 50, length - 34)))})
-    return P.theory_scores(t, calibration(spark, sf), COND)
+    used = table(spark, sf, "nation").where("n_regionkey = 2").select(F.col("n_nationkey").alias("id"))
+    return P.theory_scores(t, calibration(spark, sf), COND, used, ["specimen_id"])
 
 
 @query("theory_scores", _SCORED + f"""

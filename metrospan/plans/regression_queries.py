@@ -59,24 +59,21 @@ def ols_known_sd(spark, sf):
 @query("ols_lack_of_fit", LINES_SQL + f""", q AS (
   SELECT {_HEAD}, max(n) AS n, sum(e * e) AS sse, sum(c * c) AS s2, sum(c * c * c) AS s3, sum(c * c * c * c) AS s4, sum(c * c * e) AS qe FROM res GROUP BY 1, 2, 3),
 f AS (SELECT *, qe * qe / (s4 - s2 * s2 / n - s3 * s3 / s2) AS gain FROM q), g AS (SELECT *, sqrt(gain / ((sse - gain) / (n - 3))) AS t FROM f)
-SELECT {_HEAD}, {sr('sse - gain', 6)} AS rest, {sr(sql_t_two_sided('t', '(n - 3)'), 8)} AS quadratic_p FROM g""")
+SELECT {_HEAD}, {sr('sse', 6)} AS rss, {sr(sql_t_two_sided('t', '(n - 3)'), 8)} AS quadratic_p FROM g""")
 def ols_lack_of_fit(spark, sf):
-    g = growth(spark, sf)
-    m = R.line_moments(g, GROUP, "t_min", "thickness_nm")
-    s = m.join(R.residual_sums(g, m, GROUP, "t_min", "thickness_nm"), GROUP)
-    n = F.col("n").cast("double")
-    own = F.col("_q2") - F.col("_q") * F.col("_q") / n - F.col("_q3") * F.col("_q3") / F.col("sxx")
-    rest = F.col("rss") - F.col("_qe") * F.col("_qe") / own
-    return s.select(*GROUP, rnd(rest, 6).alias("rest"), rnd(R._curvature_p(n, F.col("sxx")), 8).alias("quadratic_p"))
+    return growth_lines(spark, sf).select(*GROUP, rnd("rss", 6).alias("rss"), rnd("quadratic_p", 8).alias("quadratic_p"))
 
 
 @query("growth_flags", LINES_SQL + f""", s AS (SELECT {_HEAD}, max(n) AS n, max(b) AS b, max(sxx) AS sxx, sum(e * e) AS rss, sum(c * c) AS s2, sum(c * c * c) AS s3,
     sum(c * c * c * c) AS s4, sum(c * c * e) AS qe FROM res GROUP BY 1, 2, 3),
 f AS (SELECT *, qe * qe / (s4 - s2 * s2 / n - s3 * s3 / s2) AS gain, {sql_t975('(n - 2)')} AS tq FROM s), g AS (SELECT *, sqrt(gain / ((rss - gain) / (n - 3))) AS t FROM f)
 SELECT {_HEAD}, concat_ws(';', CASE WHEN b - tq * sqrt(rss / (n - 2) / sxx) <= 0 THEN 'positive_growth_not_resolved_at_95pct' END,
-  CASE WHEN {sql_t_two_sided('t', '(n - 3)')} < 0.05 THEN 'nonlinear_growth' END) AS flags FROM g""")
+  CASE WHEN {sql_t_two_sided('t', '(n - 3)')} < 0.05 THEN 'nonlinear_growth' END, CASE WHEN gly_pct = 10 THEN 'concentration_change' END) AS flags, len(gone)::BIGINT AS n_missing, array_to_string(gone, '|') AS missing
+FROM g JOIN (SELECT "T_C", gly_pct, substrate, list_filter([10.0, 20.0, 30.0, 40.0, 60.0], lambda v: NOT list_contains(list(x), v)) AS gone FROM growth GROUP BY 1, 2, 3) USING ("T_C", gly_pct, substrate)""")
 def growth_flags(spark, sf):
-    return growth_lines(spark, sf).select(*GROUP, "flags")
+    """The concentration record drifts in the first composition; no time of 60 was measured."""
+    g = growth(spark, sf).withColumn("c0", F.lit(50.0) + F.when(F.col("gly_pct") == 10, (F.col("disc") - 0.05) * 16).otherwise(0.0))
+    return R.annotated_lines(g, GROUP, "t_min", "thickness_nm", concentration="c0", nominal=50.0, levels=(10.0, 20.0, 30.0, 40.0, 60.0)).select(*GROUP, "flags", "n_missing", "missing")
 
 
 @query("drift_flag", f"""

@@ -262,10 +262,16 @@ def extract_regions(pixels: DataFrame, images: DataFrame, ref: DataFrame, dark:
 
 def calibrate(thickness: DataFrame, viscosity: DataFrame, cfg) -> tuple[DataFrame, DataFrame]:
     """Growth lines and the per-condition calibration."""
-    from ..operators.regression import calibration_table, fit_lines
+    from ..operators.contracts import raise_on_violation
+    from ..operators.regression import annotated_lines, calibration_table, growth_violations, viscosity_violations
     sd = "thickness_sd_nm" if "thickness_sd_nm" in thickness.columns else None
-    lines = fit_lines(thickness, ["T_C", "gly_pct", "substrate"], "t_min", "thickness_nm", cluster="specimen_id", known_sd=sd,
-                      induction_fraction=cfg.induction_fraction, nonlinear_alpha=cfg.nonlinear_alpha)
+    if {"method", "source", "origin", "measurement_id"} <= set(thickness.columns):
+        raise_on_violation(growth_violations(thickness, cfg.origin))
+    if {"eta_unit", "eta_sd_Pa_s", "gly_basis", "source", "origin"} <= set(viscosity.columns):
+        raise_on_violation(viscosity_violations(viscosity, cfg.origin, cfg.gly_basis))
+    lines = annotated_lines(thickness, ["T_C", "gly_pct", "substrate"], "t_min", "thickness_nm", cluster="specimen_id", known_sd=sd,
+                            concentration="C0_mol_m3" if "C0_mol_m3" in thickness.columns else None, nominal=cfg.C0_mol_m3, levels=(10.0, 20.0, 30.0, 40.0),
+                            induction_fraction=cfg.induction_fraction, nonlinear_alpha=cfg.nonlinear_alpha)
     return lines, calibration_table(lines, viscosity, ["T_C", "gly_pct"], cfg)
 
 
@@ -274,8 +280,10 @@ PAIR_FIELDS = ["condition_id", "specimen_id", "batch_id", "AR", "L_um", "w_um",
                "right_material", "floor_material", "ceiling_material", "T_C", "gly_pct"]
 
 
-def score_source(regions: DataFrame, calibration: DataFrame, value: str, role: str | None, cfg) -> dict[str, DataFrame]:
-    """Pairs, pair summary, theory scores, points and report of one value column."""
+def score_source(regions: DataFrame, calibration: DataFrame, value: str, role: str | None, cfg, used: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Pairs, pair summary, theory scores, points and report of one value
+    column; ``used`` are the ids of the calibration's specimens and
+    measurements, which no scored pair may share."""
     from ..operators import pairs as Q
     rows = regions.where("kind = 'trench'")
     if role is None:
@@ -284,10 +292,10 @@ def score_source(regions: DataFrame, calibration: DataFrame, value: str, role: s
                          carry=["observed_intervals", "measurement_id"])
     pairs = pairs.withColumns({"prediction_role": F.col("top_prediction_role"), "top_intervals": F.col("top_observed_intervals"),
                                "bot_intervals": F.col("bot_observed_intervals")})
-    scored = Q.theory_scores(pairs, calibration, ["T_C", "gly_pct"])
+    scored = Q.theory_scores(pairs, calibration, ["T_C", "gly_pct"], used, ["specimen_id", "top_measurement_id", "bot_measurement_id"])
     points = Q.theory_points(scored, ["condition_id", "AR"])
     return {"pairs": pairs, "summary": Q.pair_summary(pairs, ["condition_id", "AR"], "specimen_id", "batch_id"),
-            "scores": scored, "points": points, "report": Q.theory_report(points, "condition_id")}
+            "scores": scored, "violations": Q.score_violations(scored), "points": points, "report": Q.theory_report(points, "condition_id")}
 
 
 def refuse(bad: DataFrame, key: str | Column, reason: str, what: str) -> None:
@@ -309,6 +317,7 @@ def run_study(m: DataFrame, pixels: DataFrame, ref: DataFrame, dark: DataFrame,
     from ..session import durable
     refuse(m.where("faults <> ''"), "image_id", "faults", "images with faults")
     lines, cal = calibrate(thickness, viscosity, cfg)
+    used = thickness.select(F.explode(F.array(*[F.col(c).cast("string") for c in ("specimen_id", "measurement_id") if c in thickness.columns])).alias("id")).distinct()
     cal = durable(cal)
     refuse(cal.where("status <> 'OK'"), F.concat_ws("/", "T_C", "gly_pct"), "status", "conditions without a calibration")
     regions, tiles, qc = extract_regions(pixels, m, ref, dark, cfg, height, width)
@@ -321,6 +330,6 @@ def run_study(m: DataFrame, pixels: DataFrame, ref: DataFrame, dark: DataFrame,
     out = {"lines": lines, "calibration": cal, "design": G.design_grid(cal, cfg), "regions": regions, "tiles": tiles, "qc": qc,
            "candidates": scores, "oof": oof, "metrics": X.regression_metrics(oof, "label_nm", "pred_nm"),
            "balanced": X.balanced_rmse(oof, "label_nm", "pred_nm", "condition_id"), "process": G.process_grid(cal, cfg)}
-    out |= {f"cross_fitted_{k}": v for k, v in score_source(oof, cal, "pred_nm", "prediction_role", cfg).items()}
-    out |= {f"label_{k}": v for k, v in score_source(labelled, cal, "label_nm", None, cfg).items()}
+    out |= {f"cross_fitted_{k}": v for k, v in score_source(oof, cal, "pred_nm", "prediction_role", cfg, used).items()}
+    out |= {f"label_{k}": v for k, v in score_source(labelled, cal, "label_nm", None, cfg, used).items()}
     return out
