@@ -179,7 +179,12 @@ def manifest_dependencies(m: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def region_boxes(images: DataFrame, edges: DataFrame, cfg, height: int, width: int) -> DataFrame:
-    """Pixel box of each region with the reason when it has none."""
+    """Pixel box of each region with the reason when it has none.
+
+    ``height`` and ``width`` are those of the raw pictures; boxes lie in the
+    canonical orientation, where a quarter-turned picture has them swapped."""
+    quarter = F.col("orientation").startswith("y")
+    height, width = F.when(quarter, width).otherwise(height), F.when(quarter, height).otherwise(width)
     b = images.join(edges.select("image_id", F.col("y0").alias("_e0"), F.col("y1").alias("_e1"), "ambiguous"), "image_id", "left")
     trench, manual = F.col("kind") == "trench", F.col("roi_mode") == "manual"
     half = cfg.window_half_um / F.col("um_per_px")
@@ -188,8 +193,8 @@ def region_boxes(images: DataFrame, edges: DataFrame, cfg, height: int, width: i
     x0, x1 = F.ceil(F.col("x_anchor_px") - half), F.floor(F.col("x_anchor_px") + half)
     y0, y1 = lo_y + cfg.wall_margin_px, hi_y - cfg.wall_margin_px
 
-    def box(auto: Column, roi: str, f, whole: int) -> Column:
-        free = F.when(manual, F.col(roi)).otherwise(F.lit(whole))
+    def box(auto: Column, roi: str, f, whole: int | Column) -> Column:
+        free = F.when(manual, F.col(roi)).otherwise(F.lit(whole) if isinstance(whole, int) else whole)
         return F.when(trench, F.when(manual, f(auto, F.col(roi))).otherwise(auto)).otherwise(free).cast("int")
 
     b = b.withColumns({"x0": box(x0, "roi_x0", F.greatest, 0), "x1": box(x1, "roi_x1", F.least, width),
@@ -211,30 +216,39 @@ def extract_regions(pixels: DataFrame, images: DataFrame, ref: DataFrame, dark:
     """Pixels to region features: (regions, tiles, image QC).
 
     ``pixels`` is (image_id, y, x, value), ``ref``/``dark`` are (ref_id / dark_id,
-    y, x, value) in the same raw orientation.  A failing image keeps its row and
-    reason; the others go on.
+    y, x, value) in the same raw orientation, ``mask`` (image_id, y, x, mask) too;
+    an image without mask rows has no mask.  Quarter-turned pictures that are not
+    square are equalised with their own height and width.  A failing image keeps
+    its row and reason; the others go on.
     """
     from ..session import durable
     meta = images.select("image_id", "orientation", "ref_id", "dark_id", "bit_depth")
     raw = pixels.join(meta, "image_id")
+    if mask is None:
+        raw = raw.withColumn("mask", F.lit(True))
+    else:
+        masked = mask.select("image_id").distinct().withColumn("_has_mask", F.lit(True))
+        raw = raw.join(mask.select("image_id", "y", "x", "mask"), ["image_id", "y", "x"], "left").join(masked, "image_id", "left")
+        raw = raw.withColumn("mask", F.col("_has_mask").isNull() | F.coalesce("mask", F.lit(False))).drop("_has_mask")
     maximum = F.pow(F.lit(2.0), F.col("bit_depth")) - 1
     corrected = P.flat_field(raw, ref, dark, ["ref_id", "y", "x"], ["dark_id", "y", "x"], maximum, cfg.t_min, cfg.t_max)
     turned = P.canonical(corrected, "orientation", height, width)
     turned = turned.drop("y", "x").withColumnsRenamed({"cy": "y", "cx": "x"})
     qc = P.image_qc(turned, "image_id", cfg.invalid_pixel_fraction_max)
-    shown = P.display_value(turned, "image_id", cfg.t_max).select("image_id", "y", "x", "T", "od", "valid", "display")
+    shown = P.display_value(turned, "image_id", cfg.t_max).select("image_id", "y", "x", "T", "od", "valid", "display", "mask", "orientation")
+    quarter = F.col("orientation").startswith("y")
+    upright = P.local_equalize(shown.where(~quarter), "image_id", "display", height, width, out="texture")
+    lying = P.local_equalize(shown.where(quarter), "image_id", "display", width, height, out="texture")
     # Read by the edge search and again by the tiles: keep one durable copy.
-    textured = durable(P.local_equalize(shown, "image_id", "display", height, width, out="texture"))
+    textured = durable(upright.unionByName(lying).drop("orientation"))
 
     widths = images.where("kind = 'trench' and roi_mode = 'auto'").select("image_id", (F.col("w_um") / F.col("um_per_px")).alias("_w"))
     edges = P.detect_channel(textured.join(widths, "image_id"), "image_id", "texture", "_w")
     boxes = durable(region_boxes(images, edges, cfg, height, width))
     inside = textured.join(boxes.where("box_reason = ''").select(
         "image_id", F.col("x0").alias("_bx0"), F.col("x1").alias("_bx1"), F.col("y0").alias("_by0"), F.col("y1").alias("_by1")), "image_id")
-    if mask is not None:
-        inside = inside.join(mask, ["image_id", "y", "x"], "left")
     tiled = P.assign_tiles(inside, cfg.tile_px, "_bx0", "_bx1", "_by0", "_by1")
-    tiles = durable(P.tile_features(tiled, "image_id", cfg.tile_px, mask="mask" if mask is not None else None))
+    tiles = durable(P.tile_features(tiled, "image_id", cfg.tile_px, mask="mask"))
 
     base = boxes.drop("x0", "x1", "y0", "y1").join(qc.select("image_id", F.col("status").alias("qc_status")), "image_id", "left")
     base = base.withColumn("labelled", F.col("label_nm").isNotNull())

@@ -127,3 +127,24 @@ def test_failing_images_keep_their_reason(tables):
     bad = {r.image_id: r.reason for r in regions.where("status = 'FAIL'").collect()}
     assert bad == {"01top": "invalid_pixels", "02top": "channel_not_found", "11top": "window_crosses_boundary", "12top": "label_support_differs"}
     assert qc.where("status = 'FAIL'").count() == 1 and regions.count() == 16
+
+
+def test_turned_and_masked_images(spark, tables):
+    m, _ = build(tables)
+    m = m.where("image_id in ('01top', '02top', '11top')").withColumn("orientation", F.when(F.col("image_id") == "01top", "y+").when(F.col("image_id") == "02top", "y-").otherwise("x+"))
+    m = m.withColumn("x_anchor_px", F.when(F.col("orientation") != "x+", 24.0).otherwise(F.col("x_anchor_px")))
+    px = tables["pixels"].where("image_id in ('01top', '02top', '11top')")
+    picture = np.full((W, H), 40000.0)  # canonical: height 64, width 48, the channel in rows 20 to 40
+    picture[20:40] = 1000 + 39000 * 10 ** -0.3
+    noise = np.random.default_rng(1).normal(0, 40, picture.shape)
+    cy, cx = np.mgrid[0:W, 0:H]
+    raw = {"01top": (cx, W - 1 - cy), "02top": (H - 1 - cx, cy)}
+    turned = spark.createDataFrame(pd.concat([pd.DataFrame({"image_id": i, "y": y.ravel(), "x": x.ravel(), "value": np.round(np.minimum(picture + noise, 39999)).ravel()}) for i, (y, x) in raw.items()]))
+    px = px.where("image_id = '11top'").unionByName(turned.select(px.columns))
+    mask = px.where("image_id = '02top'").select("image_id", "y", "x", (F.col("y") < 24).alias("mask"))
+    regions, tiles, _ = S.extract_regions(px, m, tables["ref"], tables["dark"], CFG, H, W, mask)
+    got = {r.image_id: r for r in regions.collect()}
+    assert got["01top"].n_tiles == 8 and got["11top"].n_tiles == 8 and got["01top"].feature_od_mean == pytest.approx(0.3, abs=0.01)
+    # y-: canonical x = height - 1 - y, so the mask keeps the right half of the window.
+    kept = {(r.x0, r.x1) for r in tiles.where("image_id = '02top' and complete").collect()}
+    assert kept == {(24, 32), (32, 40)} and got["02top"].n_tiles == 4
