@@ -8,6 +8,8 @@ the linear family follows from that table, whatever the number of rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -429,3 +431,42 @@ def apply_linear(df: DataFrame, model: DataFrame, features: list[str], out: str
     for i, c in enumerate(features):
         p = p + F.get(m["coef"], i + 1) * (F.col(c) - F.get(m["centre"], i))
     return df.withColumn(out, p).withColumn("negative_prediction", F.col(out) < 0)
+
+
+def save_final(model: DataFrame, train: DataFrame, features: list[str], y: str, key: str, scale: str, origin: str, path: str) -> str:
+    """A final linear model with all that inference has to check: role, columns,
+    training ranges, label range, origin, pixel scale and the training ids."""
+    from ..sources.sinks import save_models, write_once
+    from .contracts import training_ranges
+    ranges = training_ranges(train.select(*features, F.col(y).alias("_label")), [*features, "_label"])
+    about = one_row(train.agg(F.min(scale).alias("scale"), F.min(origin).alias("origin"), F.count(F.lit(1)).alias("n")))
+    meta = ranges.select("*", F.lit("final_all_labels").alias("role"), F.array(*[F.lit(c) for c in features]).alias("columns"),
+                         about["scale"].alias("pixel_size_um"), about["origin"].alias("origin"), about["n"].alias("n_train"))
+    write_once(train.select(key).distinct(), f"{path}/train_ids")
+    return save_models(model, meta, path)
+
+
+def predict_final(data: DataFrame, path: str, key: str, scale: str, origin: str, out: str = "pred") -> DataFrame:
+    """Batch inference with a saved final model.
+
+    Data of another origin, a pixel scale more than one per cent off, or a
+    feature that is not finite are refused with their counts.  Each row gets the
+    prediction, negative_prediction, outside_training_feature_range,
+    outside_training_target_range and its prediction_role.
+    """
+    from ..functions.rules import is_finite, within
+    from ..sources.sinks import load_models
+    from .contracts import flag_outside, raise_on_violation, row_rules
+    spark = data.sparkSession
+    models, meta = load_models(spark, path, "final_all_labels")
+    about = meta.select("columns", "origin", "pixel_size_um").first()  # one row
+    features = list(about["columns"])
+    finite = [is_finite(c) for c in features]
+    raise_on_violation(row_rules(data, {
+        "model_origin": (origin, F.col(origin) != about["origin"]),
+        "model_scale": (scale, ~within(F.col(scale).try_cast("double"), F.lit(about["pixel_size_um"]), 0.01, 0.0)),
+        "finite_features": ("features", ~reduce(lambda a, b: a & b, finite))}, key))
+    scored = apply_linear(flag_outside(data, meta, features, "outside_training_feature_range"), models, features, out)
+    lo, hi = (one_row(meta)[c] for c in ("lo__label", "hi__label"))
+    scored = scored.withColumn("outside_training_target_range", (F.col(out) < lo) | (F.col(out) > hi))
+    return prediction_role(scored, spark.read.parquet(f"{path}/train_ids"), key)

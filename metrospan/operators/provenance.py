@@ -54,9 +54,10 @@ def changed_files(recorded: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def verify(recorded: DataFrame, current: DataFrame) -> None:
-    bad = changed_files(recorded, current).orderBy("path").limit(20).collect()
+    """Raise with the number of changed and missing files and an example of each."""
+    bad = changed_files(recorded, current).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("e")).orderBy("status").collect()
     if bad:
-        raise ContractViolation("stale dependency files: " + ", ".join(r["path"] for r in bad))
+        raise ContractViolation("stale dependency files: " + ", ".join(f"{r['n']} {r['status']}, e.g. {r['e']}" for r in bad))
 
 
 def duplicate_content(df: DataFrame, key: str, digest: str) -> DataFrame:
@@ -66,9 +67,11 @@ def duplicate_content(df: DataFrame, key: str, digest: str) -> DataFrame:
 
 
 def pixel_digest(pixels: DataFrame, image: str) -> DataFrame:
-    """Hash of shape and pixels; the ordered list holds one image at a time."""
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("y", "x", "value"))),
-                          lambda p: p["value"].cast("string"))
-    shape = F.concat_ws("x", F.max("y") + 1, F.max("x") + 1)
-    return pixels.groupBy(image).agg(
-        F.sha2(F.concat_ws(",", shape, F.array_join(ordered, ",")), 256).alias("content_sha256"))
+    """Hash of shape, pixel type and pixels, as a digest of row digests: a list
+    holds one pixel row, then one digest for each row of an image."""
+    values = F.transform(F.sort_array(F.collect_list(F.struct("x", "value"))), lambda p: p["value"].cast("string"))
+    per_row = pixels.groupBy(image, "y").agg(F.max("x").alias("_x"), F.sha2(F.array_join(values, ","), 256).alias("_row"))
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("y", "_row"))), lambda p: p["_row"])
+    shape = F.concat_ws("x", F.max("y") + 1, F.max("_x") + 1)
+    return per_row.groupBy(image).agg(
+        F.sha2(F.concat_ws(",", shape, F.lit(dict(pixels.dtypes)["value"]), F.array_join(rows, ",")), 256).alias("content_sha256"))

@@ -317,6 +317,7 @@ def pixel_diff(spark, sf):
     return D.pixel_diff(p, b, "vec_id")
 
 
-@query("pixel_digest", PIX + " SELECT vec_id, sha256('8x8,' || string_agg(value::VARCHAR, ',' ORDER BY y, x)) AS content_sha256 FROM pix GROUP BY 1")
+@query("pixel_digest", PIX + """, r AS (SELECT vec_id, y, sha256(string_agg(value::VARCHAR, ',' ORDER BY x)) AS h FROM pix GROUP BY 1, 2)
+SELECT vec_id, sha256('8x8,int,' || string_agg(h, ',' ORDER BY y)) AS content_sha256 FROM r GROUP BY 1""")
 def pixel_digest(spark, sf):
     return V.pixel_digest(pictures(spark, sf), "vec_id")

@@ -356,15 +356,29 @@ def forest_surrogate(spark, sf):
     return _oof_summary(M.forest_predict(model, s, features), ["split"])
 
 
-@query("final_fit")
+_FINAL = _NESTED.replace("pairs AS (SELECT o.g AS outer_g, s.* FROM s JOIN s o ON o.g <> s.g)", "pairs AS (SELECT 'all' AS outer_g, s.* FROM s)") + f""",
+rng AS (SELECT min(x1) AS l1, max(x1) AS h1, min(x2) AS l2, max(x2) AS h2, min(y) AS ly, max(y) AS hy FROM d),
+fresh AS (SELECT l_quantity + l_tax * 50 AS x1, l_discount AS x2, l_quantity * 1.5 + l_extendedprice / 5000 - l_discount * 200 AS y, l_tax > 0.04 AS new FROM lineitem),
+pr AS (SELECT f.*, cy + b0 + b1 * (f.x1 - c1) + b2 * (f.x2 - c2) AS p FROM fresh f, c, best b JOIN cf ON cf.outer_g = 'all' AND cf.fold = -1 AND cf.k = b.k),
+fl AS (SELECT pr.*, x1 < l1 OR x1 > h1 OR x2 < l2 OR x2 > h2 AS outside, p < ly OR p > hy AS off FROM pr, rng)
+SELECT outside AS outside_training_feature_range, CASE WHEN new THEN 'unverified_final_inference' ELSE 'training_reprediction' END AS prediction_role, count(*) AS n_measurements,
+  count(*) FILTER (off) AS n_outside_target, count(*) FILTER (p < 0) AS n_negative, {sr('sqrt(avg(pow(p - y, 2)))', 7)} AS rmse, {sr('avg(abs(p - y))', 7)} AS mae FROM fl GROUP BY ALL"""
+
+
+@query("final_fit", _FINAL)
 def final_fit(spark, sf):
-    """Final all-label ridge: saved with its role, reloaded, applied with flags."""
-    from ..operators.contracts import flag_outside, training_ranges
-    from ..sources.sinks import load_models, save_models, scratch_path
-    d, f = study_rows(spark, sf), ["l_quantity", "l_discount"]
-    coef = M.final_ridge(d, "cond", f, "y", list(_ALPHAS))
-    path = save_models(coef, training_ranges(d, [*f, "y"]).withColumn("role", F.lit("final_all_labels")), scratch_path(spark, "final-model"))
-    models, meta = load_models(spark, path, "final_all_labels")
-    fresh = d.withColumn("l_quantity", F.col("l_quantity") + F.col("l_tax") * 50)
-    out = M.apply_linear(flag_outside(fresh, meta, f, "outside"), models, f)
-    return regression_metrics(out, "y", "pred", ["outside"]).select("outside", "n_measurements", "rmse", "mae")
+    """Final all-label ridge: saved with what inference checks, reloaded, applied to shifted rows some of which are new."""
+    from ..sources.sinks import scratch_path
+    f = ["l_quantity", "l_discount"]
+    d = table(spark, sf, "lineitem").select(
+        F.concat("l_returnflag", "l_linestatus").alias("cond"), *f, "l_tax", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("measurement_id"),
+        (F.col("l_quantity") * 1.5 + F.col("l_extendedprice") / 5000 - F.col("l_discount") * 200).alias("y"), F.lit(0.5).alias("um_per_px"), F.lit("SYNTHETIC").alias("origin"))
+    path = M.save_final(M.final_ridge(d, "cond", f, "y", list(_ALPHAS)), d, f, "y", "measurement_id", "um_per_px", "origin", scratch_path(spark, "final-model"))
+    fresh = d.withColumns({"l_quantity": F.col("l_quantity") + F.col("l_tax") * 50, "um_per_px": F.lit(0.501),
+                           "measurement_id": F.concat(F.when(F.col("l_tax") > 0.04, "new-").otherwise(""), "measurement_id")})
+    out = M.predict_final(fresh, path, "measurement_id", "um_per_px", "origin")
+    e = F.col("pred") - F.col("y")
+    t = out.groupBy("outside_training_feature_range", "prediction_role").agg(
+        F.count(F.lit(1)).alias("n_measurements"), F.count_if("outside_training_target_range").alias("n_outside_target"), F.count_if("negative_prediction").alias("n_negative"),
+        F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"))
+    return rounded(t, {"rmse": 7, "mae": 7})

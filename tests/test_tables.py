@@ -183,7 +183,17 @@ def write(folder, name, text):
 def test_strict_csv(spark, folder):
     ok = tables.read_strict_csv(spark, write(folder, "ok.csv", "﻿run_id , T_C\n007,25.5\n"))
     assert ok.dtypes == [("run_id", "string"), ("T_C", "double")] and rows(ok, "run_id", "T_C") == [("007", 25.5)]
-    for name, text in {"dup": "a, a\n1,2\n", "blank": "a,,b\n1,2,3\n", "none": ""}.items():
+    quoted = tables.read_strict_csv(spark, write(folder, "quoted.csv", '"a, b",note\n1,"two\nlines"\n'), multiline=True)
+    assert quoted.columns == ["a, b", "note"] and rows(quoted, "note") == [("two\nlines",)]
+    several = folder / "several" if hasattr(folder, "joinpath") else f"{folder}/several"
+    import os
+    os.makedirs(several, exist_ok=True)
+    for k, head in enumerate(("a,b", "a,c")):
+        with open(f"{several}/{k}.csv", "w") as f:
+            f.write(f"{head}\n1,2\n")
+    with pytest.raises(ContractViolation, match="headers differ"):
+        tables.read_strict_csv(spark, str(several))
+    for name, text in {"dup": "a, a\n1,2\n", "blank": "a,,b\n1,2,3\n", "open": 'a,"b\n1,2\n', "none": ""}.items():
         with pytest.raises(ContractViolation):
             tables.read_strict_csv(spark, write(folder, f"{name}.csv", text))
     bad = tables.read_strict_csv(spark, write(folder, "bad.csv", "run_id,T_C\n1,warm\n"))
