@@ -5,27 +5,33 @@ from, a line that comes earlier is removed; earlier means by doc_id (null
 first), then by text hash, then by line number.  Lines shorter than
 ``min_chars`` stay.
 
-Deletion neighbourhoods are emitted on two levels, because deleting every
-single character of every line costs the square of its length.  A line of
-length n is one of class n (the shorter or equal partner) and one of class
-n - 1 (the longer partner).  For a class c the line is cut into blocks of
-c / 2 (at most 256) characters, and each key is the line without one block:
-the text before it and the last c - (end of block) characters.  Partners
-within one edit share the key of the block that holds the edit.  Only lines
-that share a key with another line go on to the second level, where single
-characters are deleted inside the block: partners of equal length share the
-same remainder at the same place, a longer partner's remainder is the shorter
-partner's block.  So equal keys of the second level mean one edit; the edit
-distance is verified on the texts all the same.
+Deleting every single character of every line would cost the square of the
+corpus' line lengths, so the deletion neighbourhood is emitted in three steps,
+each of which only sees the lines that share something with another line:
+
+1. Halves: lines within one edit have their first or their last q characters
+   in common, q about half the length (the edit is in one half, the other is
+   whole).  Only keys that different lines share go on.
+2. Blocks: a line of length n is one of class n (the shorter or equal partner)
+   and of class n - 1 (the longer partner).  For a class c it is cut into blocks
+   of c / 2 (at most 256) characters; each key is the line without one block.
+   Partners share the key of the block that holds the edit.
+3. Characters: inside a shared block every single deletion is a key.  Partners
+   of equal length share the remainder at the same place, a longer partner's
+   remainder is the shorter partner's block.  Equal keys mean one edit; the
+   edit distance is verified on the texts all the same.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.ranks import ordered_rank
 from .frames import stored
 
 MIN_CHARS, BLOCK = 20, 256
+#: Bits of the fixed-size filters.
+FILTER_BITS = 1 << 22
 
 
 def _blocks(c: str) -> tuple[str, str]:
@@ -44,7 +50,7 @@ def _class_keys(c: str) -> str:
 def line_occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
     """(id, th, pos, line) of every line that takes part."""
     lines = docs.where("text is not null").select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return lines.where((F.length("line") >= min_chars) & (F.trim(F.translate("line", "\t\r\x0b\x0c", "    ")) != ""))
+    return lines.where((F.length("line") >= min_chars) & F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
 def _hashes() -> list[Column]:
@@ -52,54 +58,80 @@ def _hashes() -> list[Column]:
     return [F.expr("xxhash64(line)").alias("h1"), F.expr("xxhash64(1, line)").alias("h2")]
 
 
+def half_keys() -> Column:
+    """First and last q characters, q = 8 floor(n / 16).  The longer partner of
+    a pair also takes the q of the shorter one, where that differs."""
+    def pair(q: str) -> str:
+        return f"xxhash64(1, {q}, left(line, {q})), xxhash64(2, {q}, right(line, {q}))"
+    q = "cast(length(line) div 16 * 8 as int)"
+    return F.expr(f"IF(length(line) % 16 = 0, array({pair(q)}, {pair(f'({q} - 8)')}), array({pair(q)}))")
+
+
+def bit_field(keys: DataFrame, key: str) -> Column:
+    """Fixed-size bit field of a long column, as the one value of a subquery:
+    says which lines may be among the keys, so that the others never move."""
+    place = F.pmod(F.col(key), F.lit(FILTER_BITS))
+    word = (F.floor(place / 64)).cast("int")
+    words = keys.groupBy(word.alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({key}, 64) as int))")).alias("bits"))
+    every = keys.sparkSession.range(FILTER_BITS // 64).select(F.col("id").cast("int").alias("w"))
+    dense = every.join(words, "w", "left").agg(F.sort_array(F.collect_list(F.struct("w", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))).alias("l"))
+    return stored(dense.select(F.col("l.bits").alias("field")), "field").select("field").scalar()
+
+
+def may_hold(field: Column, key: Column) -> Column:
+    at = F.floor(F.pmod(key, F.lit(FILTER_BITS)) / 64).cast("int")
+    return F.getbit(F.get(field, at), F.pmod(key, F.lit(64)).cast("int")) == 1
+
+
 def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(id, th, positions) of the lines to remove, one row per document with any."""
     lines = line_occurrences(docs, min_chars)
-    n = "length(line)"
-    keys = F.expr(f"concat({_class_keys(n)}, {_class_keys(f'({n} - 1)')})")
-    seen = stored(lines.select("id", "th", "pos", *_hashes(), F.transform(keys, lambda k: k["key"]).alias("keys")), "lines")
+    seen = stored(lines.select("id", "th", "pos", *_hashes(), half_keys().alias("keys")), "lines")
     distinct = stored(seen.groupBy("h1", "h2").agg(F.min(F.struct("id", "th", "pos")).alias("first"), F.count(F.lit(1)).alias("n")), "distinct")
     # Keys that different lines share; equal lines are summed up before the shuffle.
     by_key = seen.select("h1", F.explode("keys").alias("key"))
     shared = stored(by_key.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key"), "shared")
-    suspects = seen.select("h1", "h2", F.explode("keys").alias("key")).join(shared, "key", "left_semi").select("h1", "h2").distinct()
-    # Text of the suspects, from the place of their first occurrence.
-    places = stored(suspects.join(distinct, ["h1", "h2"]).select(F.col("h1").alias("s1"), F.col("h2").alias("s2"), "first"), "places")
+    field = bit_field(shared, "key")
+    maybe = seen.select("h1", "h2", F.explode("keys").alias("key")).where(may_hold(field, F.col("key")))
+    suspects = maybe.join(shared, "key", "left_semi").select("h1", "h2").distinct()
+    # Suspects are numbered in the order of their first occurrences; their text comes from there.
+    places = stored(ordered_rank(suspects.join(distinct, ["h1", "h2"]), ["first"], out="no").select("h1", "h2", "first", "no"), "places")
+    own = lines.select("id", "th", "pos", "line", *_hashes()[:1]).where(may_hold(bit_field(places, "h1"), F.col("h1"))).drop("h1")
     at = (F.col("id").eqNullSafe(F.col("first.id"))) & (F.col("th") == F.col("first.th")) & (F.col("pos") == F.col("first.pos"))
     # A row that repeats the first one gives the same line again.
-    texts = stored(lines.join(places, at).select("line", F.col("s1").alias("h1"), F.col("s2").alias("h2"), "first").dropDuplicates(["h1", "h2"]), "texts")
-    near = near_partners(texts, shared)
+    texts = stored(own.join(places.select("first", "no"), at).select("no", "line").dropDuplicates(["no"]), "texts")
+    near = places.join(near_lines(texts), "no", "left_semi").select("h1", "h2", F.lit(True).alias("near"))
     # Occurrences of lines that are not unique, or have an earlier near line.
-    verdict = distinct.join(near, ["h1", "h2"], "left").where("n > 1 or early is not null")
-    verdict = stored(verdict.select(F.col("h1").alias("v1"), F.col("h2").alias("v2"), "first", (F.coalesce(F.col("early") < F.col("first"), F.lit(False))).alias("near")), "verdict")
-    hit = seen.select("id", "th", "pos", "h1", "h2").join(verdict, (F.col("h1") == F.col("v1")) & (F.col("h2") == F.col("v2")))
+    verdict = distinct.join(near, ["h1", "h2"], "left").where("n > 1 or near")
+    verdict = stored(verdict.select(F.col("h1").alias("v1"), F.col("h2").alias("v2"), "first", F.coalesce("near", F.lit(False)).alias("near")), "verdict")
+    field = bit_field(verdict, "v1")
+    hit = seen.select("id", "th", "pos", "h1", "h2").where(may_hold(field, F.col("h1"))).join(verdict, (F.col("h1") == F.col("v1")) & (F.col("h2") == F.col("v2")))
     gone = hit.where(F.col("near") | ~F.struct("id", "th", "pos").eqNullSafe(F.col("first")))
-    return gone.groupBy("id", "th").agg(F.collect_set("pos").alias("positions"))
+    return stored(gone.groupBy("id", "th").agg(F.collect_set("pos").alias("positions")), "gone")
 
 
-def near_partners(texts: DataFrame, shared: DataFrame) -> DataFrame:
-    """(h1, h2, early): the earliest first occurrence of another line within one
-    edit, for each suspect line that has one."""
+def near_lines(texts: DataFrame) -> DataFrame:
+    """(no) of the rows of (no, line) within one edit of a row of smaller number."""
     n = "length(line)"
-    places = texts.select("h1", "h2", "first", "line", F.explode(F.expr(f"concat({_class_keys(n)}, {_class_keys(f'({n} - 1)')})")).alias("k"))
-    places = places.select("h1", "h2", "first", "line", "k.key", "k.c", "k.i").join(shared, "key", "left_semi")
+    blocks = texts.select("no", "line", F.explode(F.expr(f"concat({_class_keys(n)}, {_class_keys(f'({n} - 1)')})")).alias("k")).select("no", "line", "k.key", "k.c", "k.i")
+    shared = stored(blocks.groupBy("key").agg(F.min("no").alias("a"), F.max("no").alias("b")).where("a <> b").select("key"), "shared")
     size, _ = _blocks("c")
-    body = places.withColumn("mid", F.expr(f"substr(line, i * ({size}) + 1, length(line) - i * ({size}) - greatest(0, c - (i + 1) * ({size})))"))
+    body = blocks.join(shared, "key", "left_semi").withColumn("mid", F.expr(
+        f"substr(line, i * ({size}) + 1, length(line) - i * ({size}) - greatest(0, c - (i + 1) * ({size})))"))
     # at >= 0: equal length, character deleted there; -1: the block itself; -2: deleted from the longer line.
     without = "transform(sequence(1, length(mid)), q -> struct(xxhash64(key, concat(left(mid, q - 1), substr(mid, q + 1))) as variant, {0} as at))"
     variants = F.expr(f"""IF(length(line) = c, concat(array(struct(xxhash64(key, mid) as variant, -1 as at)), {without.format("q")}), {without.format("-2")})""")
-    rows = body.where("length(mid) > 0").select("h1", "h2", "first", F.explode(variants).alias("v")).select("h1", "h2", "first", "v.variant", "v.at")
+    rows = body.where("length(mid) > 0").select("no", F.explode(variants).alias("v")).select("no", "v.variant", "v.at")
     # Only different lines meet here: a variant has at most one row for each place and character.
-    two = rows.groupBy("variant", "at").agg(F.min(F.struct("first", "h1", "h2")).alias("m"), F.count(F.lit(1)).alias("k"))
-    same = rows.where("at >= 0").join(two.where("at >= 0 and k > 1"), ["variant", "at"]).select("h1", "h2", "m")
-    whole, longer = two.where("at = -1"), two.where("at = -2")
-    shorter = rows.where("at = -2").join(whole.select("variant", "m"), "variant").select("h1", "h2", "m")
-    taller = rows.where("at = -1").join(longer.select("variant", "m"), "variant").select("h1", "h2", "m")
-    best = same.union(shorter).union(taller).where("m.h1 <> h1 or m.h2 <> h2").groupBy("h1", "h2").agg(F.min("m").alias("m"))
-    mine = best.join(texts.select("h1", "h2", F.col("line").alias("own")), ["h1", "h2"])
-    other = texts.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("line").alias("other"))
-    pairs = mine.join(other, (F.col("m.h1") == F.col("o1")) & (F.col("m.h2") == F.col("o2")))
-    return pairs.where(F.levenshtein("own", "other", 1) >= 0).select("h1", "h2", F.col("m.first").alias("early"))
+    least = rows.groupBy("variant", "at").agg(F.min("no").alias("m"), F.count(F.lit(1)).alias("k"))
+    least = stored(least.where("k > 1 or at < 0"), "variants")
+    same = rows.where("at > 0").join(least.where("at > 0"), ["variant", "at"]).select("no", "m")
+    whole, longer = (least.where(f"at = {k}").select("variant", "m") for k in (-1, -2))
+    shorter = rows.where("at = -2").join(whole, "variant").select("no", "m")
+    taller = rows.where("at = -1").join(longer, "variant").select("no", "m")
+    best = same.union(shorter).union(taller).where("m < no").groupBy("no").agg(F.min("m").alias("m"))
+    pairs = best.join(texts.withColumnRenamed("line", "own"), "no").join(texts.select(F.col("no").alias("m"), F.col("line").alias("other")), "m")
+    return pairs.where(F.levenshtein("own", "other", 1) >= 0).select("no")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
