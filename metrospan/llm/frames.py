@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import shared_folder
+from ..session import stored  # noqa: F401
 
 #: Bytes of text that one step of a task holds as arrays.
 STEP_BYTES = 1 << 20
@@ -19,22 +17,6 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str = "part") -> DataFrame:
-    """Write to the shared folder and read again: cuts the lineage, survives
-    lost executors, and gives the planner the real size of the table."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def same_row(left: dict[str, Column], right: dict[str, Column]) -> Column:
-    """Null-safe equality of several columns."""
-    out = F.lit(True)
-    for k in left:
-        out = out & left[k].eqNullSafe(right[k])
-    return out
-
-
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the offsets of its rows; null is empty."""
     column = pc.fill_null(column, "").cast(pa.large_string())
