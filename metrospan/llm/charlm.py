@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .frames import batch_of, steps, text_buffers
+from .frames import batch_of, steps, stored, text_buffers
 
 BITS = 12
 _letters: dict[str, np.ndarray] = {}
@@ -115,7 +115,7 @@ def gram_counts(df: DataFrame, text: Column, label: Column, order: int, letters_
 
     rows = df.select(text.alias("text"), label.alias("label")).where("text is not null and label is not null")
     counted = rows.mapInArrow(count, "label string, code long, n long")
-    return counted.groupBy("label", "code").agg(F.sum("n").alias("n"))
+    return stored(counted.groupBy("label", "code").agg(F.sum("n").alias("n")), "grams")  # every order reads it again
 
 
 def _merge(parts: list) -> tuple[np.ndarray, np.ndarray]:
