@@ -22,7 +22,7 @@ def prose(seed, n):
 
 
 def hostile():
-    long = prose(3, 60_000)
+    long = prose(3, 8_000)
     rows = [
         (1, None, "en", "a", None), (2, "", None, None, 0), (3, " \n\t ", "en", "", 4), (4, "x", "de", "a", 1), (5, "AKIA" + "Q" * 14, None, "b", 18),
         (6, long, "en", "a", None), (7, long, "en", "a", None), (8, long[:-3] + "zzz", "de", "c", None), (None, "null id", "en", "a", 7),
