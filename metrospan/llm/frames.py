@@ -34,6 +34,23 @@ def steps(offsets: np.ndarray, limit: int = STEP_BYTES):
         row = min(end, n)
 
 
+def bit_field(keys: DataFrame, column: str, bits: int) -> np.ndarray:
+    """Fixed-size bit field of a column of longs (one bit a value), on the driver."""
+    per = 32768  # bits of one piece of the bitmap functions
+    piece = F.floor(F.pmod(F.col(column), F.lit(bits)) / per)
+    pieces = keys.groupBy(piece.alias("piece")).agg(F.expr(f"bitmap_construct_agg(cast(pmod(pmod({column}, {bits}), {per}) as bigint))").alias("bits")).collect()
+    out = np.zeros(bits // 8, np.uint8)
+    for r in pieces:
+        out[int(r["piece"]) * per // 8: (int(r["piece"]) + 1) * per // 8] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out
+
+
+def in_field(field: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether the bits of unsigned 64-bit ``values`` are set; the field has a power of two of bits."""
+    place = (values & np.uint64(len(field) * 8 - 1)).astype(np.int64)
+    return (field[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def batch_of(columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
 

@@ -5,15 +5,23 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .frames import batch_of, steps, stored, text_buffers
+from .frames import batch_of, bit_field, in_field, steps, stored, text_buffers
 from .pairs_graph import components
+from .words import LOWER, mix, span_hashes, windows, word_spans
 
 SHINGLE, SEED, MOST_BITS = 3, 42, 2
 #: Bits of one segment of the embedding, and groups of segments that form the axes of the grid.
 SEGMENT_BITS, GROUPS = 2, 6
+#: The stage's own rule beside op8's bits: words of a shingle and the least Jaccard similarity of near copies.
+STAGE_SHINGLE, STAGE_JACCARD = 5, 0.8
+#: Size of bit fields that spare shuffles; rows of which one is counted to order shingles, and the count from which one is common.
+FIELD_BITS, COUNT_EVERY, COMMON = 1 << 26, 8, 4
+#: Rounds of comparing with one row of a bucket before all remaining pairs.
+STARS = 2
 #: Cells above this many fingerprints are joined through common neighbours instead of pairs.
 CELL = 32
 
@@ -138,12 +146,148 @@ def simhash_query(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def simhash_stage(docs: DataFrame) -> DataFrame:
-    """One document of each component stays, that of the smallest doc_id.  Rows
-    without a doc_id stay only in components that have none; rows that share
-    the doc_id which stays count as that document and stay with it."""
-    stays = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("ll_id")).distinct()
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int, common: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(hash, row, place in the row, number of the row) of the distinct shingles
+    of a range of rows, by row, then those outside the bit field ``common``
+    first, then by hash.  A text of fewer than ``size`` words is one shingle."""
+    starts, ends, rows = word_spans(data, offsets)
+    own = span_hashes(data, starts, ends, LOWER)
+    n = len(offsets) - 1
+    hashes, at = windows(own, rows, size)
+    rows_of, words = rows[at], np.bincount(rows, minlength=n)
+    first = np.cumsum(words) - words
+    for k in range(1, size):  # short texts
+        short = np.flatnonzero(words == k)
+        if len(short):
+            total = np.zeros(len(short), np.uint64)
+            for j in range(k):
+                total = total * np.uint64(0x9E3779B97F4A7C15) + own[first[short] + j]
+            hashes, rows_of = np.r_[hashes, mix(total + np.uint64(k))], np.r_[rows_of, short]
+    often = in_field(common, hashes) if common is not None else np.zeros(len(hashes), bool)
+    order = np.lexsort((hashes, often, rows_of))
+    hashes, rows_of = hashes[order], rows_of[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (rows_of[1:] != rows_of[:-1])
+    hashes, rows_of = hashes[new], rows_of[new]
+    many = np.bincount(rows_of, minlength=n)
+    return hashes, rows_of, np.arange(len(hashes)) - (np.cumsum(many) - many)[rows_of], many[rows_of]
+
+
+def _needed(jaccard: float, n):
+    """Least whole number of shingles that is ``jaccard`` times ``n``."""
+    return np.ceil(jaccard * n - 1e-9).astype(np.int64)
+
+
+def _all_shingles(rows: DataFrame, size: int) -> DataFrame:
+    """(shingle) of each row of (text, row), distinct within the row."""
+    def compute(batches):
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(0))
+            for a, b in steps(offsets):
+                yield batch_of({"shingle": shingle_sets(data, offsets[a: b + 1], size)[0].view(np.int64)})
+    return rows.select("text", "row").mapInArrow(compute, "shingle long")
+
+
+def _prefixes(rows: DataFrame, size: int, jaccard: float, common: np.ndarray, wanted: np.ndarray | None = None) -> DataFrame:
+    """(shingle, row, place, n): of n ordered shingles of a row the first
+    n - jaccard * n + 1.  Two rows in range share one of them, since all that
+    they share cannot lie behind the prefixes of both."""
+    sc = rows.sparkSession.sparkContext
+    common, wanted = sc.broadcast(common), sc.broadcast(wanted)
+
+    def compute(batches):
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(0))
+            ids = batch.column(1).to_numpy()
+            for a, b in steps(offsets):
+                hashes, own, place, n = shingle_sets(data, offsets[a: b + 1], size, common.value)
+                keep = place <= n - _needed(jaccard, n)
+                if wanted.value is not None:
+                    keep &= in_field(wanted.value, hashes)
+                yield batch_of({"shingle": hashes[keep].view(np.int64), "row": ids[own[keep] + a], "place": place[keep].astype(np.int32), "n": n[keep].astype(np.int32)})
+    return rows.select("text", "row").mapInArrow(compute, "shingle long, row long, place int, n int")
+
+
+def _sets(rows: DataFrame, size: int, wanted: np.ndarray) -> DataFrame:
+    """(row, shingles) of the rows whose key may be wanted."""
+    wanted = rows.sparkSession.sparkContext.broadcast(wanted)
+
+    def compute(batches):
+        for batch in batches:
+            picked = batch.filter(pa.array(in_field(wanted.value, batch.column(2).to_numpy().view(np.uint64))))
+            data, offsets = text_buffers(picked.column(0))
+            ids = picked.column(1)
+            for a, b in steps(offsets):
+                hashes, own, _, _ = shingle_sets(data, offsets[a: b + 1], size)
+                ends = np.searchsorted(own, np.arange(b - a + 1)).astype(np.int32)
+                yield batch_of({"row": ids.slice(a, b - a), "shingles": pa.ListArray.from_arrays(ends, hashes.view(np.int64))})
+    return rows.select("text", "row", F.xxhash64("row").alias("key")).mapInArrow(compute, "row long, shingles array<bigint>")
+
+
+def _similar(rows: DataFrame, pairs: DataFrame, size: int, jaccard: float) -> DataFrame:
+    """The labels (a, b) of those pairs (a_row, b_row, a, b) whose exact
+    similarity is ``jaccard`` or more.  Only rows in pairs leave the scan."""
+    ids = pairs.select(F.explode(F.array("a_row", "b_row")).alias("row")).distinct().select(F.xxhash64("row").alias("key"))
+    sets = stored(_sets(rows, size, bit_field(ids, "key", FIELD_BITS)), "sets")
+    both = pairs.join(sets.select(F.col("row").alias("a_row"), F.col("shingles").alias("x")), "a_row")
+    both = both.join(sets.select(F.col("row").alias("b_row"), F.col("shingles").alias("y")), "b_row")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= jaccard * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b").distinct()
+
+
+def jaccard_labels(rows: DataFrame, placed: DataFrame, nodes: DataFrame, size: int, jaccard: float) -> DataFrame:
+    """``placed`` (fingerprint, label) with the labels of all rows connected
+    whose sets of ``size``-word shingles have a similarity of ``jaccard`` or more.
+
+    ``rows`` (text, row) is stored, ``nodes`` (row, fingerprint) has one row of
+    each distinct text.  Prefixes give every pair in range; counts of a part of
+    the rows only order the shingles, so that common ones come last.  Rows of
+    one label need no comparison: buckets are first compared with one row each,
+    and what they then still hold of several labels in pairs.
+    """
+    some = rows.where(F.pmod(F.xxhash64("row"), F.lit(COUNT_EVERY)) == 0)
+    often = _all_shingles(some, size).groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+    common = bit_field(often, "shingle", FIELD_BITS)
+    repeated = _prefixes(rows, size, jaccard, common).groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    entries = stored(_prefixes(rows, size, jaccard, common, bit_field(repeated, "shingle", FIELD_BITS)).join(nodes, "row"), "entries")
+    for turn in range(STARS + 1):
+        now = entries.join(placed, "fingerprint")
+        open_ = now.groupBy("shingle").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "row").alias("h"), "row", "n", "place", "label")).alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+        now = stored(now.join(open_.select("shingle", "c"), "shingle"), "open")
+        right = now.select("shingle", *[F.col(c).alias(f"b_{c}") for c in ("row", "n", "place", "label")])
+        if turn < STARS:
+            pairs = now.select(*[F.col(f"c.{c}").alias(f"a_{c}") for c in ("row", "n", "place", "label")], *[F.col(c).alias(f"b_{c}") for c in ("row", "n", "place", "label")])
+        else:
+            left = now.select("shingle", *[F.col(c).alias(f"a_{c}") for c in ("row", "n", "place", "label")])
+            pairs = left.join(right, "shingle").where("a_row < b_row")
+        # The first shingle that two rows share has all others behind it in both.
+        behind = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
+        pairs = pairs.where((F.col("a_label") != F.col("b_label")) & (behind >= jaccard / (1 + jaccard) * (F.col("a_n") + F.col("b_n")) - 1e-9))
+        pairs = stored(pairs.select("a_row", "b_row", F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct(), "pairs")
+        if not pairs.isEmpty():
+            moved = components(_similar(rows, pairs, size, jaccard)).select(F.col("node").alias("label"), "component")
+            placed = stored(placed.join(moved, "label", "left").select("fingerprint", F.coalesce("component", "label").alias("label")), "placed")
+    return placed
+
+
+def simhash_stage(docs: DataFrame, size: int = STAGE_SHINGLE, jaccard: float = STAGE_JACCARD) -> DataFrame:
+    """One document of each component stays, that of the smallest doc_id.
+
+    Rows are linked by op8's rule and by an exact similarity of ``jaccard`` or
+    more of their sets of ``size``-word shingles.  Each row is judged by its own
+    component: it stays if it has the component's smallest doc_id.  Of a
+    component without any doc_id one row stays; repeated rows of the document
+    that stays count as that document and stay with it.
+    """
     names = docs.columns
-    rows = docs.select(*[F.col(c).alias(f"in_{k}") for k, c in enumerate(names)])
-    kept = rows.join(stays, F.col(f"in_{names.index('doc_id')}").eqNullSafe(F.col("ll_id")), "left_semi")
-    return kept.select(*[F.col(f"in_{k}").alias(c) for k, c in enumerate(names)])
+    docs = stored(docs.select(*[F.col(c).alias(f"in_{k}") for k, c in enumerate(names)], F.monotonically_increasing_id().alias("row")), "numbered")
+    rows = docs.select(F.col(f"in_{names.index('text')}").alias("text"), F.col(f"in_{names.index('doc_id')}").alias("doc_id"), "row")
+    prints = stored(fingerprints(rows.withColumn("same", F.xxhash64("text")), ["doc_id", "row", "same"], F.col("text")), "prints")
+    member = components(near_links(prints.select("fingerprint").distinct())).select(F.col("node").alias("fingerprint"), "component")
+    nodes = stored(prints.groupBy("fingerprint", "same").agg(F.min("row").alias("row")).select("row", "fingerprint"), "nodes")
+    placed = stored(nodes.select("fingerprint").distinct().join(member, "fingerprint", "left").select("fingerprint", F.coalesce("component", "fingerprint").alias("label")), "placed")
+    placed = jaccard_labels(rows, placed, nodes, size, jaccard)
+    found = stored(prints.join(placed, "fingerprint").select("row", "doc_id", "label"), "found")
+    least = found.groupBy("label").agg(F.min("doc_id").alias("least"), F.min("row").alias("first"))
+    stays = found.join(least, "label").where((F.col("doc_id") == F.col("least")) | (F.col("least").isNull() & (F.col("row") == F.col("first")))).select("row")
+    return docs.join(stays, "row", "left_semi").select(*[F.col(f"in_{k}").alias(c) for k, c in enumerate(names)])
