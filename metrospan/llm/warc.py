@@ -22,6 +22,7 @@ ARCHIVE_BYTES = 32 << 20
 
 SCHEMA = ("archive string, offset long, next long, record_id string, page_id long, record_type string, payload_bytes long, "
           "payload_digest string, refers_to long, verified boolean")
+CANDIDATES = SCHEMA + ", archive_bytes long"
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 100) -> str:
@@ -63,14 +64,10 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 100) -> str:
 _FIELD = re.compile(rb"^([A-Za-z-]+):[ \t]*(.*?)\r?$", re.M)
 
 
-def _parse(content: bytes, at: int) -> dict | None:
-    """The record whose version line starts at ``at``; None if it has no
-    complete header or its end is not where its length says."""
-    head = content.find(b"\r\n\r\n", at, at + 65536)
-    if head < 0:
-        return None
-    fields = {k.lower(): v for k, v in _FIELD.findall(content[at + len(VERSION): head])}
-    length = fields.get(b"content-length", b"")
+def _block(content: bytes, head: int, fields: dict) -> dict | None:
+    """What follows the header that ends at ``head``; None without a length or
+    if the record's end is not where its length says."""
+    length = fields.get(b"content-length", (b"",))[0]
     if not length.isdigit():
         return None
     start, end = head + 4, head + 4 + int(length)
@@ -79,35 +76,58 @@ def _parse(content: bytes, at: int) -> dict | None:
     split = content.find(b"\r\n\r\n", start, end)
     inner = {k.lower(): v for k, v in _FIELD.findall(content[start: split])} if split >= 0 else {}
     payload = memoryview(content)[split + 4: end] if split >= 0 else memoryview(content)[start:end]
-    kind = fields.get(b"warc-type", b"").decode("ascii", "replace")
-    digest = fields.get(b"warc-payload-digest", b"").decode("ascii", "replace").removeprefix("sha256:")
-    if kind == "revisit":
-        said = inner.get(b"content-length", b"")
-        size, right = int(said) if said.isdigit() else None, True
-    else:
-        size, own = len(payload), hashlib.sha256(payload).hexdigest()
-        right, digest = digest in ("", own), own
-    number = lambda x: int(m[1]) if (m := re.fullmatch(rb"<urn:page:(-?\d+)>", x)) else None
-    return {"offset": at, "next": end + 4, "record_id": fields.get(b"warc-record-id", b"").decode("utf-8", "replace"), "page_id": number(fields.get(b"warc-record-id", b"")),
-            "record_type": kind, "payload_bytes": size, "payload_digest": digest, "refers_to": number(fields.get(b"warc-refers-to", b"")), "verified": right}
+    said = inner.get(b"content-length", b"")
+    return {"next": end + 4, "bytes": len(payload), "own": hashlib.sha256(payload).hexdigest(), "said": int(said) if said.isdigit() else None}
+
+
+def _records(content: bytes) -> list[dict]:
+    """Every place that reads like a whole record.  Places before one header
+    end share what follows it and its fields, the last of each name, as far as
+    they start before them."""
+    rows, head, fields, block = [], -1, {}, None
+    for m in re.finditer(re.escape(VERSION.encode()), content):
+        at = m.start()
+        if head < at:
+            head = content.find(b"\r\n\r\n", at)
+            if head < 0:
+                break
+            first = at + len(VERSION)
+            fields = {f[1].lower(): (f[2], first + f.start()) for f in _FIELD.finditer(content[first:head])}
+            block = _block(content, head, fields)
+        if block is None:
+            continue
+        field = lambda k: v[0] if (v := fields.get(k, (b"", -1)))[1] >= at else b""
+        if not field(b"content-length"):
+            continue
+        kind = field(b"warc-type").decode("ascii", "replace")
+        digest = field(b"warc-payload-digest").decode("ascii", "replace").removeprefix("sha256:")
+        if kind == "revisit":
+            size, right = block["said"], True
+        else:
+            size, right, digest = block["bytes"], digest in ("", block["own"]), block["own"]
+        number = lambda x: int(m[1]) if (m := re.fullmatch(rb"<urn:page:(-?\d+)>", x)) else None
+        rows.append({"offset": at, "next": block["next"], "record_id": field(b"warc-record-id").decode("utf-8", "replace"), "page_id": number(field(b"warc-record-id")),
+                     "record_type": kind, "payload_bytes": size, "payload_digest": digest, "refers_to": number(field(b"warc-refers-to")), "verified": right})
+    return rows
 
 
 def _candidates(batches):
-    names = [f.split()[0] for f in SCHEMA.split(", ")]
+    names = [f.split()[0] for f in CANDIDATES.split(", ")]
     kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
-    types = [kinds[f.split()[1]] for f in SCHEMA.split(", ")]
+    types = [kinds[f.split()[1]] for f in CANDIDATES.split(", ")]
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
             content = content.as_py() or b""
-            rows = [r for m in re.finditer(re.escape(VERSION.encode()), content) if (r := _parse(content, m.start()))]
-            yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows) if n == "archive" else [r[n] for r in rows], t) for n, t in zip(names, types)], names=names)
+            rows = _records(content) or ([{"offset": -1, "next": -1}] if content else [])  # an archive without records is known by its length
+            fixed = {"archive": path, "archive_bytes": len(content)}
+            yield pa.RecordBatch.from_arrays([pa.array([(r | fixed).get(n) for r in rows], t) for n, t in zip(names, types)], names=names)
 
 
 def candidate_records(spark: SparkSession, path: str) -> DataFrame:
     """Every place in the archives that reads like a whole record, with the
     offset of its successor; payloads may hold such places too."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
-    return files.select("path", "content").mapInArrow(_candidates, SCHEMA)
+    return files.select("path", "content").mapInArrow(_candidates, CANDIDATES)
 
 
 def _reachable(table: pa.Table) -> pa.Table:
@@ -126,11 +146,21 @@ def _reachable(table: pa.Table) -> pa.Table:
     return table.filter(pa.array(reached[:n]))
 
 
+def _whole(table: pa.Table) -> pa.Table:
+    """The records of one archive; an error if they do not end where it ends."""
+    found, size = _reachable(table), table["archive_bytes"][0].as_py()
+    end = found["next"][-1].as_py() if found.num_rows else 0
+    if end != size:
+        raise ValueError(f"{table['archive'][0]}: records end at byte {end} of {size}")
+    return found.drop_columns(["archive_bytes"])
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Records of all archives under ``path``: candidates that the boundary
     chain from the start of their file reaches.  A group is the candidates of
-    one archive, without payloads; its size is bounded by that of an archive."""
-    return candidate_records(spark, path).groupBy("archive").applyInArrow(_reachable, SCHEMA)
+    one archive, without payloads; its size is bounded by that of an archive.
+    An archive whose chain ends before its last byte is an error."""
+    return candidate_records(spark, path).groupBy("archive").applyInArrow(_whole, SCHEMA)
 
 
 def warc_query(pages: DataFrame) -> DataFrame:

@@ -296,3 +296,17 @@ def test_empty_tables(spark, labels):
     for df in (lang_id.language_query(docs), quality_rules.quality_query(docs, labels), secret_scan.secret_query(docs), decontaminate.contaminated(docs, items), importance.resample_query(docs, labels),
                url_filter.judge_urls(pages), warc.warc_query(pages), simhash.simhash_query(docs), line_dedup.lines_query(docs), mixing.mixing_query(docs)):
         assert df.count() == 0
+
+
+def test_warc_long_urls(spark, tmp_path):
+    pages = [(1, "http://a/x", "one"), (2, "data:" + "u" * 150_000, "two"), (3, "http://a/WARC/1.0", "WARC/1.0\r\n" * 30_000), (4, "http://b", "four")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    got = warc.warc_query(df).collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, brute.warc([(a, c) for a, _, c in pages])))
+    path = warc.write_archives(df, str(tmp_path / "w"))
+    part = next((tmp_path / "w").glob("part-*"))
+    for crc in (tmp_path / "w").glob(".part-*"):
+        crc.unlink()
+    part.write_bytes(part.read_bytes() + b"left over")
+    with pytest.raises(Exception, match="records end at byte"):
+        warc.read_archives(spark, path).collect()
