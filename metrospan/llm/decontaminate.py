@@ -6,10 +6,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .frames import batch_of, steps, stored, text_buffers
-from .words import LOWER, mix, span_hashes, windows, word_spans
+from .frames import batch_of, bit_field, in_field, steps, stored, text_buffers
+from .words import _BASE, _power, LOWER, mix, span_hashes, word_spans
 
-WINDOW, MOST_SLOTS, COVERAGE, CONSISTENCY = 5, 2, 0.8, 0.8
+#: Words of a window, least literal words of a template, least coverage and consistency.
+WINDOW, LITERALS, COVERAGE, CONSISTENCY = 5, 3, 0.8, 0.8
 #: Bits of the filter that keeps documents' windows off the shuffle: fixed, whatever the benchmark's size.
 FILTER_BITS = 1 << 23
 #: Unit words that count as a slot after a number.
@@ -36,14 +37,13 @@ def _hash_words(words: list[str]) -> np.ndarray:
 _UNIT_HASHES = _hash_words(UNITS)
 
 
-def canonical(data: np.ndarray, offsets: np.ndarray, first_names: bool = False) -> tuple[np.ndarray, ...]:
-    """(template hash, value hash, is slot, row) of each word of a range of rows.
+def word_kinds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(value hash, row, is number, is unit, is capitalised, is inside a
+    sentence) of each word of a range of rows.
 
     Words are runs of letters, digits and bytes above ASCII, with points and
-    commas between digits.  Numbers, unit words after a number, and words with
-    one leading capital that do not start a sentence become placeholders; their
-    own hash stays as the slot's value.  ``first_names`` reads a capitalised
-    first word of a row as a name too.
+    commas between digits; a unit is a unit word after a number; a capitalised
+    word has one leading capital, and may be a name wherever it stands.
     """
     own = data[offsets[0]: offsets[-1]]
     word = _WORD[own]
@@ -63,41 +63,110 @@ def canonical(data: np.ndarray, offsets: np.ndarray, first_names: bool = False)
     before = np.maximum.accumulate(solid)[np.maximum(at - 1, 0)] if len(at) else at
     opens = (before < offsets[rows] - offsets[0]) | (at == 0)
     stop = _STOP[own[np.maximum(before, 0)]] if len(at) else opens
-    name = capital & ~number & (~(opens | stop) | (opens & first_names))
     unit = np.zeros(len(values), bool)
     if len(values) > 1:
         pos = np.minimum(np.searchsorted(_UNIT_HASHES, values[1:]), len(_UNIT_HASHES) - 1)
         unit[1:] = number[:-1] & (_UNIT_HASHES[pos] == values[1:]) & (rows[1:] == rows[:-1])
-    template = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, values)))
-    return template, values, number | unit | name, rows
+    return values, rows, number, unit, capital & ~number & ~unit, ~(opens | stop)
 
 
-def _template_windows(data: np.ndarray, offsets: np.ndarray, first_names: bool = False):
-    """(window hash, first word, row, word of the row) of windows with at most
-    ``MOST_SLOTS`` slots, and the words they index."""
-    template, values, slot, rows = canonical(data, offsets, first_names)
-    hashes, at = windows(template, rows, WINDOW)
-    slots = np.concatenate([[0], np.cumsum(slot)])
-    fine = slots[at + WINDOW] - slots[at] <= MOST_SLOTS
-    hashes, at = hashes[fine], at[fine]
-    first = np.searchsorted(rows, np.arange(len(offsets) - 1))
-    return hashes, at, rows[at], at - first[rows[at]], values, slot
+def _ranges(template: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int) -> np.ndarray:
+    """Hash of each run of words ``template[start:end]``."""
+    up, down = _power(len(template) + 1)
+    sums = np.zeros(len(template) + 1, np.uint64)
+    np.cumsum(template * up[: len(template)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) + mix(np.array([salt], np.uint64)))
 
 
-def _slot_lists(at: np.ndarray, values: np.ndarray, slot: np.ndarray) -> pa.Array:
-    """Per window its slot values, in order."""
-    index = at[:, None] + np.arange(WINDOW)[None, :]
+def _slot_lists(start: np.ndarray, end: np.ndarray, values: np.ndarray, slot: np.ndarray, names: np.ndarray | None = None) -> pa.Array:
+    """Per run of words the values of its slots, in order; ``names`` has bits of
+    further slots of each run, by place."""
+    size = end - start
+    ends = np.cumsum(size)
+    place = np.arange(int(size.sum())) - np.repeat(ends - size, size)
+    index = np.repeat(start, size) + place
     mask = slot[index]
-    return pa.ListArray.from_arrays(np.r_[0, np.cumsum(mask.sum(1))].astype(np.int32), values[index][mask].view(np.int64))
+    if names is not None:
+        mask = mask | (np.repeat(names, size) >> place & 1).astype(bool)
+    many = np.concatenate([[0], np.cumsum(mask)])[np.concatenate([[0], ends])]
+    return pa.ListArray.from_arrays(many.astype(np.int32), values[index][mask].view(np.int64))
+
+
+def template_windows(data: np.ndarray, offsets: np.ndarray, sizes: list[int]):
+    """Yields (window hash, row, word of the row, slot lists of picked windows)
+    of all windows of ``sizes`` words, in every reading.
+
+    Each capitalised word is read as a name and as a literal word.  A reading
+    with ``LITERALS`` literal words or more is a template.  Windows of
+    ``WINDOW`` words that hold fewer are widened to the right, and to the left,
+    until they have so many, with all names, those inside sentences, or none.
+    A window whose numbers and units alone leave too few is keyed by its own
+    words as well, so that a copy is found word for word.
+    """
+    values, rows, number, unit, capital, inside = word_kinds(data, offsets)
+    n = len(values)
+    if not n:
+        return
+    first = np.searchsorted(rows, np.arange(len(offsets)))
+    hard = number | unit
+    plain = np.where(number, _NUMBER, np.where(unit, _UNIT, values))
+    total = lambda x: np.concatenate([[0], np.cumsum(x)])
+    hards = total(hard)
+    for size in sizes:
+        at = np.arange(max(0, n - size + 1))
+        at = at[rows[at] == rows[at + size - 1]]
+        if not len(at):
+            continue
+        fixed = hards[at + size] - hards[at]
+        bits = np.zeros(len(at), np.int64)
+        for k in range(size):
+            bits |= capital[at + k].astype(np.int64) << k
+        for names in range(1 << size):
+            count = names.bit_count()
+            if size - count < LITERALS:
+                continue
+            i = np.flatnonzero((bits & names == names) & (size - fixed - count >= LITERALS))
+            if not len(i):
+                continue
+            own = at[i]
+            hashes = np.zeros(len(own), np.uint64)
+            for k in range(size):
+                hashes = hashes * _U(_BASE) + (_NAME if names >> k & 1 else plain[own + k])
+            yield mix(hashes + _U(size)), rows[own], own - first[rows[own]], lambda keep, o=own, m=names: _slot_lists(o[keep], o[keep] + size, values, hard, np.full(int(keep.sum()), m))
+        dense = at[size - fixed < LITERALS]
+        if len(dense):
+            yield _ranges(values, dense, dense + size, 1), rows[dense], dense - first[rows[dense]], lambda keep, o=dense: _slot_lists(o[keep], o[keep] + size, values, np.zeros(n, bool))
+    if WINDOW not in sizes:
+        return
+    at = np.arange(max(0, n - WINDOW + 1))
+    at = at[rows[at] == rows[at + WINDOW - 1]]
+    done = []
+    for name in (np.zeros(n, bool), capital & inside, capital):
+        if any((name == x).all() for x in done):
+            continue
+        done.append(name)
+        slot = hard | name
+        template, words = np.where(name, _NAME, plain), total(~slot)
+        few = at[words[at + WINDOW] - words[at] < LITERALS]
+        end = np.searchsorted(words, words[few] + LITERALS)
+        start = np.searchsorted(words, words[few + WINDOW] - LITERALS, "right") - 1
+        right, left = end <= first[rows[few] + 1], start >= first[rows[few]]
+        for salt, own, s, e in ((2, few[right], few[right], end[right]), (3, few[left], start[left], few[left] + WINDOW)):
+            if len(own):
+                yield _ranges(template, s, e, salt), rows[own], own - first[rows[own]], lambda keep, s=s, e=e, slot=slot: _slot_lists(s[keep], e[keep], values, slot)
 
 
 _ROWS = "id long, win long, pos int, slots array<bigint>"
 
 
+def _emit(ids, hashes, rows, pos, slots, keep, a):
+    return batch_of({"id": ids.take(pa.array(rows[keep] + a)), "win": hashes[keep].view(np.int64), "pos": pos[keep].astype(np.int32), "slots": slots(keep)})
+
+
 def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, win, pos, slots) of the items' windows, and (id, n) their numbers.
-    Items of equal text are one, with the smallest item_id; items of fewer than
-    ``WINDOW`` words have no window and are never found."""
+    Items of equal text are one, with the smallest item_id; an item of fewer
+    than ``WINDOW`` words is one window of its own length."""
     items = benchmark.where("text is not null").groupBy("text").agg(F.min("item_id").alias("id"))
 
     def emit(batches):
@@ -105,12 +174,12 @@ def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
             data, offsets = text_buffers(batch.column(0))
             ids = batch.column(1)
             for a, b in steps(offsets):
-                for first_names in (False, True):
-                    hashes, at, rows, pos, values, slot = _template_windows(data, offsets[a: b + 1], first_names)
-                    if first_names:  # the other reading of the first word
-                        keep = pos == 0
-                        hashes, at, rows, pos = hashes[keep], at[keep], rows[keep], pos[keep]
-                    yield batch_of({"id": ids.take(pa.array(rows + a)), "win": hashes.view(np.int64), "pos": pos.astype(np.int32), "slots": _slot_lists(at, values, slot)})
+                part = offsets[a: b + 1]
+                words = np.bincount(word_kinds(data, part)[1], minlength=b - a)
+                for size in range(1, WINDOW + 1):
+                    for hashes, rows, pos, slots in template_windows(data, part, [size]):
+                        keep = (words[rows] == size) | (words[rows] >= size) & (size == WINDOW)
+                        yield _emit(ids, hashes, rows, pos, slots, keep, a)
 
     found = stored(items.where("id is not null").select("text", F.col("id").cast("long")).mapInArrow(emit, _ROWS).distinct(), "items")
     return found, found.groupBy("id").agg(F.countDistinct("pos").alias("n"))
@@ -118,13 +187,7 @@ def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def window_filter(found: DataFrame) -> np.ndarray:
     """Fixed-size bit field of the benchmark's windows (one bit a window)."""
-    place = F.pmod(F.col("win"), F.lit(FILTER_BITS))
-    per = 32768  # bits of one piece of the bitmap functions
-    pieces = found.groupBy((F.floor(place / per)).alias("piece")).agg(F.expr(f"bitmap_construct_agg(cast(pmod(pmod(win, {FILTER_BITS}), {per}) as bigint))").alias("bits")).collect()
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in pieces:
-        out[int(r["piece"]) * per // 8: (int(r["piece"]) + 1) * per // 8] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return out
+    return bit_field(found, "win", FILTER_BITS)
 
 
 def document_windows(docs: DataFrame, ident: Column, text: Column, bits: np.ndarray) -> DataFrame:
@@ -137,11 +200,10 @@ def document_windows(docs: DataFrame, ident: Column, text: Column, bits: np.ndar
             data, offsets = text_buffers(batch.column(0))
             ids = batch.column(1)
             for a, b in steps(offsets):
-                hashes, at, rows, pos, values, slot = _template_windows(data, offsets[a: b + 1])
-                place = (hashes & _U(FILTER_BITS - 1)).astype(np.int64)
-                keep = (field[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
-                hashes, at, rows, pos = hashes[keep], at[keep], rows[keep], pos[keep]
-                yield batch_of({"id": ids.take(pa.array(rows + a)), "win": hashes.view(np.int64), "pos": pos.astype(np.int32), "slots": _slot_lists(at, values, slot)})
+                for hashes, rows, pos, slots in template_windows(data, offsets[a: b + 1], list(range(1, WINDOW + 1))):
+                    keep = in_field(field, hashes)
+                    if keep.any():
+                        yield _emit(ids, hashes, rows, pos, slots, keep, a)
 
     return docs.select(text.alias("text"), ident.cast("long").alias("id")).where("text is not null and id is not null").mapInArrow(emit, _ROWS)
 

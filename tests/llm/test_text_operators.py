@@ -310,3 +310,23 @@ def test_warc_long_urls(spark, tmp_path):
     part.write_bytes(part.read_bytes() + b"left over")
     with pytest.raises(Exception, match="records end at byte"):
         warc.read_archives(spark, path).collect()
+
+
+def found_leaks(spark, texts, items):
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(frame, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+
+
+def test_leaks_of_dense_and_short_items(spark):
+    items = ["Compute 12 + 34 + 56 + 78 + 90 exactly.", "Is seven prime?", "Add 1, 2, 3, 4 and 5, then take 6, 7, 8 and 9 from the total of all", "42"]
+    texts = [f"Before it. {items[0]} And after it.", "so is SEVEN prime", "we add 10, 20, 30, 40 and 50, then take 60, 70, 80 and 90 from the total of all of them",
+             "Compute 12 + 34 + 56 + 78 + 91 exactly.", "seven is prime", "it is 42, they say", " ".join(map(str, range(100, 3000)))]
+    assert found_leaks(spark, texts, items) == {(0, 0), (1, 1), (2, 2), (5, 3)}
+
+
+def test_leaks_with_names_that_open_sentences_or_change_case(spark):
+    items = ["Tom has 5 apples. Tom buys 3 more. Tom gives 2 to Ann.", "Yesterday Maria walked to the harbour, and Maria saw a ship"]
+    texts = [items[0].replace("Tom", "Eve"), items[0].upper(), items[0].lower(), items[1].upper(), items[1].lower(), items[1].replace("Maria", "Berta"),
+             "yesterday we walked to the harbour"]
+    assert found_leaks(spark, texts, items) == {(0, 0), (1, 0), (2, 0), (3, 1), (4, 1), (5, 1)}
+    assert found_leaks(spark, items, [t.lower() for t in items]) == {(0, 0), (1, 1)}
