@@ -238,9 +238,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
 
 def decontamination_stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, columns as they came."""
-    bad = contaminated(docs.select("doc_id", "text"), benchmark).select(F.col("doc_id").alias("ll_bad")).distinct()
+    """The rows of ``docs`` that hold no benchmark item, columns as they came.
+    Each row is judged by its own text, with a doc_id or without."""
     names = docs.columns
-    rows = docs.select(*[F.col(c).alias(f"in_{k}") for k, c in enumerate(names)])
-    kept = rows.join(bad, F.col(f"in_{names.index('doc_id')}") == F.col("ll_bad"), "left_anti")
-    return kept.select(*[F.col(f"in_{k}").alias(c) for k, c in enumerate(names)])
+    rows = stored(docs.select(*[F.col(c).alias(f"in_{k}") for k, c in enumerate(names)], F.monotonically_increasing_id().alias("row")), "numbered")
+    bad = contaminated(rows.select(F.col("row").alias("doc_id"), F.col(f"in_{names.index('text')}").alias("text")), benchmark).select(F.col("doc_id").alias("row")).distinct()
+    return rows.join(bad, "row", "left_anti").select(*[F.col(f"in_{k}").alias(c) for k, c in enumerate(names)])

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from metrospan.llm import frames, quality_rules, simhash
+from metrospan.llm import decontaminate, frames, quality_rules, simhash
 from test_text_operators import SCHEMA, hostile, prose
 
 SF = "/root/testdata/sf0.01"
@@ -89,3 +89,10 @@ def test_rows_without_id_are_judged_one_by_one(spark):
     rows = [(None, a), (None, a), (None, b), (7, b), (9, c), (3, a[::-1]), (9, a[::-1])]
     got = simhash.simhash_stage(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(None, a), (7, b), (9, c), (3, a[::-1])]))
+
+
+def test_contaminated_rows_without_id_go(spark):
+    item = "the red fox sat on the low wall and looked at the moon"
+    rows = [(None, f"so {item} again"), (None, "nothing of it"), (1, item), (1, "other text of one"), (2, "clean")]
+    got = decontaminate.decontamination_stage(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, rows[1:2] + rows[3:]))
