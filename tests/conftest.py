@@ -14,7 +14,3 @@ def spark():
     session = local_session(partitions=4)
     session.sparkContext.setLogLevel("ERROR")
     return session
-
-
-def rows(df, *cols):
-    return sorted(tuple(r[c] for c in cols) for r in df.select(*cols).collect())

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from frames_help import rows
 from metrospan.functions import rules as R
 from metrospan.functions.units import to_si, to_si_status
 from metrospan.operators import contracts as C

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from frames_help import rows
 from metrospan.functions import transport as X
 from metrospan.functions.errors import ratio_sd
 from metrospan.functions.student import t_quantile_975, t_two_sided_p

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from frames_help import rows
 from metrospan.operators import pixels as P
 
 

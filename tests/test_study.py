@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from frames_help import rows
 from metrospan.operators.contracts import ContractViolation
 from metrospan.operators.provenance import provenance
 from metrospan.params import StudyParameters

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from frames_help import rows
 from metrospan.operators import design as D
 from metrospan.operators import diff as V
 from metrospan.operators import folds as K
