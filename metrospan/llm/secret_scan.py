@@ -91,7 +91,8 @@ def test_tokens(tokens: DataFrame) -> DataFrame:
     ask whether the symbols are uniform draws: chi-squared of the counts (exact
     mean and variance for short strings), runs above and below the middle of
     the alphabet, and lag-one serial correlation of the symbol numbers;
-    p_random is the Bonferroni combination.  p_ordinary is the chance that an
+    p_random is the Bonferroni combination.  Sums are doubles, so that a token
+    may have any length; its characters are split once.  p_ordinary is the chance that an
     ordinary string of the same length has a chi-squared as low as this one.
     """
     name, symbols, repeat = F.lit(None).cast("string"), F.lit(""), F.lit(0.0)
@@ -100,16 +101,16 @@ def test_tokens(tokens: DataFrame) -> DataFrame:
         fits = body.rlike(f"^{pattern}$")
         name, symbols, repeat = F.when(fits, label).otherwise(name), F.when(fits, alphabet).otherwise(symbols), F.when(fits, chance).otherwise(repeat)
     rows = tokens.withColumns({"encoding": name, "ll_alphabet": symbols, "ll_repeat": repeat, "ll_body": body})
-    rows = rows.withColumns({"n": F.length("ll_body"), "ll_k": F.length("ll_alphabet").cast("double"),
-                             "ll_s": F.expr("transform(sequence(1, length(ll_body)), i -> instr(ll_alphabet, substr(ll_body, i, 1)))")})
+    rows = rows.withColumns({"n": F.length("ll_body").cast("double"), "ll_k": F.length("ll_alphabet").cast("double"),
+                             "ll_s": F.expr("transform(filter(split(ll_body, ''), c -> c <> ''), c -> instr(ll_alphabet, c))")})
     rows = rows.withColumns({
         "ll_squares": F.expr("aggregate(sequence(1, length(ll_alphabet)), 0D, (a, j) -> a + pow(size(filter(ll_s, s -> s = j)), 2))"),
         "ll_high": F.expr("aggregate(ll_s, 0D, (a, s) -> a + IF(s > ll_k / 2, 1, 0))"),
-        "ll_runs": F.expr("aggregate(sequence(2, n), 1D, (a, i) -> a + IF((ll_s[i - 1] > ll_k / 2) = (ll_s[i - 2] > ll_k / 2), 0, 1))"),
+        "ll_runs": F.expr("aggregate(sequence(2, size(ll_s)), 1D, (a, i) -> a + IF((ll_s[i - 1] > ll_k / 2) = (ll_s[i - 2] > ll_k / 2), 0, 1))"),
         "ll_mean": F.expr("aggregate(ll_s, 0D, (a, s) -> a + s) / n")})
     rows = rows.withColumns({
         "ll_chi": F.expr("ll_k / n * ll_squares - n"),
-        "ll_serial": F.expr("aggregate(sequence(2, n), 0D, (a, i) -> a + (ll_s[i - 1] - ll_mean) * (ll_s[i - 2] - ll_mean)) / greatest(1e-9, aggregate(ll_s, 0D, (a, s) -> a + (s - ll_mean) * (s - ll_mean)))"),
+        "ll_serial": F.expr("aggregate(sequence(2, size(ll_s)), 0D, (a, i) -> a + (ll_s[i - 1] - ll_mean) * (ll_s[i - 2] - ll_mean)) / greatest(1e-9, aggregate(ll_s, 0D, (a, s) -> a + (s - ll_mean) * (s - ll_mean)))"),
         "ll_even": F.expr("2 * ll_high * (n - ll_high)")})
     rows = rows.withColumns({
         "ll_z1": F.expr("(ll_chi - (ll_k - 1)) / sqrt(2 * (ll_k - 1) * (n - 1) / n)"),
@@ -117,7 +118,7 @@ def test_tokens(tokens: DataFrame) -> DataFrame:
         "ll_z3": F.expr("abs(ll_serial + 1D / n) * sqrt(n)"),
         "ll_z0": F.expr("(ll_chi - (ll_k * (1 + (n - 1) * ll_repeat) - n)) / sqrt(2 * (ll_k - 1) * (n - 1) / n + 4 * n * (ll_k * ll_repeat - 1))")})
     rows = rows.withColumn("p_random", F.expr(f"least(1D, 3 * least({_phi('(-ll_z1)')}, 2 * {_phi('(-ll_z2)')}, 2 * {_phi('(-ll_z3)')}))"))
-    return rows.withColumn("p_ordinary", F.expr(_phi("ll_z0"))).drop(*[c for c in rows.columns if c.startswith("ll_")])
+    return rows.withColumns({"p_ordinary": F.expr(_phi("ll_z0")), "n": F.col("n").cast("int")}).drop(*[c for c in rows.columns if c.startswith("ll_")])
 
 
 def discovery_limits(tests: DataFrame, rate: float = 0.05) -> dict[int, float]:
