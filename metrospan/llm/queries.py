@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, importance, lang_id, line_dedup, mixing, quality_rules, secret_scan, simhash, url_filter, warc
+from . import (decontaminate, fill_middle, importance, lang_id, line_dedup, mixing, quality_rules, secret_scan, simhash, substring_dedup,
+               url_filter, warc, whitening)
 from .frames import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,6 +21,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": lambda spark, sf: simhash.simhash_query(read(spark, sf, "documents")),
     "op9_line_dedup": lambda spark, sf: line_dedup.lines_query(read(spark, sf, "documents")),
     "op10_mixing": lambda spark, sf: mixing.mixing_query(read(spark, sf, "documents")),
+    "op11_whitening": lambda spark, sf: whitening.whitening_query(read(spark, sf, "embeddings")),
+    "op12_fill_middle": lambda spark, sf: fill_middle.fill_middle_query(read(spark, sf, "documents")),
+    "op13_suffix_dedup": lambda spark, sf: substring_dedup.substring_query(read(spark, sf, "documents")),
 }
 
-ORACLES: dict[str, str] = {"op7_warc": warc.WARC_SQL, "op9_line_dedup": line_dedup.LINES_SQL, "op10_mixing": mixing.MIXING_SQL}
+ORACLES: dict[str, str] = {"op7_warc": warc.WARC_SQL, "op9_line_dedup": line_dedup.LINES_SQL, "op10_mixing": mixing.MIXING_SQL,
+                            "op12_fill_middle": fill_middle.FILL_MIDDLE_SQL}
