@@ -1,16 +1,17 @@
-"""Pixel tables: (image, y, x, value) rows, windows inside an image or a tile.
+"""Pixel tables, profiles of pictures, and features of regions.
 
-Every window is keyed by the image (or finer), whose size is that of one
-picture, so nothing here grows with the number of images except the row count.
+Pixels themselves are worked on as array rows (``pictures``); windows here run
+over profiles, whose rows are the lines of one picture.
 """
 
 from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.errors import optical_density, transmittance
+from .pictures import REGION_FEATURES, TILE_FEATURES, edge_profiles
 
 
 def pixels_from_array(df: DataFrame, image: str, array: str, width: int, value: Column | None = None,
@@ -37,125 +38,8 @@ def canonical(df: DataFrame, orientation: str, height: str | int, width: str | i
     return df.withColumns({"cy": cy, "cx": cx})
 
 
-def flat_field(pixels: DataFrame, ref: DataFrame, dark: DataFrame, ref_key: list[str], dark_key: list[str],
-               maximum: int, t_min: float, t_max: float) -> DataFrame:
-    """Transmittance and optical density against REF and DARK frames.
-
-    ``ref``/``dark`` are pixel tables with a ``value`` column.  A frame pixel is
-    used by every image of its session; adaptive execution broadcasts few
-    frames and splits the hot ones of many.
-    """
-    r = ref.select(*ref_key, F.col("value").alias("_r"))
-    d = dark.select(*dark_key, F.col("value").alias("_d"))
-    p = pixels.join(r, ref_key, "left").join(d, dark_key, "left")
-    i = F.col("value").cast("double")
-    ref_v, dark_v = F.col("_r").cast("double"), F.col("_d").cast("double")
-    t = transmittance(i, ref_v, dark_v)
-    zero = F.coalesce(ref_v - dark_v <= 0, F.lit(True))
-    p = p.withColumns({
-        "zero_denominator": zero,
-        "saturated": F.greatest(i, ref_v, dark_v) >= maximum,
-        "nonpositive": F.coalesce(i - dark_v <= 0, F.lit(True)),
-        "low_t": F.coalesce(t < t_min, F.lit(False)),
-        "high_t": F.coalesce(t > t_max, F.lit(False)),
-        "_t": t})
-    bad = F.col("zero_denominator") | F.col("saturated") | F.col("nonpositive") | F.col("low_t") | F.col("high_t")
-    p = p.withColumn("valid", ~bad).withColumn("T", F.when(F.col("valid"), F.col("_t")))
-    return p.withColumn("od", optical_density("T")).drop("_r", "_d", "_t")
-
-
-def image_qc(corrected: DataFrame, image: str, limit: float) -> DataFrame:
-    """Fault counts and the pass/fail status of each image."""
-    names = {"zero_denominator": "zero_denominator_pixels", "saturated": "saturated_pixels",
-             "nonpositive": "nonpositive_signal_pixels", "low_t": "low_t_pixels", "high_t": "high_t_pixels"}
-    q = corrected.groupBy(image).agg(
-        *[F.count_if(c).alias(n) for c, n in names.items()],
-        F.count_if(~F.col("valid")).alias("invalid_pixels"), F.count(F.lit(1)).alias("total_pixels"))
-    fail = ((F.col("invalid_pixels") == F.col("total_pixels"))
-            | (F.col("invalid_pixels") / F.col("total_pixels") > limit))
-    return q.withColumn("status", F.when(fail, "FAIL").otherwise("PASS"))
-
-
-def display_value(corrected: DataFrame, image: str, t_max: float, out: str = "display") -> DataFrame:
-    """Transmittance on a fixed [0, t_max] scale; invalid pixels show the image
-    median.  For texture only, never a quantitative value."""
-    middle = F.percentile("T", F.lit(0.5)).over(W.partitionBy(image))
-    d = corrected.withColumn("_mid", middle)
-    return d.withColumn(out, F.least(F.greatest(F.coalesce("T", "_mid") / t_max, F.lit(0.0)), F.lit(1.0))).drop("_mid")
-
-
-# --- contrast equalisation ---------------------------------------------------
-
-def _axis_tables(n: int, cells: int) -> dict[str, list]:
-    """Per pixel of an axis: own cell, the two cells it blends, upper weight."""
-    edges = [i * n // cells for i in range(cells + 1)]
-    centre = [(a + b - 1) / 2 for a, b in zip(edges, edges[1:])]
-    own = [c for c in range(cells) for _ in range(edges[c], edges[c + 1])]
-    low = [max(0, sum(c <= x for c in centre) - 1) for x in range(n)]
-    high = [min(c + 1, cells - 1) for c in low]
-    weight = [min(1.0, max(0.0, (x - centre[a]) / (centre[b] - centre[a]))) if b > a else 0.0
-              for x, (a, b) in enumerate(zip(low, high))]
-    return {"own": own, "low": low, "high": high, "weight": weight}
-
-
-def _lookup(values: list, axis: str) -> Column:
-    kind = "D" if isinstance(values[0], float) else ""
-    return F.expr(f"array({', '.join(f'{v!r}{kind}' for v in values)})[{axis}]")
-
-
-def local_equalize(pixels: DataFrame, image: str, value: str, height: int, width: int, grid=(8, 8),
-                   clip: float = 2.0, bins: int = 256, out: str = "equalized") -> DataFrame:
-    """Clipped local histogram equalisation with bilinear blending of cells.
-
-    The histogram of a cell keeps at most ``clip`` times the mean bin count;
-    the excess spreads evenly over all bins.  A constant image is unchanged.
-    Histograms, not pixels, are shuffled to build the cumulative tables.
-    """
-    ty = _axis_tables(height, min(grid[0], height))
-    tx = _axis_tables(width, min(grid[1], width))
-    p = pixels.withColumn("_q", F.least(F.floor(F.col(value) * bins), F.lit(bins - 1)).cast("int"))
-    hist = p.groupBy(image, _lookup(ty["own"], "y").alias("_cy"), _lookup(tx["own"], "x").alias("_cx"), "_q").agg(
-        F.count(F.lit(1)).cast("double").alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    cell = [image, "_cy", "_cx"]
-    # One row per cell with at most `bins` counts, then one row per cell and bin.
-    cells = hist.repartition(image).groupBy(*cell).agg(
-        F.sum("_n").alias("_size"), F.map_from_entries(F.collect_list(F.struct("_q", "_n"))).alias("_count"),
-        F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
-    flat = F.min("_lo").over(W.partitionBy(image)) == F.max("_hi").over(W.partitionBy(image))
-    cells = cells.withColumns({"_flat": flat, "_cap": F.greatest(F.lit(1.0), float(clip) * F.col("_size") / bins)})
-    cells = cells.withColumn("_excess", F.expr("aggregate(map_values(_count), 0D, (s, n) -> s + greatest(n - _cap, 0D))"))
-    share = f"transform(sequence(0, {bins - 1}), b -> least(coalesce(try_element_at(_count, b), 0D), _cap) + _excess / {bins})"
-    lut = cells.select(*cell, "_size", "_flat", F.posexplode(F.expr(share)).alias("_q", "_share"))
-    upto = W.partitionBy(*cell).orderBy("_q").rowsBetween(W.unboundedPreceding, W.currentRow)
-    lut = lut.select(*cell, "_q", "_flat", (F.sum("_share").over(upto) / F.col("_size")).alias("_cdf"))
-
-    keep = pixels.columns
-    sides = {"_y0": _lookup(ty["low"], "y"), "_y1": _lookup(ty["high"], "y"), "_wy": _lookup(ty["weight"], "y"),
-             "_x0": _lookup(tx["low"], "x"), "_x1": _lookup(tx["high"], "x"), "_wx": _lookup(tx["weight"], "x")}
-    corners = F.array(*[
-        F.struct(F.col(cy).alias("_cy"), F.col(cx).alias("_cx"), (a * b).alias("_w"))
-        for cy, a in (("_y0", 1 - F.col("_wy")), ("_y1", F.col("_wy")))
-        for cx, b in (("_x0", 1 - F.col("_wx")), ("_x1", F.col("_wx")))])
-    asked = p.withColumns(sides).select(*keep, "_q", F.inline(corners)).where("_w > 0")
-    hit = asked.join(lut, [*cell, "_q"])
-    blended = hit.groupBy(image, "y", "x").agg(
-        F.sum(F.col("_w") * F.col("_cdf")).alias("_blend"), F.first("_flat").alias("_flat"),
-        *[F.first(c).alias(c) for c in keep if c not in (image, "y", "x")])
-    return blended.select(*keep, F.when(F.col("_flat"), F.col(value)).otherwise(F.col("_blend")).alias(out))
-
-
 # --- profiles and channel edges ----------------------------------------------
 
-def edge_profile(pixels: DataFrame, image: str, value: str, keep: list[str] = ()) -> DataFrame:
-    """Mean absolute row difference along y, one row per (image, y >= 0).
-
-    ``keep`` names columns that are constant in an image.
-    """
-    w = W.partitionBy(image, "x").orderBy("y")
-    d = pixels.withColumn("_d", F.abs(F.col(value) - F.lag(value).over(w))).where("_d is not null")
-    return d.groupBy(image, (F.col("y") - 1).alias("y")).agg(F.avg("_d").alias("profile"), *[F.first(c).alias(c) for c in keep])
-
-
 def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
     radius = int(truncate * sigma + 0.5)
     raw = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
@@ -216,29 +100,42 @@ def local_peaks(df: DataFrame, by: list[str], axis: str, value: str, height: str
     listed = peaks.groupBy(*by).agg(F.sort_array(
         F.collect_list(F.struct(F.col(value).alias("v"), at.alias("p"))), asc=False).alias("_peaks"),
         *[F.first(c).alias(c) for c in keep])
-    kept = F.aggregate(
-        "_peaks", F.slice("_peaks", 1, 0),
-        lambda acc, c: F.when(F.exists(acc, lambda k: F.abs(k["p"] - c["p"]) < distance), acc).otherwise(
-            F.concat(acc, F.array(c))))
-    return listed.select(*by, *keep, F.inline(kept)).select(*by, *keep, F.col("p").alias(axis), F.col("v").alias(value))
+    thin = F.pandas_udf(_thinner(distance), "array<boolean>")
+    kept = listed.withColumn("_kept", thin(F.transform("_peaks", lambda k: k["p"])))
+    return kept.select(*by, *keep, F.inline(F.arrays_zip("_peaks", "_kept"))).where("_kept").select(
+        *by, *keep, F.col("_peaks.p").alias(axis), F.col("_peaks.v").alias(value))
+
+
+def _thinner(distance: int):
+    """Of positions in order of rank, those no nearer than ``distance`` to one kept before."""
+    def thin(lists: pd.Series) -> pd.Series:
+        out = []
+        for positions in lists:
+            taken: set[int] = set()
+            marks = []
+            for p in positions.tolist():
+                marks.append(all(q not in taken for q in range(p - distance + 1, p + distance)))
+                if marks[-1]:
+                    taken.add(p)
+            out.append(marks)
+        return pd.Series(out)
+    return thin
 
 
 def peak_pairs(peaks: DataFrame, by: list[str], axis: str, value: str, width: str) -> DataFrame:
     """Ordered peak pairs whose distance is within 15 % of the expected width.
 
-    The peaks of a profile (fewer than a third of its length) meet in one row;
-    each keeps only the partners in range, so no all-pairs product is emitted
-    and the profile is computed once.
+    Positions fall into bins of three tenths of the width; the partners of a
+    peak lie in two of them at most, so that peaks meet only their neighbours.
     """
-    lists = peaks.groupBy(*by).agg(
-        F.collect_list(F.struct(F.col(axis).cast("long").alias("p"), F.col(value).alias("v"))).alias("_all"),
-        F.first(width).alias("_w"))
-    a = lists.select(*by, "_all", "_w", F.explode("_all").alias("_a"))
-    gap = lambda b: b["p"] - F.col("_a.p")
-    a = a.select(*by, "_a", F.explode(F.filter(
-        "_all", lambda b: (gap(b) >= F.col("_w") * 0.85) & (gap(b) <= F.col("_w") * 1.15))).alias("_b"))
-    return a.select(*by, (F.col("_a.v") + F.col("_b.v")).alias("score"), (F.col("_a.p") + 1).alias("y0"),
-                    (F.col("_b.p") + 1).alias("y1"))
+    size = F.greatest(F.lit(1.0), 0.3 * F.col(width))
+    p = peaks.select(*by, F.col(axis).cast("long").alias("_p"), F.col(value).alias("_v"), F.col(width).alias("_w"), size.alias("_s"))
+    low, high = F.floor((F.col("_p") + 0.85 * F.col("_w")) / F.col("_s")), F.floor((F.col("_p") + 1.15 * F.col("_w")) / F.col("_s"))
+    a = p.where(F.col("_w") > 0).select(*by, F.col("_p").alias("_a"), F.col("_v").alias("_va"), "_w", F.explode(F.sequence(low, high)).alias("_bin"))
+    b = p.select(*by, F.col("_p").alias("_b"), F.col("_v").alias("_vb"), F.floor(F.col("_p") / F.col("_s")).alias("_bin"))
+    gap = F.col("_b") - F.col("_a")
+    near = a.join(b, [*by, "_bin"]).where((gap >= F.col("_w") * 0.85) & (gap <= F.col("_w") * 1.15))
+    return near.select(*by, (F.col("_va") + F.col("_vb")).alias("score"), (F.col("_a") + 1).alias("y0"), (F.col("_b") + 1).alias("y1"))
 
 
 def best_pair(pairs: DataFrame, by: list[str]) -> DataFrame:
@@ -249,83 +146,22 @@ def best_pair(pairs: DataFrame, by: list[str]) -> DataFrame:
     return r.where("_r = 1").select(*by, "score", "y0", "y1", F.coalesce(rival, F.lit(False)).alias("ambiguous"))
 
 
-def detect_channel(pixels: DataFrame, image: str, value: str, width: str, factor: float = 6.0) -> DataFrame:
-    """Channel edges from the smoothed edge profile of each image."""
-    prof = smooth(edge_profile(pixels, image, value, [width]), [image], "y", "profile", gaussian_weights(0.6), "smoothed")
+def detect_channel(pictures: DataFrame, image: str, array: str, width: str, factor: float = 6.0) -> DataFrame:
+    """Channel edges from the smoothed edge profile of each picture."""
+    prof = smooth(edge_profiles(pictures, image, array, [width]), [image], "y", "profile", gaussian_weights(0.6), "smoothed")
     prof = with_threshold(prof, [image], "smoothed", factor=factor)
     peaks = local_peaks(prof, [image], "y", "smoothed", "threshold", keep=[width])
     return best_pair(peak_pairs(peaks, [image], "y", "smoothed", width), [image])
 
 
-# --- tiles -------------------------------------------------------------------
-
-def tile_origin(lo: Column, hi: Column, size: int) -> Column:
-    """Start of the centred run of whole tiles inside [lo, hi)."""
-    count = F.floor((hi - lo) / size)
-    return (lo + F.floor((hi - lo - count * size) / 2)).cast("int")
-
-
-def assign_tiles(pixels: DataFrame, size: int, x0, x1, y0, y1) -> DataFrame:
-    """Tile indices of the pixels that lie in whole tiles of the region."""
-    box = [F.lit(c) if isinstance(c, int) else F.col(c) for c in (x0, x1, y0, y1)]
-    xs, ys = tile_origin(box[0], box[1], size), tile_origin(box[2], box[3], size)
-    nx, ny = F.floor((box[1] - box[0]) / size), F.floor((box[3] - box[2]) / size)
-    p = pixels.withColumns({"tx": F.floor((F.col("x") - xs) / size).cast("int"),
-                            "ty": F.floor((F.col("y") - ys) / size).cast("int")})
-    return p.where((F.col("tx") >= 0) & (F.col("tx") < nx) & (F.col("ty") >= 0) & (F.col("ty") < ny))
-
-
-def _central(w: W, value: str) -> Column:
-    """Half difference of the neighbours, one-sided at the ends."""
-    v, a, b = F.col(value), F.lag(value).over(w), F.lead(value).over(w)
-    return F.when(a.isNull(), b - v).when(b.isNull(), v - a).otherwise((b - a) / 2)
-
-
-def tile_gradient(pixels: DataFrame, tile: list[str], value: str) -> DataFrame:
-    gx = _central(W.partitionBy(*tile, "y").orderBy("x"), value)
-    gy = _central(W.partitionBy(*tile, "x").orderBy("y"), value)
-    return pixels.withColumns({"_gx": gx, "_gy": gy}).withColumn(
-        "gradient", F.hypot("_gx", "_gy")).drop("_gx", "_gy")
-
-
-def tile_neighbor(pixels: DataFrame, tile: list[str], value: str) -> DataFrame:
-    """|value - mean of its 3 x 3 neighbourhood|, edges mirrored inside the tile."""
-    def mean3(w: W, c: str) -> Column:
-        v = F.col(c)
-        return (F.coalesce(F.lag(c).over(w), v) + v + F.coalesce(F.lead(c).over(w), v)) / 3
-    p = pixels.withColumn("_m", mean3(W.partitionBy(*tile, "y").orderBy("x"), value))
-    p = p.withColumn("_mm", mean3(W.partitionBy(*tile, "x").orderBy("y"), "_m"))
-    return p.withColumn("neighbor", F.abs(F.col(value) - F.col("_mm"))).drop("_m", "_mm")
-
-
-def tile_features(pixels: DataFrame, image: str, size: int, texture: str = "texture", mask: str | None = None) -> DataFrame:
-    """Per-tile features of corrected pixels (columns T, od, valid, tx, ty).
-
-    ``complete`` is false for tiles cut by a mask, ``all_valid`` for tiles with
-    an invalid pixel; such tiles keep their row so their number is auditable.
-    """
-    tile = [image, "ty", "tx"]
-    p = tile_neighbor(tile_gradient(pixels, tile, texture), tile, texture)
-    inside = F.coalesce(F.col(mask), F.lit(False)) if mask else F.lit(True)
-    return p.groupBy(*tile).agg(
-        F.avg("od").alias("od_mean"), F.stddev_pop("od").alias("od_std"),
-        F.percentile("od", F.lit(0.1)).alias("od_p10"), F.percentile("od", F.lit(0.9)).alias("od_p90"),
-        F.avg("T").alias("T_mean"), F.avg("gradient").alias("texture_gradient"),
-        F.avg("neighbor").alias("texture_neighbor"),
-        F.min("x").alias("x0"), (F.max("x") + 1).alias("x1"), F.min("y").alias("y0"), (F.max("y") + 1).alias("y1"),
-        F.bool_and(inside).alias("complete"), F.bool_and("valid").alias("all_valid"),
-        F.count(F.lit(1)).alias("n_pixels")).withColumn("full", F.col("n_pixels") == size * size)
-
-
-TILE_FEATURES = ("od_mean", "od_std", "od_p10", "od_p90", "T_mean", "texture_gradient", "texture_neighbor")
-
+# --- regions -------------------------------------------------------------------
 
 def roi_features(tiles: DataFrame, images: DataFrame, image: str, labelled: str) -> DataFrame:
     """Unweighted tile means per region, with the reason when it has none.
 
     Regions start from the image table, so one without any tile is reported.
     """
-    use = F.col("complete") & F.col("full")
+    use = F.col("complete")
     ok = use & F.col("all_valid")
     g = tiles.groupBy(image).agg(
         *[F.avg(F.when(ok, F.col(f))).alias(f"feature_{f}") for f in TILE_FEATURES],
@@ -344,76 +180,6 @@ def roi_features(tiles: DataFrame, images: DataFrame, image: str, labelled: str)
         *[F.when(ok_col, F.col(f"feature_{f}")).alias(f"feature_{f}") for f in TILE_FEATURES])
 
 
-# --- masked texture features ---------------------------------------------------
-
-def valid_interior(pixels: DataFrame, tile: list[str], valid: str, radius: int, out: str = "interior") -> DataFrame:
-    """Pixels whose city-block ball of ``radius`` is valid and inside the tile.
-
-    That ball test equals ``radius`` rounds of cross-shaped erosion: the nearest
-    invalid or outside pixel of each column is found once, then combined along
-    the row with one window, so the plan does not grow with the radius.
-    """
-    col_w, row_w = W.partitionBy(*tile, "x").orderBy("y"), W.partitionBy(*tile, "y").orderBy("x")
-    y, x = F.col("y"), F.col("x")
-    bad = F.when(~F.col(valid), y)
-    up = F.max(bad).over(col_w.rowsBetween(W.unboundedPreceding, W.currentRow))
-    down = F.min(bad).over(col_w.rowsBetween(W.currentRow, W.unboundedFollowing))
-    all_col = W.partitionBy(*tile, "x")
-    top, bottom = F.min("y").over(all_col) - 1, F.max("y").over(all_col) + 1
-    p = pixels.withColumn("_v", F.least(y - F.coalesce(up, top), F.coalesce(down, bottom) - y))
-    all_row = W.partitionBy(*tile, "y")
-    p = p.withColumns({"_l": F.min("x").over(all_row) - 1, "_r": F.max("x").over(all_row) + 1})
-    near = row_w.rowsBetween(-radius, radius)
-    p = p.withColumn("_near", F.collect_list(F.struct(x.alias("x"), F.col("_v").alias("v"))).over(near))
-    reach = F.array_min(F.transform("_near", lambda n: n["v"] + F.abs(n["x"] - x)))
-    dist = F.least(reach, x - F.col("_l"), F.col("_r") - x)
-    return p.withColumn(out, dist > radius).drop("_v", "_l", "_r", "_near")
-
-
-def _sobel(p: DataFrame, tile: list[str], value: str) -> DataFrame:
-    """Sobel gradient magnitude over 8, edges mirrored inside the tile."""
-    def ends(w: W, c: str):
-        v = F.col(c)
-        return F.coalesce(F.lag(c).over(w), v), v, F.coalesce(F.lead(c).over(w), v)
-    rows, cols = W.partitionBy(*tile, "y").orderBy("x"), W.partitionBy(*tile, "x").orderBy("y")
-    a, b, c = ends(rows, value)
-    p = p.withColumns({"_dx": c - a, "_sx": a + 2 * b + c})
-    a, b, c = ends(cols, "_dx")
-    d, _, f = ends(cols, "_sx")
-    p = p.withColumns({"_gx": (a + 2 * b + c) / 8, "_gy": (f - d) / 8})
-    return p.withColumn("gradient", F.hypot("_gx", "_gy")).drop("_dx", "_sx", "_gx", "_gy")
-
-
-def texture_pixels(pixels: DataFrame, tile: list[str], value: str, sigma: float) -> DataFrame:
-    """Gradient, high-pass and neighbour contrast of every pixel of a tile."""
-    weights = gaussian_weights(sigma)
-    p = _sobel(tile_neighbor(pixels, tile, value), tile, value)
-    p = smooth(p, [*tile, "y"], "x", value, weights, "_gx")
-    p = smooth(p, [*tile, "x"], "y", "_gx", weights, "_gxy")
-    return p.withColumn("highpass", F.col(value) - F.col("_gxy")).drop("_gx", "_gxy")
-
-
-REGION_FEATURES = ("raw_mean", "raw_variance", "equalized_mean", "equalized_variance",
-                   "gradient_mean", "gradient_p90", "highpass_std", "neighbor_mean")
-
-
-def masked_tile_features(pixels: DataFrame, tile: list[str], raw: str, equalized: str, valid: str,
-                         sigma: float, min_fraction: float) -> DataFrame:
-    """Eight features per tile; derivative ones use interior pixels only."""
-    radius = max(1, math.ceil(4 * sigma))
-    p = valid_interior(texture_pixels(pixels, tile, equalized, sigma), tile, valid, radius)
-    ok, core = F.col(valid), F.col("interior")
-    on = lambda c, v: F.when(c, F.col(v))
-    t = p.groupBy(*tile).agg(
-        F.avg(on(ok, raw)).alias("raw_mean"), F.var_pop(on(ok, raw)).alias("raw_variance"),
-        F.avg(on(ok, equalized)).alias("equalized_mean"), F.var_pop(on(ok, equalized)).alias("equalized_variance"),
-        F.avg(on(core, "gradient")).alias("gradient_mean"),
-        F.percentile(on(core, "gradient"), F.lit(0.9)).alias("gradient_p90"),
-        F.stddev_pop(on(core, "highpass")).alias("highpass_std"), F.avg(on(core, "neighbor")).alias("neighbor_mean"),
-        F.count_if(ok).alias("n_valid"), F.count_if(core).alias("n_interior"), F.count(F.lit(1)).alias("n_pixels"))
-    return t.withColumn("used", (F.col("n_valid") / F.col("n_pixels") >= min_fraction) & (F.col("n_interior") >= 4))
-
-
 def weighted_roi_features(tiles: DataFrame, image: str) -> DataFrame:
     """Valid-pixel-weighted mean and population SD of every tile feature."""
     u = tiles.where("used")

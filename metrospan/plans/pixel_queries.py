@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions.errors import gray
 from ..operators import diff as D
+from ..operators import pictures as A
 from ..operators import pixels as P
 from ..operators import provenance as V
+from ..params import StudyParameters
+from . import study
 from .registry import off_tie, query, rnd, rounded, sr, sr_off_tie, table
 
 SIDE = 8
@@ -34,13 +37,20 @@ def pixels_canonical(spark, sf):
     return P.canonical(pictures(spark, sf).withColumn("o", o), "o", SIDE, SIDE).select("vec_id", "value", "cy", "cx")
 
 
+def rasters(spark, sf):
+    """The same pictures as array rows; one pixel of label 3 is masked."""
+    e = table(spark, sf, "embeddings").withColumn("raster", F.transform("embedding", lambda v: F.floor(v.cast("double") * 200 + 128)))
+    mask = F.when(F.col("label") == 3, F.concat(F.array(F.lit(0.0)), F.array_repeat(F.lit(1.0), SIDE * SIDE - 1)))
+    e = e.withColumns({"hole": mask, "top": F.lit(255.0)})
+    return A.pictures_from_array(e, "vec_id", "raster", SIDE, SIDE, keep=["label", "hole", "top"])
+
+
 def corrected(spark, sf):
     """Pictures corrected by the frames of their label (its session)."""
-    p = pictures(spark, sf)
-    frames = p.groupBy("label", "y", "x").agg((F.max("value") + 5).alias("hi"), F.min("value").alias("lo"))
-    key = ["label", "y", "x"]
-    return P.flat_field(p, frames.select(*key, F.col("hi").alias("value")), frames.select(*key, F.col("lo").alias("value")),
-                        key, key, 255, 0.02, 2.0)
+    frames = pictures(spark, sf).groupBy("label", "y", "x").agg((F.max("value") + 5).alias("hi"), F.min("value").alias("lo"))
+    ref, dark = (A.pictures_from_pixels(frames, "label", v) for v in ("hi", "lo"))
+    return A.correct_pictures(rasters(spark, sf), ref, dark, "vec_id", "label", "label", "top", 0.02, 2.0, 0.02, mask="hole",
+                              grid=(2, 2), clip=2.0, bins=16, keep=["label"])
 
 
 COR = PIX + """, fr AS (SELECT label, y, x, max(value) + 5 AS r, min(value) AS d FROM pix GROUP BY 1, 2, 3),
@@ -51,21 +61,15 @@ ct AS (SELECT *, CASE WHEN valid THEN t END AS tt, CASE WHEN valid THEN -log10(t
 
 @query("flat_field", COR + f" SELECT vec_id, y, x, valid, {sr('tt', 9)} AS \"T\", {sr('od', 9)} AS od FROM ct")
 def flat_field(spark, sf):
-    return rounded(corrected(spark, sf).select("vec_id", "y", "x", "valid", "T", "od"), {"T": 9, "od": 9})
+    p = A.pixels_of(corrected(spark, sf), "vec_id", ["valid", "T", "od"]).withColumn("valid", F.col("valid") == 1)
+    return rounded(p, {"T": 9, "od": 9})
 
 
 @query("image_qc", COR + """ SELECT vec_id, count(*) FILTER (zero) AS zero_denominator_pixels, count(*) FILTER (sat) AS saturated_pixels, count(*) FILTER (neg) AS nonpositive_signal_pixels,
   count(*) FILTER (low) AS low_t_pixels, count(*) FILTER (high) AS high_t_pixels, count(*) FILTER (NOT valid) AS invalid_pixels, count(*) AS total_pixels,
   CASE WHEN count(*) FILTER (NOT valid) / 64.0 > 0.02 THEN 'FAIL' ELSE 'PASS' END AS status FROM ct GROUP BY 1""")
 def image_qc(spark, sf):
-    return P.image_qc(corrected(spark, sf), "vec_id", 0.02)
-
-
-def textured(spark, sf):
-    """Corrected pictures with the equalised display value."""
-    c = corrected(spark, sf)
-    d = P.display_value(c, "vec_id", 2.0).select("vec_id", "label", "y", "x", "T", "od", "valid", "display")
-    return P.local_equalize(d, "vec_id", "display", SIDE, SIDE, grid=(2, 2), clip=2.0, bins=16, out="texture")
+    return corrected(spark, sf).select("vec_id", *A.FAULTS, "invalid_pixels", "total_pixels", F.col("qc_status").alias("status"))
 
 
 def _clahe_sql(src: str, key: str, value: str, side: int, out: str) -> str:
@@ -88,7 +92,7 @@ TEX = COR + """, md AS (SELECT vec_id, median(tt) AS m FROM ct GROUP BY 1), dp A
 
 @query("local_equalize", TEX + f" SELECT vec_id, y, x, {sr('texture', 9)} AS texture FROM tx")
 def local_equalize(spark, sf):
-    return textured(spark, sf).select("vec_id", "y", "x", rnd("texture", 9).alias("texture"))
+    return rounded(A.pixels_of(corrected(spark, sf), "vec_id", ["texture"]), {"texture": 9})
 
 
 # --- profiles -----------------------------------------------------------------------
@@ -98,7 +102,7 @@ _PROFILE = ", pr AS (SELECT vec_id, y, avg(d) AS v FROM (SELECT vec_id, a.y, abs
 
 @query("edge_profile", TEX + _PROFILE + f" SELECT vec_id, y, {sr('v', 9)} AS profile FROM pr")
 def edge_profile(spark, sf):
-    return rounded(P.edge_profile(textured(spark, sf), "vec_id", "texture"), {"profile": 9})
+    return rounded(A.edge_profiles(corrected(spark, sf), "vec_id", "texture"), {"profile": 9})
 
 
 def _gauss_sql(src: str, key: str, axis: str, value: str, out: str, sigma: float = 0.6) -> str:
@@ -185,16 +189,12 @@ _CH = TEX.replace("WITH pix", "WITH RECURSIVE pix", 1) + _PROFILE + ", " + _gaus
 r AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS s2, lead(y0) OVER w AS y2 FROM pp WINDOW w AS (PARTITION BY vec_id ORDER BY score DESC, y0 DESC, y1 DESC))
 SELECT vec_id, {sr('score', 8)} AS score, y0, y1, coalesce(s2 > 0.95 * score AND abs(y0 - y2) > 3, false) AS ambiguous FROM r WHERE r = 1""")
 def channel_edges(spark, sf):
-    t = textured(spark, sf).withColumn("w", F.lit(3.0))
+    t = corrected(spark, sf).withColumn("w", F.lit(3.0))
     return rounded(P.detect_channel(t, "vec_id", "texture", "w", factor=0.5), {"score": 8})
 
 
 # --- tiles ----------------------------------------------------------------------------
 
-def tiled(spark, sf):
-    return P.assign_tiles(textured(spark, sf), 4, 0, SIDE, 0, SIDE)
-
-
 _TILE = ", tl AS (SELECT *, y // 4 AS ty, x // 4 AS tx FROM tx)"
 _GRAD = _TILE + """, gr AS (SELECT t.*, sqrt(pow((r.texture - l.texture) / (r.x - l.x), 2) + pow((d.texture - u.texture) / (d.y - u.y), 2)) AS gradient FROM tl t
   JOIN tl l ON l.vec_id = t.vec_id AND l.y = t.y AND l.x = greatest(t.x - 1, t.tx * 4) JOIN tl r ON r.vec_id = t.vec_id AND r.y = t.y AND r.x = least(t.x + 1, t.tx * 4 + 3)
@@ -205,14 +205,13 @@ nb AS (SELECT t.vec_id, t.y, t.x, abs(max(t.texture) - avg(o.texture)) AS neighb
 
 @query("tile_gradient", TEX + _GRAD + f" SELECT vec_id, y, x, {sr('gradient', 8)} AS gradient FROM gr")
 def tile_gradient(spark, sf):
-    t = P.tile_gradient(tiled(spark, sf), ["vec_id", "ty", "tx"], "texture")
-    return t.select("vec_id", "y", "x", rnd("gradient", 8).alias("gradient"))
+    return rounded(A.pixels_of(A.tile_fields(corrected(spark, sf), "vec_id", "texture", 4), "vec_id", ["gradient"]), {"gradient": 8})
 
 
 @query("tile_neighbor", TEX + _GRAD + f" SELECT vec_id, y, x, {sr_off_tie('neighbor')} AS neighbor FROM nb")
 def tile_neighbor(spark, sf):
-    t = P.tile_neighbor(tiled(spark, sf), ["vec_id", "ty", "tx"], "texture")
-    return t.select("vec_id", "y", "x", off_tie("neighbor").alias("neighbor"))
+    t = A.pixels_of(A.tile_fields(corrected(spark, sf), "vec_id", "texture", 4), "vec_id", ["neighbor"])
+    return t.withColumn("neighbor", off_tie("neighbor"))
 
 
 _FEATURES = _GRAD + """, tf AS (SELECT vec_id, ty, tx, avg(od) AS od_mean, stddev_pop(od) AS od_std, quantile_cont(od, 0.1) AS od_p10, quantile_cont(od, 0.9) AS od_p90, avg(tt) AS "T_mean", avg(gradient) AS texture_gradient,
@@ -220,8 +219,7 @@ _FEATURES = _GRAD + """, tf AS (SELECT vec_id, ty, tx, avg(od) AS od_mean, stdde
 
 
 def tiles(spark, sf):
-    masked = ~((F.col("y") == 0) & (F.col("x") == 0) & (F.col("label") == 3))
-    return P.tile_features(tiled(spark, sf).withColumn("mask", masked), "vec_id", 4, mask="mask")
+    return A.tile_features(corrected(spark, sf), "vec_id", 4)
 
 
 @query("tile_features", TEX + _FEATURES + " SELECT vec_id, ty::INT AS ty, tx::INT AS tx, " + ", ".join(f'{sr_off_tie(chr(34) + f + chr(34))} AS "{f}"' for f in P.TILE_FEATURES) + ", complete, all_valid FROM tf")
@@ -247,25 +245,18 @@ def roi_features(spark, sf):
 @query("valid_interior", PIX + """ SELECT p.vec_id, p.y, p.x, count(*) FILTER (o.value > 90) = 13 AS interior FROM pix p CROSS JOIN range(-2, 3) a(dy) CROSS JOIN range(-2, 3) b(dx)
 LEFT JOIN pix o ON o.vec_id = p.vec_id AND o.y = p.y + dy AND o.x = p.x + dx WHERE abs(dy) + abs(dx) <= 2 GROUP BY 1, 2, 3""")
 def valid_interior(spark, sf):
-    p = pictures(spark, sf).withColumn("ok", F.col("value") > 90)
-    return P.valid_interior(p, ["vec_id"], "ok", 2).select("vec_id", "y", "x", "interior")
+    p = rasters(spark, sf).withColumn("ok", F.transform("raster", lambda v: F.when(v > 90, 1.0).otherwise(0.0)))
+    p = A.pixels_of(A.interior(p, "vec_id", "ok", 2), "vec_id", ["interior"])
+    return p.withColumn("interior", F.col("interior") == 1)
 
 
 _SIGMA = 0.25
 
 
-def region_pixels(spark, sf):
-    """Quarter pictures as tiles with a gray value, a mask and own contrast."""
-    p = pictures(spark, sf)
-    v = F.col("value")
-    key = F.col("vec_id") * 4 + F.floor(F.col("y") / 4) * 2 + F.floor(F.col("x") / 4)
-    p = p.select("vec_id", key.alias("tile"), (F.col("y") % 4).alias("y"), (F.col("x") % 4).alias("x"),
-                 gray(v + 5, v, v - 5, 255.0).alias("raw"), (v > 100).alias("ok"))
-    return P.local_equalize(p, "tile", "raw", 4, 4, grid=(2, 2), bins=16, out="texture")
-
-
-_REG = PIX + """, rp AS (SELECT vec_id, vec_id * 4 + y // 4 * 2 + x // 4 AS tile, y % 4 AS y, x % 4 AS x, 0.2126 * ((value + 5) / 255.0::DOUBLE) + 0.7152 * (value / 255.0::DOUBLE) + 0.0722 * ((value - 5) / 255.0::DOUBLE) AS raw, value > 100 AS ok FROM pix),
-""" + _clahe_sql("rp", "tile", "raw", 4, "rt")
+_REG = PIX + """, r0 AS (SELECT vec_id, vec_id * 4 + y // 4 * 2 + x // 4 AS tile, y % 4 AS y, x % 4 AS x, 0.2126 * ((value + 5) / 255.0::DOUBLE) + 0.7152 * (value / 255.0::DOUBLE) + 0.0722 * ((value - 5) / 255.0::DOUBLE) AS raw, value > 100 AS ok FROM pix),
+rp AS (SELECT a.*, CASE WHEN a.ok OR n.fill IS NULL THEN a.raw ELSE n.fill END AS shown FROM r0 a LEFT JOIN (SELECT a.tile, a.y, a.x, arg_min(b.raw, (pow(a.y - b.y, 2) + pow(a.x - b.x, 2)) * 100 + b.y * 4 + b.x) AS fill
+  FROM r0 a JOIN r0 b ON a.tile = b.tile AND b.ok GROUP BY 1, 2, 3) n ON n.tile = a.tile AND n.y = a.y AND n.x = a.x),
+""" + _clahe_sql("rp", "tile", "shown", 4, "rt")
 
 
 def _region_sql() -> str:
@@ -285,7 +276,12 @@ _REGION = _region_sql()
 
 
 def region_tiles(spark, sf):
-    return P.masked_tile_features(region_pixels(spark, sf), ["vec_id", "tile"], "raw", "texture", "ok", _SIGMA, 0.5)
+    """Quarter pictures as tiles with a gray value, a mask and own contrast."""
+    p = rasters(spark, sf)
+    p = p.withColumns({"gray": F.transform("raster", lambda v: gray(v + 5, v, v - 5, 255.0)),
+                       "ok": F.transform("raster", lambda v: F.when(v > 100, 1.0).otherwise(0.0))})
+    t = A.region_tile_features(p, "vec_id", "gray", "ok", 4, _SIGMA, 0.5, grid=(2, 2), bins=16)
+    return t.withColumn("tile", F.col("vec_id") * 4 + F.col("ty") * 2 + F.col("tx"))
 
 
 @query("texture_features", _REGION + " SELECT tile, " + ", ".join(f"{sr_off_tie(f)} AS {f}" for f in P.REGION_FEATURES) + ", n_valid, n_interior, n_valid / 16.0 >= 0.5 AND n_interior >= 4 AS used FROM tf")
@@ -303,6 +299,46 @@ def roi_features_weighted(spark, sf):
     return t.withColumns({f"feature_{f}_{s}": off_tie(f"feature_{f}_{s}", n) for f in P.REGION_FEATURES for s, n in (("mean", 8), ("std", 7))})
 
 
+
+# --- extraction job --------------------------------------------------------------------------
+
+_CFG = StudyParameters(tile_px=4, window_half_um=4.0, wall_margin_px=0, invalid_pixel_fraction_max=0.1, t_min=0.02, t_max=2.0)
+_EXTRACT = COR + """, cn AS (SELECT vec_id, label, tt, od, valid, CASE WHEN label < 5 THEN y WHEN label < 7 THEN 7 - x ELSE x END AS y, CASE WHEN label < 3 THEN x WHEN label < 5 THEN 7 - x WHEN label < 7 THEN y ELSE 7 - y END AS x FROM ct),
+md AS (SELECT vec_id, median(tt) AS m, count(*) FILTER (NOT valid) / 64.0 > 0.1 AS dim FROM cn GROUP BY 1), dp AS (SELECT cn.*, dim, least(greatest(coalesce(tt, m, 0) / 2.0, 0), 1) AS display FROM cn JOIN md USING (vec_id)),
+""" + _clahe_sql("dp", "vec_id", "display", 8, "tx") + """, bx AS (SELECT *, CASE WHEN label IN (3, 9) THEN 2 ELSE 0 END AS xs FROM tx WHERE label NOT IN (4, 6, 8)),
+tl AS (SELECT *, y // 4 AS ty, (x - xs) // 4 AS tx FROM bx WHERE x >= xs AND (xs = 0 OR x < 6))""" + _GRAD.removeprefix(_TILE).replace("t.tx * 4", "t.xs + t.tx * 4") + """,
+tf AS (SELECT vec_id, ty, tx, avg(od) AS od_mean, stddev_pop(od) AS od_std, quantile_cont(od, 0.1) AS od_p10, quantile_cont(od, 0.9) AS od_p90, avg(tt) AS "T_mean", avg(gradient) AS texture_gradient,
+  avg(neighbor) AS texture_neighbor, bool_and(valid) AS all_valid, min(x) AS x0, max(x) + 1 AS x1 FROM gr JOIN nb USING (vec_id, y, x) GROUP BY 1, 2, 3),
+g AS (SELECT vec_id, """ + ", ".join(f'avg("{f}") FILTER (all_valid) AS "{f}"' for f in P.TILE_FEATURES) + """, count(*) FILTER (all_valid) AS n_tiles, count(*) FILTER (NOT all_valid) AS rejected_tiles,
+  min(16.0::DOUBLE + x0) FILTER (all_valid) AS lo, max(16.0::DOUBLE + x1) FILTER (all_valid) AS hi FROM tf GROUP BY 1),
+s AS (SELECT e.vec_id, e.label, g.* EXCLUDE (vec_id, n_tiles, rejected_tiles), coalesce(n_tiles, 0) AS n_tiles, coalesce(rejected_tiles, 0) AS rejected_tiles,
+  CASE WHEN dim THEN 'invalid_pixels' WHEN e.label = 4 THEN 'roi_not_integer' WHEN e.label = 8 THEN 'manual_edges_outside' WHEN e.label = 6 THEN 'window_crosses_boundary' WHEN n_tiles = 0 THEN 'no_valid_tile'
+  WHEN e.label < 3 AND rejected_tiles > 0 THEN 'invalid_pixels_in_labelled_region' WHEN e.label = 0 THEN 'label_support_differs' ELSE '' END AS reason FROM embeddings e JOIN md USING (vec_id) LEFT JOIN g USING (vec_id))
+SELECT vec_id, CASE WHEN reason = '' THEN 'PASS' ELSE 'FAIL' END AS status, reason, n_tiles, rejected_tiles, CASE WHEN label % 2 = 0 THEN lo END AS z_lo, CASE WHEN label % 2 = 0 THEN hi END AS z_hi, """ + ", ".join(
+    sr_off_tie(f"CASE WHEN reason = '' THEN \"{f}\" END") + f' AS "feature_{f}"' for f in P.TILE_FEATURES) + " FROM s"
+
+
+@query("extract_regions", _EXTRACT)
+def extract_regions(spark, sf):
+    """The extraction job: turned pictures, manual and free boxes, faulty geometry and labels."""
+    n = F.col("label")
+    pics = rasters(spark, sf).withColumnRenamed("vec_id", "image_id").drop("hole", "top")
+    frames = pictures(spark, sf).groupBy("label", "y", "x").agg((F.max("value") + 5).alias("hi"), F.min("value").alias("lo"))
+    ref, dark = (A.pictures_from_pixels(frames.withColumnRenamed("label", k), k, v) for k, v in (("ref_id", "hi"), ("dark_id", "lo")))
+    trench = n % 2 == 0
+    number = lambda v: F.lit(float(v))
+    images = table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("image_id"), n.alias("ref_id"), n.alias("dark_id"), F.lit(8).alias("bit_depth"), F.when(trench, "trench").otherwise("flat").alias("kind"),
+        F.when(n < 3, "x+").when(n < 5, "x-").when(n < 7, "y+").otherwise("y-").alias("orientation"), F.when(trench | (n % 3 == 0), "manual").otherwise("auto").alias("roi_mode"),
+        F.when(n == 4, 0.5).when(~trench, 1.0).otherwise(0.0).alias("roi_x0"), number(8).alias("roi_x1"), number(0).alias("roi_y0"), F.when(n == 8, 9.0).otherwise(8.0).alias("roi_y1"),
+        number(8).alias("w_um"), number(1).alias("um_per_px"), F.when(n == 6, 2.0).otherwise(20.0).alias("z_anchor_um"), number(4).alias("x_anchor_px"), number(40).alias("L_um"),
+        F.when(n < 3, 1.0).alias("label_nm"), F.when(n == 0, 10.0).otherwise(16.0).alias("label_z_lo_um"), F.when(n == 0, 30.0).otherwise(24.0).alias("label_z_hi_um"))
+    r, _, _ = study.extract_regions(pics, images, ref, dark, _CFG, contrast=((2, 2), 2.0, 16))
+    passed = F.col("status") == "PASS"
+    return r.select(F.col("image_id").alias("vec_id"), "status", "reason", "n_tiles", "rejected_tiles", F.col("observed_z_lo_um").alias("z_lo"), F.col("observed_z_hi_um").alias("z_hi"),
+                    *[off_tie(F.when(passed, F.col(f"feature_{f}"))).alias(f"feature_{f}") for f in P.TILE_FEATURES])
+
+
 # --- identity --------------------------------------------------------------------------------
 
 @query("pixel_diff", PIX + """, b AS (SELECT vec_id, y, x + CASE WHEN label = 2 AND x = 7 THEN 1 ELSE 0 END AS x, CASE WHEN label = 4 AND value > 140 THEN value + 1 ELSE value END AS value FROM pix WHERE NOT (label = 5 AND y = 3))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.rules import (ACQUISITION_FIELDS, ORIENTATIONS, acquisition_faults, condition_key, is_contained_path, is_decimal_text, is_finite,
                                is_integer_valued, is_iso_date, parse_capture_name, same_field, within)
+from ..operators import pictures as A
 from ..operators import pixels as P
 from ..operators.contracts import ContractViolation, flags_text, inclusion
 from ..operators.joins import exactly_one, optional_match, role_lookup
@@ -178,13 +179,12 @@ def manifest_dependencies(m: DataFrame, files: DataFrame) -> DataFrame:
     return long.join(files.select("path", "sha256"), "path", "left")
 
 
-def region_boxes(images: DataFrame, edges: DataFrame, cfg, height: int, width: int) -> DataFrame:
+def region_boxes(images: DataFrame, edges: DataFrame, cfg) -> DataFrame:
     """Pixel box of each region with the reason when it has none.
 
-    ``height`` and ``width`` are those of the raw pictures; boxes lie in the
-    canonical orientation, where a quarter-turned picture has them swapped."""
-    quarter = F.col("orientation").startswith("y")
-    height, width = F.when(quarter, width).otherwise(height), F.when(quarter, height).otherwise(width)
+    ``images`` has the ``height`` and ``width`` of each picture in canonical
+    orientation, where boxes lie.  Manual coordinates must be whole numbers."""
+    height, width = F.col("height"), F.col("width")
     b = images.join(edges.select("image_id", F.col("y0").alias("_e0"), F.col("y1").alias("_e1"), "ambiguous"), "image_id", "left")
     trench, manual = F.col("kind") == "trench", F.col("roi_mode") == "manual"
     half = cfg.window_half_um / F.col("um_per_px")
@@ -192,18 +192,24 @@ def region_boxes(images: DataFrame, edges: DataFrame, cfg, height: int, width: i
     lo_y, hi_y = (F.when(manual, F.col(f"roi_y{k}")).otherwise(F.col(f"_e{k}")) for k in (0, 1))
     x0, x1 = F.ceil(F.col("x_anchor_px") - half), F.floor(F.col("x_anchor_px") + half)
     y0, y1 = lo_y + cfg.wall_margin_px, hi_y - cfg.wall_margin_px
+    given = [F.col(f"roi_{k}").cast("double") for k in ("x0", "x1", "y0", "y1")]
+    whole = reduce(lambda a, c: a & c, [F.coalesce(g == F.floor(g), F.lit(False)) for g in given])
 
-    def box(auto: Column, roi: str, f, whole: int | Column) -> Column:
-        free = F.when(manual, F.col(roi)).otherwise(F.lit(whole) if isinstance(whole, int) else whole)
+    def box(auto: Column, roi: str, f, free: int | Column) -> Column:
+        free = F.when(manual, F.col(roi)).otherwise(F.lit(free) if isinstance(free, int) else free)
         return F.when(trench, F.when(manual, f(auto, F.col(roi))).otherwise(auto)).otherwise(free).cast("int")
 
     b = b.withColumns({"x0": box(x0, "roi_x0", F.greatest, 0), "x1": box(x1, "roi_x1", F.least, width),
                        "y0": box(y0, "roi_y0", F.greatest, 0), "y1": box(y1, "roi_y1", F.least, height)})
-    z = F.col("z_anchor_um")
+    z, anchor = F.col("z_anchor_um"), F.col("x_anchor_px")
     reason = (
-        F.when(trench & ~manual & F.col("_e0").isNull(), "channel_not_found")
+        F.when(manual & ~whole, "roi_not_integer")
+        .when(trench & ~manual & ~((expected > 0) & (expected < height)), "width_exceeds_picture")
+        .when(trench & ~manual & F.col("_e0").isNull(), "channel_not_found")
         .when(trench & ~manual & F.col("ambiguous"), "ambiguous_channel")
+        .when(trench & manual & ~((lo_y >= 0) & (lo_y < hi_y) & (hi_y <= height)), "manual_edges_outside")
         .when(trench & manual & ~(hi_y - lo_y).between(0.75 * expected, 1.25 * expected), "manual_width")
+        .when(trench & ~F.coalesce(z.between(0, F.col("L_um")) & anchor.between(0, width), F.lit(False)), "invalid_anchor")
         .when(trench & ((z - cfg.window_half_um < 0) | (z + cfg.window_half_um > F.col("L_um"))), "window_crosses_boundary")
         .when((F.col("x0") < 0) | (F.col("y0") < 0) | (F.col("x1") > width) | (F.col("y1") > height), "outside_image")
         .when(F.least(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) < cfg.tile_px, "tile_exceeds_region")
@@ -211,51 +217,38 @@ def region_boxes(images: DataFrame, edges: DataFrame, cfg, height: int, width: i
     return b.withColumn("box_reason", F.coalesce(reason, F.lit("missing_geometry"))).drop("_e0", "_e1", "ambiguous")
 
 
-def extract_regions(pixels: DataFrame, images: DataFrame, ref: DataFrame, dark: DataFrame, cfg, height: int, width: int,
-                    mask: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pixels to region features: (regions, tiles, image QC).
+def extract_regions(pictures: DataFrame, images: DataFrame, ref: DataFrame, dark: DataFrame, cfg, mask: DataFrame | None = None,
+                    contrast: tuple = ((8, 8), 2.0, 256)) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pictures to region features: (regions, tiles, image QC).
 
-    ``pixels`` is (image_id, y, x, value), ``ref``/``dark`` are (ref_id / dark_id,
-    y, x, value) in the same raw orientation, ``mask`` (image_id, y, x, mask) too;
-    an image without mask rows has no mask.  Quarter-turned pictures that are not
-    square are equalised with their own height and width.  A failing image keeps
-    its row and reason; the others go on.
+    ``pictures`` is (image_id, height, width, raster), ``ref``/``dark`` are
+    (ref_id / dark_id, height, width, raster) in the same raw orientation,
+    ``mask`` (image_id, raster: 1 inside) too; an image without a mask row has
+    no mask.  Pictures of any sizes may mix.  ``contrast`` holds grid, clip and
+    bins of the texture.  A failing image keeps its row and reason; the others
+    go on.  Pictures are corrected once and stored; what follows moves rows of
+    images and tiles.
     """
     from ..session import durable
-    meta = images.select("image_id", "orientation", "ref_id", "dark_id", "bit_depth")
-    raw = pixels.join(meta, "image_id")
-    if mask is None:
-        raw = raw.withColumn("mask", F.lit(True))
-    else:
-        masked = mask.select("image_id").distinct().withColumn("_has_mask", F.lit(True))
-        raw = raw.join(mask.select("image_id", "y", "x", "mask"), ["image_id", "y", "x"], "left").join(masked, "image_id", "left")
-        raw = raw.withColumn("mask", F.col("_has_mask").isNull() | F.coalesce("mask", F.lit(False))).drop("_has_mask")
-    maximum = F.pow(F.lit(2.0), F.col("bit_depth")) - 1
-    corrected = P.flat_field(raw, ref, dark, ["ref_id", "y", "x"], ["dark_id", "y", "x"], maximum, cfg.t_min, cfg.t_max)
-    turned = P.canonical(corrected, "orientation", height, width)
-    turned = turned.drop("y", "x").withColumnsRenamed({"cy": "y", "cx": "x"})
-    qc = P.image_qc(turned, "image_id", cfg.invalid_pixel_fraction_max)
-    shown = P.display_value(turned, "image_id", cfg.t_max).select("image_id", "y", "x", "T", "od", "valid", "display", "mask", "orientation")
-    quarter = F.col("orientation").startswith("y")
-    upright = P.local_equalize(shown.where(~quarter), "image_id", "display", height, width, out="texture")
-    lying = P.local_equalize(shown.where(quarter), "image_id", "display", width, height, out="texture")
-    # Read by the edge search and again by the tiles: keep one durable copy.
-    textured = durable(upright.unionByName(lying).drop("orientation"))
-
+    grid, clip, bins = contrast
+    raw = pictures.join(images.select("image_id", "orientation", "ref_id", "dark_id", (F.pow(F.lit(2.0), F.col("bit_depth")) - 1).alias("_top")), "image_id")
+    if mask is not None:
+        raw = raw.join(mask.select("image_id", F.col("raster").alias("_mask_raster")), "image_id", "left")
+    corrected = durable(A.correct_pictures(raw, ref, dark, "image_id", "ref_id", "dark_id", "_top", cfg.t_min, cfg.t_max, cfg.invalid_pixel_fraction_max,
+                                           "orientation", "_mask_raster" if mask is not None else None, grid, clip, bins))
+    qc = corrected.select("image_id", *A.FAULTS, "invalid_pixels", "total_pixels", F.col("qc_status").alias("status"))
     widths = images.where("kind = 'trench' and roi_mode = 'auto'").select("image_id", (F.col("w_um") / F.col("um_per_px")).alias("_w"))
-    edges = P.detect_channel(textured.join(widths, "image_id"), "image_id", "texture", "_w")
-    boxes = durable(region_boxes(images, edges, cfg, height, width))
-    inside = textured.join(boxes.where("box_reason = ''").select(
-        "image_id", F.col("x0").alias("_bx0"), F.col("x1").alias("_bx1"), F.col("y0").alias("_by0"), F.col("y1").alias("_by1")), "image_id")
-    tiled = P.assign_tiles(inside, cfg.tile_px, "_bx0", "_bx1", "_by0", "_by1")
-    tiles = durable(P.tile_features(tiled, "image_id", cfg.tile_px, mask="mask"))
+    edges = P.detect_channel(corrected.join(widths, "image_id"), "image_id", "texture", "_w")
+    boxes = durable(region_boxes(images.join(corrected.select("image_id", "height", "width"), "image_id", "left"), edges, cfg).drop("height", "width"))
+    inside = corrected.join(boxes.where("box_reason = ''").select("image_id", *[F.col(c).alias(f"_{c}") for c in ("x0", "x1", "y0", "y1")]), "image_id")
+    tiles = durable(A.tile_features(inside, "image_id", cfg.tile_px, ["_x0", "_x1", "_y0", "_y1"]))
 
     base = boxes.drop("x0", "x1", "y0", "y1").join(qc.select("image_id", F.col("status").alias("qc_status")), "image_id", "left")
     base = base.withColumn("labelled", F.col("label_nm").isNotNull())
     regions = P.roi_features(tiles, base, "image_id", "labelled")
     um = F.col("z_anchor_um") + (F.col("x0") - F.col("x_anchor_px")) * F.col("um_per_px")
     um1 = F.col("z_anchor_um") + (F.col("x1") - F.col("x_anchor_px")) * F.col("um_per_px")
-    spans = (tiles.where("complete and full and all_valid").join(images.where("kind = 'trench'").select("image_id", "z_anchor_um", "x_anchor_px", "um_per_px"), "image_id")
+    spans = (tiles.where("complete and all_valid").join(images.where("kind = 'trench'").select("image_id", "z_anchor_um", "x_anchor_px", "um_per_px"), "image_id")
              .groupBy("image_id").agg(
                  F.sort_array(F.collect_set(F.struct(um.alias("lo"), um1.alias("hi")))).alias("observed_intervals"),
                  F.min(um).alias("observed_z_lo_um"), F.max(um1).alias("observed_z_hi_um")))
@@ -321,8 +314,8 @@ def refuse(bad: DataFrame, key: str | Column, reason: str, what: str) -> None:
         raise ContractViolation(f"{sum(r['n'] for r in found)} {what}: " + "; ".join(f"{r['r']} ({r['n']}, e.g. {r['e']})" for r in found))
 
 
-def run_study(m: DataFrame, pixels: DataFrame, ref: DataFrame, dark: DataFrame, thickness: DataFrame, viscosity: DataFrame,
-              cfg, height: int, width: int, alphas=(0.01, 0.1, 1.0)) -> dict[str, DataFrame]:
+def run_study(m: DataFrame, pictures: DataFrame, ref: DataFrame, dark: DataFrame, thickness: DataFrame, viscosity: DataFrame,
+              cfg, mask: DataFrame | None = None, alphas=(0.01, 0.1, 1.0)) -> dict[str, DataFrame]:
     """The whole chain on an accepted manifest; each stage is cut once where
     several later stages read it."""
     from ..operators import grid as G
@@ -334,7 +327,7 @@ def run_study(m: DataFrame, pixels: DataFrame, ref: DataFrame, dark: DataFrame,
     used = thickness.select(F.explode(F.array(*[F.col(c).cast("string") for c in ("specimen_id", "measurement_id") if c in thickness.columns])).alias("id")).distinct()
     cal = durable(cal)
     refuse(cal.where("status <> 'OK'"), F.concat_ws("/", "T_C", "gly_pct"), "status", "conditions without a calibration")
-    regions, tiles, qc = extract_regions(pixels, m, ref, dark, cfg, height, width)
+    regions, tiles, qc = extract_regions(pictures, m, ref, dark, cfg, mask)
     regions = durable(regions)
     labelled = regions.where("status = 'PASS' and label_nm is not null and kind = 'trench'")
     features = [f for f in FEATURES]

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from frames_help import rows
-from metrospan.operators import pixels as P
+from metrospan.operators import pictures as A, pixels as P
 
 
 def frame(spark, arrays, key="image_id"):
@@ -20,24 +20,61 @@ def grid(df, image, col, shape):
     return out
 
 
-def corrected(spark, image, ref=41000.0, dark=1000.0, maximum=65535):
-    shape = image.shape
-    r, d = (frame(spark, {"f": np.full(shape, v)}, "k").withColumnRenamed("k", kk) for v, kk in ((ref, "ref_id"), (dark, "dark_id")))
-    p = frame(spark, {"a": image}).withColumns({"ref_id": F.lit("f"), "dark_id": F.lit("f")})
-    return P.flat_field(p, r, d, ["ref_id", "y", "x"], ["dark_id", "y", "x"], maximum, 1e-4, 2.0)
+def picture(spark, arrays, key="image_id", out="raster"):
+    data = [(k, *a.shape, [None if np.isnan(v) else float(v) for v in np.ravel(a)]) for k, a in arrays.items()]
+    return spark.createDataFrame(data, f"{key} string, height int, width int, {out} array<double>")
+
+
+def corrected(spark, image, ref=41000.0, dark=1000.0, maximum=65535, orientation=None, mask=None):
+    r, d = (picture(spark, {"f": np.full(image.shape, v)}, kk) for v, kk in ((ref, "ref_id"), (dark, "dark_id")))
+    p = picture(spark, {"a": image}).withColumns({"ref_id": F.lit("f"), "dark_id": F.lit("f"), "top": F.lit(maximum), "o": F.lit(orientation or "x+")})
+    if mask is not None:
+        p = p.withColumn("m", F.array(*[F.lit(float(v)) for v in mask.ravel()]))
+    return A.correct_pictures(p, r, d, "image_id", "ref_id", "dark_id", "top", 1e-4, 2.0, 0.01, "o", "m" if mask is not None else None)
+
+
+def field(df, image, col):
+    r = df.where(F.col("image_id") == image).first()
+    return np.array([np.nan if v is None else v for v in r[col]], float).reshape(r.height, r.width)
 
 
 def test_half_transmission(spark):
-    c = corrected(spark, np.full((4, 4), 21000.0))
-    assert {(r.T, round(r.od, 12)) for r in c.collect()} == {(0.5, round(math.log10(2), 12))}
+    r = corrected(spark, np.full((4, 4), 21000.0)).first()
+    assert set(r["T"]) == {0.5} and {round(v, 12) for v in r.od} == {round(math.log10(2), 12)} and r.qc_status == "PASS"
 
 
 @pytest.mark.parametrize("change,count", [({"ref": 1000.0}, "zero_denominator_pixels"), ({"maximum": 20000}, "saturated_pixels"),
                                           ({"dark": 21000.0}, "nonpositive_signal_pixels"), ({"ref": 11000.0, "dark": 10999.0}, "high_t_pixels")])
 def test_faulty_pixels_are_null_never_clipped(spark, change, count):
-    c = corrected(spark, np.full((4, 4), 21000.0), **change)
-    q = P.image_qc(c, "image_id", 0.01).first()
-    assert q[count] == 16 and q.status == "FAIL" and c.where("T is not null or od is not null").isEmpty()
+    r = corrected(spark, np.full((4, 4), 21000.0), **change).first()
+    assert r[count] == 16 and r.qc_status == "FAIL" and set(r["T"]) == {None} and set(r.od) == {None}
+
+
+def test_pictures_of_several_sizes_and_faulty_ones(spark):
+    rng = np.random.default_rng(9)
+    wide, tall = rng.uniform(2000, 30000, (3, 5)), rng.uniform(2000, 30000, (6, 2))
+    p = picture(spark, {"wide": wide, "tall": tall, "gone": wide})
+    p = p.withColumns({"raster": F.when(F.col("image_id") == "gone", F.slice("raster", 1, 4)).otherwise(F.col("raster")),
+                       "ref_id": F.lit("f"), "dark_id": F.when(F.col("image_id") == "tall", "none").otherwise("f"), "top": F.lit(65535)})
+    r, d = (picture(spark, {"f": np.full((3, 5), v)}, k) for v, k in ((41000.0, "ref_id"), (1000.0, "dark_id")))
+    c = A.correct_pictures(p, r, d, "image_id", "ref_id", "dark_id", "top", 1e-4, 2.0, 0.01)
+    assert np.allclose(field(c, "wide", "T"), (wide - 1000) / 40000)
+    got = {x.image_id: (x.height, x.width, x.invalid_pixels, x.total_pixels, x.qc_status) for x in c.collect()}
+    assert got == {"wide": (3, 5, 0, 15, "PASS"), "tall": (6, 2, 12, 12, "FAIL"), "gone": (0, 0, 0, 0, "FAIL")}
+
+
+@pytest.mark.parametrize("o,turn", [("x+", lambda a: a), ("x-", lambda a: a[:, ::-1]), ("y+", np.rot90), ("y-", lambda a: np.rot90(a, -1))])
+def test_corrected_pictures_turn_with_their_mask(spark, o, turn):
+    a = np.arange(2000.0, 14000.0, 1000).reshape(3, 4)
+    c = corrected(spark, a, orientation=o, mask=(a > 5000).astype(float))
+    assert np.allclose(field(c, "a", "T"), turn((a - 1000) / 40000)) and np.array_equal(field(c, "a", "mask") == 1, turn(a > 5000))
+
+
+def test_channel_of_an_interleaved_array(spark):
+    df = spark.createDataFrame([("a", [1, 10, 100, 2, 20, 200], 1, 2)], "image_id string, v array<int>, h int, w int")
+    assert A.pictures_from_array(df, "image_id", "v", "h", "w", channels=3, channel=1).first().raster == [10.0, 20.0]
+    px = A.pixels_of(A.pictures_from_array(df, "image_id", "v", "h", "w", 3, 2), "image_id", ["raster"])
+    assert rows(px, "y", "x", "raster") == [(0, 0, 100.0), (0, 1, 200.0)]
 
 
 @pytest.mark.parametrize("o,turn", [("x+", lambda a: a), ("x-", lambda a: a[:, ::-1]), ("y+", np.rot90), ("y-", lambda a: np.rot90(a, -1))])
@@ -75,12 +112,12 @@ def brute_equalize(v, grid_shape, clip, bins):
     return np.array([[sum(a * b * table[i, j][q[y][x]] for i, a in side(y, ye, ny) for j, b in side(x, xe, nx)) for x in range(w)] for y in range(h)])
 
 
-def test_equalisation_against_brute_force(spark):
+def test_equalisation_against_brute_force():
     rng = np.random.default_rng(2)
     a, flat = rng.random((11, 13)), np.full((11, 13), 0.4)
-    e = P.local_equalize(frame(spark, {"a": a, "flat": flat}), "image_id", "value", 11, 13, grid=(3, 4), bins=32)
-    assert np.allclose(grid(e, "a", "equalized", a.shape), brute_equalize(a, (3, 4), 2.0, 32), atol=1e-12)
-    assert np.array_equal(grid(e, "flat", "equalized", a.shape), flat)
+    assert np.allclose(A.equalize(a, (3, 4), 2.0, 32), brute_equalize(a, (3, 4), 2.0, 32), atol=1e-12)
+    assert np.allclose(A.equalize(a[:2, :1], (3, 4), 2.0, 32), brute_equalize(a[:2, :1], (3, 4), 2.0, 32), atol=1e-12)
+    assert np.array_equal(A.equalize(flat), flat)
 
 
 def test_smoothing_mirrors_edges(spark):
@@ -118,17 +155,26 @@ def test_peaks_and_pairs_against_brute_force(spark):
 def test_channel_found_and_ambiguity(spark):
     a = np.full((40, 12), 0.2)
     a[12:26] = 0.8
-    b = np.full((60, 12), 0.2)
+    b = np.full((60, 9), 0.2)
     b[10:20], b[30:40] = 0.8, 0.8
-    p = frame(spark, {"one": a, "two": b}).withColumn("w", F.when(F.col("image_id") == "one", 14.0).otherwise(10.0))
-    assert rows(P.detect_channel(p, "image_id", "value", "w"), "image_id", "y0", "y1", "ambiguous") == [("one", 12, 26, False), ("two", 30, 40, True)]
+    p = picture(spark, {"one": a, "two": b}).withColumn("w", F.when(F.col("image_id") == "one", 14.0).otherwise(10.0))
+    assert rows(P.detect_channel(p, "image_id", "raster", "w"), "image_id", "y0", "y1", "ambiguous") == [("one", 12, 26, False), ("two", 30, 40, True)]
+
+
+def ready(spark, arrays, bad=lambda k: None, mask=lambda k: 1.0):
+    """Corrected picture rows made by hand."""
+    out = []
+    for k, a in arrays.items():
+        t = a.copy()
+        if bad(k):
+            t[bad(k)] = np.nan
+        out.append((k, *a.shape, *[[None if np.isnan(v) else float(v) for v in np.ravel(x)] for x in (t, -np.log10(t), np.isfinite(t).astype(float), np.full(a.shape, mask(k)), a)]))
+    return spark.createDataFrame(out, "image_id string, height int, width int, " + ", ".join(f"{c} array<double>" for c in ("T", "od", "valid", "mask", "texture")))
 
 
 def test_tile_features_match_numpy(spark):
-    rng = np.random.default_rng(5)
-    a = rng.random((9, 10)) + 0.1
-    p = frame(spark, {"a": a}).withColumns({"T": F.col("value"), "od": -F.log10("value"), "texture": F.col("value"), "valid": F.lit(True)})
-    t = P.tile_features(P.assign_tiles(p, 4, 0, 10, 0, 9), "image_id", 4).orderBy("ty", "tx").collect()
+    a = np.random.default_rng(5).random((9, 10)) + 0.1
+    t = A.tile_features(ready(spark, {"a": a}), "image_id", 4).orderBy("ty", "tx").collect()
     assert [(r.x0, r.x1, r.y0, r.y1) for r in t] == [(1, 5, 0, 4), (5, 9, 0, 4), (1, 5, 4, 8), (5, 9, 4, 8)]  # centred
     tile = a[0:4, 1:5]
     gy, gx = np.gradient(tile)
@@ -137,15 +183,15 @@ def test_tile_features_match_numpy(spark):
     od = -np.log10(tile)
     want = [od.mean(), od.std(), np.quantile(od, 0.1), np.quantile(od, 0.9), tile.mean(), np.hypot(gx, gy).mean(), np.abs(tile - mean).mean()]
     assert [t[0][f] for f in P.TILE_FEATURES] == pytest.approx(want)
+    boxed = ready(spark, {"a": a}).withColumns({k: F.lit(v) for k, v in (("x0", 2), ("x1", 10), ("y0", 1), ("y1", 6))})
+    assert rows(A.tile_features(boxed, "image_id", 4, ["x0", "x1", "y0", "y1"]), "x0", "y0") == [(2, 1), (6, 1)]
+    assert A.tile_features(boxed.withColumn("x1", F.lit(11)), "image_id", 4, ["x0", "x1", "y0", "y1"]).isEmpty()
 
 
 def test_region_statuses(spark):
     rng = np.random.default_rng(6)
-    p = frame(spark, {k: rng.random((8, 8)) + 0.1 for k in ("good", "hole", "label", "cut")})
-    bad = F.col("image_id").isin("hole", "label") & (F.col("y") == 1) & (F.col("x") == 1)
-    p = p.withColumns({"valid": ~bad, "mask": F.col("image_id") != "cut", "texture": F.col("value")})
-    p = p.withColumns({"T": F.when(~bad, F.col("value")), "od": F.when(~bad, -F.log10("value"))})
-    tiles = P.tile_features(P.assign_tiles(p, 4, 0, 8, 0, 8), "image_id", 4, mask="mask")
+    p = ready(spark, {k: rng.random((8, 8)) + 0.1 for k in ("good", "hole", "label", "cut")}, lambda k: (1, 1) if k in ("hole", "label") else None, lambda k: float(k != "cut"))
+    tiles = A.tile_features(p, "image_id", 4)
     images = spark.createDataFrame([("good", True), ("hole", False), ("label", True), ("cut", False), ("gone", False)], "image_id string, labelled boolean")
     r = P.roi_features(tiles, images, "image_id", "labelled")
     assert rows(r, "image_id", "reason", "n_tiles", "rejected_tiles") == [
@@ -154,12 +200,24 @@ def test_region_statuses(spark):
 
 
 @pytest.mark.parametrize("radius", [1, 2, 3])
-def test_interior_equals_repeated_erosion(spark, radius):
+def test_interior_is_the_city_block_ball(spark, radius):
     m = np.random.default_rng(7).random((9, 11)) > 0.08
-    want = m.copy()
-    for _ in range(radius):
-        z = np.pad(want, 1)
-        want = z[1:-1, 1:-1] & z[:-2, 1:-1] & z[2:, 1:-1] & z[1:-1, :-2] & z[1:-1, 2:]
-    p = frame(spark, {"a": m.astype(float)}).withColumn("ok", F.col("value") > 0)
-    got = grid(P.valid_interior(p, ["image_id"], "ok", radius).withColumn("i", F.col("interior").cast("double")), "a", "i", m.shape)
-    assert np.array_equal(got > 0, want)
+    ball = [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if abs(dy) + abs(dx) <= radius]
+    want = [[all(0 <= y + dy < 9 and 0 <= x + dx < 11 and m[y + dy, x + dx] for dy, dx in ball) for x in range(11)] for y in range(9)]
+    got = A.interior(picture(spark, {"a": m.astype(float)}), "image_id", "raster", radius)
+    assert np.array_equal(field(got, "a", "interior") == 1, np.array(want))
+
+
+def test_masked_pixels_stay_out_of_the_contrast(spark):
+    rng = np.random.default_rng(10)
+    a, ok = rng.random((6, 6)), np.ones((6, 6))
+    ok[0, :] = 0
+    b = a.copy()
+    b[0, :] = rng.random(6)  # what a masked pixel shows changes nothing
+    p = picture(spark, {"a": a, "b": b}, out="raw").withColumn("ok", F.array(*[F.lit(v) for v in ok.ravel()]))
+    t = {(r.image_id, r.ty, r.tx): [r[f] for f in A.REGION_FEATURES] + [r.n_valid, r.n_interior, r.used] for r in A.region_tile_features(p, "image_id", "raw", "ok", 5, 0.25, 0.5).collect()}
+    assert set(k[1:] for k in t) == {(0, 0), (0, 1), (1, 0), (1, 1)}  # smaller tiles at the far edges
+    assert all(t["a", y, x] == pytest.approx(t["b", y, x], nan_ok=True) for _, y, x in t)
+    assert t["a", 0, 0][0] == pytest.approx(a[1:5, :5].mean()) and t["a", 0, 0][-1] and not t["a", 1, 1][-1]
+    fill = A.filled(a, ok == 1)
+    assert np.array_equal(fill[0], a[1]) and np.array_equal(fill[1:], a[1:])

@@ -13,6 +13,7 @@ from metrospan.plans import study as S
 CFG = StudyParameters(w_um=10.0, h_um=10.0, tile_px=8, wall_margin_px=2, window_half_um=8.0, top_offset_um=20.0, ar_ladder=(9, 13),
                       allow_flagged_growth=True, inner_splits=2, map_ar_limit=5000.0)
 H, W, SCALE = 48, 64, 0.5
+PICTURE = "height int, width int, raster array<double>"
 CONDITIONS = [(25.0, 10.0), (25.0, 20.0), (65.0, 10.0), (65.0, 20.0)]
 ACQ = dict(session_id="S1", exposure_ms=10.0, gain=1.0, illumination_id="L1", magnification=20.0, bit_depth=16, auto_exposure="false",
            gamma=1.0, white_balance="fixed", color_channel="mono")
@@ -38,9 +39,8 @@ def drawn():
                 trans = np.full((H, W), 0.95)
                 trans[14:34] = 10 ** (-nm / 200)
                 counts = np.round(1000 + 39000 * trans * (1 + rng.normal(0, 0.004, (H, W))))
-                yy, xx = np.mgrid[0:H, 0:W]
-                pixels.append(pd.DataFrame({"image_id": i, "y": yy.ravel(), "x": xx.ravel(), "value": counts.ravel()}))
-    return images, labels, pd.concat(pixels)
+                pixels.append((i, H, W, counts.ravel().tolist()))
+    return images, labels, pixels
 
 
 @pytest.fixture(scope="module")
@@ -48,7 +48,7 @@ def tables(spark):
     images, labels, pixels = drawn()
     schema = ", ".join(f"{k} {'double' if k in ('z_anchor_um', 'x_anchor_px', 'um_per_px', 'exposure_ms', 'gain', 'magnification', 'gamma') else 'int' if k in ('chip', 'slot', 'bit_depth', 'roi_x0', 'roi_x1', 'roi_y0', 'roi_y1') else 'string'}" for k in images[0])
     frame = lambda kind: dict(frame_id=f"{kind}1", path=f"raw/{kind}_S1.tif", kind=kind, **ACQ)
-    flat = lambda key, v: spark.range(H * W).select(F.lit(f"{key.split('_')[0].upper()}1").alias(key), F.expr(f"cast(id div {W} as int)").alias("y"), (F.col("id") % W).cast("int").alias("x"), F.lit(v).alias("value"))
+    flat = lambda key, v: spark.createDataFrame([(f"{key.split('_')[0].upper()}1", H, W, [v] * (H * W))], f"{key} string, {PICTURE}")
     growth = [(t, g, s, m, (1.5 + 0.01 * t + 0.02 * g) * m * (1 if s == "pdms" else 0.8) + 0.01 * (m % 3), f"{s}{m}") for t, g in CONDITIONS for s in ("glass", "pdms") for m in (10.0, 20.0, 30.0, 40.0)]
     return dict(
         images=spark.createDataFrame([tuple(r.values()) for r in images], schema),
@@ -57,7 +57,7 @@ def tables(spark):
         layout=spark.createDataFrame([dict(slot=s, AR=a, L_um=a * 10, w_um=10.0, h_um=10.0, faces=4, **MATERIALS) for s, a in ((1, 9.0), (2, 13.0))]),
         frames=spark.createDataFrame([frame("REF"), frame("DARK")]),
         labels=spark.createDataFrame(labels, "measurement_id string, run_id string, chip int, slot int, pos string, thickness_nm double, thickness_sd_nm double, n_sites int, matched_region_id string, z_lo_um double, z_hi_um double, match_basis string"),
-        pixels=spark.createDataFrame(pixels), ref=flat("ref_id", 40000.0), dark=flat("dark_id", 1000.0),
+        pixels=spark.createDataFrame(pixels, f"image_id string, {PICTURE}"), ref=flat("ref_id", 40000.0), dark=flat("dark_id", 1000.0),
         growth=spark.createDataFrame(growth, "T_C double, gly_pct double, substrate string, t_min double, thickness_nm double, specimen_id string"),
         viscosity=spark.createDataFrame([(t, g, 0.001 + 1e-5 * g - 5e-6 * t) for t, g in CONDITIONS], "T_C double, gly_pct double, eta_Pa_s double"))
 
@@ -98,7 +98,7 @@ def test_dependencies_share_frames(spark, tables):
 
 def test_whole_chain(tables):
     m, _ = build(tables)
-    out = S.run_study(m, tables["pixels"], tables["ref"], tables["dark"], tables["growth"], tables["viscosity"], CFG, H, W)
+    out = S.run_study(m, tables["pixels"], tables["ref"], tables["dark"], tables["growth"], tables["viscosity"], CFG)
     regions = out["regions"]
     assert {(r.status, r.n_tiles) for r in regions.collect()} == {("PASS", 8)}
     first = regions.where("image_id = '01top'").first()
@@ -112,7 +112,7 @@ def test_whole_chain(tables):
     assert {r.uncertainty_status for r in out["cross_fitted_pairs"].collect()} == {"NOT_AVAILABLE"}
     assert out["design"].count() == 8 and out["process"].count() == 336
     with pytest.raises(ContractViolation, match="acquisition"):
-        S.run_study(build(tables, gamma=2.2)[0], tables["pixels"], tables["ref"], tables["dark"], tables["growth"], tables["viscosity"], CFG, H, W)
+        S.run_study(build(tables, gamma=2.2)[0], tables["pixels"], tables["ref"], tables["dark"], tables["growth"], tables["viscosity"], CFG)
 
 
 def test_failing_images_keep_their_reason(tables):
@@ -120,10 +120,10 @@ def test_failing_images_keep_their_reason(tables):
     px = tables["pixels"]
     dark_image = (F.col("image_id") == "01top")
     blank = (F.col("image_id") == "02top")
-    px = px.withColumn("value", F.when(dark_image, 500.0).when(blank, 20000.0).otherwise(F.col("value")))
+    px = px.withColumn("raster", F.transform("raster", lambda v: F.when(dark_image, 500.0).when(blank, 20000.0).otherwise(v)))
     m = m.withColumn("z_anchor_um", F.when(F.col("image_id") == "11top", 2.0).otherwise(F.col("z_anchor_um")))
     m = m.withColumn("label_z_hi_um", F.when(F.col("image_id") == "12top", 40.0).otherwise(F.col("label_z_hi_um")))
-    regions, _, qc = S.extract_regions(px, m, tables["ref"], tables["dark"], CFG, H, W)
+    regions, _, qc = S.extract_regions(px, m, tables["ref"], tables["dark"], CFG)
     bad = {r.image_id: r.reason for r in regions.where("status = 'FAIL'").collect()}
     assert bad == {"01top": "invalid_pixels", "02top": "channel_not_found", "11top": "window_crosses_boundary", "12top": "label_support_differs"}
     assert qc.where("status = 'FAIL'").count() == 1 and regions.count() == 16
@@ -137,12 +137,12 @@ def test_turned_and_masked_images(spark, tables):
     picture = np.full((W, H), 40000.0)  # canonical: height 64, width 48, the channel in rows 20 to 40
     picture[20:40] = 1000 + 39000 * 10 ** -0.3
     noise = np.random.default_rng(1).normal(0, 40, picture.shape)
-    cy, cx = np.mgrid[0:W, 0:H]
-    raw = {"01top": (cx, W - 1 - cy), "02top": (H - 1 - cx, cy)}
-    turned = spark.createDataFrame(pd.concat([pd.DataFrame({"image_id": i, "y": y.ravel(), "x": x.ravel(), "value": np.round(np.minimum(picture + noise, 39999)).ravel()}) for i, (y, x) in raw.items()]))
-    px = px.where("image_id = '11top'").unionByName(turned.select(px.columns))
-    mask = px.where("image_id = '02top'").select("image_id", "y", "x", (F.col("y") < 24).alias("mask"))
-    regions, tiles, _ = S.extract_regions(px, m, tables["ref"], tables["dark"], CFG, H, W, mask)
+    raw = {"01top": np.rot90(picture + noise, -1), "02top": np.rot90(picture + noise)}
+    turned = spark.createDataFrame([(i, *a.shape, np.round(np.minimum(a, 39999)).ravel().tolist()) for i, a in raw.items()], f"image_id string, {PICTURE}")
+    px = px.where("image_id = '11top'").unionByName(turned)
+    half = np.repeat(np.arange(H) < 24, W).astype(float)
+    mask = spark.createDataFrame([("02top", half.tolist())], "image_id string, raster array<double>")
+    regions, tiles, _ = S.extract_regions(px, m, tables["ref"], tables["dark"], CFG, mask)
     got = {r.image_id: r for r in regions.collect()}
     assert got["01top"].n_tiles == 8 and got["11top"].n_tiles == 8 and got["01top"].feature_od_mean == pytest.approx(0.3, abs=0.01)
     # y-: canonical x = height - 1 - y, so the mask keeps the right half of the window.
