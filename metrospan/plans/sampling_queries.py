@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import design as S
+from ..operators import families as Z
 from ..operators import folds as K
 from ..operators import models as M
 from ..operators import resample as R
@@ -262,6 +263,83 @@ def nested_scores(spark, sf):
     return rounded(scores.withColumnRenamed("outer", "outer_cond"), {"inner_rmse": 7})
 
 
+# --- choice between families ------------------------------------------------------------------
+
+_FAMILIES = [Z.Linear(alphas=(10.0, 3000.0)), Z.Fourier()]
+
+
+def _families_sql() -> str:
+    """The nested evaluation in SQL: basis products summed as columns, every fit
+    by elimination of its symmetric system, errors from the sums again."""
+    size = _FAMILIES[1].size
+    ctes = ["d AS (SELECT l_returnflag || l_linestatus AS g, l_quantity AS x0, l_discount AS x1, l_tax AS x2, l_quantity * 1.5 + l_extendedprice / 5000 - l_discount * 200 AS y, l_orderkey, l_linenumber FROM lineitem)",
+            "g0 AS (SELECT g, count(*) AS n, " + ", ".join(f"avg({c}) AS m_{c}, var_pop({c}) + avg({c}) * avg({c}) AS q_{c}" for c in ("x0", "x1", "x2", "y")) + " FROM d GROUP BY 1)",
+            "sc AS (SELECT " + ", ".join(f"avg(m_{c}) AS c_{c}, sqrt(avg(q_{c}) - avg(m_{c}) * avg(m_{c})) AS s_{c}" for c in ("x0", "x1", "x2", "y")) + " FROM g0)",
+            "z AS (SELECT g, " + ", ".join(f"(x{i} - c_x{i}) / s_x{i} AS z{i}" for i in range(3)) + ", (y - c_y) / s_y AS t, y FROM d, sc)"]
+    bases = [["z0", "z1", "z2"]]
+    for gamma in _FAMILIES[1].gammas:
+        waves, phase = Z.fourier_waves(3, size, _FAMILIES[1].seed, gamma)
+        bases.append([f"{(2.0 / size) ** 0.5!r} * cos(" + " + ".join(f"z{i} * {float(waves[i, j])!r}" for i in range(3)) + f" + {float(phase[j])!r})" for j in range(size)])
+    for b, terms in enumerate(bases):
+        k = len(terms)
+        ctes.append(f"b{b} AS (SELECT g, t, y, " + ", ".join(f"{e} AS f{j}" for j, e in enumerate(terms)) + " FROM z)")
+        products = ", ".join(f"avg(f{i} * f{j}) AS p_{i}_{j}" for i in range(k) for j in range(i, k))
+        ctes.append(f"a{b} AS (SELECT g, count(*) AS n, avg(t) AS t, avg(t * t) AS tt, {products}, " + ", ".join(f"avg(f{j}) AS f_{j}, avg(f{j} * t) AS ft_{j}" for j in range(k)) + f" FROM b{b} GROUP BY 1)")
+        lists = lambda e, n: "[" + ", ".join(e(j) for j in range(n)) + "]"
+        ctes.append(f"s{b} AS (SELECT g, {b} AS basis, n, t, tt, {lists(lambda j: f'f_{j}', k)} AS f, {lists(lambda j: f'ft_{j}', k)} AS ft, "
+                    + lists(lambda i: lists(lambda j: f"p_{min(i, j)}_{max(i, j)}", k), k) + f" AS ff FROM a{b})")
+    cands = [(0, i, 0, a) for i, a in enumerate(_FAMILIES[0].alphas)] + [(1, i, 1 + b, p["alpha"]) for i, (b, p) in enumerate(_FAMILIES[1].candidates())]
+    ctes += ["s AS (" + " UNION ALL ".join(f"SELECT * FROM s{b}" for b in range(len(bases))) + ")",
+             "pairs AS (SELECT o.g AS outer_g, g0.g, g0.n FROM g0 JOIN g0 o ON o.g <> g0.g)", _greedy_sql("pairs", "g", 3, "outer_g"),
+             "v AS (SELECT DISTINCT outer_g, fold FROM folded UNION ALL SELECT DISTINCT outer_g, -1 FROM folded)",
+             # the long form of each training set's means
+             "tr AS (SELECT v.outer_g, v.fold, s.basis, s.g, s.n, s.t, s.tt, s.f, s.ft, s.ff FROM v JOIN folded m ON m.outer_g = v.outer_g AND m.fold <> v.fold JOIN s ON s.g = m.g)",
+             "t1 AS (SELECT outer_g, fold, basis, sum(n) AS n, avg(t) AS t, avg(tt) AS tt FROM tr GROUP BY ALL)",
+             "t2 AS (SELECT outer_g, fold, basis, i, avg(f[i]) AS f, avg(ft[i]) AS ft FROM tr, range(1, 49) u(i) WHERE i <= len(f) GROUP BY ALL)",
+             "t3 AS (SELECT outer_g, fold, basis, i, j, avg(ff[i][j]) AS ff FROM tr, range(1, 49) u(i), range(1, 49) w(j) WHERE i <= len(f) AND j <= len(f) GROUP BY ALL)",
+             "cand(family, candidate, basis, alpha) AS (VALUES " + ", ".join(f"({f}, {c}, {b}, {a!r}::DOUBLE)" for f, c, b, a in cands) + ")",
+             "w AS (SELECT t1.*, greatest(tt - t * t, 0) AS vy FROM t1)",
+             "e AS (SELECT outer_g, fold, family, candidate, basis, i, list(v ORDER BY j) AS row FROM (SELECT t3.outer_g, t3.fold, family, candidate, cand.basis, t3.i, t3.j, "
+             "CASE WHEN family = 0 THEN w.n * (ff - a.f * b.f) / sqrt((a2.ff - a.f * a.f) * (b2.ff - b.f * b.f)) ELSE w.n * t3.ff END + CASE WHEN t3.i = t3.j THEN alpha ELSE 0 END AS v"]
+    ctes[-1] = ctes[-1].replace("w.n * (ff - a.f", "w.n * (t3.ff - a.f")
+    ctes[-1] += (" FROM t3 JOIN cand ON cand.basis = t3.basis JOIN w ON w.outer_g = t3.outer_g AND w.fold = t3.fold AND w.basis = t3.basis"
+                 " JOIN t2 a ON a.outer_g = t3.outer_g AND a.fold = t3.fold AND a.basis = t3.basis AND a.i = t3.i JOIN t2 b ON b.outer_g = t3.outer_g AND b.fold = t3.fold AND b.basis = t3.basis AND b.i = t3.j"
+                 " JOIN t3 a2 ON a2.outer_g = t3.outer_g AND a2.fold = t3.fold AND a2.basis = t3.basis AND a2.i = t3.i AND a2.j = t3.i JOIN t3 b2 ON b2.outer_g = t3.outer_g AND b2.fold = t3.fold AND b2.basis = t3.basis AND b2.i = t3.j AND b2.j = t3.j"
+                 " UNION ALL SELECT t2.outer_g, t2.fold, family, candidate, cand.basis, t2.i, 999 AS j, w.n * (ft - f * w.t) / sqrt(w.vy) / CASE WHEN family = 0 THEN sqrt(a2.ff - f * f) ELSE 1 END"
+                 " FROM t2 JOIN cand ON cand.basis = t2.basis JOIN w ON w.outer_g = t2.outer_g AND w.fold = t2.fold AND w.basis = t2.basis JOIN t3 a2 ON a2.outer_g = t2.outer_g AND a2.fold = t2.fold AND a2.basis = t2.basis AND a2.i = t2.i AND a2.j = t2.i) GROUP BY ALL)")
+    ctes += ["sys AS (SELECT outer_g, fold, family, candidate, basis, 1 AS k, list(row ORDER BY i) AS m FROM e GROUP BY ALL)",
+             "el AS (SELECT * FROM sys UNION ALL SELECT outer_g, fold, family, candidate, basis, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda v: v / m[k][k]) "
+             "ELSE list_transform(r, lambda v, j: v - r[k] * m[k][j] / m[k][k]) END) FROM el WHERE k <= len(m))",
+             "so AS (SELECT outer_g, fold, family, candidate, basis, list_transform(m, lambda r: r[-1]) AS b FROM el WHERE k = len(m) + 1)",
+             # weights in units of the scaled target, with the intercept
+             "ws AS (SELECT so.outer_g, so.fold, so.family, so.candidate, so.basis, u.i, so.b[u.i] * sqrt(w.vy) / CASE WHEN family = 0 THEN sqrt(t3.ff - t2.f * t2.f) ELSE 1 END AS b, t2.f, w.t FROM so, range(1, 49) u(i) "
+             "JOIN t2 ON t2.outer_g = so.outer_g AND t2.fold = so.fold AND t2.basis = so.basis AND t2.i = u.i JOIN t3 ON t3.outer_g = so.outer_g AND t3.fold = so.fold AND t3.basis = so.basis AND t3.i = u.i AND t3.j = u.i "
+             "JOIN w ON w.outer_g = so.outer_g AND w.fold = so.fold AND w.basis = so.basis)",
+             "cf AS (SELECT outer_g, fold, family, candidate, basis, list(b ORDER BY i) AS b, max(t) - sum(CASE WHEN family = 0 THEN b * f ELSE 0 END) AS b0 FROM ws GROUP BY ALL)",
+             "er AS (SELECT cf.outer_g, family, candidate, s.g, tt - 2 * b0 * t - 2 * list_dot_product(b, ft) + b0 * b0 + 2 * b0 * list_dot_product(b, f) + list_dot_product(b, list_transform(ff, lambda r: list_dot_product(r, b))) AS mse "
+             "FROM cf JOIN folded m ON m.outer_g = cf.outer_g AND m.fold = cf.fold JOIN s ON s.g = m.g AND s.basis = cf.basis)",
+             "scores AS (SELECT outer_g, family, candidate, sqrt(avg(greatest(mse, 0))) AS score FROM er GROUP BY ALL)",
+             "win AS (SELECT *, row_number() OVER (PARTITION BY outer_g ORDER BY score, family) = 1 AS chosen FROM (SELECT *, row_number() OVER (PARTITION BY outer_g, family ORDER BY score, candidate) AS r FROM scores) WHERE r = 1)",
+             "test AS (SELECT win.*, tt - 2 * b0 * t - 2 * list_dot_product(b, ft) + b0 * b0 + 2 * b0 * list_dot_product(b, f) + list_dot_product(b, list_transform(ff, lambda r: list_dot_product(r, b))) AS mse, b0 + list_dot_product(b, f) - t AS bias, s.n "
+             "FROM win JOIN cf ON cf.outer_g = win.outer_g AND cf.family = win.family AND cf.candidate = win.candidate AND cf.fold = -1 JOIN s ON s.g = win.outer_g AND s.basis = cf.basis)"]
+    return "WITH RECURSIVE " + ",\n".join(ctes) + f"""
+SELECT outer_g AS cond, CASE family WHEN 0 THEN 'linear' ELSE 'fourier' END AS family, candidate::INT AS candidate, chosen AS selected_by_inner, n AS n_measurements,
+  {sr('score * s_y', 4)} AS inner_rmse, {sr('sqrt(greatest(mse, 0)) * s_y', 4)} AS rmse, {sr('bias * s_y', 4)} AS bias FROM test, sc"""
+
+
+@query("nested_families", _families_sql())
+def nested_families(spark, sf):
+    """Two families in one nested evaluation, written as one result and read
+    back: winners, and how they do on the condition they never saw."""
+    from ..sources.sinks import scratch_path
+    found = Z.nested_families(study_rows(spark, sf), "cond", ["l_quantity", "l_discount", "l_tax"], "y", _FAMILIES)
+    found = Z.load_evaluation(found, Z.save_evaluation(found, "cond", scratch_path(spark, "evaluation")))
+    e = F.col("pred") - F.col("y")
+    t = found["oof"].groupBy("cond", "family", "selected_by_inner").agg(F.count(F.lit(1)).alias("n_measurements"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"))
+    c = found["candidates"].where("winner").select(F.col("outer").alias("cond"), "family", "candidate", "inner_rmse")
+    return rounded(t.join(c, ["cond", "family"]), {"inner_rmse": 4, "rmse": 4, "bias": 4})
+
+
 _PERM_Y = "(p_retailprice - 900) * 0.5 + p_size * 0.2"
 
 

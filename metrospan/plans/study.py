@@ -17,6 +17,8 @@ from ..operators.joins import exactly_one, optional_match, role_lookup
 RUN_FIELDS = ("T_C", "gly_pct", "gly_basis", "rep", "date", "cycles", "dep_time_h")
 LAYOUT_FIELDS = ("AR", "L_um", "w_um", "h_um", "faces", "left_material", "right_material", "floor_material",
                  "ceiling_material")
+GROWTH_COLUMNS = ("T_C", "gly_pct", "substrate", "t_min", "thickness_nm", "measurement_id", "specimen_id", "method", "source", "origin")
+VISCOSITY_COLUMNS = ("T_C", "gly_pct", "eta_Pa_s", "eta_sd_Pa_s", "eta_unit", "gly_basis", "source", "origin")
 LABEL_FIELDS = ("run_id", "chip", "slot", "pos", "matched_region_id")
 
 
@@ -268,14 +270,15 @@ def extract_regions(pictures: DataFrame, images: DataFrame, ref: DataFrame, dark
 
 
 def calibrate(thickness: DataFrame, viscosity: DataFrame, cfg) -> tuple[DataFrame, DataFrame]:
-    """Growth lines and the per-condition calibration."""
-    from ..operators.contracts import raise_on_violation
+    """Growth lines and the per-condition calibration.  A table without the
+    columns of its contract is refused, as is one that breaks a rule."""
+    from ..operators.contracts import raise_on_violation, require_columns
     from ..operators.regression import annotated_lines, calibration_table, growth_violations, viscosity_violations
     sd = "thickness_sd_nm" if "thickness_sd_nm" in thickness.columns else None
-    if {"method", "source", "origin", "measurement_id"} <= set(thickness.columns):
-        raise_on_violation(growth_violations(thickness, cfg.origin))
-    if {"eta_unit", "eta_sd_Pa_s", "gly_basis", "source", "origin"} <= set(viscosity.columns):
-        raise_on_violation(viscosity_violations(viscosity, cfg.origin, cfg.gly_basis))
+    require_columns(thickness, GROWTH_COLUMNS)
+    require_columns(viscosity, VISCOSITY_COLUMNS)
+    raise_on_violation(growth_violations(thickness, cfg.origin))
+    raise_on_violation(viscosity_violations(viscosity, cfg.origin, cfg.gly_basis))
     lines = annotated_lines(thickness, ["T_C", "gly_pct", "substrate"], "t_min", "thickness_nm", cluster="specimen_id", known_sd=sd,
                             concentration="C0_mol_m3" if "C0_mol_m3" in thickness.columns else None, nominal=cfg.C0_mol_m3, levels=(10.0, 20.0, 30.0, 40.0),
                             induction_fraction=cfg.induction_fraction, nonlinear_alpha=cfg.nonlinear_alpha)

@@ -40,6 +40,38 @@ def write_report(df: DataFrame, path: str) -> str:
     return write_once(df.coalesce(1), path, "json")
 
 
+def _digest(df: DataFrame) -> dict:
+    """Row count and an order-free digest of all values."""
+    r = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)")).cast("string").alias("digest")).first()
+    return {"rows": r["rows"], "digest": r["digest"] or "0"}
+
+
+def write_bundle(tables: dict[str, DataFrame], path: str, partition_by: dict[str, list[str]] | None = None) -> str:
+    """Several tables as one result: the description, with the count and the
+    digest of every table, is written last and makes the result whole."""
+    for name, df in tables.items():
+        write_once(df, f"{path}/{name}", partition_by=(partition_by or {}).get(name, ()))
+    spark = next(iter(tables.values())).sparkSession
+    rows = [(n, *_digest(spark.read.schema(df.schema).parquet(f"{path}/{n}")).values()) for n, df in tables.items()]
+    write_once(spark.createDataFrame(rows, "name string, rows long, digest string").coalesce(1), f"{path}/bundle", "json")
+    return path
+
+
+def read_bundle(spark: SparkSession, path: str, schemas: dict | None = None) -> dict[str, DataFrame]:
+    """The tables of a whole result; one that was not finished, or was changed
+    since, is refused."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bundle/_SUCCESS")
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        raise ContractViolation(f"not a whole result: {path}")
+    out = {}
+    for r in spark.read.schema("name string, rows long, digest string").json(f"{path}/bundle").collect():
+        reader = spark.read.schema(schemas[r["name"]]) if schemas else spark.read
+        out[r["name"]] = reader.parquet(f"{path}/{r['name']}")
+        if _digest(out[r["name"]]) != {"rows": r["rows"], "digest": r["digest"]}:
+            raise ContractViolation(f"{r['name']} differs from what was written: {path}")
+    return out
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared checkpoint folder."""
     from ..session import shared_folder

@@ -49,7 +49,7 @@ def tables(spark):
     schema = ", ".join(f"{k} {'double' if k in ('z_anchor_um', 'x_anchor_px', 'um_per_px', 'exposure_ms', 'gain', 'magnification', 'gamma') else 'int' if k in ('chip', 'slot', 'bit_depth', 'roi_x0', 'roi_x1', 'roi_y0', 'roi_y1') else 'string'}" for k in images[0])
     frame = lambda kind: dict(frame_id=f"{kind}1", path=f"raw/{kind}_S1.tif", kind=kind, **ACQ)
     flat = lambda key, v: spark.createDataFrame([(f"{key.split('_')[0].upper()}1", H, W, [v] * (H * W))], f"{key} string, {PICTURE}")
-    growth = [(t, g, s, m, (1.5 + 0.01 * t + 0.02 * g) * m * (1 if s == "pdms" else 0.8) + 0.01 * (m % 3), f"{s}{m}") for t, g in CONDITIONS for s in ("glass", "pdms") for m in (10.0, 20.0, 30.0, 40.0)]
+    growth = [(t, g, s, m, (1.5 + 0.01 * t + 0.02 * g) * m * (1 if s == "pdms" else 0.8) + 0.01 * (m % 3), f"{s}{m}", f"G{t}{g}{s}{m}", "ellipsometry", "log", "SYNTHETIC") for t, g in CONDITIONS for s in ("glass", "pdms") for m in (10.0, 20.0, 30.0, 40.0)]
     return dict(
         images=spark.createDataFrame([tuple(r.values()) for r in images], schema),
         runs=spark.createDataFrame([(f"R{c + 1:02d}", t, g, "mass_pct", 1, "2024-01-01", "S1", 1, 2.0, f"B{c}") for c, (t, g) in enumerate(CONDITIONS)],
@@ -58,8 +58,9 @@ def tables(spark):
         frames=spark.createDataFrame([frame("REF"), frame("DARK")]),
         labels=spark.createDataFrame(labels, "measurement_id string, run_id string, chip int, slot int, pos string, thickness_nm double, thickness_sd_nm double, n_sites int, matched_region_id string, z_lo_um double, z_hi_um double, match_basis string"),
         pixels=spark.createDataFrame(pixels, f"image_id string, {PICTURE}"), ref=flat("ref_id", 40000.0), dark=flat("dark_id", 1000.0),
-        growth=spark.createDataFrame(growth, "T_C double, gly_pct double, substrate string, t_min double, thickness_nm double, specimen_id string"),
-        viscosity=spark.createDataFrame([(t, g, 0.001 + 1e-5 * g - 5e-6 * t) for t, g in CONDITIONS], "T_C double, gly_pct double, eta_Pa_s double"))
+        growth=spark.createDataFrame(growth, "T_C double, gly_pct double, substrate string, t_min double, thickness_nm double, specimen_id string, measurement_id string, method string, source string, origin string"),
+        viscosity=spark.createDataFrame([(t, g, 0.001 + 1e-5 * g - 5e-6 * t, 1e-5, "Pa_s", "mass_pct", "table", "SYNTHETIC") for t, g in CONDITIONS],
+                                         "T_C double, gly_pct double, eta_Pa_s double, eta_sd_Pa_s double, eta_unit string, gly_basis string, source string, origin string"))
 
 
 def build(t, **change):
@@ -115,6 +116,30 @@ def test_whole_chain(tables):
         S.run_study(build(tables, gamma=2.2)[0], tables["pixels"], tables["ref"], tables["dark"], tables["growth"], tables["viscosity"], CFG)
 
 
+@pytest.mark.parametrize("table, column", [("growth", "method"), ("growth", "measurement_id"), ("viscosity", "eta_unit"), ("viscosity", "eta_sd_Pa_s")])
+def test_calibration_contract_is_obligatory(tables, table, column):
+    given = {k: tables[k].drop(column) if k == table else tables[k] for k in ("growth", "viscosity")}
+    with pytest.raises(ContractViolation, match=column):
+        S.calibrate(given["growth"], given["viscosity"], CFG)
+
+
+def test_calibration_rules(tables):
+    with pytest.raises(ContractViolation, match="unit"):
+        S.calibrate(tables["growth"], tables["viscosity"].withColumn("eta_unit", F.lit("cP")), CFG)
+
+
+def test_faulty_geometry_has_its_own_reason(tables):
+    m, _ = build(tables)
+    m = m.where("image_id like '0%'")
+    manual = F.col("image_id").isin("01bot", "02top")
+    m = m.withColumns({"roi_mode": F.when(manual, "manual").otherwise(F.col("roi_mode")), "x_anchor_px": F.when(F.col("image_id") == "01top", 70.0).otherwise(F.col("x_anchor_px")),
+                       "w_um": F.when(F.col("image_id") == "02bot", 30.0).otherwise(F.col("w_um")),
+                       **{f"roi_{k}": F.when(manual, F.lit(float(v))) for k, v in (("x0", 0), ("x1", 64), ("y0", 14), ("y1", 34))}})
+    m = m.withColumns({"roi_x0": F.when(F.col("image_id") == "01bot", 0.5).otherwise(F.col("roi_x0")), "roi_y1": F.when(F.col("image_id") == "02top", 49.0).otherwise(F.col("roi_y1"))})
+    regions, _, _ = S.extract_regions(tables["pixels"], m, tables["ref"], tables["dark"], CFG)
+    assert rows(regions, "image_id", "reason") == [("01bot", "roi_not_integer"), ("01top", "invalid_anchor"), ("02bot", "width_exceeds_picture"), ("02top", "manual_edges_outside")]
+
+
 def test_failing_images_keep_their_reason(tables):
     m, _ = build(tables)
     px = tables["pixels"]
