@@ -156,7 +156,17 @@ def template_windows(data: np.ndarray, offsets: np.ndarray, sizes: list[int]):
                 yield _ranges(template, s, e, salt), rows[own], own - first[rows[own]], lambda keep, s=s, e=e, slot=slot: _slot_lists(s[keep], e[keep], values, slot)
 
 
-_ROWS = "id long, win long, pos int, slots array<bigint>"
+def _rows(df: DataFrame) -> str:
+    return f"id {df.schema['id'].dataType.simpleString()}, win long, pos int, slots array<bigint>"
+
+
+def _alone(data: np.ndarray, offsets: np.ndarray, size: int) -> np.ndarray:
+    """By word: whether the ``size`` words from there are a whole line or sentence."""
+    _, rows, _, _, _, inside = word_kinds(data, offsets)
+    opens = np.append(~inside, True)
+    opens[:-1] |= np.append(True, rows[1:] != rows[:-1])[: len(rows)]
+    at = np.arange(len(rows))
+    return opens[:-1] & opens[np.minimum(at + size, len(rows))]
 
 
 def _emit(ids, hashes, rows, pos, slots, keep, a):
@@ -181,7 +191,8 @@ def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
                         keep = (words[rows] == size) | (words[rows] >= size) & (size == WINDOW)
                         yield _emit(ids, hashes, rows, pos, slots, keep, a)
 
-    found = stored(items.where("id is not null").select("text", F.col("id").cast("long")).mapInArrow(emit, _ROWS).distinct(), "items")
+    items = items.where("id is not null").select("text", "id")
+    found = stored(items.mapInArrow(emit, _rows(items)).distinct(), "items")
     return found, found.groupBy("id").agg(F.countDistinct("pos").alias("n"))
 
 
@@ -200,12 +211,23 @@ def document_windows(docs: DataFrame, ident: Column, text: Column, bits: np.ndar
             data, offsets = text_buffers(batch.column(0))
             ids = batch.column(1)
             for a, b in steps(offsets):
-                for hashes, rows, pos, slots in template_windows(data, offsets[a: b + 1], list(range(1, WINDOW + 1))):
+                part = offsets[a: b + 1]
+                for sizes in ([k] for k in range(1, LITERALS)):
+                    alone, first = _alone(data, part, sizes[0]), None
+                    for hashes, rows, pos, slots in template_windows(data, part, sizes):
+                        keep = in_field(field, hashes)
+                        if keep.any():
+                            first = np.searchsorted(word_kinds(data, part)[1], np.arange(b - a + 1)) if first is None else first
+                            keep &= alone[first[rows] + pos]
+                            if keep.any():
+                                yield _emit(ids, hashes, rows, pos, slots, keep, a)
+                for hashes, rows, pos, slots in template_windows(data, part, list(range(LITERALS, WINDOW + 1))):
                     keep = in_field(field, hashes)
                     if keep.any():
                         yield _emit(ids, hashes, rows, pos, slots, keep, a)
 
-    return docs.select(text.alias("text"), ident.cast("long").alias("id")).where("text is not null and id is not null").mapInArrow(emit, _ROWS)
+    rows = docs.select(text.alias("text"), ident.alias("id")).where("text is not null and id is not null")
+    return rows.mapInArrow(emit, _rows(rows))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, consistency: float = CONSISTENCY) -> DataFrame:
@@ -218,8 +240,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     document in at least ``consistency`` of its values.  A pair counts when the
     consistent diagonals cover at least ``coverage`` of the item's windows; it
     is re-parameterised when some slot has another value than in the item.
-    Documents with null id or text, and empty tables, give no rows; repeated
-    rows give one.
+    An item of one or two words counts only where it is a whole line or
+    sentence.  Ids of any type are kept as they are.  Documents with null id or
+    text, and empty tables, give no rows; repeated rows give one.
     """
     items, sizes = benchmark_windows(benchmark)
     mine = document_windows(docs, F.col("doc_id"), F.col("text"), window_filter(items))

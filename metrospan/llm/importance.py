@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -104,6 +107,6 @@ def resample_query(docs: DataFrame, labels: DataFrame, share: float = 0.5, targe
     raw = gram_table(docs, F.col("text"))
     target = gram_table(docs.select("doc_id", "text").join(chosen, "doc_id", "left_semi"), F.col("text"))
     keyed = stored(weigh(docs, ["doc_id"], F.col("text"), log_ratios(target, raw), F.col("doc_id")), "weighed")
-    k = -(-keyed.count() * int(round(share * 1000)) // 1000)
+    k = math.ceil(Fraction(str(share)) * keyed.count())
     least = kth_largest(keyed, "rank_key", k)
     return keyed.select("doc_id", "log_weight", "gumbel_key", (F.col("rank_key") >= F.lit(least)).alias("sampled") if least is not None else F.lit(False).alias("sampled"))

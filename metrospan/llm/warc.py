@@ -19,6 +19,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 #: Bytes of an archive that the writer aims at; a reading task holds one archive.
 ARCHIVE_BYTES = 32 << 20
+#: Upper ends of the record sizes that are written together, and the most bytes of an archive of several records.
+RECORD_CLASSES, MOST_BYTES = [1 << 16, 1 << 20, 1 << 24], 1 << 30
 
 SCHEMA = ("archive string, offset long, next long, record_id string, page_id long, record_type string, payload_bytes long, "
           "payload_digest string, refers_to long, verified boolean")
@@ -33,6 +35,8 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 100) -> str:
     a block of HTTP headers without the payload.  Null html is an empty
     payload; a null page_id is never the smallest; line ends in a URL are
     percent-encoded.  Only digests are shuffled to find equal payloads.
+    Records of like size are written together, so that an archive holds
+    MOST_BYTES at most, or one record.
     """
     spark = pages.sparkSession
     html = F.coalesce("html", F.lit(""))
@@ -41,8 +45,12 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 100) -> str:
     first = light.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
     # Written, so that the planner knows its size before it decides how to join the pages.
     repeated = stored(first.where("n > 1 and first is not null").select("digest", "first"), "repeated")
-    total = light.agg(F.sum(F.col("bytes") + 700), F.count(F.lit(1))).first()
-    each = max(1, int(ARCHIVE_BYTES / max(1.0, (total[0] or 0) / max(1, total[1]))))
+    # Records of a class have a least upper size, which bounds an archive of so many of them.
+    length = F.col("bytes") + 3 * F.coalesce(F.octet_length("url"), F.lit(0)) + 700
+    group = F.lit(len(RECORD_CLASSES))
+    for k in reversed(range(len(RECORD_CLASSES))):
+        group = F.when(length <= RECORD_CLASSES[k], k).otherwise(group)
+    found = {r["g"]: r["mean"] for r in rows.groupBy(group.alias("g")).agg(F.avg(length).alias("mean")).collect()} or {0: 1.0}
     rows = rows.join(repeated, "digest", "left")
     revisit = F.coalesce(F.col("bytes") >= least_bytes, F.lit(False)) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     line = "\r\n"
@@ -57,7 +65,10 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 100) -> str:
         F.lit("WARC-Payload-Digest: sha256:"), F.col("digest"), F.lit(line),
         F.when(revisit, F.concat(F.lit(f"WARC-Profile: {PROFILE}{line}WARC-Refers-To: <urn:page:"), F.col("first"), F.lit(">" + line))).otherwise(""),
         F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block), F.lit(END), block)
-    rows.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", each).text(path)
+    records = rows.select(record.alias("value"), group.alias("g"))
+    for g, mean in sorted(found.items()):
+        each = int(min(ARCHIVE_BYTES / mean, MOST_BYTES / RECORD_CLASSES[g])) if g < len(RECORD_CLASSES) else 1
+        records.where(F.col("g") == g).select("value").write.mode("append").option("lineSep", END).option("maxRecordsPerFile", max(1, each)).text(path)
     return path
 
 

@@ -149,5 +149,29 @@ def leaks(docs, items):
     return {(d, i) for d, t in docs if t for i, x in items if plain(x) in plain(t)}
 
 
-def log_likelihood_ratio(target, raw, n):
-    return math.log((target + 1) / n[0]) - math.log((raw + 1) / n[1])
+def _mix(x):
+    m = (1 << 64) - 1
+    x ^= x >> 33
+    x = x * 0xFF51AFD7ED558CCD & m
+    x ^= x >> 33
+    x = x * 0xC4CEB9FE1A85EC53 & m
+    return x ^ (x >> 33)
+
+
+def gram_buckets(text, buckets=10_000):
+    """Buckets of a text's words and word pairs, byte by byte."""
+    from metrospan.llm.words import _BASE, LOWER
+    m, hashes = (1 << 64) - 1, []
+    for w in words(text):
+        total, power = 0, 1
+        for byte in w.encode():
+            total, power = (total + int(LOWER[byte]) * power) & m, power * _BASE & m
+        hashes.append(_mix((total + len(w.encode())) & m))
+    return [_mix(h) % buckets for h in hashes] + [_mix((a * _BASE + b) & m) % buckets for a, b in zip(hashes, hashes[1:])]
+
+
+def log_weights(docs, good, buckets=10_000):
+    """Per document the log of target over raw probability of its n-grams."""
+    raw, target = (collections.Counter(b for d, t in docs if keep(d) for b in gram_buckets(t, buckets)) for keep in (lambda d: True, lambda d: d in good))
+    n, m = sum(target.values()) + buckets, sum(raw.values()) + buckets
+    return {d: sum(math.log((target[b] + 1) / n) - math.log((raw[b] + 1) / m) for b in gram_buckets(t, buckets)) for d, t in docs}

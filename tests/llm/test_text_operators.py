@@ -320,8 +320,46 @@ def found_leaks(spark, texts, items):
 def test_leaks_of_dense_and_short_items(spark):
     items = ["Compute 12 + 34 + 56 + 78 + 90 exactly.", "Is seven prime?", "Add 1, 2, 3, 4 and 5, then take 6, 7, 8 and 9 from the total of all", "42"]
     texts = [f"Before it. {items[0]} And after it.", "so is SEVEN prime", "we add 10, 20, 30, 40 and 50, then take 60, 70, 80 and 90 from the total of all of them",
-             "Compute 12 + 34 + 56 + 78 + 91 exactly.", "seven is prime", "it is 42, they say", " ".join(map(str, range(100, 3000)))]
-    assert found_leaks(spark, texts, items) == {(0, 0), (1, 1), (2, 2), (5, 3)}
+             "Compute 12 + 34 + 56 + 78 + 91 exactly.", "seven is prime", "it is 42, they say", "the answer?\n42\nas they say", "One. 42! Two", " ".join(map(str, range(100, 3000)))]
+    assert found_leaks(spark, texts, items) == {(0, 0), (1, 1), (2, 2), (6, 3), (7, 3)}
+
+
+def test_one_word_items_need_a_line_or_sentence(spark):
+    texts = [f"text number {k} says yes or no" for k in range(5)] + ["Yes", "Do you? Yes. I do", "yes\nand more", "say Yes\nnow"]
+    assert found_leaks(spark, texts, ["Yes", "Very good"]) == {(5, 0), (6, 0), (7, 0)}
+
+
+def test_leaks_with_text_ids(spark):
+    item = "the red fox sat on the low wall and looked at the moon"
+    docs = spark.createDataFrame([("a-1", f"so {item} again"), ("b", "nothing"), (None, item)], "doc_id string, text string")
+    got = decontaminate.contaminated(docs, spark.createDataFrame([("x9", item)], "item_id string, text string")).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in got] == [("a-1", "x9")]
+
+
+def test_pages_of_very_unequal_size(spark, tmp_path):
+    pages = [(k, f"http://a/{k}", "p" * (10 if k % 9 else 3_000_000) + str(k)) for k in range(60)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    path = warc.write_archives(df, str(tmp_path / "w"))
+    assert max(p.stat().st_size for p in (tmp_path / "w").glob("part-*")) <= 2 * warc.ARCHIVE_BYTES
+    assert {(r["page_id"], r["payload_bytes"]) for r in warc.read_archives(spark, path).collect()} == {(k, len(h)) for k, _, h in pages}
+    assert warc.warc_query(df.limit(0)).collect() == []
+
+
+def test_resampling_takes_the_exact_share(spark):
+    docs = spark.createDataFrame([(k, prose(k, 20), None, 1.0) for k in range(1000)] + [(5, prose(5, 20), "clash", 2.0), (None, None, None, None), (7000, "", None, 0.0)],
+                                 "doc_id long, text string, ll_text string, log_weight double")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(0, 40)] + [(None, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int")
+    for share, want in ((0.0004, 1), (0.5, 502), (0.0, 0), (1.0, 1003)):
+        got = importance.resample_query(docs, labels, share=share).where("sampled").count()
+        assert want <= got <= want + 1  # repeated rows are sampled together
+
+
+def test_importance_against_brute_force(spark):
+    docs = spark.createDataFrame([(k, prose(k % 3 + 1, 6 + k)) for k in range(12)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(12)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["log_weight"] for r in importance.resample_query(docs, labels).collect()}
+    want = brute.log_weights([tuple(r) for r in docs.collect()], {k for k in range(12) if k % 2})
+    assert all(abs(got[k] - want[k]) < 1e-6 for k in want), (got, want)
 
 
 def test_leaks_with_names_that_open_sentences_or_change_case(spark):
