@@ -150,19 +150,31 @@ def crossing(curve: Callable[[str], str], target: Sql, lower: Sql, limit: Sql, s
     """Smallest point where a decreasing curve falls to ``target``.
 
     ``curve`` maps SQL text to SQL text.  The bracket doubles from ``lower`` up
-    to ``limit``, then halves ``steps`` times.  Gives struct(status, value); an
-    unattained target keeps a status and a NULL value.  Each curve value is
-    computed once and bound to a name.
+    to ``limit`` and carries the values of both ends, so that nothing is
+    computed again once it is closed.  Inside it the secant point, every third
+    time the middle, replaces one end; an end that stays twice counts half.
+    The search stops when two points in a row agree to the last digits, after
+    ``steps`` at most.  Gives struct(status, value); an unattained target keeps
+    a status and a NULL value.
     """
     t, lo, end = sql(target), sql(lower), sql(limit)
-    upper = (f"aggregate(sequence(1, 64), least(greatest(1D, 2 * {lo}), {end}), (up, i) -> "
-             f"CASE WHEN up < {end} AND {curve('up')} > {t} THEN least(2 * up, {end}) ELSE up END)")
-    ends = (f"transform(transform(array(named_struct('hi', {upper}, 'f0', {curve(str(lo))})), "
-            f"r -> named_struct('hi', r.hi, 'f0', r.f0, 'f1', {curve('r.hi')})), ")
-    halved = (f"aggregate(sequence(1, {steps}), named_struct('a', {lo}, 'b', s.hi), (g, i) -> "
-              f"CASE WHEN {curve('(g.a + g.b) / 2')} > {t} THEN named_struct('a', (g.a + g.b) / 2, 'b', g.b) "
-              "ELSE named_struct('a', g.a, 'b', (g.a + g.b) / 2) END, g -> (g.a + g.b) / 2)")
+    start = f"least(greatest(1D, 2 * {lo}), {end})"
+    ends = "named_struct('f0', {f0}, 'a', {a}, 'fa', {fa}, 'b', {b}, 'fb', {fb})".format
+    twice = f"least(2 * g.b, {end})"
+    closed = (f"aggregate(sequence(1, 64), transform(transform(array({start}), u -> named_struct('u', u, 'f', {curve(str(lo))})), r -> "
+              f"{ends(f0='r.f', a=f'CAST({lo} AS DOUBLE)', fa='r.f', b='CAST(r.u AS DOUBLE)', fb=curve('r.u'))})[0], (g, i) -> "
+              f"CASE WHEN g.b < {end} AND g.fb > {t} THEN {ends(f0='g.f0', a='g.b', fa='g.fb', b=f'CAST({twice} AS DOUBLE)', fb=curve(twice))} ELSE g END)")
+    state = "named_struct('a', {a}, 'fa', {fa}, 'b', {b}, 'fb', {fb}, 'x', {x}, 'side', {side}, 'done', {done})".format
+    secant, middle = "(g.a + (g.b - g.a) * (g.fa / (g.fa - g.fb)))", "((g.a + g.b) / 2)"
+    point = f"CASE WHEN i % 3 > 0 AND {secant} > g.a AND {secant} < g.b THEN {secant} ELSE {middle} END"
+    done = f"abs(r.f) <= 1e-16D * abs({t}) OR abs(r.c - r.g.x) <= 4e-16D * abs(r.c)"
+    right = state(a="r.c", fa="r.f", b="r.g.b", fb="CASE WHEN r.g.side = 1 THEN r.g.fb / 2 ELSE r.g.fb END", x="r.c", side="1", done=done)
+    left = state(a="r.g.a", fa="CASE WHEN r.g.side = -1 THEN r.g.fa / 2 ELSE r.g.fa END", b="r.c", fb="r.f", x="r.c", side="-1", done=done)
+    step = (f"transform(transform(array(named_struct('g', g, 'c', {point})), q -> named_struct('g', q.g, 'c', q.c, 'f', {curve('q.c')} - {t})), "
+            f"r -> CASE WHEN r.f > 0 THEN {right} ELSE {left} END)[0]")
+    first = state(a="s.a", fa=f"s.fa - {t}", b="s.b", fb=f"s.fb - {t}", x="s.b", side="0", done=f"s.fb = {t}")
+    root = f"aggregate(sequence(1, {steps}), {first}, (g, i) -> CASE WHEN g.done THEN g ELSE {step} END, g -> g.x)"
     status = (f"CASE WHEN s.f0 < {t} THEN 'below_target_at_lower_bound' WHEN s.f0 = {t} THEN 'root' "
-              f"WHEN s.f1 > {t} THEN 'no_boundary_within_domain' WHEN s.f1 <= {t} AND s.f0 > {t} THEN 'root' END")
-    value = f"CASE WHEN s.f0 = {t} THEN {lo} WHEN s.f0 > {t} AND s.f1 <= {t} THEN {halved} END"
-    return f"{ends}s -> named_struct('status', {status}, 'value', {value}))[0]"
+              f"WHEN s.fb > {t} THEN 'no_boundary_within_domain' WHEN s.fb <= {t} AND s.f0 > {t} THEN 'root' END")
+    value = f"CASE WHEN s.f0 = {t} THEN CAST({lo} AS DOUBLE) WHEN s.f0 > {t} AND s.fb <= {t} THEN {root} END"
+    return f"transform(array({closed}), s -> named_struct('status', {status}, 'value', {value}))[0]"
