@@ -58,12 +58,22 @@ def layout_faults() -> dict[str, Column]:
     }
 
 
-def mark_repeated(df: DataFrame, key: str, out: str, where: Column | None = None) -> DataFrame:
-    """Flag rows whose key occurs more than once (among rows that meet
-    ``where``).  Only repeated keys are joined back, usually very few."""
-    rows = df if where is None else df.where(where)
-    twice = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_twice")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    return df.join(twice, F.col(key) == F.col("_twice"), "left").withColumn(out, F.col("_twice").isNotNull()).drop("_twice")
+def mark_repeated(df: DataFrame, keys: dict[str, str]) -> DataFrame:
+    """Flag rows by key column: ``keys`` maps each to the name of its flag,
+    true where the key's value occurs more than once.
+
+    All keys are counted in one pass over (key, value) entries; only repeated
+    values, usually very few, are written and joined back, so that the plan of
+    ``df`` does not grow with the keys and the planner knows their size.
+    """
+    from ..session import stored
+    entries = F.array(*[F.struct(F.lit(k).alias("_key"), F.col(k).cast("string").alias("_twice")) for k in keys])
+    counted = df.select(F.inline(entries)).where("_twice is not null").groupBy("_key", "_twice").agg(F.count(F.lit(1)).alias("_n"))
+    twice = stored(counted.where("_n > 1").drop("_n"), "repeated")
+    for key, out in keys.items():
+        own = twice.where(F.col("_key") == key).select("_twice")
+        df = df.join(own, F.col(key).cast("string") == F.col("_twice"), "left").withColumn(out, F.col("_twice").isNotNull()).drop("_twice")
+    return df
 
 
 def manifest(images: DataFrame, runs: DataFrame, layout: DataFrame, frames: DataFrame, labels: DataFrame,
@@ -84,8 +94,8 @@ def manifest(images: DataFrame, runs: DataFrame, layout: DataFrame, frames: Data
     else:
         images = images.withColumn("_inclusion", F.lit("included"))
     m = images.withColumn("_name", parse_capture_name(F.element_at(F.split("path", "/"), -1)))
-    for key in ("content_sha256", "image_id", "path", "matched_region_id"):
-        m = mark_repeated(m, key, f"_twice_{key}")
+    m = m.withColumn("_asked", F.when(~F.col("measurement_id").rlike(r"^\s*$"), F.col("measurement_id")))
+    m = mark_repeated(m, {key: f"_twice_{key}" for key in ("content_sha256", "image_id", "path", "matched_region_id", "_asked")})
     file_name = parse_capture_name(F.element_at(F.split("path", "/"), -1))
     frames = frames.select("*", file_name["kind"].alias("name_kind"), file_name["session_id"].alias("name_session"),
                            reduce(lambda a, b: a | b, acquisition_faults().values()).alias("acquisition_fault"))
@@ -97,14 +107,12 @@ def manifest(images: DataFrame, runs: DataFrame, layout: DataFrame, frames: Data
     m = exactly_one(m, run_side, ["run_id"], [*RUN_FIELDS, "_run_session", "_run_batch", "_run_key", "_run_faults"]).withColumnRenamed("match_status", "_run_status")
     plan = layout.select("slot", *LAYOUT_FIELDS, flags_text(layout_faults()).alias("_layout_faults"))
     m = exactly_one(m, plan, ["slot"], [*LAYOUT_FIELDS, "_layout_faults"]).withColumnRenamed("match_status", "_layout_status")
-    lab = mark_repeated(labels, "matched_region_id", "_l_twice")
+    lab = mark_repeated(labels, {"matched_region_id": "_l_twice"})
     lab = lab.select("measurement_id", *[F.col(c).alias(f"_l_{c}") for c in LABEL_FIELDS],
                      F.col("thickness_nm").alias("label_nm"), F.col("thickness_sd_nm").alias("label_sd_nm"),
                      F.col("z_lo_um").alias("label_z_lo_um"), F.col("z_hi_um").alias("label_z_hi_um"), "match_basis",
                      F.col("n_sites").alias("_sites"), "_l_twice")
-    m = m.withColumn("_asked", F.when(~F.col("measurement_id").rlike(r"^\s*$"), F.col("measurement_id")))
     m = optional_match(m, lab, "_asked", "measurement_id", [c for c in lab.columns if c != "measurement_id"])
-    m = mark_repeated(m, "_asked", "_shared", F.col("label_status") == "ok")
 
     trench, flat = F.col("kind") == "trench", F.col("kind") == "flat"
     name = F.col("_name")
@@ -155,7 +163,7 @@ def manifest(images: DataFrame, runs: DataFrame, layout: DataFrame, frames: Data
         "label_region_repeated": trench & labelled & F.col("_l_twice"),
         "label_registration": trench & labelled & no(registered),
         "label_values": trench & labelled & no(valid_label),
-        "label_shared": trench & F.col("_shared"),
+        "label_shared": trench & labelled & F.col("_twice__asked"),
         "duplicate_content": F.col("_twice_content_sha256"),
     }
     trench_id = F.concat_ws("_", F.col("run_id"), F.concat(F.lit("C"), F.col("chip").cast("int").cast("string")),
