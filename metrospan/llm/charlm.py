@@ -2,11 +2,10 @@
 
 Counting runs in Spark over every text of the training rows: tasks sum the
 n-grams of the highest order, all lower orders follow from those by grouping.
-An n-gram is packed into one integer of 12 bits a character.  The model keeps
-the n-grams whose share of their class is at least ``min_share``; the mass of
-the others goes to the lower order, so that probabilities still sum to one.
-That bounds a model by orders x classes / ``min_share`` entries whatever the
-corpus holds, and no row or n-gram is left out of the counts.
+An n-gram is packed into one integer of 12 bits a character.  Every counted
+n-gram has its probability, at any size of the table: no row is left out of
+the counts and no n-gram out of the model, which therefore grows with the
+number of different n-grams of the labelled texts.
 """
 
 from __future__ import annotations
@@ -124,8 +123,8 @@ def _merge(parts: list) -> tuple[np.ndarray, np.ndarray]:
     return codes, counts.astype(np.int64)
 
 
-def gram_weights(counts: DataFrame, order: int, smoothing: str, min_share: float) -> DataFrame:
-    """Own share of each kept n-gram in its context, (label, size, code, alpha).
+def gram_weights(counts: DataFrame, order: int, smoothing: str) -> DataFrame:
+    """Own share of every counted n-gram in its context, (label, size, code, alpha).
 
     ``kneser-ney``: below the highest order, an n-gram counts the different
     characters seen before it; absolute discount n1 / (n1 + 2 n2) per class and
@@ -144,11 +143,10 @@ def gram_weights(counts: DataFrame, order: int, smoothing: str, min_share: float
         else:
             share = F.col("n") / (F.col("total") + F.col("kinds"))
         totals = level.groupBy("label", context.alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).cast("double").alias("kinds"))
-        whole = level.groupBy("label").agg(F.sum("n").alias("whole"))
-        rows = level.withColumn("context", context).join(totals, ["label", "context"]).join(whole, "label")
+        rows = level.withColumn("context", context).join(totals, ["label", "context"])
         if smoothing == "kneser-ney":
             rows = rows.join(drop, "label")
-        kept = rows.where(F.col("n") >= min_share * F.col("whole")).select("label", F.lit(size).alias("size"), "code", share.alias("alpha"))
+        kept = rows.select("label", F.lit(size).alias("size"), "code", share.alias("alpha"))
         out = kept if out is None else out.union(kept)
         shorter = F.col("code").bitwiseAND(F.lit((1 << BITS * (size - 1)) - 1))
         level = level.groupBy("label", shorter.alias("code")).agg((F.count(F.lit(1)) if smoothing == "kneser-ney" else F.sum("n")).cast("double").alias("n"))
@@ -191,8 +189,10 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def build_models(weights: DataFrame, order: int) -> CharModels:
-    """Collect the kept n-grams (bounded by orders x classes / min_share) and
-    interpolate them from the lowest order up."""
+    """Collect the counted n-grams and interpolate them from the lowest order
+    up.  The driver and every task hold all different n-grams, whatever their
+    counts: their number grows with the vocabulary of the labelled texts, far
+    slower than the texts."""
     table = weights.toArrow()
     labels = sorted(set(table["label"].to_pylist()))
     index = {x: i for i, x in enumerate(labels)}

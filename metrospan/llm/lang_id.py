@@ -13,9 +13,9 @@ ORDER = 4
 UNKNOWN = "und"
 
 
-def train_models(df: DataFrame, text: Column, label: Column, order: int = ORDER, min_share: float = 2e-6) -> CharModels:
+def train_models(df: DataFrame, text: Column, label: Column, order: int = ORDER) -> CharModels:
     """One interpolated Kneser-Ney model per label, counted over all given rows."""
-    return build_models(gram_weights(gram_counts(df, text, label, order, True), order, "kneser-ney", min_share), order)
+    return build_models(gram_weights(gram_counts(df, text, label, order, True), order, "kneser-ney"), order)
 
 
 def entropies(df: DataFrame, columns: dict[str, Column], text: Column, models: CharModels) -> DataFrame:

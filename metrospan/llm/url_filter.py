@@ -80,7 +80,7 @@ def calibrated_threshold(scored: DataFrame, label: str, good: str, bins: int = 2
     return float(edges[best[np.argmin(np.abs(edges[best]))]])
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, min_share: float = 1e-6) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """Every row of ``pages`` (page_id, url): page_id, host, path, rule, verdict, difference.
 
     URLs that a rule decides are the labelled rows: three quarters of them (by
@@ -99,7 +99,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, min_
     known = rows.where(F.col("says").isNotNull())
     check = F.pmod(F.xxhash64("ll_url"), F.lit(4)) == 3
     counts = gram_counts(known.where(~check), F.col("ll_url"), F.col("says"), ORDER, False)
-    models = build_models(gram_weights(counts, ORDER, "witten-bell", min_share), ORDER)
+    models = build_models(gram_weights(counts, ORDER, "witten-bell"), ORDER)
     threshold = calibrated_threshold(differences(known.where(check), ["says"], models, "allow", "block"), "says", "allow")
     scored = differences(rows, ["page_id", "host", "path", "rule", "says"], models, "allow", "block")
     verdict = F.coalesce("says", F.when(F.col("difference") >= threshold, "allow").otherwise("block"))
