@@ -233,6 +233,67 @@ def nested_families(df: DataFrame, group: str, features: list[str], y: str, fami
             "oof": _predicted(df, group, features, models, bases, mean, sd)}
 
 
+def _select(group: str, families: list, dims: dict[int, int]):
+    """Candidates of all families scored on the folds of one training set, with
+    the refitted winner; the sums carry their condition's fold."""
+    def run(sums: pd.DataFrame) -> pd.DataFrame:
+        out, first = [], 0
+        for family in families:
+            for number, (b, p) in enumerate(family.candidates()):
+                t = sums[sums["basis"] == first + b].sort_values(group, kind="stable")
+                n, m, fold, d = t["n"].to_numpy(), np.stack(t["m"].to_list()), t["fold"].to_numpy(), dims[first + b]
+                errors = []
+                for f in np.unique(fold):
+                    coef = _fit(family.name, m[fold != f].mean(0), d, n[fold != f].sum(), p["alpha"])
+                    errors += [_squared_error(v, d, coef) for v in m[fold == f]]
+                out.append([family.name, number, first + b, json.dumps(p, sort_keys=True), float(np.sqrt(np.mean(errors))), _fit(family.name, m.mean(0), d, n.sum(), p["alpha"]).tolist()])
+            first += len(family.bases())
+        best = min(range(len(out)), key=lambda k: (out[k][4], k))
+        return pd.DataFrame([[*r, k == best] for k, r in enumerate(out)], columns=["family", "candidate", "basis", "parameters", "score", "coef", "chosen"])
+    return run
+
+
+def holdout_evaluation(df: DataFrame, group: str, features: list[str], y: str, families: list, split: DataFrame, inner: int = 3) -> dict[str, DataFrame]:
+    """Selection inside the training groups, one scoring of the winner on the others.
+
+    ``split`` is (group, split: train or test).  A group in both, fewer than
+    two test groups or than ``inner`` training groups are refused.  Returns
+    ``candidates`` (family, candidate, parameters, cv_rmse, chosen), ``folds``
+    of the training groups, ``test`` (the held-out rows with pred,
+    negative_prediction and outside_training_feature_range) and ``report``: one
+    row with the winner and its condition-balanced and row-weighted errors.
+    Nothing of the test rows enters scaling, folds, selection or the fit.
+    """
+    sides = durable(split.select(group, "split").distinct())
+    counts = sides.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.min("split").alias("split")).agg(
+        F.count_if(F.col("n") > 1).alias("both"), F.count_if(F.col("split") == "test").alias("test"), F.count_if(F.col("split") == "train").alias("train")).first()
+    if counts["both"]:
+        raise ContractViolation(f"{counts['both']} groups are in both splits")
+    if counts["test"] < 2 or counts["train"] < max(inner, 3):
+        raise ContractViolation(f"hold-out needs two test groups and {max(inner, 3)} training groups, got {counts['test']} and {counts['train']}")
+    train, test = (df.join(sides.where(F.col("split") == s).select(group), group, "left_semi") for s in ("train", "test"))
+    conditions, mean, sd = _scaling(train, group, features, y)
+    d, bases = len(features), [b for f in families for b in f.bases()]
+    dims = {k: d if b[0] == "linear" else b[2] for k, b in enumerate(bases)}
+    folds = durable(group_kfold(conditions.select(group, "n"), group, inner))
+    sums = condition_sums(train, group, features, y, bases, mean, sd).join(folds.select(group, "fold"), group)
+    found = sums.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(_select(group, families, dims), "family string, candidate int, basis int, parameters string, score double, coef array<double>, chosen boolean")
+    found = stored(found.withColumn("cv_rmse", F.col("score") * sd[d]).drop("score"), "holdout")
+    ends = conditions.agg(*[f(F.get(c, F.lit(i))).alias(f"{c}{i}") for c, f in (("lo", F.min), ("hi", F.max)) for i in range(d)]).first()
+    w = found.where("chosen").first()  # the winner: one row
+    array = lambda values: F.array(*[F.lit(float(v)) for v in values])
+    models = sides.where("split = 'test'").select(
+        F.col(group).alias("outer"), F.lit(w["family"]).alias("family"), F.lit(True).alias("chosen"), F.lit(w["basis"]).alias("basis"), array(w["coef"]).alias("coef"),
+        array([ends[f"lo{i}"] for i in range(d)]).alias("lo"), array([ends[f"hi{i}"] for i in range(d)]).alias("hi"))
+    scored = _predicted(test, group, features, models, bases, mean, sd).drop("selected_by_inner")
+    e = F.col("pred") - F.col(y)
+    per = scored.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum(e * e).alias("s"), F.avg(e * e).alias("m"), F.sum(F.abs(e)).alias("a"), F.sum(e).alias("b"))
+    report = per.agg(F.count(F.lit(1)).alias("n_conditions"), F.sum("n").alias("n_measurements"), F.sqrt(F.avg("m")).alias("condition_balanced_rmse"),
+                     F.sqrt(F.sum("s") / F.sum("n")).alias("rmse"), (F.sum("a") / F.sum("n")).alias("mae"), (F.sum("b") / F.sum("n")).alias("bias"))
+    report = report.select(F.lit(w["family"]).alias("family"), F.lit(w["candidate"]).alias("candidate"), F.lit(w["parameters"]).alias("parameters"), F.lit(w["cv_rmse"]).alias("cv_rmse"), "*")
+    return {"candidates": found.drop("basis", "coef"), "folds": folds, "test": scored, "report": report}
+
+
 def _predicted(df: DataFrame, group: str, features: list[str], models: DataFrame, bases: list[tuple], mean: list[float], sd: list[float]) -> DataFrame:
     d = len(features)
 

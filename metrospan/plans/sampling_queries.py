@@ -340,6 +340,27 @@ def nested_families(spark, sf):
     return rounded(t.join(c, ["cond", "family"]), {"inner_rmse": 4, "rmse": 4, "bias": 4})
 
 
+_HOLDOUT = _NESTED.replace("d AS (SELECT l_returnflag || l_linestatus AS g, l_quantity", f"""hg AS (SELECT l_suppkey, count(*) AS n, {sql_uniform(1729, 'l_suppkey::VARCHAR')} AS u FROM lineitem GROUP BY 1),
+hs AS (SELECT l_suppkey, row_number() OVER (ORDER BY u, l_suppkey) <= greatest(2, ceil(0.25 * (SELECT count(*) FROM hg))) AS held FROM hg),
+every AS (SELECT l_suppkey::VARCHAR AS g, held, l_quantity""").replace("AS y FROM lineitem)", """AS y FROM lineitem JOIN hs USING (l_suppkey)),
+d AS (SELECT * FROM every WHERE NOT held)""", 1).replace("pairs AS (SELECT o.g AS outer_g, s.* FROM s JOIN s o ON o.g <> s.g)", "pairs AS (SELECT 'all' AS outer_g, s.* FROM s)") + f""",
+tt AS (SELECT e.g, cy + b0 + b1 * (x1 - c1) + b2 * (x2 - c2) - y AS e FROM every e, c, best b JOIN cf ON cf.fold = -1 AND cf.k = b.k WHERE held),
+tg AS (SELECT g, avg(e * e) AS m FROM tt GROUP BY 1)
+SELECT 'linear' AS family, (SELECT max(k) FROM best)::INT AS candidate, {sr('(SELECT max(rmse) FROM best)', 7)} AS cv_rmse, (SELECT count(*) FROM tg) AS n_conditions, count(*) AS n_measurements,
+  {sr('(SELECT sqrt(avg(m)) FROM tg)', 7)} AS condition_balanced_rmse, {sr('sqrt(avg(e * e))', 7)} AS rmse, {sr('avg(abs(e))', 7)} AS mae, {sr('avg(e)', 7)} AS bias FROM tt"""
+
+
+@query("holdout_scores", _HOLDOUT)
+def holdout_scores(spark, sf):
+    """Whole suppliers held out, selection inside the others, the winner scored once."""
+    d = table(spark, sf, "lineitem").select(F.col("l_suppkey"), F.col("l_suppkey").cast("string").alias("supplier"), "l_quantity", "l_discount",
+                                            (F.col("l_quantity") * 1.5 + F.col("l_extendedprice") / 5000 - F.col("l_discount") * 200).alias("y"))
+    split = K.group_holdout(d, "l_suppkey", 0.25, 1729).select(F.col("l_suppkey").cast("string").alias("supplier"), "split")
+    found = Z.holdout_evaluation(d.drop("l_suppkey"), "supplier", ["l_quantity", "l_discount"], "y", [Z.Linear(alphas=_ALPHAS)], split)
+    names = ("cv_rmse", "condition_balanced_rmse", "rmse", "mae", "bias")
+    return rounded(found["report"].drop("parameters"), {c: 7 for c in names})
+
+
 _PERM_Y = "(p_retailprice - 900) * 0.5 + p_size * 0.2"
 
 

@@ -111,3 +111,28 @@ def test_results_are_whole_or_refused(spark, table, tmp_path):
     found["folds"].limit(1).write.mode("append").partitionBy("outer").parquet(f"{path}/folds")
     with pytest.raises(ContractViolation, match="differs"):
         Z.load_evaluation(found, path)
+
+
+def test_holdout_scores_the_winner_once(spark, table):
+    split = spark.createDataFrame([(f"c{k}", "test" if k in (1, 3) else "train") for k in range(5)], "cond string, split string")
+    families = [Z.Linear(alphas=(0.1, 10.0)), Z.Fourier(size=12, gammas=(0.05,), alphas=(0.01,))]
+    found = Z.holdout_evaluation(table, "cond", FEATURES, "y", families, split, inner=3)
+    rows = drawn()
+    g, raw, y = np.array([r[0] for r in rows]), np.array([r[1:3] for r in rows]), np.array([r[3] for r in rows])
+    names = ["c0", "c2", "c4"]
+    mean = np.mean([raw[g == c].mean(0) for c in names], axis=0)
+    sd = np.sqrt(np.mean([(raw[g == c] ** 2).mean(0) for c in names], axis=0) - mean ** 2)
+    x, mass, tr = (raw - mean) / sd, np.array([1.0 / (g == c).sum() for c in g]), np.isin(g, names)
+    best = found["candidates"].where("chosen").first()
+    family = {f.name: f for f in families}[best.family]
+    b, p = family.candidates()[best.candidate]
+    model = fit_rows(x[tr], y[tr], mass[tr], family.bases()[b], p["alpha"])
+    e = model(x[~tr]) - y[~tr]
+    r = found["report"].first()
+    assert r.n_measurements == (~tr).sum() and r.rmse == pytest.approx(np.sqrt(np.mean(e ** 2)), rel=1e-6)
+    assert r.condition_balanced_rmse == pytest.approx(np.sqrt(np.mean([np.mean(e[g[~tr] == c] ** 2) for c in ("c1", "c3")])), rel=1e-6)
+    assert best.cv_rmse == found["candidates"].agg(F.min("cv_rmse")).first()[0] and {x.cond for x in found["folds"].collect()} == set(names)
+    with pytest.raises(ContractViolation, match="both splits"):
+        Z.holdout_evaluation(table, "cond", FEATURES, "y", families, split.union(spark.createDataFrame([("c1", "train")], "cond string, split string")))
+    with pytest.raises(ContractViolation, match="two test groups"):
+        Z.holdout_evaluation(table, "cond", FEATURES, "y", families, split.where("cond <> 'c3'"))
