@@ -35,7 +35,7 @@ def steps(offsets: np.ndarray, limit: int = STEP_BYTES):
 
 
 def bit_field(keys: DataFrame, column: str, bits: int) -> np.ndarray:
-    """Fixed-size bit field of a column of longs (one bit a value), on the driver."""
+    """Bit field of a column of longs (one bit a value), on the driver."""
     per = 32768  # bits of one piece of the bitmap functions
     piece = F.floor(F.pmod(F.col(column), F.lit(bits)) / per)
     pieces = keys.groupBy(piece.alias("piece")).agg(F.expr(f"bitmap_construct_agg(cast(pmod(pmod({column}, {bits}), {per}) as bigint))").alias("bits")).collect()
@@ -45,6 +45,12 @@ def bit_field(keys: DataFrame, column: str, bits: int) -> np.ndarray:
     return out
 
 
+def field_bits(keys: int) -> int:
+    """Bits of a field for so many keys: eight a key, 1 MB (2**23 bits) at
+    least, and 128 MB (2**30) at most, beyond which it spares less."""
+    return 1 << min(30, max(23, (8 * keys).bit_length()))
+
+
 def in_field(field: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Whether the bits of unsigned 64-bit ``values`` are set; the field has a power of two of bits."""
     place = (values & np.uint64(len(field) * 8 - 1)).astype(np.int64)

@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .frames import batch_of, bit_field, in_field, steps, stored, text_buffers
+from .frames import batch_of, bit_field, field_bits, in_field, steps, stored, text_buffers
 from .pairs_graph import components
 from .words import LOWER, mix, span_hashes, windows, word_spans
 
@@ -18,10 +18,10 @@ SHINGLE, SEED, MOST_BITS = 3, 42, 2
 SEGMENT_BITS, GROUPS = 2, 6
 #: The stage's own rule beside op8's bits: words of a shingle and the least Jaccard similarity of near copies.
 STAGE_SHINGLE, STAGE_JACCARD = 5, 0.8
-#: Size of bit fields that spare shuffles; rows of which one is counted to order shingles, and the count from which one is common.
-FIELD_BITS, COUNT_EVERY, COMMON = 1 << 26, 8, 4
-#: Rounds of comparing with one row of a bucket before all remaining pairs.
-STARS = 2
+#: Rows of which one is counted to order shingles, and the count from which one is common.
+COUNT_EVERY, COMMON = 8, 4
+#: Rounds of comparing with some rows of a bucket before all remaining pairs, and rows drawn from a bucket in such a round.
+STARS, CENTRES = 2, 12
 #: Cells above this many fingerprints are joined through common neighbours instead of pairs.
 CELL = 32
 
@@ -208,28 +208,78 @@ def _prefixes(rows: DataFrame, size: int, jaccard: float, common: np.ndarray, wa
     return rows.select("text", "row").mapInArrow(compute, "shingle long, row long, place int, n int")
 
 
+def _picked_shingles(batches, size: int, wanted: np.ndarray):
+    """(hashes, where each row's begin and end, row numbers) of the rows whose key may be wanted."""
+    for batch in batches:
+        picked = batch.filter(pa.array(in_field(wanted, batch.column(2).to_numpy().view(np.uint64))))
+        data, offsets = text_buffers(picked.column(0))
+        for a, b in steps(offsets):
+            hashes, own, _, _ = shingle_sets(data, offsets[a: b + 1], size)
+            yield hashes, np.searchsorted(own, np.arange(b - a + 1)), picked.column(1).slice(a, b - a)
+
+
 def _sets(rows: DataFrame, size: int, wanted: np.ndarray) -> DataFrame:
     """(row, shingles) of the rows whose key may be wanted."""
     wanted = rows.sparkSession.sparkContext.broadcast(wanted)
 
     def compute(batches):
-        for batch in batches:
-            picked = batch.filter(pa.array(in_field(wanted.value, batch.column(2).to_numpy().view(np.uint64))))
-            data, offsets = text_buffers(picked.column(0))
-            ids = picked.column(1)
-            for a, b in steps(offsets):
-                hashes, own, _, _ = shingle_sets(data, offsets[a: b + 1], size)
-                ends = np.searchsorted(own, np.arange(b - a + 1)).astype(np.int32)
-                yield batch_of({"row": ids.slice(a, b - a), "shingles": pa.ListArray.from_arrays(ends, hashes.view(np.int64))})
+        for hashes, ends, ids in _picked_shingles(batches, size, wanted.value):
+            yield batch_of({"row": ids, "shingles": pa.ListArray.from_arrays(ends.astype(np.int32), hashes.view(np.int64))})
     return rows.select("text", "row", F.xxhash64("row").alias("key")).mapInArrow(compute, "row long, shingles array<bigint>")
 
 
+def _outline(hashes: np.ndarray) -> bytes:
+    """How many of a row's distinct shingles fall in each of a power of two of
+    buckets (two to four in a bucket on average); empty if a count is too large."""
+    if len(hashes) < 8:
+        return b""
+    counts = np.bincount((mix(hashes) & np.uint64((1 << (len(hashes).bit_length() - 2)) - 1)).astype(np.int64), minlength=1 << (len(hashes).bit_length() - 2))
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def _most_shared(x: bytes, y: bytes) -> float:
+    """At most so many shingles are shared by rows with these outlines: the sum
+    of the smaller counts.  Of two sizes, the larger outline is folded."""
+    if not x or not y:
+        return np.inf
+    a, b = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (x, y))
+    size = min(len(a), len(b))
+    return float(np.minimum(a.reshape(-1, size).sum(0), b.reshape(-1, size).sum(0)).sum())
+
+
+def _rows_of(rows: DataFrame, pairs: DataFrame) -> np.ndarray:
+    """Bit field of the rows in pairs."""
+    ids = stored(pairs.select(F.explode(F.array("a_row", "b_row")).alias("row")).distinct().select(F.xxhash64("row").alias("key")), "ids")
+    return bit_field(ids, "key", field_bits(ids.count()))
+
+
+def _outlines(rows: DataFrame, size: int, wanted: np.ndarray) -> DataFrame:
+    """(row, outline) of the rows whose key may be wanted."""
+    wanted = rows.sparkSession.sparkContext.broadcast(wanted)
+
+    def compute(batches):
+        for hashes, ends, ids in _picked_shingles(batches, size, wanted.value):
+            yield batch_of({"row": ids, "outline": pa.array([_outline(hashes[x:y]) for x, y in zip(ends[:-1], ends[1:])], pa.binary())})
+    return rows.select("text", "row", F.xxhash64("row").alias("key")).mapInArrow(compute, "row long, outline binary")
+
+
 def _similar(rows: DataFrame, pairs: DataFrame, size: int, jaccard: float) -> DataFrame:
     """The labels (a, b) of those pairs (a_row, b_row, a, b) whose exact
-    similarity is ``jaccard`` or more.  Only rows in pairs leave the scan."""
-    ids = pairs.select(F.explode(F.array("a_row", "b_row")).alias("row")).distinct().select(F.xxhash64("row").alias("key"))
-    sets = stored(_sets(rows, size, bit_field(ids, "key", FIELD_BITS)), "sets")
-    both = pairs.join(sets.select(F.col("row").alias("a_row"), F.col("shingles").alias("x")), "a_row")
+    similarity is ``jaccard`` or more.  Outlines, a small part of the shingles'
+    bytes, first rule out the pairs that cannot share enough; only the rows of
+    the others send their shingles."""
+    outlines = stored(_outlines(rows, size, _rows_of(rows, pairs)), "outlines")
+    a, b = (outlines.select(F.col("row").alias(f"{k}_row"), F.col("outline").alias(x)) for k, x in (("a", "x"), ("b", "y")))
+
+    def hopeful(batches):
+        for batch in batches:
+            most = np.array([_most_shared(x, y) for x, y in zip(batch.column(6).to_pylist(), batch.column(7).to_pylist())])
+            n = batch.column(4).to_numpy() + batch.column(5).to_numpy()
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(most >= jaccard / (1 + jaccard) * n - 1e-9))
+    both = pairs.join(a, "a_row").join(b, "b_row").select("a_row", "b_row", "a", "b", "a_n", "b_n", "x", "y")
+    likely = stored(both.mapInArrow(hopeful, "a_row long, b_row long, a long, b long"), "likely")
+    sets = stored(_sets(rows, size, _rows_of(rows, likely)), "sets")
+    both = likely.join(sets.select(F.col("row").alias("a_row"), F.col("shingles").alias("x")), "a_row")
     both = both.join(sets.select(F.col("row").alias("b_row"), F.col("shingles").alias("y")), "b_row")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(shared >= jaccard * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b").distinct()
@@ -242,28 +292,34 @@ def jaccard_labels(rows: DataFrame, placed: DataFrame, nodes: DataFrame, size: i
     ``rows`` (text, row) is stored, ``nodes`` (row, fingerprint) has one row of
     each distinct text.  Prefixes give every pair in range; counts of a part of
     the rows only order the shingles, so that common ones come last.  Rows of
-    one label need no comparison: buckets are first compared with one row each,
-    and what they then still hold of several labels in pairs.
+    one label need no comparison: the rows of a bucket are first compared with
+    CENTRES drawn ones, twice, and what buckets then still hold of several
+    labels in pairs.
     """
     some = rows.where(F.pmod(F.xxhash64("row"), F.lit(COUNT_EVERY)) == 0)
-    often = _all_shingles(some, size).groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
-    common = bit_field(often, "shingle", FIELD_BITS)
+    often = stored(_all_shingles(some, size).groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).select("shingle"), "often")
+    common = bit_field(often, "shingle", field_bits(often.count()))
     repeated = _prefixes(rows, size, jaccard, common).groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    entries = stored(_prefixes(rows, size, jaccard, common, bit_field(repeated, "shingle", FIELD_BITS)).join(nodes, "row"), "entries")
+    repeated = stored(repeated.select("shingle"), "repeated")
+    own = _prefixes(rows, size, jaccard, common, bit_field(repeated, "shingle", field_bits(repeated.count())))
+    # Copies of a text have one row in nodes, so that their shingles are not repeated here.
+    entries = stored(own.join(nodes, "row").join(repeated, "shingle", "left_semi"), "entries")
     for turn in range(STARS + 1):
-        now = entries.join(placed, "fingerprint")
-        open_ = now.groupBy("shingle").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "row").alias("h"), "row", "n", "place", "label")).alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-        now = stored(now.join(open_.select("shingle", "c"), "shingle"), "open")
-        right = now.select("shingle", *[F.col(c).alias(f"b_{c}") for c in ("row", "n", "place", "label")])
+        now = entries.join(placed, "fingerprint").drop("fingerprint")
+        drawn = [F.min(F.struct(F.xxhash64(F.lit(turn * CENTRES + k), "row").alias("h"), "row", "n", "place", "label")).alias(f"c{k}") for k in range(CENTRES if turn < STARS else 0)]
+        open_ = now.groupBy("shingle").agg(*drawn, F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+        fields = ("row", "n", "place", "label")
+        # The first shingle that two rows share has all others behind it in both.
+        far = lambda a, b: (a("label") != b("label")) & (F.least(a("n") - a("place"), b("n") - b("place")) >= jaccard / (1 + jaccard) * (a("n") + b("n")) - 1e-9)
         if turn < STARS:
-            pairs = now.select(*[F.col(f"c.{c}").alias(f"a_{c}") for c in ("row", "n", "place", "label")], *[F.col(c).alias(f"b_{c}") for c in ("row", "n", "place", "label")])
+            centres = open_.select("shingle", F.array_distinct(F.array(*[F.struct(*[F.col(f"c{k}.{c}").alias(c) for c in fields]) for k in range(CENTRES)])).alias("centres"))
+            met = now.join(centres, "shingle").withColumn("c", F.explode(F.filter("centres", lambda c: far(lambda f: c[f], F.col))))
+            pairs = met.select(*[F.col(f"c.{c}").alias(f"a_{c}") for c in fields], *[F.col(c).alias(f"b_{c}") for c in fields])
         else:
-            left = now.select("shingle", *[F.col(c).alias(f"a_{c}") for c in ("row", "n", "place", "label")])
-            pairs = left.join(right, "shingle").where("a_row < b_row")
-        # The first shingle that two rows share has all others behind it in both.
-        behind = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
-        pairs = pairs.where((F.col("a_label") != F.col("b_label")) & (behind >= jaccard / (1 + jaccard) * (F.col("a_n") + F.col("b_n")) - 1e-9))
-        pairs = stored(pairs.select("a_row", "b_row", F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct(), "pairs")
+            now = stored(now.join(open_.select("shingle"), "shingle", "left_semi"), "open")
+            left, right = (now.select("shingle", *[F.col(c).alias(f"{k}_{c}") for c in fields]) for k in "ab")
+            pairs = left.join(right, "shingle").where((F.col("a_row") < F.col("b_row")) & far(lambda f: F.col(f"a_{f}"), lambda f: F.col(f"b_{f}")))
+        pairs = stored(pairs.select("a_row", "b_row", F.col("a_label").alias("a"), F.col("b_label").alias("b"), "a_n", "b_n").distinct(), "pairs")
         if not pairs.isEmpty():
             moved = components(_similar(rows, pairs, size, jaccard)).select(F.col("node").alias("label"), "component")
             placed = stored(placed.join(moved, "label", "left").select("fingerprint", F.coalesce("component", "label").alias("label")), "placed")
