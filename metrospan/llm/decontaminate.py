@@ -93,7 +93,7 @@ def _slot_lists(start: np.ndarray, end: np.ndarray, values: np.ndarray, slot: np
 
 
 def template_windows(data: np.ndarray, offsets: np.ndarray, sizes: list[int]):
-    """Yields (window hash, row, word of the row, slot lists of picked windows)
+    """Yields (window hash, row, word of the row, slot lists of picked windows, size)
     of all windows of ``sizes`` words, in every reading.
 
     Each capitalised word is read as a name and as a literal word.  A reading
@@ -132,10 +132,10 @@ def template_windows(data: np.ndarray, offsets: np.ndarray, sizes: list[int]):
             hashes = np.zeros(len(own), np.uint64)
             for k in range(size):
                 hashes = hashes * _U(_BASE) + (_NAME if names >> k & 1 else plain[own + k])
-            yield mix(hashes + _U(size)), rows[own], own - first[rows[own]], lambda keep, o=own, m=names: _slot_lists(o[keep], o[keep] + size, values, hard, np.full(int(keep.sum()), m))
+            yield mix(hashes + _U(size)), rows[own], own - first[rows[own]], lambda keep, o=own, m=names: _slot_lists(o[keep], o[keep] + size, values, hard, np.full(int(keep.sum()), m)), size
         dense = at[size - fixed < LITERALS]
         if len(dense):
-            yield _ranges(values, dense, dense + size, 1), rows[dense], dense - first[rows[dense]], lambda keep, o=dense: _slot_lists(o[keep], o[keep] + size, values, np.zeros(n, bool))
+            yield _ranges(values, dense, dense + size, 1), rows[dense], dense - first[rows[dense]], lambda keep, o=dense: _slot_lists(o[keep], o[keep] + size, values, np.zeros(n, bool)), size
     if WINDOW not in sizes:
         return
     at = np.arange(max(0, n - WINDOW + 1))
@@ -153,7 +153,7 @@ def template_windows(data: np.ndarray, offsets: np.ndarray, sizes: list[int]):
         right, left = end <= first[rows[few] + 1], start >= first[rows[few]]
         for salt, own, s, e in ((2, few[right], few[right], end[right]), (3, few[left], start[left], few[left] + WINDOW)):
             if len(own):
-                yield _ranges(template, s, e, salt), rows[own], own - first[rows[own]], lambda keep, s=s, e=e, slot=slot: _slot_lists(s[keep], e[keep], values, slot)
+                yield _ranges(template, s, e, salt), rows[own], own - first[rows[own]], lambda keep, s=s, e=e, slot=slot: _slot_lists(s[keep], e[keep], values, slot), WINDOW
 
 
 def _rows(df: DataFrame) -> str:
@@ -187,7 +187,7 @@ def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
                 part = offsets[a: b + 1]
                 words = np.bincount(word_kinds(data, part)[1], minlength=b - a)
                 for size in range(1, WINDOW + 1):
-                    for hashes, rows, pos, slots in template_windows(data, part, [size]):
+                    for hashes, rows, pos, slots, _ in template_windows(data, part, [size]):
                         keep = (words[rows] == size) | (words[rows] >= size) & (size == WINDOW)
                         yield _emit(ids, hashes, rows, pos, slots, keep, a)
 
@@ -212,17 +212,11 @@ def document_windows(docs: DataFrame, ident: Column, text: Column, bits: np.ndar
             ids = batch.column(1)
             for a, b in steps(offsets):
                 part = offsets[a: b + 1]
-                for sizes in ([k] for k in range(1, LITERALS)):
-                    alone, first = _alone(data, part, sizes[0]), None
-                    for hashes, rows, pos, slots in template_windows(data, part, sizes):
-                        keep = in_field(field, hashes)
-                        if keep.any():
-                            first = np.searchsorted(word_kinds(data, part)[1], np.arange(b - a + 1)) if first is None else first
-                            keep &= alone[first[rows] + pos]
-                            if keep.any():
-                                yield _emit(ids, hashes, rows, pos, slots, keep, a)
-                for hashes, rows, pos, slots in template_windows(data, part, list(range(LITERALS, WINDOW + 1))):
+                for hashes, rows, pos, slots, size in template_windows(data, part, list(range(1, WINDOW + 1))):
                     keep = in_field(field, hashes)
+                    if size < LITERALS and keep.any():
+                        first = np.searchsorted(word_kinds(data, part)[1], np.arange(b - a + 1))
+                        keep &= _alone(data, part, size)[first[rows] + pos]
                     if keep.any():
                         yield _emit(ids, hashes, rows, pos, slots, keep, a)
 
