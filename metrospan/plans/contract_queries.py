@@ -242,7 +242,8 @@ SELECT page_id, CASE WHEN name LIKE 'r%Top.TIF' THEN 'trench' WHEN name LIKE 'CA
 def parse_names(spark, sf):
     url, pid = F.col("url"), F.col("page_id").cast("string")
     n = F.length("url").cast("string")
-    name = (F.when(url.contains("/fr/"), F.concat(F.lit("r"), F.lpad(pid, 4, "0"), F.lit("_C"), n, F.lit("_T7_Top.TIF")))
+    run = F.when(F.length(pid) > 4, pid).otherwise(F.lpad(pid, 4, "0"))  # padding alone would cut longer ids
+    name = (F.when(url.contains("/fr/"), F.concat(F.lit("r"), run, F.lit("_C"), n, F.lit("_T7_Top.TIF")))
             .when(url.contains("/en/"), F.concat(F.lit("CAL_65.5C_G"), n, F.lit("_GLASS_10min.tiff")))
             .when(url.contains("/de/"), F.concat(F.lit("dark_S"), pid, F.lit(".tif"))).otherwise(url))
     return table(spark, sf, "pages").select("page_id", parse_capture_name(name).alias("f")).select("page_id", "f.*")

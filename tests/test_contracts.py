@@ -104,3 +104,15 @@ def test_acquisition_faults(spark):
         row = spark.createDataFrame([{**good, **change}])
         bad = [k for k, v in row.select(*[v.alias(k) for k, v in R.acquisition_faults().items()]).first().asDict().items() if v]
         assert bad == ([fault] if fault else [])
+
+
+def test_capture_names_of_long_ids_keep_every_digit(spark, tmp_path):
+    import __spark_entry__ as entry
+    import oracle
+    spark.createDataFrame([(7, "http://a/fr/x", ""), (9999, "http://a/fr/y", ""), (12345, "http://a/fr/z", ""), (123456, "http://a/de/z", "")],
+                          "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages"))
+    for t in oracle.TABLES:
+        (tmp_path / f"{t}.parquet").symlink_to(f"/root/testdata/sf0.001/{t}.parquet" if t != "pages" else next((tmp_path / "pages").glob("*.parquet")))
+    df = entry.queries()["parse_names"](spark, str(tmp_path))
+    assert {r.page_id: r.run_id for r in df.collect()} == {7: "R07", 9999: "R9999", 12345: "R12345", 123456: None}
+    assert oracle.compare(oracle.connect(str(tmp_path)), df, entry.oracle_sql()["parse_names"]) == (None, 4)
