@@ -221,3 +221,31 @@ def test_masked_pixels_stay_out_of_the_contrast(spark):
     assert t["a", 0, 0][0] == pytest.approx(a[1:5, :5].mean()) and t["a", 0, 0][-1] and not t["a", 1, 1][-1]
     fill = A.filled(a, ok == 1)
     assert np.array_equal(fill[0], a[1]) and np.array_equal(fill[1:], a[1:])
+
+
+def test_a_pixel_beyond_the_scale_keeps_its_value_and_one_without_a_value_is_masked(spark):
+    a, ok = np.random.default_rng(11).random((4, 4)), np.ones((4, 4))
+    a[0, 0], a[3, 3] = 1.3, -0.2
+    b, masked = a.copy(), ok.copy()
+    b[1, 2], masked[1, 2] = np.nan, 0
+    p = picture(spark, {"a": a, "b": b}, out="raw").withColumn("ok", F.array(*[F.lit(v) for v in ok.ravel()]))
+    q = picture(spark, {"b": b}, out="raw").withColumn("ok", F.array(*[F.lit(v) for v in masked.ravel()]))
+    get = lambda df: {r.image_id: r for r in A.region_tile_features(df, "image_id", "raw", "ok", 4, 0.25, 0.5, grid=(2, 2), bins=16).collect()}
+    t, u = get(p), get(q)
+    assert t["a"].raw_mean == pytest.approx(a.mean()) and (t["a"].n_valid, t["b"].n_valid) == (16, 15)
+    assert t["b"] == u["b"] and t["b"].raw_mean == pytest.approx(np.nanmean(b))
+
+
+@pytest.mark.parametrize("name", ["texture_features", "roi_features_weighted"])
+def test_region_queries_on_bright_pictures(spark, tmp_path, name):
+    import __spark_entry__ as entry
+    import oracle
+    source = "/root/testdata/sf0.001"
+    for t in oracle.TABLES:
+        (tmp_path / f"{t}.parquet").symlink_to(f"{source}/{t}.parquet")
+    (tmp_path / "embeddings.parquet").unlink()
+    wide = spark.read.parquet(f"{source}/embeddings.parquet").withColumn("embedding", F.transform("embedding", lambda v: (v * 1.8).cast("float")))
+    wide.where("vec_id < 60").write.parquet(str(tmp_path / "wide"))
+    (tmp_path / "embeddings.parquet").symlink_to(next((tmp_path / "wide").glob("*.parquet")))
+    problem, n = oracle.compare(oracle.connect(str(tmp_path)), entry.queries()[name](spark, str(tmp_path)), entry.oracle_sql()[name])
+    assert problem is None and n > 0
