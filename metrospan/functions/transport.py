@@ -146,6 +146,28 @@ def channel_coefficients(w: Sql, h: Sql, length: Sql, perimeters: dict[str, str]
             "'ks_effective', CASE WHEN c.total > 0 THEN c.flux / c.total ELSE 0 * c.flux END))[0]")
 
 
+def end_crossing(phi1: Sql, bi1: Sql, target: float, limit: float) -> str:
+    """:func:`crossing` of the end-point coverage from zero, in closed form.
+
+    ``phi1`` and ``bi1`` are phi and Bi per unit of the variable x.  With their
+    ratio r the coverage is 1 / (cosh(phi) + r sinh(phi)), a quadratic in
+    exp(phi); written for exp(phi) - 1 it is a sum of positive terms.
+    """
+    p, b, limit_ = sql(phi1), sql(bi1), sql(limit)
+    if target >= 1:
+        status, value = ("'root'", "0D") if target == 1 else ("'below_target_at_lower_bound'", "CAST(NULL AS DOUBLE)")
+        return f"named_struct('status', {status}, 'value', {value})"
+    if target <= 0:
+        return "named_struct('status', 'no_boundary_within_domain', 'value', CAST(NULL AS DOUBLE))"
+    excess = (1 - target) / target
+    square = excess * (excess + 2)
+    root = f"log1p(({excess!r}D + {square!r}D / (sqrt({square!r}D + c.r * c.r) + c.r)) / (1 + c.r)) / c.p"
+    x = f"CASE WHEN c.p > 0 THEN {root} WHEN c.b > 0 THEN {excess!r}D / c.b WHEN c.p = 0 AND c.b = 0 THEN CAST('Infinity' AS DOUBLE) ELSE 0 * c.p * c.b END"
+    base = f"named_struct('p', {p}, 'b', {b}, 'r', CASE WHEN {p} > 0 THEN {b} / {p} END)"
+    return (f"transform(transform(array({base}), c -> {x}), x -> named_struct('status', "
+            f"CASE WHEN x > {limit_} THEN 'no_boundary_within_domain' WHEN x <= {limit_} THEN 'root' END, 'value', CASE WHEN x <= {limit_} THEN x END))[0]")
+
+
 def crossing(curve: Callable[[str], str], target: Sql, lower: Sql, limit: Sql, steps: int = 60) -> str:
     """Smallest point where a decreasing curve falls to ``target``.
 

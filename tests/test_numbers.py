@@ -208,3 +208,62 @@ def test_noise_free_trials_are_perfect(spark):
     assert all(r.fixed_theory_r2 == pytest.approx(1) and r.ols_slope == pytest.approx(1) for r in t.collect())
     s = S.trial_summary(t, "fixed_theory_r2", 0.95).first()
     assert s.successes == 5 and s.wilson_lo < 1 and s.wilson_hi == pytest.approx(1)
+
+
+def test_batch_draws_equal_the_column_expression(spark):
+    from metrospan.functions import draws as N
+    keys = ["7", "1234567", "x" * 30, "a longer key " * 6, None, "é|ü"]
+    d = spark.createDataFrame([(k, i) for k in keys for i in (0, 9, 10, 123456)], "k string, i int")
+    one = d.select(F.array(*[N.normal(21, F.col("k"), F.col("i"), t) for t in (0, 10, "discrepancy")]).alias("a"), N.normals(21, [F.col("k"), F.col("i")], [0, 10, "discrepancy"]).alias("b")).collect()
+    assert len(one) == 24 and all(r.a == pytest.approx(r.b, abs=1e-12) for r in one)
+
+
+def test_end_crossing_is_the_searched_one(spark):
+    from metrospan.functions import transport as X
+    for phi1, bi1 in ((0.3, 0.01), (1e-6, 5.0), (2.0, 0.0), (0.0, 0.02)):
+        curve = lambda x: f"CASE WHEN {x} = 0 THEN 1D ELSE {X.coverage(f'{phi1}D * ({x})', f'{bi1}D * ({x})')} END"
+        for target, limit in ((0.9, 1e6), (0.5, 1e6), (0.999999, 1e6), (0.9, 1e-3), (1.0, 10.0), (1.5, 10.0), (-1.0, 10.0)):
+            a, b = value(spark, X.crossing(curve, target, 0.0, limit)), value(spark, X.end_crossing(phi1, bi1, target, limit))
+            assert a["status"] == b["status"] and b["value"] == (a["value"] if a["value"] is None else pytest.approx(a["value"], rel=1e-9, abs=1e-12)), (phi1, bi1, target, limit, a, b)
+    assert value(spark, X.end_crossing(0.0, 0.0, 0.9, 5.0)).asDict() == {"status": "no_boundary_within_domain", "value": None}
+
+
+def shuffled_rows(df):
+    """Rows that the plan's exchanges moved, after a run."""
+    df.collect()
+    found, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        name = p.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(p.executedPlan())
+            continue
+        if name.endswith("QueryStage"):
+            todo.append(p.plan())
+            continue
+        if name == "Exchange":
+            found += p.metrics().apply("shuffleRecordsWritten").value()
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return found
+
+
+def test_repeats_do_not_move(spark):
+    """Neither noisy copies nor draws pass through a shuffle."""
+    pts = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") / 3000.0).alias("t"))
+    assert shuffled_rows(S.noise_trials(pts, "k", "t", 64, 0.1, 1)) < 3000 * 64 / 2
+    cond = spark.range(200).select("id", F.lit(1.0).alias("top"), F.lit(1.0).alias("bot"))
+    assert shuffled_rows(S.lognormal_draws(cond, "id", ["top", "bot"], [[0.04, 0.0], [0.0, 0.04]], 100, 3)) <= 200
+
+
+def test_noise_trials_match_plain_sums_of_the_same_draws(spark):
+    from metrospan.functions import draws as N
+    pts = spark.createDataFrame([(i, None if i == 3 else 5.0 + i / 7) for i in range(50)], "k long, t double")
+    for kind, scale in (("additive", F.lit(0.3)), ("relative", 0.3 * F.col("t"))):
+        rows_ = pts.crossJoin(spark.range(3).withColumnRenamed("id", "trial")).withColumn("o", F.col("t") + N.normal(9, F.col("trial"), F.col("k")) * scale).collect()
+        got = {r.trial: r for r in S.noise_trials(pts, "k", "t", 3, 0.3, 9, kind).collect()}
+        for j in range(3):
+            t, o = (np.array([r[c] for r in rows_ if r.trial == j and r.t is not None]) for c in ("t", "o"))
+            b = ((o - o.mean()) * (t - t.mean())).mean() / t.var()
+            assert got[j + 1].n == 50 and got[j + 1].n_outside == int(((o < 0) | (o > 1)).sum())
+            assert [got[j + 1].fixed_theory_r2, got[j + 1].ols_slope, got[j + 1].ols_in_sample_r2] == pytest.approx(
+                [1 - ((o - t) ** 2).mean() / o.var(), b, b * b * t.var() / o.var()], rel=1e-10)
