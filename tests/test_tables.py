@@ -225,3 +225,26 @@ def test_changed_bytes_are_found(spark, folder):
     assert [r.status for r in Q.changed_files(before, Q.file_fingerprints(spark, folder)).collect()] == ["changed"]
     with pytest.raises(ContractViolation, match="b.txt"):
         Q.verify(before, Q.file_fingerprints(spark, folder))
+
+
+def test_permutation_importance_broadcasts_no_table(spark):
+    n = 60000
+    d = spark.range(n).select(F.col("id"), (F.col("id") % 1000).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"))
+    d = d.withColumn("y", F.col("a") * 1.0)
+    df = M.permutation_importance(d, "id", ["a", "b"], "y", lambda t: t.withColumn("pred", F.col("a")), 1, 0)
+    imp = {r.feature: r.mae_increase_mean for r in df.collect()}
+    assert imp["b"] == 0 and imp["a"] == pytest.approx(1000 / 3, rel=0.02)
+    sent, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        name = p.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(p.executedPlan())
+            continue
+        if name.endswith("QueryStage"):
+            todo.append(p.plan())
+            continue
+        if name == "BroadcastExchange":
+            sent.append(p.metrics().apply("numOutputRows").value())
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    assert all(k < n / 10 for k in sent)
