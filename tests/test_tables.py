@@ -248,3 +248,10 @@ def test_permutation_importance_broadcasts_no_table(spark):
             sent.append(p.metrics().apply("numOutputRows").value())
         todo += [p.children().apply(i) for i in range(p.children().size())]
     assert all(k < n / 10 for k in sent)
+
+
+def test_weights_of_a_fit_by_condition():
+    import pandas as pd
+    fit = {"n": {"a": 4, "b": 2}, "train": {"a"}, "val": {"b"}}
+    g = pd.factorize(pd.Series(["b", "a", "c", None, "a"]))  # the held-out condition and a row without one weigh nothing
+    assert M._weights(g, fit, "train").tolist() == [0, 0.25, 0, 0, 0.25] and M._weights(g, fit, "val").tolist() == [0.5, 0, 0, 0, 0]
