@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .frames import batch_of, bit_field, in_field, steps, stored, text_buffers
-from .words import _BASE, _power, LOWER, mix, span_hashes, word_spans
+from .words import _BASE, _power, mix, span_hashes, word_spans
 
 #: Words of a window, least literal words of a template, least coverage and consistency.
 WINDOW, LITERALS, COVERAGE, CONSISTENCY = 5, 3, 0.8, 0.8
@@ -22,21 +22,62 @@ _U = np.uint64
 _NUMBER, _NAME, _UNIT = (mix(np.array([k], np.uint64))[0] for k in (101, 102, 103))
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-_DIGIT, _UPPER = np.zeros(256, bool), np.zeros(256, bool)
-_DIGIT[48:58], _UPPER[65:91] = True, True
+_WORD_BYTES = _WORD.tobytes()
+_LOWER_BYTES = bytes(range(256)).lower()
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?:\n\"'("]] = True
+#: Longest word hashed by its 8-byte pieces; longer ones by running sums over their bytes.
+_PIECES = 64
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _word_hashes(own: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each word ``own[start:end]``, ASCII letters lower-cased."""
+    low = np.frombuffer(own.tobytes().translate(_LOWER_BYTES) + bytes(8), np.uint8)
+    eight = np.ndarray((len(own) + 1,), np.uint64, low, strides=(1,))
+    size = ends - starts
+    out = mix((eight[starts] & _MASKS[np.minimum(size, 8)]) + size.astype(np.uint64) * _U(_BASE))
+    for done in range(8, _PIECES, 8):
+        more = np.flatnonzero((size > done) & (size <= _PIECES))
+        if not len(more):
+            break
+        out[more] = mix(out[more] * _U(_BASE) + (eight[starts[more] + done] & _MASKS[np.minimum(size[more] - done, 8)]))
+    long = np.flatnonzero(size > _PIECES)
+    if len(long):
+        out[long] = span_hashes(low, starts[long], ends[long])
+    return out
 
 
 def _hash_words(words: list[str]) -> np.ndarray:
     data = np.frombuffer(" ".join(words).encode(), np.uint8)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    return np.sort(span_hashes(data, ends - [len(w) for w in words], ends, LOWER))
+    return np.sort(_word_hashes(data, ends - [len(w) for w in words], ends))
 
 
 _UNIT_HASHES = _hash_words(UNITS)
 
 
+def _digit(x: np.ndarray) -> np.ndarray:
+    return (x >= 48) & (x < 58)
+
+
+def _upper(x: np.ndarray) -> np.ndarray:
+    return (x >= 65) & (x < 91)
+
+
+def _solid_before(own: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Place of the last byte before each word that is not a space, or -1."""
+    before = at - 1
+    for _ in range(4):
+        spaces = np.flatnonzero((own[np.maximum(before, 0)] == 32) & (before >= 0)) if len(at) else before
+        if not len(spaces):
+            return before
+        before[spaces] -= 1
+    solid = np.append(np.flatnonzero(own != 32), len(own))
+    place = np.searchsorted(solid, at) - 1
+    return np.where(place >= 0, solid[place], -1)
+
+
 def word_kinds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """(value hash, row, is number, is unit, is capitalised, is inside a
     sentence) of each word of a range of rows.
@@ -46,21 +87,23 @@ def word_kinds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     word has one leading capital, and may be a name wherever it stands.
     """
     own = data[offsets[0]: offsets[-1]]
-    word = _WORD[own]
-    digit = _DIGIT[own]
-    if len(own) > 2:
-        between = np.zeros(len(own), bool)
-        between[1:-1] = digit[:-2] & digit[2:] & ((own[1:-1] == 46) | (own[1:-1] == 44))
-        word = word | between
+    word = np.frombuffer(bytearray(own.tobytes().translate(_WORD_BYTES)), bool)
+    points = np.flatnonzero((own == 46) | (own == 44))
+    points = points[(points > 0) & (points < len(own) - 1)]
+    word[points[_digit(own[points - 1]) & _digit(own[points + 1])]] = True
     starts, ends, rows = word_spans(data, offsets, ~word)
-    values = span_hashes(data, starts, ends, LOWER)
     at, to = starts - offsets[0], ends - offsets[0]
-    digits = np.concatenate([[0], np.cumsum(digit | ~_WORD[own])])
-    number = digits[to] - digits[at] == ends - starts
-    capital = _UPPER[own[at]] & ((ends - starts < 2) | ~_UPPER[own[np.minimum(at + 1, len(own) - 1)]]) if len(at) else np.zeros(0, bool)
-    # Last byte before the word that is not a space, within the row.
-    solid = np.where(own != 32, np.arange(len(own)), -1)
-    before = np.maximum.accumulate(solid)[np.maximum(at - 1, 0)] if len(at) else at
+    values = _word_hashes(own, at, to)
+    # A number begins with a digit (or a point between digits) and has no letter.
+    number = own[at] < 58
+    some = np.flatnonzero(number)
+    if len(some):
+        size = to[some] - at[some]
+        first = np.cumsum(size) - size
+        inner = own[np.arange(int(size.sum())) + np.repeat(at[some] - first, size)]
+        number[some] = np.add.reduceat((inner >= 58).astype(np.int64), first) == 0
+    capital = _upper(own[at]) & ((ends - starts < 2) | ~_upper(own[np.minimum(at + 1, len(own) - 1)])) if len(at) else np.zeros(0, bool)
+    before = _solid_before(own, at)
     opens = (before < offsets[rows] - offsets[0]) | (at == 0)
     stop = _STOP[own[np.maximum(before, 0)]] if len(at) else opens
     unit = np.zeros(len(values), bool)
@@ -113,33 +156,46 @@ def template_windows(data: np.ndarray, offsets: np.ndarray, sizes: list[int]):
     total = lambda x: np.concatenate([[0], np.cumsum(x)])
     hards = total(hard)
     for size in sizes:
-        at = np.arange(max(0, n - size + 1))
-        at = at[rows[at] == rows[at + size - 1]]
+        m = max(0, n - size + 1)
+        at = np.flatnonzero(rows[:m] == rows[size - 1:])
         if not len(at):
             continue
-        fixed = hards[at + size] - hards[at]
-        bits = np.zeros(len(at), np.int64)
-        for k in range(size):
-            bits |= capital[at + k].astype(np.int64) << k
-        for names in range(1 << size):
-            count = names.bit_count()
-            if size - count < LITERALS:
-                continue
-            i = np.flatnonzero((bits & names == names) & (size - fixed - count >= LITERALS))
-            if not len(i):
-                continue
-            own = at[i]
-            hashes = np.zeros(len(own), np.uint64)
+        fixed = (hards[size:] - hards[: m])[at]
+        if size >= LITERALS:
+            sums, bits = np.zeros(m, np.uint64), np.zeros(m, np.uint8)
             for k in range(size):
-                hashes = hashes * _U(_BASE) + (_NAME if names >> k & 1 else plain[own + k])
-            yield mix(hashes + _U(size)), rows[own], own - first[rows[own]], lambda keep, o=own, m=names: _slot_lists(o[keep], o[keep] + size, values, hard, np.full(int(keep.sum()), m)), size
+                sums = sums * _U(_BASE) + plain[k: k + m]
+                bits |= capital[k: k + m].astype(np.uint8) << k
+            own = at[fixed <= size - LITERALS]
+            yield mix(sums[own] + _U(size)), rows[own], own - first[rows[own]], lambda keep, o=own: _slot_lists(o[keep], o[keep] + size, values, hard), size
+            # Readings with names differ from the plain one by their names alone.
+            named = np.flatnonzero((bits[at] > 0) & (fixed < size - LITERALS + 1))
+            some, spare = at[named], size - LITERALS - fixed[named]
+            bits, sums = bits[some], sums[some]
+            change = [(_NAME - plain[some + k]) * _U(pow(_BASE, size - 1 - k, 1 << 64)) for k in range(size)]
+            for names in range(1, 1 << size):
+                count = names.bit_count()
+                if size - count < LITERALS:
+                    continue
+                i = np.flatnonzero((bits & names == names) & (spare >= count))
+                if not len(i):
+                    continue
+                own, hashes = some[i], sums[i]
+                for k in range(size):
+                    if names >> k & 1:
+                        hashes = hashes + change[k][i]
+                yield mix(hashes + _U(size)), rows[own], own - first[rows[own]], lambda keep, o=own, m=names: _slot_lists(o[keep], o[keep] + size, values, hard, np.full(int(keep.sum()), m)), size
         dense = at[size - fixed < LITERALS]
         if len(dense):
-            yield _ranges(values, dense, dense + size, 1), rows[dense], dense - first[rows[dense]], lambda keep, o=dense: _slot_lists(o[keep], o[keep] + size, values, np.zeros(n, bool)), size
+            hashes = np.zeros(len(dense), np.uint64)
+            for k in range(size):
+                hashes = hashes * _U(_BASE) + values[dense + k]
+            yield mix(hashes + _U(size) + mix(np.array([1], np.uint64))), rows[dense], dense - first[rows[dense]], lambda keep, o=dense: _slot_lists(o[keep], o[keep] + size, values, np.zeros(n, bool)), size
     if WINDOW not in sizes:
         return
-    at = np.arange(max(0, n - WINDOW + 1))
-    at = at[rows[at] == rows[at + WINDOW - 1]]
+    at = np.flatnonzero(rows[: max(0, n - WINDOW + 1)] == rows[WINDOW - 1:])
+    open_words = total(hard | capital)
+    at = at[open_words[at + WINDOW] - open_words[at] > WINDOW - LITERALS]  # the others hold enough words in every reading
     done = []
     for name in (np.zeros(n, bool), capital & inside, capital):
         if any((name == x).all() for x in done):
@@ -174,7 +230,7 @@ def _emit(ids, hashes, rows, pos, slots, keep, a):
 
 
 def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, win, pos, slots) of the items' windows, and (id, n) their numbers.
+    """(id, win, pos, slots, size) of the items' windows, and (id, n) their numbers.
     Items of equal text are one, with the smallest item_id; an item of fewer
     than ``WINDOW`` words is one window of its own length."""
     items = benchmark.where("text is not null").groupBy("text").agg(F.min("item_id").alias("id"))
@@ -189,10 +245,10 @@ def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
                 for size in range(1, WINDOW + 1):
                     for hashes, rows, pos, slots, _ in template_windows(data, part, [size]):
                         keep = (words[rows] == size) | (words[rows] >= size) & (size == WINDOW)
-                        yield _emit(ids, hashes, rows, pos, slots, keep, a)
+                        yield _emit(ids, hashes, rows, pos, slots, keep, a).append_column("size", pa.array(np.full(int(keep.sum()), size, np.int32)))
 
     items = items.where("id is not null").select("text", "id")
-    found = stored(items.mapInArrow(emit, _rows(items)).distinct(), "items")
+    found = stored(items.mapInArrow(emit, _rows(items) + ", size int").distinct(), "items")
     return found, found.groupBy("id").agg(F.countDistinct("pos").alias("n"))
 
 
@@ -201,8 +257,9 @@ def window_filter(found: DataFrame) -> np.ndarray:
     return bit_field(found, "win", FILTER_BITS)
 
 
-def document_windows(docs: DataFrame, ident: Column, text: Column, bits: np.ndarray) -> DataFrame:
-    """(id, win, pos, slots) of the documents' windows that may be in the benchmark."""
+def document_windows(docs: DataFrame, ident: Column, text: Column, bits: np.ndarray, sizes: list[int]) -> DataFrame:
+    """(id, win, pos, slots) of the documents' windows that may be in the
+    benchmark, whose windows have the ``sizes``."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def emit(batches):
@@ -212,7 +269,7 @@ def document_windows(docs: DataFrame, ident: Column, text: Column, bits: np.ndar
             ids = batch.column(1)
             for a, b in steps(offsets):
                 part = offsets[a: b + 1]
-                for hashes, rows, pos, slots, size in template_windows(data, part, list(range(1, WINDOW + 1))):
+                for hashes, rows, pos, slots, size in template_windows(data, part, sizes):
                     keep = in_field(field, hashes)
                     if size < LITERALS and keep.any():
                         first = np.searchsorted(word_kinds(data, part)[1], np.arange(b - a + 1))
@@ -239,7 +296,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     text, and empty tables, give no rows; repeated rows give one.
     """
     items, sizes = benchmark_windows(benchmark)
-    mine = document_windows(docs, F.col("doc_id"), F.col("text"), window_filter(items))
+    lengths = [r["size"] for r in items.select("size").distinct().collect()]  # WINDOW of them at most
+    mine = document_windows(docs, F.col("doc_id"), F.col("text"), window_filter(items), sorted(lengths))
     item = items.select("win", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
     match = stored(mine.distinct().join(item, "win").select(F.col("id").alias("doc_id"), "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "slots", "item_slots"), "matches")
     pairs = match.select("doc_id", "item_id", "diagonal", F.explode(F.arrays_zip("item_slots", "slots")).alias("s"))

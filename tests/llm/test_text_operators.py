@@ -368,3 +368,27 @@ def test_leaks_with_names_that_open_sentences_or_change_case(spark):
              "yesterday we walked to the harbour"]
     assert found_leaks(spark, texts, items) == {(0, 0), (1, 0), (2, 0), (3, 1), (4, 1), (5, 1)}
     assert found_leaks(spark, items, [t.lower() for t in items]) == {(0, 0), (1, 1)}
+
+
+def test_only_window_sizes_of_the_items_are_made(spark):
+    import pyarrow as pa
+    items = spark.createDataFrame([(1, "the red fox sat on the low wall"), (2, "Is seven prime?")], "item_id long, text string")
+    found, _ = decontaminate.benchmark_windows(items)
+    assert {(r["id"], r["size"]) for r in found.collect()} == {(1, 5), (2, 3)}
+    text = "plain words without names or numbers " * 50
+    data, offsets = frames.text_buffers(pa.array([text, text]))
+    made = [size for h, *_, size in decontaminate.template_windows(data, offsets, [5]) for _ in h]
+    assert made == [5] * 2 * (300 - 4)
+
+
+def test_words_of_any_length_hash_alike():
+    import numpy as np
+    words = ["a" * n for n in (1, 7, 8, 9, 16, 63, 64, 65, 200)] + ["ab", "ba", "a" * 64 + "b", "a" * 8 + "b"]
+    text = (" ".join(words) + " " + " ".join(words).upper()).encode()
+    data = np.frombuffer(text, np.uint8)
+    values, _, number, _, _, inside = decontaminate.word_kinds(data, np.array([0, len(text)]))
+    assert (values[: len(words)] == values[len(words):]).all() and len(set(values.tolist())) == len(words)
+    spaced = np.frombuffer(b"One.       Two       three 1.5 .5 5a 2,", np.uint8)
+    _, _, number, _, capital, inside = decontaminate.word_kinds(spaced, np.array([0, len(spaced)]))
+    assert inside.tolist() == [False, False, True, True, False, True, True]  # a point before it opens a sentence
+    assert number.tolist() == [False, False, False, True, True, False, True]
