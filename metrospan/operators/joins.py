@@ -45,13 +45,17 @@ def role_lookup(facts: DataFrame, registry: DataFrame, roles: dict[str, str], ke
     column.  A repeated registry key is reduced to one row and named
     ambiguous, so that it cannot multiply fact rows.
     """
-    out = facts
+    out, types, given = facts, dict(facts.dtypes), dict(registry.dtypes)
     one = registry.groupBy(key).agg(F.count(F.lit(1)).alias("_matches"), *[F.min(c).alias(c) for c in dict.fromkeys([kind, *fields, *carry]) if c != key])
     for fact_key, expected in roles.items():
         side = one.select(
             F.col(key).alias(fact_key), F.col(kind).alias("_kind"), "_matches",
             *[F.col(f).alias(f"_{f}") for f in fields], *[F.col(c).alias(f"{fact_key}_{c}") for c in carry])
-        agree = reduce(lambda a, b: a & b, [same_field(f, f"_{f}") for f in fields], F.lit(True))
+        # Equal values of one type need no text.  As an array the comparisons are generated in many small
+        # methods; in one method with the joins around them they are too large for the JVM to compile.
+        agree = F.forall(F.array(F.lit(True), *[
+            F.coalesce(F.col(f) == F.col(f"_{f}"), F.lit(False)) | same_field(f, f"_{f}") if types[f] == given[f] else same_field(f, f"_{f}")
+            for f in fields]), lambda same: same)
         status = (F.when(F.col("_matches").isNull(), "missing").when(F.col("_matches") > 1, "ambiguous")
                   .when(~F.col("_kind").eqNullSafe(F.lit(expected)), "wrong_kind").when(~agree, "field_mismatch").otherwise("ok"))
         out = (out.join(side, fact_key, "left").withColumn(f"{fact_key}_status", status)

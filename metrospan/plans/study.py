@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.rules import (ACQUISITION_FIELDS, ORIENTATIONS, acquisition_faults, condition_key, is_contained_path, is_decimal_text, is_finite,
-                               is_integer_valued, is_iso_date, parse_capture_name, same_field, within)
+                               is_integer_valued, is_iso_date, parse_capture_name, same_field, with_capture_name, within)
 from ..operators import pictures as A
 from ..operators import pixels as P
 from ..operators.contracts import ContractViolation, flags_text, inclusion
@@ -93,7 +93,7 @@ def manifest(images: DataFrame, runs: DataFrame, layout: DataFrame, frames: Data
         excluded, images = marked.where("_inclusion = 'excluded'").drop("_inclusion"), marked.where("_inclusion <> 'excluded'")
     else:
         images = images.withColumn("_inclusion", F.lit("included"))
-    m = images.withColumn("_name", parse_capture_name(F.element_at(F.split("path", "/"), -1)))
+    m = with_capture_name(images, F.element_at(F.split("path", "/"), -1), "_name")
     m = m.withColumn("_asked", F.when(~F.col("measurement_id").rlike(r"^\s*$"), F.col("measurement_id")))
     m = mark_repeated(m, {key: f"_twice_{key}" for key in ("content_sha256", "image_id", "path", "matched_region_id", "_asked")})
     file_name = parse_capture_name(F.element_at(F.split("path", "/"), -1))
@@ -168,7 +168,9 @@ def manifest(images: DataFrame, runs: DataFrame, layout: DataFrame, frames: Data
     }
     trench_id = F.concat_ws("_", F.col("run_id"), F.concat(F.lit("C"), F.col("chip").cast("int").cast("string")),
                             F.concat(F.lit("T"), F.col("slot").cast("int").cast("string")))
-    m = m.withColumns({"faults": flags_text(faults), "trench_id": F.when(trench, trench_id), "um_per_px": F.col("um_per_px").try_cast("double")})
+    # As an array for the same reason as in role_lookup: small generated methods.
+    named = F.filter(F.array(*[F.when(c, F.lit(fault)) for fault, c in faults.items()]), lambda v: v.isNotNull())
+    m = m.withColumns({"faults": F.array_join(named, ";"), "trench_id": F.when(trench, trench_id), "um_per_px": F.col("um_per_px").try_cast("double")})
     extra = [f"{r}_{c}" for r in ("ref_id", "dark_id") for c in ("name_kind", "name_session", "acquisition_fault")]
     return m.drop(*[c for c in m.columns if c.startswith("_")], *extra), excluded
 
