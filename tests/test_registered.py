@@ -1,6 +1,8 @@
 """Registered queries: contract of the registry and a sample against SQL."""
 import pytest
 
+from metrospan.plans import QUERIES
+
 import __spark_entry__ as entry
 import oracle
 
@@ -25,3 +27,8 @@ def test_against_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     problem, n = oracle.compare(oracle.connect(sf), entry.queries()[name](spark, sf), entry.oracle_sql()[name])
     assert problem is None and n > 0
+
+
+def test_surrogate_rows_are_sampled_and_split_once(spark):
+    plan = QUERIES["forest_surrogate"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "LogicalRDD" in plan  # the prediction reads what the fit read
