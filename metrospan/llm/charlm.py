@@ -123,14 +123,15 @@ def _merge(parts: list) -> tuple[np.ndarray, np.ndarray]:
     return codes, counts.astype(np.int64)
 
 
-def gram_weights(counts: DataFrame, order: int, smoothing: str) -> DataFrame:
+def gram_weights(counts: DataFrame, order: int, smoothing: str, least: float = 0.0) -> DataFrame:
     """Own share of every counted n-gram in its context, (label, size, code, alpha).
 
     ``kneser-ney``: below the highest order, an n-gram counts the different
     characters seen before it; absolute discount n1 / (n1 + 2 n2) per class and
     order.  ``witten-bell``: plain counts at every order, and a context gives
     the lower order the share of its different continuations, so that the used
-    length of context varies with what the context has shown.
+    length of context varies with what the context has shown.  n-grams of a
+    share below ``least`` are left out; by default none is.
     """
     level, out = counts.withColumn("n", F.col("n").cast("double")), None
     for size in range(order, 0, -1):
@@ -147,6 +148,7 @@ def gram_weights(counts: DataFrame, order: int, smoothing: str) -> DataFrame:
         if smoothing == "kneser-ney":
             rows = rows.join(drop, "label")
         kept = rows.select("label", F.lit(size).alias("size"), "code", share.alias("alpha"))
+        kept = kept.where(F.col("alpha") >= least) if least > 0 else kept
         out = kept if out is None else out.union(kept)
         shorter = F.col("code").bitwiseAND(F.lit((1 << BITS * (size - 1)) - 1))
         level = level.groupBy("label", shorter.alias("code")).agg((F.count(F.lit(1)) if smoothing == "kneser-ney" else F.sum("n")).cast("double").alias("n"))
