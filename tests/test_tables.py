@@ -1,5 +1,7 @@
 """Ranks, folds, models, comparison, sources and sinks."""
+import hashlib
 import math
+import pathlib
 import random
 import tempfile
 
@@ -227,6 +229,25 @@ def test_changed_bytes_are_found(spark, folder):
         Q.verify(before, Q.file_fingerprints(spark, folder))
 
 
+def test_long_files_are_hashed_block_by_block(spark, folder):
+    rng = np.random.default_rng(3)
+    noise = rng.integers(0, 256, 700_001, dtype=np.uint8).tobytes()
+    files = {"noise.bin": noise, "ended.bin": noise[:300_000] + b"\n", "marked.csv": b"\xef\xbb\xbfa,b\r\n" + b"1,2\r\n" * 60_000,
+             "marked_open.csv": b"\xef\xbb\xbf" + b"1\n" * 90_000 + b"x", "lines.txt": b"\n" * 250_000, "one.txt": b"x" * 400_000,
+             "packed.gz": noise[:200_000], "short.txt": b"a", "\u00e4 b%20.txt": noise[::-1]}
+    for name, data in files.items():
+        (pathlib.Path(folder) / name).write_bytes(data)
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        found = Q.file_fingerprints(spark, folder, whole=100_000, block=150_000).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    assert {r.path.rsplit("/", 1)[1]: (r.length, r.sha256) for r in found} == {
+        name: (len(data), hashlib.sha256(data).hexdigest()) for name, data in files.items()}
+    assert len(found) == len(files)
+
+
 def test_permutation_importance_broadcasts_no_table(spark):
     n = 60000
     d = spark.range(n).select(F.col("id"), (F.col("id") % 1000).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"))
