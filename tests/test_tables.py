@@ -248,6 +248,61 @@ def test_long_files_are_hashed_block_by_block(spark, folder):
     assert len(found) == len(files)
 
 
+def forest_rows(spark, n, conditions):
+    d = spark.range(n, numPartitions=4).select(F.concat(F.lit("c"), F.col("id") % conditions).alias("g"), *[
+        (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1000)) / 1000).alias(f"x{k}") for k in range(3)], (F.pmod(F.xxhash64("id"), F.lit(10))).alias("x3"))
+    return d.withColumn("y", F.col("x0") * 3 + F.sin(F.col("x1") * 6) + 100)
+
+
+def test_nested_forest_is_as_good_as_separate_fits(spark):
+    d = forest_rows(spark, 12_000, 3).cache()
+    f = ["x0", "x1", "x2"]
+    oof = M.forest_nested(d, "g", f, "y", trees=40, depth=5)
+    assert oof.columns == [*d.columns, "pred", "min_leaf"] and oof.count() == 12_000
+    error = {r.g: r.e for r in oof.groupBy("g").agg(F.avg((F.col("pred") - F.col("y")) ** 2).alias("e")).collect()}
+    model = M.fit_forest(d.where("g <> 'c0'"), f, "y", 0, 40, 1, None, 5)
+    alone = M.forest_predict(model, d.where("g = 'c0'"), f).agg(F.avg((F.col("pred") - F.col("y")) ** 2)).first()[0]
+    spread = d.agg(F.var_pop("y")).first()[0]
+    assert max(error.values()) < 1.25 * alone < 0.5 * spread
+
+
+def test_nested_forest_runs_as_many_jobs_for_more_conditions(spark):
+    jobs = []
+    for conditions in (3, 8):
+        name = f"forest-{conditions}"
+        spark.sparkContext.setJobGroup(name, name)
+        d = forest_rows(spark, 800, conditions)
+        assert M.forest_nested(d, "g", ["x0", "x1"], "y", trees=2, depth=2).count() == 800
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(name)))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs[1] <= jobs[0] + 10
+
+
+def test_nested_forest_splits_where_the_target_steps(spark):
+    d = forest_rows(spark, 3000, 3).withColumn("y", F.when(F.col("x3") >= 6, 7.0).otherwise(2.0))
+    for depth in (1, 11):  # nodes in an array, nodes in a map
+        oof = M.forest_nested(d, "g", ["x3"], "y", leaves=(10**9, 3), trees=3, depth=depth)
+        worst = oof.agg(F.max(F.abs(F.col("pred") - F.col("y"))), F.min("min_leaf"), F.max("min_leaf")).first()
+        assert worst[0] < 1e-9 and worst[1:] == (3, 3)
+    whole = M.forest_nested(d, "g", ["x3"], "y", leaves=(10**9,), trees=30, depth=2)
+    r = whole.agg(F.avg("pred"), F.avg("y"), F.count_distinct("g", "pred")).first()
+    assert abs(r[0] - r[1]) < 0.1 and r[2] == 3  # nothing splits: one mean a condition
+
+
+def test_nested_forest_bootstrap_counts(spark):
+    d = forest_rows(spark, 6000, 3)
+    edges = [[0.25, 0.5], [0.5]]
+    cells = M._forest_cells(d, "g", ["x0", "x1"], "y", edges, 100.0, 8, 1)
+    n = {r.tree: r.n for r in cells.groupBy("tree").agg(F.sum("n").alias("n")).collect()}
+    assert n.pop(-1) == 6000 and set(n) == set(range(8)) and len(set(n.values())) > 1
+    assert all(abs(v - 6000) < 5 * 6000 ** 0.5 for v in n.values())
+    whole = cells.where("tree = -1").agg(F.sum(F.col("n") * F.col("mean")) / 6000, F.sum(F.col("n") * (F.col("var") + F.col("mean") ** 2)) / 6000).first()
+    y = d.agg(F.avg(F.col("y") - 100), F.avg((F.col("y") - 100) ** 2)).first()
+    assert whole[0] == pytest.approx(y[0]) and whole[1] == pytest.approx(y[1])
+    with pytest.raises(Exception, match="targets must be numbers"):
+        M._forest_cells(d.withColumn("y", F.lit(None).cast("double")), "g", ["x0"], "y", [[0.5]], 0.0, 1, 1).collect()
+
+
 def test_permutation_importance_broadcasts_no_table(spark):
     n = 60000
     d = spark.range(n).select(F.col("id"), (F.col("id") % 1000).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"))
