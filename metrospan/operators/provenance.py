@@ -15,7 +15,7 @@ from .ranks import id_list_chunks
 
 #: Endings that Spark's line reader would decompress.
 _PACKED = r"\.(gz|bz2|deflate|snappy|lz4|zst)$"
-_PIECE = 1 << 20
+_PIECE = 1 << 16
 
 
 def dependencies(manifest: DataFrame, image: str, roles: dict[str, tuple[str, str, str]]) -> DataFrame:
@@ -73,7 +73,9 @@ def file_fingerprints(spark, paths, glob: str | None = None, whole: int = 64 <<
         F.concat(F.col("value").cast("binary"), F.lit(b"\n")).alias("data"))
     copy = f"{shared_folder(spark)}/bytes-{uuid.uuid4().hex}"
     pieces = lines.mapInArrow(_pieces, "_uri string, at long, seq long, data binary")
-    pieces.withColumn("step", F.floor(F.col("at") / block).cast("int")).write.partitionBy("step").option("compression", "none").parquet(copy)
+    pieces = pieces.withColumn("step", F.floor(F.col("at") / block).cast("int"))
+    # Small row groups: a reader holds one of them at a time.
+    pieces.write.partitionBy("step").options(**{"compression": "none", "parquet.block.size": 16 << 20}).parquet(copy)
     pieces = spark.read.schema("_uri string, at long, seq long, data binary, step int").parquet(copy)
     state = durable(_first_states(files, pieces.groupBy("_uri").agg(F.sum(F.length("data")).alias("_got"))))
     for step in range(-(-many["longest"] // block)):
