@@ -303,6 +303,64 @@ def test_nested_forest_bootstrap_counts(spark):
         M._forest_cells(d.withColumn("y", F.lit(None).cast("double")), "g", ["x0"], "y", [[0.5]], 0.0, 1, 1).collect()
 
 
+def test_nested_forest_grows_to_the_end(spark):
+    d = forest_rows(spark, 3000, 3).withColumn("y", F.pmod(F.col("x3") * 7, F.lit(10)) * 1.0 + F.floor(F.col("x0") * 4) * 100)
+    d = d.withColumn("x0", F.floor(F.col("x0") * 4))
+    oof = M.forest_nested(d, "g", ["x0", "x3"], "y", trees=5)  # 40 leaves of 75 rows: deeper than five levels
+    assert oof.agg(F.max(F.abs(F.col("pred") - F.col("y")))).first()[0] < 1e-9
+
+
+def test_forest_query_grows_whole_forests(spark, tmp_path):
+    from metrospan.plans import QUERIES
+    h = lambda k, n: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(n))
+    spark.range(6000).select(
+        F.col("id").alias("o_orderkey"), h(1, 1500).alias("o_custkey"), F.element_at(F.array(*map(F.lit, "FOP")), (h(2, 3) + 1).cast("int")).alias("o_orderstatus"),
+        (h(3, 400000) + 900.0).alias("o_totalprice"), F.date_add(F.lit("1995-01-01"), h(4, 365).cast("int")).cast("timestamp").alias("o_orderdate")).write.parquet(str(tmp_path / "orders.parquet"))
+    r = QUERIES["forest_cv"](spark, str(tmp_path)).collect()
+    assert len(r) == 3 and sum(x.n_measurements for x in r) == 6000
+    assert min(x.r2 for x in r) > 0.98  # six trees of depth three: 0.71 at most on the given orders
+
+
+def test_nested_forest_splits_large_nodes_by_aggregates(spark, monkeypatch):
+    d = forest_rows(spark, 2000, 4)
+
+    def predictions(cells, fits, depth):
+        monkeypatch.setattr(M, "_NODE_CELLS", cells)
+        monkeypatch.setattr(M, "_TASK_FITS", fits)
+        return [r.pred for r in M.forest_nested(d, "g", ["x0", "x3"], "y", trees=3, depth=depth, bins=8).orderBy("g", "x0", "x1", "x2").collect()]
+
+    for depth in (None, 3):
+        want = predictions(1 << 20, 100, depth)
+        assert np.allclose(want, predictions(60, 100, depth), rtol=0, atol=1e-9)
+        assert np.allclose(want, predictions(1 << 20, 5, depth), rtol=0, atol=1e-9)
+
+
+@pytest.mark.parametrize("leaf, levels", [(1, None), (3, None), (2, 3), (1, 0)])
+def test_tree_values_are_those_of_a_tree_grown_node_by_node(leaf, levels):
+    rng = np.random.default_rng(5)
+    x, seen = rng.integers(0, 12, (150, 3)), rng.integers(0, 12, (80, 3))
+    n = rng.integers(1, 4, 150)
+    w, m = n / 7.0, rng.normal(size=150)
+
+    def grow(rows, asked, left):
+        value = np.average(m[rows], weights=w[rows])
+        best = None
+        for k in range(3 if left != 0 else 0):
+            for e in np.unique(x[rows, k])[:-1]:
+                low, high = rows[x[rows, k] <= e], rows[x[rows, k] > e]
+                if min(n[low].sum(), n[high].sum()) >= leaf:
+                    gain = np.float32(sum(w[p].sum() * (np.average(m[p], weights=w[p]) - value) ** 2 for p in (low, high)))
+                    if best is None or gain > best[0]:
+                        best = gain, k, e, low, high
+        if best is None:
+            return {i: value for i in asked}
+        _, k, e, low, high = best
+        return {**grow(low, [i for i in asked if seen[i, k] <= e], left and left - 1), **grow(high, [i for i in asked if seen[i, k] > e], left and left - 1)}
+
+    want = grow(np.arange(150), range(80), levels)
+    assert np.allclose(M._tree_values(x, n, w, w * m, seen, leaf, levels), [want[i] for i in range(80)])
+
+
 def test_permutation_importance_broadcasts_no_table(spark):
     n = 60000
     d = spark.range(n).select(F.col("id"), (F.col("id") % 1000).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"))
