@@ -249,3 +249,41 @@ def test_region_queries_on_bright_pictures(spark, tmp_path, name):
     (tmp_path / "embeddings.parquet").symlink_to(next((tmp_path / "wide").glob("*.parquet")))
     problem, n = oracle.compare(oracle.connect(str(tmp_path)), entry.queries()[name](spark, str(tmp_path)), entry.oracle_sql()[name])
     assert problem is None and n > 0
+
+
+def test_texture_query_runs_with_the_sizes_of_the_study(spark, tmp_path):
+    from metrospan.plans import QUERIES
+    rng = np.random.default_rng(12)
+    data = [(i, 3 if i % 16 == 5 and i < 64 else i % 3, rng.normal(0, 0.2, 64).astype(np.float32)) for i in range(300)]
+    given = [(None if i == 0 else max(i, 2), label, v.tolist()) for i, label, v in data]  # a missing id comes first, one id comes twice
+    spark.createDataFrame([given[i] for i in rng.permutation(300)], "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.tile: r for r in QUERIES["texture_features"](spark, str(tmp_path)).collect()}
+    data[1:3] = sorted(data[1:3], key=lambda r: (r[1], r[2].tolist()))
+    raw, ok = np.zeros((128, 128)), np.ones((128, 128), bool)
+    for place, (_, label, v) in enumerate(data[:256]):
+        y, x = place // 16 * 8, place % 16 * 8
+        raw[y: y + 8, x: x + 8] = ((np.floor(v.astype(float) * 200 + 128) + 5 * (0.2126 - 0.0722)) / 255).reshape(8, 8)
+        ok[y: y + 8, x: x + 8] = label != 3
+    ball = [(dy, dx) for dy in range(-8, 9) for dx in range(-8, 9) if abs(dy) + abs(dx) <= 8]
+    wide = np.pad(ok, 8)
+    core = np.all([wide[8 + dy: 136 + dy, 8 + dx: 136 + dx] for dy, dx in ball], axis=0)
+    shown = A.equalize(A.filled(raw, ok))
+    bell = np.exp(-0.5 * (np.arange(-8, 9) / 2.0) ** 2)
+    wide = np.pad(shown, 8, mode="symmetric")
+    low = sum(a * b * wide[j: j + 128, i: i + 128] for j, a in enumerate(bell) for i, b in enumerate(bell)) / bell.sum() ** 2
+    r = got[0]
+    assert set(got) == {0, 1} and r.used and not got[1].used and got[1].n_valid == 44 * 64
+    assert (r.n_valid, r.n_interior) == (ok.sum(), core.sum()) and ok.sum() == 252 * 64
+    assert r.raw_mean == pytest.approx(raw[ok].mean(), abs=1e-8) and r.equalized_variance == pytest.approx(shown[ok].var(), abs=1e-8)
+    assert r.highpass_std == pytest.approx((shown - low)[core].std(), abs=1e-8) and r.highpass_std > 0.1
+
+
+def test_filling_takes_the_nearest_valid_pixel(spark):
+    rng = np.random.default_rng(13)
+    for share in (0.1, 0.5, 0.95):
+        a, ok = rng.random((17, 23)), rng.random((17, 23)) > share
+        got = A.filled(a, ok)
+        for y, x in np.argwhere(~ok):
+            j, i = min(map(tuple, np.argwhere(ok)), key=lambda p: ((p[0] - y) ** 2 + (p[1] - x) ** 2, *p))
+            assert got[y, x] == a[j, i]
+        assert np.array_equal(got[ok], a[ok])
